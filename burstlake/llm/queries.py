@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, line_dedup, near_dup, substring_dedup
+from . import decontaminate, language, line_dedup, near_dup, substring_dedup, toxicity
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,15 @@ reach AS (SELECT doc_id AS v, doc_id AS r FROM sizes UNION SELECT e.b, reach.r F
 least AS (SELECT v AS doc_id, min(r) AS component_id FROM reach GROUP BY v)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN least USING (doc_id)
 """
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.languages(docs, language.learned(docs))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, language, line_dedup, near_dup, substring_dedup, toxicity
+from . import decontaminate, language, line_dedup, near_dup, packing, secrets, substring_dedup, toxicity
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,45 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.languages(docs, language.learned(docs))
+
+
+@query
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
+def _sql_spans(kind: str, pattern: str, value: str) -> str:
+    return f"""list_transform(range(1, len({kind}_m) + 1), lambda i: {{'start': CAST(list_sum(list_transform({kind}_g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform({kind}_m[:i - 1], lambda x: length(x))), 0) AS BIGINT),
+      'ord': {["assign", "access", "hex", "mixed"].index(kind)}, 'kind': '{kind}',
+      'end': CAST(list_sum(list_transform({kind}_g[:i], lambda x: length(x))) + list_sum(list_transform({kind}_m[:i], lambda x: length(x))) AS BIGINT), 'value': {value}[i]}})"""
+
+
+def _sql_secrets() -> str:
+    patterns = {"assign": secrets.ASSIGN.replace("'", "''"), "access": r"AKIA[A-Z0-9]+", "hex": "[0-9a-f]+", "mixed": secrets.MIXED}
+    parts = ", ".join(f"regexp_split_to_array(t, '{p}') AS {k}_g, regexp_extract_all(t, '{p}') AS {k}_m" for k, p in patterns.items())
+    keep = {"assign": "length(x.value) >= 12", "access": "length(x.value) >= 18", "hex": "length(x.value) >= 16", "mixed": "regexp_matches(x.value, '[0-9]') AND regexp_matches(x.value, '[a-z]') AND regexp_matches(x.value, '[A-Z]')"}
+    spans = ", ".join(f"list_filter({_sql_spans(k, p, 'assign_v' if k == 'assign' else k + '_m')}, lambda x: {keep[k]}) AS {k}" for k, p in patterns.items())
+    joined = "array_to_string(list_transform(list_sort({}), lambda x: x.kind || ':' || x.start || ':' || x.\"end\"), ',')"
+    return f"""
+WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+parts AS (SELECT doc_id, source, {parts}, regexp_extract_all(t, '{patterns["assign"]}', 2) AS assign_v FROM texts),
+spans AS (SELECT doc_id, source, {spans} FROM parts),
+base AS (SELECT doc_id, source, assign, access, hex, assign || access || hex AS b, mixed FROM spans),
+apart AS (SELECT *, list_filter(mixed, lambda m: len(list_filter(b, lambda x: x.start < m."end" AND m.start < x."end")) = 0) AS m FROM base),
+held AS (SELECT doc_id, source, unnest(b || m) AS s FROM apart),
+ownership AS (SELECT s.value AS value, count(DISTINCT source) AS owners FROM held GROUP BY s.value),
+judged AS (SELECT doc_id, count_if(owners <= 1) AS n_live, count_if(owners > 1 AND s.kind <> 'mixed') AS n_copied, coalesce(list(s) FILTER (WHERE s.kind = 'mixed' AND owners <= 1), []) AS added
+  FROM held JOIN ownership ON s.value = ownership.value GROUP BY doc_id)
+SELECT doc_id, CAST(len(assign) AS BIGINT) AS n_assign, CAST(len(access) AS BIGINT) AS n_access, CAST(len(hex) AS BIGINT) AS n_hex,
+  sha256({joined.format("b")}) AS base_sha256, {joined.format("b || coalesce(added, [])")} AS spans,
+  CAST(coalesce(n_live, 0) AS BIGINT) AS n_live, CAST(coalesce(n_copied, 0) AS BIGINT) AS n_copied
+FROM apart LEFT JOIN judged USING (doc_id)
+"""
+
+
+ORACLES["op7_secrets"] = _sql_secrets()
+
+
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))

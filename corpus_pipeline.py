@@ -1,12 +1,64 @@
-"""A training-data pipeline over ``documents``: stages of the subpackage llm, each over all that the one before kept."""
+"""A training-data pipeline over ``documents``: stages of the subpackage llm, each over all that the one before kept.
+
+Each stage takes (spark, docs, sf_dir), is written as Parquet in the shared folder, and is read again as the
+documents of the next. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from burstlake.llm import decontaminate, line_dedup, near_dup, packing, shared, toxicity
+from burstlake.session import ship
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model (learned from the labelled ones) does not reject."""
+    ship(spark)
+    return toxicity.rejected_out(docs.select(COLUMNS), toxicity.learned(docs, shared.table(spark, sf_dir, "labels")))
+
+
+def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the boilerplate lines of their source; n_chars follows the text."""
+    ship(spark)
+    cleaned = line_dedup.without_boilerplate(docs.select(COLUMNS))
+    changed = F.when(F.col("lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", changed).select(COLUMNS)
+
+
+def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, 0.8): that with the least doc_id. Rows without doc_id stay."""
+    ship(spark)
+    gone = shared.stored(near_dup.near_duplicates(docs).where("not kept").select("doc_id"), "near-copies")
+    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
+
+
+def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, nor an edited copy of one."""
+    ship(spark)
+    held = decontaminate.contaminated(docs, shared.table(spark, sf_dir, "benchmark"))
+    gone = shared.stored(held.select("doc_id").distinct(), "contaminated")
+    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences."""
+    ship(spark)
+    return packing.packed(docs)
+
+
+STAGES = [("toxicity", toxic_out), ("line_dedup", lines_out), ("minhash", near_copies_out), ("decontaminate", benchmark_out), ("packing", packed)]
 
-STAGES: list = []
+#: The stages learn models and compare texts in ways that SQL does not express; tests hold them against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The last stage's rows for the whole table ``documents``."""
+    docs = shared.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = shared.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -48,10 +48,12 @@ def without_boilerplate(docs: DataFrame, host: str = "source", text: str = "text
     any other name are kept, but one named lines_dropped is replaced.
     """
     # a stored table has a real size: Spark broadcasts it only if it is under its limit, and else joins with a shuffle
-    found = S.stored(boilerplate(docs, host, text, ratio, least).select(F.col("host").alias("_host"), F.col("lines").alias("_lines")), "boilerplate")
-    joined = docs.drop("lines_dropped").join(found, docs[host].eqNullSafe(F.col("_host")), "left")
+    on, lines = S.fresh(docs, "host"), S.fresh(docs, "lines")
+    found = S.stored(boilerplate(docs, host, text, ratio, least).select(F.col("host").alias(on), F.col("lines").alias(lines)), "boilerplate")
+    joined = docs.drop("lines_dropped").join(found, docs[host].eqNullSafe(F.col(on)), "left")
     parts = F.split(F.col(text), "\n")
-    kept = F.filter(parts, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_lines"), line_hash(x)))
-    clean = F.when(F.col("_lines").isNull() | F.col(text).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    dropped = F.when(F.col("_lines").isNull() | F.col(text).isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(kept)).cast("long")
-    return joined.withColumns({"lines_dropped": dropped, text: clean}).drop("_host", "_lines")
+    kept = F.filter(parts, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(lines), line_hash(x)))
+    same = F.col(lines).isNull() | F.col(text).isNull()
+    dropped = F.when(same, F.lit(0)).otherwise(F.size(parts) - F.size(kept)).cast("long")
+    clean = F.when(same, F.col(text)).otherwise(F.array_join(kept, "\n"))
+    return joined.withColumns({"lines_dropped": dropped, text: clean}).drop(on, lines)

@@ -105,10 +105,11 @@ def repeated_passages(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the passages cut out that an earlier document holds; other columns and rows stay as they are."""
-    spans = repeated_passages(docs, min_chars).where("not original").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut"))
+    cut = S.fresh(docs, "cut")
+    spans = repeated_passages(docs, min_chars).where("not original").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cut))
     joined = docs.join(spans, "doc_id", "left")
     kept = F.expr(
-        "aggregate(_cut, struct(0 as at, '' as out), (s, c) -> struct(greatest(s.at, c.end) as at, "
+        f"aggregate({cut}, struct(0 as at, '' as out), (s, c) -> struct(greatest(s.at, c.end) as at, "
         "concat(s.out, substring(text, s.at + 1, greatest(c.start - s.at, 0))) as out), s -> concat(s.out, substring(text, s.at + 1)))"
     )
-    return joined.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(kept)).drop("_cut").select(docs.columns)
+    return joined.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(kept)).select(docs.columns)

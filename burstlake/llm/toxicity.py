@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 #: At most so many labelled rows of each class are learned from (those with the least hash of their id).
 TOXIC_ROWS, ORDINARY_ROWS = 3000, 6000
-#: Bytes of a window, level of compression, sizes of the two dictionaries, words that the toxic one is trained on.
-WINDOW, LEVEL, ORDINARY_SIZE, TOXIC_SIZE, WORDS = 96, 9, 8192, 1536, 150
+#: Bytes of a window, level of compression, sizes of the two dictionaries, words or beginnings of words that the toxic one is trained on.
+WINDOW, LEVEL, ORDINARY_SIZE, TOXIC_SIZE, WORDS = 96, 9, 8192, 1536, 300
 #: Bytes saved in a window from which it counts as a hit.
 HIT = 4
 _EDGES = b".,;:!?\"'()"
@@ -42,8 +42,14 @@ def windows(text: str) -> list[bytes]:
     return out or [b""]
 
 
+def _starts(word: bytes) -> list[bytes]:
+    """The word and its beginnings of 4 to 9 bytes: inflected forms share one."""
+    word = word.strip(_EDGES)
+    return [word, *(word[:k] for k in range(4, min(10, len(word))))]
+
+
 def _words(text: str) -> set[bytes]:
-    return {w.strip(_EDGES) for w in text.encode("utf-8", "replace").lower().split()}
+    return {s for w in set(text.encode("utf-8", "replace").lower().split()) for s in _starts(w)}
 
 
 @dataclass
@@ -80,11 +86,11 @@ def _trained(size: int, samples: list[bytes]) -> bytes:
 
 
 def fit(rows: list[tuple[str, int]], weight: dict[int, float]) -> Model:
-    """``rows``: distinct (text, label). Every second row of a class trains the dictionaries, the others the curve."""
+    """``rows``: distinct (text, label). Two rows of three of a class train the dictionaries, the third the curve."""
     by = {k: [t for t, y in rows if y == k] for k in (0, 1)}
-    if min(map(len, by.values())) < 2:
+    if min(map(len, by.values())) < 3:
         return Model()
-    toxic, ordinary = by[1][::2], by[0][::2]
+    toxic, ordinary = ([t for i, t in enumerate(by[k]) if i % 3] for k in (1, 0))
     often, else_ = Counter(), Counter()
     for t in toxic:
         often.update(_words(t))
@@ -92,13 +98,13 @@ def fit(rows: list[tuple[str, int]], weight: dict[int, float]) -> Model:
         else_.update(_words(t))
     ratio = {w: k / len(toxic) / ((else_[w] + 0.5) / (len(ordinary) + 1)) for w, k in often.items() if k >= max(min(4, len(toxic)), 0.015 * len(toxic))}
     typical = {w for w in sorted((w for w, r in ratio.items() if r >= 10), key=lambda w: (-often[w] * math.log(ratio[w]), w))[:WORDS]}
-    spoken = [b" " + w + b" " for t in toxic for w in t.encode("utf-8", "replace").lower().split() if w.strip(_EDGES) in typical] or [b" "]
+    spoken = [b" " + w + b" " for t in toxic for w in t.encode("utf-8", "replace").lower().split() if any(s in typical for s in _starts(w))] or [b" "]
     model = Model(
         _trained(ORDINARY_SIZE, [w for t in ordinary[:1500] for w in windows(t)][:40_000]),
         _trained(TOXIC_SIZE, [b"".join(spoken[i : i + 8]) for i in range(0, len(spoken), 8)]),
     )
     tools = model.compressors()
-    held = [(t, k) for k in (0, 1) for t in by[k][1::2]]
+    held = [(t, k) for k in (0, 1) for t in by[k][::3]]
     x = np.array([features(t, *tools)[0] for t, _ in held])
     y = np.array([k for _, k in held], float)
     w = np.array([weight[k] for _, k in held])

@@ -23,8 +23,8 @@ from . import shared as S
 BANDS, ROWS, LOW = 32, 4, 2
 #: A pair is dropped before confirmation if its estimate lies this far under the threshold (six deviations).
 MARGIN = 0.22
-#: Star rounds before what is left is compared block by block, and members to a block.
-STARS, BLOCK = 3, 64
+#: Members to a block, where what the star round left apart is compared block by block.
+BLOCK = 64
 
 SKETCH = "doc_id long, key binary, n_shingles long, sig array<long>, bands array<long>"
 _rng = np.random.default_rng(20240501)
@@ -192,24 +192,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     members = S.stored(members.join(info.select("key", F.struct("pop", "key", "n", "sig").alias("m")), "key"), "members")
 
     sets = S.stored(_fetch_sets(texts, info, shingle), "sets")
-    links = pairs = spark.createDataFrame([], "a binary, b binary")
-    labels = spark.createDataFrame([], "v binary, label binary")
-    for turn in range(STARS + 1):
-        if turn:
-            current = S.stored(_still_open(members, labels), "open")
-            if current.isEmpty():
-                break
-            new = _star_pairs(current, percent, True) if turn < STARS else _block_pairs(current, percent)
-        else:
-            new = _star_pairs(members, percent, False)
-        new = S.stored(new.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            continue
-        pairs = pairs.union(new)
-        found = S.stored(_confirmed(new, sets, percent), "links")
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = components(links)
+    links = S.stored(_confirmed(_star_pairs(members, percent), sets, percent), "links")
+    labels = spark.createDataFrame([], "v binary, label binary") if links.isEmpty() else components(links)
+    current = S.stored(_still_open(members, labels), "open")
+    if not current.isEmpty():
+        more = S.stored(_block_links(current, sets, percent), "links")
+        if not more.isEmpty():
+            labels = components(links.union(more))
     return _result(sketches, classes, labels)
 
 
@@ -232,28 +221,84 @@ def _pair(x: str, y: str) -> list[F.Column]:
     return [F.least(f"{x}.key", f"{y}.key").alias("a"), F.greatest(f"{x}.key", f"{y}.key").alias("b")]
 
 
-def _star_pairs(members: DataFrame, percent: int, labelled: bool) -> DataFrame:
-    """Each bucket's best connected member with each other one. With labels: the best of the smaller labels in turn."""
-    if labelled:
-        tops = members.groupBy("bucket", "label").agg(F.count("*").alias("k"), F.max("m").alias("m"))
-        lead = tops.groupBy("bucket").agg(F.max_by("m", F.struct(-F.col("k"), F.col("m"))).alias("lead"), F.max_by("label", F.struct(-F.col("k"), F.col("m"))).alias("own"))
-        joined = members.join(lead, "bucket").where("label <> own")
-    else:
-        joined = members.join(members.groupBy("bucket").agg(F.max("m").alias("lead")), "bucket").where("m.key <> lead.key")
+def _star_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Each bucket's best connected member with each other one: linear in the bucket, and mostly the same few members in all."""
+    joined = members.join(members.groupBy("bucket").agg(F.max("m").alias("lead")), "bucket").where("m.key <> lead.key")
     return joined.where(_may_link(percent, "lead", "m")).select(*_pair("lead", "m")).distinct()
 
 
-def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different labels that may link, of buckets that are still open: blocks of BLOCK members against blocks."""
-    parts = F.ceil(F.col("size") / BLOCK)
-    rows = members.select("bucket", F.pmod(F.xxhash64("key"), parts).alias("block"), "label", "m")
-    blocks = rows.groupBy("bucket", "block").agg(F.collect_list(F.struct("label", "m")).alias("them"))
-    left = blocks.select("bucket", F.col("block").alias("i"), F.col("them").alias("left"))
-    right = blocks.select("bucket", F.col("block").alias("j"), F.col("them").alias("right"))
-    met = left.join(right, "bucket").where("i <= j")
-    met = met.select("right", F.explode("left").alias("p")).select("p", F.explode(F.expr("filter(right, q -> q.label <> p.label)")).alias("q"))
-    met = met.select(F.col("p.m").alias("x"), F.col("q.m").alias("y"))
-    return met.where(_may_link(percent, "x", "y")).select(*_pair("x", "y")).distinct()
+def _block_links(current: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Exact links between different labels in open buckets.
+
+    Buckets that share members form clusters; a cluster's members are cut into blocks of about BLOCK, those of a large
+    label into blocks of their own, and each two blocks meet once, with their full sets, in some task. Such a
+    task returns no more links than members, as it leaves out those that join what it has joined.
+    """
+    lead = current.groupBy("bucket").agg(F.min("key").alias("a"))
+    joined = components(current.join(lead, "bucket").select("a", F.col("key").alias("b")))
+    docs = current.select("key", "label").distinct().join(joined.select(F.col("v").alias("key"), F.col("label").alias("cluster")), "key")
+    of_label = docs.groupBy("cluster", "label").agg(F.count("*").alias("k"))
+    grouped = of_label.withColumn("own", F.when(F.col("k") >= BLOCK, F.col("label")))
+    room = grouped.groupBy("cluster", "own").agg(F.ceil(F.sum("k") / BLOCK).alias("parts"))
+    same = F.expr("g.cluster = r.cluster and g.own <=> r.own")
+    sized = grouped.alias("g").join(room.alias("r"), same).select("g.cluster", "g.label", "g.own", "r.parts")
+    placed = docs.join(sized, ["cluster", "label"])
+    placed = placed.withColumn("block", F.xxhash64("own", F.pmod(F.xxhash64("key"), F.col("parts"))))
+    full = placed.join(sets, "key").select("cluster", "block", "own", F.struct("key", "label", "members").alias("d"))
+    blocks = S.stored(full.groupBy("cluster", "block", "own").agg(F.collect_list("d").alias("them")), "blocks")
+    i = blocks.select("cluster", F.col("block").alias("i"), F.col("own").alias("own_i"))
+    j = blocks.select("cluster", F.col("block").alias("j"), F.col("own").alias("own_j"))
+    # a block of one label has nothing to compare with blocks of that label
+    meet = i.join(j, "cluster").where("i <= j and not coalesce(own_i = own_j, false)").select("cluster", "i", "j")
+    left = blocks.select("cluster", F.col("block").alias("i"), F.col("them").alias("left"))
+    right = blocks.select("cluster", F.col("block").alias("j"), F.col("them").alias("right"))
+    met = meet.join(left, ["cluster", "i"]).join(right, ["cluster", "j"])
+    return met.select("left", "right").mapInArrow(_comparer(percent), "a binary, b binary")
+
+
+def _comparer(percent: int):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one, two = batch.column("left")[row].as_py(), batch.column("right")[row].as_py()
+                sizes = [np.array([len(d["members"]) // 8 for d in side]) for side in (one, two)]
+                both = common_counts([np.frombuffer(d["members"], np.uint64) for d in one], [np.frombuffer(d["members"], np.uint64) for d in two])
+                linked = 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+                parent: dict[bytes, bytes] = {}
+
+                def top(x: bytes) -> bytes:
+                    while parent.setdefault(x, x) != x:
+                        x = parent[x]
+                    return x
+
+                out = []
+                for x, y in np.argwhere(linked).tolist():
+                    p, q = top(one[x]["label"]), top(two[y]["label"])
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        out.append(tuple(sorted((one[x]["key"], two[y]["key"]))))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return compare
+
+
+def common_counts(one: list[np.ndarray], two: list[np.ndarray], slice_size: int = 1 << 14) -> np.ndarray:
+    """Sizes of the intersections of each set of ``one`` with each of ``two``, by products of incidence matrices."""
+    flat = [np.concatenate(side) for side in (one, two)]
+    shared = np.intersect1d(*flat)
+    out = np.zeros((len(one), len(two)), np.int64)
+    rows = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (one, two)]
+    at = [np.searchsorted(shared, f) for f in flat]
+    known = [(k < len(shared)) & (shared[np.minimum(k, max(0, len(shared) - 1))] == f) if len(shared) else np.zeros(len(f), bool) for k, f in zip(at, flat, strict=True)]
+    for low in range(0, len(shared), slice_size):
+        tables = []
+        for side, k, ok, row in zip((one, two), at, known, rows, strict=True):
+            here = ok & (k >= low) & (k < low + slice_size)
+            t = np.zeros((len(side), min(slice_size, len(shared) - low)), np.float32)
+            t[row[here], k[here] - low] = 1
+            tables.append(t)
+        out += (tables[0] @ tables[1].T).astype(np.int64)
+    return out
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -1,0 +1,112 @@
+"""Models on feature columns and measures of rankings, scores and readings."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class Ridge:
+    mean: tuple[float, ...]
+    spread: tuple[float, ...]
+    weights: tuple[float, ...]
+    intercept: float
+
+    def predict(self, columns: list[str]) -> Column:
+        """Null if a feature is missing or not finite."""
+        z = [(F.col(c).cast("double") - m) / s * w for c, m, s, w in zip(columns, self.mean, self.spread, self.weights, strict=True)]
+        out = sum(z, F.lit(self.intercept))
+        return F.when(~F.isnan(out) & (F.abs(out) < float("inf")), out)
+
+
+def fit_ridge(rows: DataFrame, columns: list[str], target: str, penalty: float = 2.0, least: int = 60) -> Ridge | None:
+    """Ridge regression on standardised features (population deviation, 1e-6 at least); the intercept is free.
+
+    The sums of products are one aggregate over the rows; only a small matrix comes to the driver. None with under
+    ``least`` rows or a single target value.
+    """
+    cols = [*columns, target]
+    good = rows.where(" and ".join(f"{c} is not null and not isnan({c})" for c in cols))
+    sums = [F.sum(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]
+    squares = [F.sum(F.col(a).cast("double") * F.col(b).cast("double")).alias(f"p{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols[: i + 1])]
+    got = good.agg(F.count("*").alias("n"), F.min(target).alias("lo"), F.max(target).alias("hi"), *sums, *squares).first()
+    n, k = got["n"], len(columns)
+    if n < least or got["lo"] == got["hi"]:
+        return None
+    mean = np.array([got[f"s{i}"] for i in range(k + 1)]) / n
+    gram = np.array([[got[f"p{max(i, j)}_{min(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
+    cov = gram - n * np.outer(mean, mean)
+    spread = np.maximum(np.sqrt(np.maximum(np.diag(cov)[:k] / n, 0)), 1e-6)
+    a = cov[:k, :k] / np.outer(spread, spread)
+    weights = np.linalg.solve(a + penalty * np.eye(k), cov[:k, k] / spread)
+    return Ridge(tuple(mean[:k].tolist()), tuple(spread.tolist()), tuple(weights.tolist()), float(mean[k]))
+
+
+def logistic(columns: dict[str, float], bias: float) -> Column:
+    """A linear head: 1 / (1 + exp(-x)); null if a feature is missing or not finite."""
+    x = sum((F.col(c).cast("double") * w for c, w in columns.items()), F.lit(bias))
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), 1 / (1 + F.exp(-x)))
+
+
+def ranking_metrics(rows: DataFrame, group: list[str], score: str, truth: str, tie: str) -> DataFrame:
+    """groups, top1, top3, mrr over groups with exactly one true row."""
+    w = Window.partitionBy(*group)
+    ranked = rows.withColumn("_true", F.sum(F.col(truth).cast("int")).over(w)).where("_true = 1").withColumn("_place", F.row_number().over(w.orderBy(F.desc_nulls_last(score), tie)))
+    hits = ranked.where(F.col(truth).cast("int") == 1)
+    return hits.agg(F.count("*").alias("groups"), F.avg((F.col("_place") == 1).cast("int")).alias("top1"), F.avg((F.col("_place") <= 3).cast("int")).alias("top3"), F.avg(1 / F.col("_place")).alias("mrr"))
+
+
+def tied_hits(rows: DataFrame, group: list[str], score: str, truth: str) -> DataFrame:
+    """group, hit: the share of the true rows among those with the greatest score."""
+    top = F.max(score).over(Window.partitionBy(*group))
+    best = rows.withColumn("_top", top).where(F.col(score) == F.col("_top"))
+    return best.groupBy(*group).agg(F.avg(F.col(truth).cast("int")).alias("hit"))
+
+
+def auc(rows: DataFrame, score: str, truth: str) -> DataFrame:
+    """positives, negatives, auc (Mann-Whitney, ties at their middle rank; NaN and null dropped).
+
+    Counts by distinct score first; running sums go over those, with the totals of ranges of scores summed before, so
+    no task sorts all rows.
+    """
+    good = rows.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(truth).isNotNull())
+    by = good.groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(truth).cast("int") == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(truth).cast("int") == 1, 0).otherwise(1)).alias("q"))
+    parted = by.repartitionByRange("s").withColumn("part", F.spark_partition_id())
+    before = parted.groupBy("part").agg(F.sum("q").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.coalesce(F.sum("q").over(Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wins = parted.withColumn("under", within).join(before.select("part", "base"), "part")
+    total = wins.agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), F.sum(F.col("p") * (F.col("base") + F.col("under") + F.col("q") / 2)).alias("u"))
+    return total.select("positives", "negatives", F.try_divide("u", F.col("positives") * F.col("negatives")).alias("auc"))
+
+
+def best_threshold(rows: DataFrame, score: str, truth: str) -> DataFrame:
+    """threshold, balanced: the least score from which calling rows true has the best balanced accuracy."""
+    by = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(truth).cast("int")).alias("p"), F.sum(1 - F.col(truth).cast("int")).alias("q"))
+    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = by.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
+    at = by.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("q").over(down)}).join(F.broadcast(whole))
+    balanced = (F.try_divide("tp", "all_p") + 1 - F.try_divide("fp", "all_q")) / 2
+    return at.select("s", balanced.alias("b")).agg(F.max(F.struct("b", (-F.col("s")).alias("t"))).alias("m")).select((-F.col("m.t")).alias("threshold"), F.col("m.b").alias("balanced"))
+
+
+def nearest_percentile(values: Column, percent: float) -> Column:
+    """v[round((n - 1) * p / 100)] of the sorted array: no interpolation."""
+    at = F.round((F.size(values) - 1) * (percent / 100)).cast("int") + 1
+    return F.try_element_at(F.sort_array(values), at)
+
+
+def confusion(rows: DataFrame, group: list[str], said: str, truth: str) -> DataFrame:
+    """Counts by group: correct, wrong, abstained (no answer to a known truth), invented (an answer to no truth), and accuracy."""
+    s, t = F.nullif(F.trim(said), F.lit("")), F.nullif(F.trim(truth), F.lit(""))
+    same = F.lower(s) == F.lower(t)
+    out = rows.groupBy(*group).agg(F.count_if(same).alias("correct"), F.count_if(s.isNotNull() & t.isNotNull() & ~same).alias("wrong"), F.count_if(s.isNull() & t.isNotNull()).alias("abstained"), F.count_if(s.isNotNull() & t.isNull()).alias("invented"))
+    return out.withColumn("accuracy", F.try_divide("correct", F.col("correct") + F.col("wrong") + F.col("abstained")))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """Whole percent, halves up; null of nothing."""
+    return F.when(whole > 0, F.floor((part * 100 + F.floor(whole / 2)) / whole))

@@ -35,5 +35,6 @@ def age_seconds(now: Column, then: Column) -> Column:
 
 
 def wall_seconds(ts: Column) -> Column:
-    """A timestamp as seconds, with its fraction."""
-    return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)
+    """The wall clock of a timestamp as seconds, with its fraction; for times without zone the session's zone does not matter."""
+    whole = F.unix_date(ts.cast("date")).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return (whole * 1_000_000 + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long")) / F.lit(1e6)

@@ -137,12 +137,12 @@ def w18_stack_lead(t) -> DataFrame:
     return keeper.stack_lead(rows, "user_id", "row")
 
 
-@query("""SELECT user_id, event_id, round(value - avg(value) OVER w, 3) AS value_centred, CASE WHEN count(*) OVER w > 1 THEN (row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) - 1) / (count(*) OVER w - 1) ELSE 0 END AS value_rank,
+@query("""SELECT user_id, event_id, round(value - avg(value) OVER w + 1e-9, 3) AS value_centred, CASE WHEN count(*) OVER w > 1 THEN (row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) - 1) / (count(*) OVER w - 1) ELSE 0 END AS value_rank,
   CASE WHEN count(*) OVER w > 1 THEN (row_number() OVER o - 1) / (count(*) OVER w - 1) ELSE 0 END AS position, row_number() OVER o = 1 AS is_first, row_number() OVER o = count(*) OVER w AS is_last, ln(count(*) OVER w) AS log_size
   FROM events WINDOW w AS (PARTITION BY user_id), o AS (PARTITION BY user_id ORDER BY event_id)""")
 def w19_relative_features(t) -> DataFrame:
     rows = t("events").select("user_id", "event_id", "value")
-    return sequence.relative_features(rows, ["user_id"], "value", ["event_id"]).drop("value").withColumn("value_centred", F.round("value_centred", 3))
+    return sequence.relative_features(rows, ["user_id"], "value", ["event_id"]).drop("value").withColumn("value_centred", F.round(F.col("value_centred") + 1e-9, 3))
 
 
 @query()
@@ -496,3 +496,58 @@ def e3_regroup(t) -> DataFrame:
     from .regroup import regroup
 
     return regroup(frames(t)).select("id", "burst_key", "burst_pick")
+
+
+def _stream(t, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.readStream.schema(t("events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need a zone
+
+
+def _landed(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """A stream of what is there now, run to its end into Parquet in the shared folder."""
+    import tempfile
+    import uuid
+
+    spark = stream.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="burstlake-")
+    place = f"{root.rstrip('/')}/burstlake/stream-{uuid.uuid4().hex}"
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").option("path", f"{place}/rows").format("parquet").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/rows")
+
+
+def streaming(sql: str | None = None) -> Callable[[Callable], Query]:
+    def register(f: Callable) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(_stream(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark, sf_dir))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return run
+
+    return register
+
+
+@streaming("""WITH h AS (SELECT *, date_trunc('day', ts) AS d FROM events), w AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
+  SELECT CAST(epoch(d) AS BIGINT) AS started, event_type, count(*) AS n FROM h, w WHERE d + INTERVAL 1 DAY <= mark GROUP BY d, event_type""")
+def t8_tumbling_counts(events) -> DataFrame:
+    """Windows that the watermark has passed when the stream ends."""
+    from ..streaming.watch import live_counts
+
+    return _landed(live_counts(events, "ts", "1 day", "1 day", "1 hour", ["event_type"])).select(F.unix_seconds(F.col("started").cast("timestamp")).alias("started"), "event_type", "n")
+
+
+@streaming()
+def t4_live_sessions(events) -> DataFrame:
+    from ..streaming.watch import live_sessions
+
+    return _landed(live_sessions(events, "user_id", "ts", "3 hours", "1 hour"))
+
+
+@streaming()
+def t1_settled(events) -> DataFrame:
+    """Events as sightings of files: user the file, the type its size."""
+    from ..streaming.watch import settled
+
+    seen = events.select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), F.length("event_type").cast("long").alias("size"), F.lit(0.0).alias("mtime"), D.wall_seconds(F.col("ts")).alias("seen"))
+    return _landed(settled(seen, 3600.0))

@@ -23,7 +23,7 @@ def settled(sightings: DataFrame, settle: float = SETTLE) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         size, mtime, since, offered = state.get if state.exists else (-1, -1.0, 0.0, False)
         out = []
-        rows = pd.concat(list(batches)).sort_values("seen")
+        rows = pd.concat([b for b in batches if len(b)] or [pd.DataFrame(columns=["size", "mtime", "seen"])]).sort_values("seen")
         for s, m, seen in zip(rows["size"], rows["mtime"], rows["seen"], strict=True):
             if (s, m) != (size, mtime):
                 size, mtime, since, offered = int(s), float(m), float(seen), False

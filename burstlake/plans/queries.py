@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import text as X
 from ..functions import times as D
-from ..operators import clusters, evaluate, keeper, linkage, mutations, sequence, votes
+from ..operators import clusters, evaluate, identity, keeper, linkage, mutations, sequence, views, votes
 from ..session import ship
 from . import stats
 
@@ -551,3 +551,130 @@ def t1_settled(events) -> DataFrame:
 
     seen = events.select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), F.length("event_type").cast("long").alias("size"), F.lit(0.0).alias("mtime"), D.wall_seconds(F.col("ts")).alias("seen"))
     return _landed(settled(seen, 3600.0))
+
+
+@query(f"WITH {FRAMES} SELECT id, CASE WHEN coalesce(rejected, 0) = 1 THEN 'rejected' WHEN coalesce(picked, 0) = 1 THEN 'picked' WHEN rating_verdict = 'blurred' THEN 'culled' ELSE 'undecided' END AS decision FROM frames")
+def p13_decision(t) -> DataFrame:
+    return frames(t).withColumn("cull_reason", F.expr("case when rating_verdict = 'blurred' then 'blur' end")).select("id", views.decision().alias("decision"))
+
+
+@query(f"WITH {FRAMES} SELECT id, CASE WHEN coalesce(rejected, 0) = 1 THEN 'rejected' WHEN coalesce(stars, 0) < 2 THEN 'rating' WHEN lower(lens) <> 'click' THEN 'label' END AS reason FROM frames")
+def p10_cull_gate(t) -> DataFrame:
+    return frames(t).select("id", views.cull_gate(F.col("stars"), F.col("lens"), F.col("rejected") == 1, True, 2, "Click")["reason"].alias("reason"))
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_brand), 'brand#1')")
+def p11_search(t) -> DataFrame:
+    return views.search(t("part"), ["p_name", "p_brand"], " BRAND#1 ").select("p_partkey")
+
+
+@query("SELECT l_orderkey, bool_and(l_returnflag = 'R' OR l_linestatus = 'O') AS excluded FROM lineitem GROUP BY 1")
+def p14_excluded_frames(t) -> DataFrame:
+    rows = t("lineitem").select("l_orderkey", F.when(F.col("l_returnflag") == "R", 1).alias("rejected"), F.when(F.col("l_linestatus") == "O", 1).alias("bystander"))
+    return views.excluded_frames(rows, "l_orderkey")
+
+
+@query("SELECT l_orderkey, bool_or(l_returnflag = 'N' OR l_tax * 10 < 0.5) AS needs_look FROM lineitem GROUP BY 1")
+def p15_needs_look(t) -> DataFrame:
+    rows = t("lineitem").select("l_orderkey", F.when(F.col("l_returnflag") != "N", "7").alias("number"), F.lit(" ").alias("plate"), (F.col("l_tax") * 10).alias("agreement"))
+    return views.needs_look(rows, "l_orderkey")
+
+
+@query(f"WITH {FRAMES} SELECT id, count(*) OVER w AS stack_size, min(id) OVER w AS stack FROM frames WINDOW w AS (PARTITION BY job_id, burst_key) QUALIFY rating_verdict = 'sharp'")
+def v2_stacks(t) -> DataFrame:
+    return views.stacks(frames(t), F.col("rating_verdict") == "sharp").select("id", "stack_size", "stack")
+
+
+@query("SELECT event_id, lag(event_id) OVER w AS before, lead(event_id) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def v4_neighbours(t) -> DataFrame:
+    return views.neighbours(t("events"), ["user_id"], ["ts", "event_id"], "event_id").select("event_id", "before", "after")
+
+
+@query("SELECT CASE WHEN vec_id % 3 = 0 THEN 'g:' || label WHEN vec_id % 5 = 0 THEN 'b:' || label || ':c' ELSE 's:' || vec_id END AS grp, count(*) AS items, count(DISTINCT vec_id // 2) AS frames FROM embeddings GROUP BY 1")
+def v1_vehicle_groups(t) -> DataFrame:
+    rows = t("embeddings").select("vec_id", F.expr("case when vec_id % 3 = 0 then label end").alias("group_key"), F.lit(" ").alias("identity"), F.expr("case when vec_id % 5 = 0 then label end").alias("burst_key"), F.lit("c").alias("cls"), F.floor(F.col("vec_id") / 2).alias("image_id"))
+    return views.vehicle_groups(rows, "vec_id")
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber % 3 = 0 AS e, l_quantity > 20 AS s, l_returnflag = 'R' AS p, count(*) OVER w AS n, max(CAST(l_returnflag = 'R' AS INT)) OVER w AS a, l_tax * 50 AS secs, l_linestatus = 'F' AS c FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)),
+  m AS (SELECT avg(1 - CAST(c AS INT)) FILTER (WHERE e) AS kept_share, avg(CAST(s AS INT)) FILTER (WHERE e) AS sharp_share, avg(CAST(e AS INT)) FILTER (WHERE p) AS pick_hits, avg(1 / n) FILTER (WHERE e) AS chance, avg(a) AS burst_has_pick, avg(secs) AS seconds FROM r)
+  SELECT *, CASE WHEN pick_hits >= 2 * chance THEN 'PASS' WHEN pick_hits >= chance THEN 'WARN' ELSE 'FAIL' END AS pick_word, CASE WHEN seconds <= 1.5 THEN 'PASS' WHEN seconds <= 3 THEN 'WARN' ELSE 'FAIL' END AS speed_word FROM m""")
+def g16_readiness(t) -> DataFrame:
+    one = lambda c: c.cast("int")
+    rows = t("lineitem").select("l_orderkey", one(F.col("l_linenumber") % 3 == 0).alias("exported"), one(F.col("l_quantity") > 20).alias("sharp"), one(F.col("l_returnflag") == "R").alias("picked"), one(F.col("l_linestatus") == "F").alias("culled"), F.col("l_quantity").alias("score"), (F.col("l_tax") * 50).alias("seconds"))
+    return views.readiness(rows, ["l_orderkey"])
+
+
+@query("""WITH r AS (SELECT p_size AS g, regexp_replace(upper(p_brand), '[^A-Z0-9]', '', 'g') AS v, p_partkey FROM part), c AS (SELECT g, v, count(*) AS n, min(p_partkey) AS f FROM r GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, f) AS k FROM c)
+  SELECT g AS p_size, v AS plate, n AS votes FROM k WHERE k = 1""")
+def a27_agreed(t) -> DataFrame:
+    return identity.agreed(t("part").withColumn("plate", F.col("p_brand")), "p_size", "p_partkey").select("p_size", "plate", "votes")
+
+
+@query()
+def a23_accumulate(t) -> DataFrame:
+    rows = t("events").select("user_id", "event_id", F.array("event_type").alias("said"))
+    return identity.accumulate(rows, "user_id", "said", "event_id")
+
+
+@query()
+def a26_consensus(t) -> DataFrame:
+    rows = t("part").select("p_size", "p_partkey", F.col("p_brand").alias("make"), F.col("p_type").alias("model"), F.element_at(F.split("p_name", " "), 1).alias("colour"), F.format_string("#%02x%02x%02x", F.col("p_partkey") * 37 % 256, F.col("p_partkey") * 59 % 256, F.col("p_partkey") * 83 % 256).alias("colour_hex"), F.col("p_name").alias("plate"), (F.col("p_retailprice") / 1000).alias("plate_conf"))
+    return identity.consensus(rows, "p_size", "p_partkey")
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE CASE WHEN s_suppkey % 3 = 0 THEN 'found' END END AS s_name FROM supplier""")
+def g7_seed_registry(t) -> DataFrame:
+    registry = t("supplier").select(F.col("s_suppkey").cast("string").alias("plate"), F.expr("case when s_suppkey % 2 = 0 then s_name end").alias("name"))
+    found = registry.where("cast(plate as int) % 3 = 0").select("plate", F.lit("found").alias("name"))
+    return identity.seed_registry(registry, found).select(F.col("plate").cast("long").alias("s_suppkey"), F.col("name").alias("s_name"))
+
+
+@query("WITH p AS (SELECT l_orderkey AS v, l_quantity AS x, sum(exp(l_quantity / 10)) OVER (PARTITION BY l_orderkey) AS s FROM lineitem) SELECT v AS l_orderkey, round(max(exp(x / 10) / s), 6) AS top FROM p GROUP BY v")
+def g28_softmax(t) -> DataFrame:
+    return t("lineitem").groupBy("l_orderkey").agg(F.round(F.array_max(N.softmax(F.collect_list("l_quantity"), 10.0)), 6).alias("top"))
+
+
+@query(f"WITH {FRAMES} SELECT id, path, CASE WHEN status = 'done' THEN path END AS kept_path FROM frames")
+def s23_reset(t) -> DataFrame:
+    f = frames(t).select("id", "path", F.col("path").alias("kept_path"), "status")
+    return mutations.reset(f, ["id", "path", "status"], F.col("status") != "done").drop("status")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def s21_partial_update(t) -> DataFrame:
+    o = t("orders").select("o_orderkey", "o_orderstatus")
+    return mutations.apply_delta(o, o.select("o_orderkey", F.expr("case when o_orderkey % 4 = 0 then 'Z' end").alias("o_orderstatus")), "o_orderkey", ["o_orderstatus"])
+
+
+@query("SELECT o_orderkey, 'F' AS o_orderstatus FROM orders WHERE o_orderstatus <> 'F'")
+def s22_changed_only(t) -> DataFrame:
+    o = t("orders").select("o_orderkey", "o_orderstatus")
+    return mutations.changed_only(o, o.select("o_orderkey", F.lit("F").alias("o_orderstatus")), "o_orderkey", ["o_orderstatus"])
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def a34_cube(t) -> DataFrame:
+    return t("lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
+
+
+@query(r"SELECT url, regexp_replace(regexp_replace(replace(lower(url), '/', '\'), '\\+', '\\', 'g'), '\\$', '') AS key FROM pages")
+def p16_path_key(t) -> DataFrame:
+    return t("pages").select("url", X.path_key(F.col("url")).alias("key"))
+
+
+@query("SELECT c_custkey, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS best, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer")
+def j9_scalar_aggregates(t) -> DataFrame:
+    per = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("best"), F.count("*").alias("n"))
+    return t("customer").select("c_custkey").join(per, "c_custkey", "left").fillna(0, ["n"])
+
+
+@query("SELECT o_orderkey, count(l_orderkey) AS lines FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_returnflag IN ('R', 'A') GROUP BY 1")
+def j2_left_with_residual(t) -> DataFrame:
+    right = t("lineitem").where(F.col("l_returnflag").isin("R", "A")).select("l_orderkey")
+    return t("orders").join(right, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_orderkey").agg(F.count("l_orderkey").alias("lines"))
+
+
+@query("SELECT event_id, value, event_type FROM (SELECT *, abs(value / 20 - 3) AS d FROM events) ORDER BY d, event_id LIMIT 400")
+def o7_review_order(t) -> DataFrame:
+    return t("events").orderBy(F.abs(F.col("value") / 20 - 3), "event_id").limit(400).select("event_id", "value", "event_type")

@@ -32,6 +32,20 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _merged(token: str, end: str, order: dict[tuple[str, str], int]) -> list[str]:
+    """The symbols that ``token`` becomes, merging pairs by their order."""
+    ended = token.endswith(end) and token != end
+    parts = list(token[: -len(end)] if ended else token)
+    if ended:
+        parts[-1] += end
+    while len(parts) > 1:
+        best = min(range(len(parts) - 1), key=lambda k: order.get((parts[k], parts[k + 1]), len(order)))
+        if (parts[best], parts[best + 1]) not in order:
+            break
+        parts[best : best + 2] = [parts[best] + parts[best + 1]]
+    return parts
+
+
 class Ids:
     """Token ids of texts, as bytes of little-endian unsigned 32-bit numbers, equal to those of ``tokenizers``.
 
@@ -60,8 +74,6 @@ class Ids:
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer, pre_tokenizers
-        from tokenizers import normalizers as N
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -85,26 +97,12 @@ class Ids:
                 raise ValueError("merges are not ranks")
             ranks[raw(a) + raw(b)] = len(ranks)
         core = tiktoken._tiktoken.CoreBPE(ranks, {}, r".+")
-        id_of = {r: ids.get(b, -1) for b, r in ranks.items()}
         # BPE by merges and by ranks agree if each token, taken alone, becomes itself: then no other split of it can stand
-        for b, i in ids.items():
-            if b.endswith(b"\xff") and [id_of[r] for r in core.encode_single_piece(b)] != [i]:
+        order = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(spec["model"]["merges"])}
+        for token in spec["model"]["vocab"]:
+            if token not in special and _merged(token, end, order) != [token]:
                 raise ValueError("a token does not encode to itself")
-        bare = Tokenizer.from_file(path)
-        bare.normalizer, bare.pre_tokenizer = N.Sequence([]), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        ended = {t[: -len(end)]: i for t, i in spec["model"]["vocab"].items() if t.endswith(end) and t != end}
-        texts = {}
-        for t, i in ended.items():
-            try:
-                texts[bytes(of[c] for c in t).decode()] = i
-            except UnicodeDecodeError:
-                pass
-        words = list(texts)
-        for k in range(0, len(words), 4096):
-            for w, e in zip(words[k : k + 4096], bare.encode_batch_fast(words[k : k + 4096], add_special_tokens=False), strict=True):
-                if e.ids != [texts[w]] and w not in special:
-                    raise ValueError("a token does not encode to itself")
-        return core, id_of
+        return core, {r: ids.get(b, -1) for b, r in ranks.items()}
 
     def __missing_word(self, word: str) -> bytes:
         ids = [self.id_of[r] for r in self.engine.encode_single_piece(word.encode() + b"\xff")]

@@ -22,9 +22,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def histogram_distance(a: Column, b: Column, whole: float = 255.0) -> Column:
-    """One less the shared share of two histograms, within 0 and 1."""
+    """One less the shared share of two histograms, within 0 and 1; null if one is missing."""
     shared = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - shared / whole))
+    return F.when(shared.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - shared / whole)))  # least and greatest would skip a null
 
 
 def area(b: str) -> Column:
@@ -73,7 +73,8 @@ def interpolate(x: Column, knots: list[tuple[float, float]]) -> Column:
 
 def log_normal(x: Column, low: float, high: float) -> Column:
     """ln(x) between ln(low) and ln(high) as 0 to 1."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.ln(x) - F.ln(F.lit(low))) / (F.ln(F.lit(high)) - F.ln(F.lit(low)))))
+    share = (F.ln(x) - F.ln(F.lit(low))) / (F.ln(F.lit(high)) - F.ln(F.lit(low)))
+    return F.when(share.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
 
 
 def verdict(score: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import text as X
 from ..functions import times as D
-from ..operators import clusters, evaluate, identity, keeper, linkage, mutations, sequence, views, votes
+from ..operators import clusters, evaluate, identity, keeper, linkage, moments, mutations, sequence, views, votes
 from ..session import ship
 from . import stats
 
@@ -678,3 +678,47 @@ def j2_left_with_residual(t) -> DataFrame:
 @query("SELECT event_id, value, event_type FROM (SELECT *, abs(value / 20 - 3) AS d FROM events) ORDER BY d, event_id LIMIT 400")
 def o7_review_order(t) -> DataFrame:
     return t("events").orderBy(F.abs(F.col("value") / 20 - 3), "event_id").limit(400).select("event_id", "value", "event_type")
+
+
+@query()
+def w5_split_moments(t) -> DataFrame:
+    e = t("events")
+    x = F.col("event_id") % 5 / 10
+    box = F.when(F.col("event_id") % 7 > 0, F.struct(x.alias("x1"), x.alias("y1"), (x + 0.3).alias("x2"), (x + 0.2).alias("y2")))
+    levels = F.array((F.col("value") * 2).cast("int"), (255 - F.col("value") * 2).cast("int"))
+    rows = e.select("event_id", F.col("user_id").alias("burst"), F.struct("ts", "event_id").alias("seq"), D.wall_seconds(F.col("ts")).alias("taken"), box.alias("box"), levels.alias("scene"), levels.alias("livery"), (F.col("event_id") % 3 == 0).alias("panning"))
+    return moments.split_moments(rows, moments.Rules(pause=3600.0)).select("event_id", "moment")
+
+
+@query()
+def g3_merge_on_plates(t) -> DataFrame:
+    rows = t("part").select(F.col("p_size").alias("album"), F.col("p_partkey").alias("grp"), F.lit("car").alias("cls"), F.array(X.ascii_plate(F.col("p_brand"))).alias("plates"), F.array("p_partkey").alias("frames"))
+    return moments.merge_on_plates(rows, "album")
+
+
+@query("WITH c AS (SELECT p_partkey, (p_partkey * 37) % 256 / 255.0 AS r, (p_partkey * 59) % 256 / 255.0 AS g, (p_partkey * 83) % 256 / 255.0 AS b FROM part) SELECT p_partkey, round(CAST(greatest(r, g, b) AS DOUBLE), 6) AS v, round(CAST(CASE WHEN greatest(r, g, b) > 0 THEN (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b) ELSE 0 END AS DOUBLE), 6) AS s FROM c")
+def m7_hsv(t) -> DataFrame:
+    colour = moments.hsv(F.format_string("#%02x%02x%02x", F.col("p_partkey") * 37 % 256, F.col("p_partkey") * 59 % 256, F.col("p_partkey") * 83 % 256))
+    return t("part").select("p_partkey", F.round(colour["v"], 6).alias("v"), F.round(colour["s"], 6).alias("s"))
+
+
+@query("WITH g AS (SELECT *, count(*) OVER w AS n, sum(CAST(l_linenumber = 2 AS INT)) OVER w AS d FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)) SELECT l_orderkey, l_linenumber FROM g WHERE d = 1 AND n BETWEEN 2 AND 30")
+def g26_eligible_bursts(t) -> DataFrame:
+    return moments.eligible_bursts(t("lineitem").withColumn("true", F.col("l_linenumber") == 2), "l_orderkey", "true").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT p_brand, least(count(*), 5) AS n FROM part GROUP BY p_brand")
+def g26_stratified_cap(t) -> DataFrame:
+    return moments.stratified_cap(t("part"), ["p_brand"], "p_partkey", 5).groupBy("p_brand").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, CASE WHEN max(l_discount) >= 0.05 AND count(*) FILTER (WHERE l_discount = top) = 1 THEN true ELSE false END AS has_peak FROM (SELECT *, max(l_discount) OVER (PARTITION BY l_orderkey) AS top FROM lineitem) GROUP BY l_orderkey")
+def m17_peak(t) -> DataFrame:
+    return t("lineitem").groupBy("l_orderkey").agg(moments.peak_frame(F.collect_list("l_discount"), 0.05).isNotNull().alias("has_peak"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'ocr+vlm' ELSE CASE WHEN value / 100 >= 0.6 THEN 'ocr' ELSE 'vlm' END END WHEN event_id % 3 = 1 THEN 'vlm' ELSE 'ocr' END AS source FROM events")
+def f15_merge_number(t) -> DataFrame:
+    ocr = F.when(F.col("event_id") % 3 != 1, F.col("user_id").cast("string"))
+    other = F.when(F.col("event_id") % 3 != 2, F.when(F.col("event_id") % 2 == 0, F.col("user_id")).otherwise(F.col("user_id") + 1).cast("string"))
+    return t("events").select("event_id", X.merge_number(ocr, F.col("value") / 100, other, F.lit(0.5), 0.6)["source"].alias("source"))

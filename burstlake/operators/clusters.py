@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,29 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import dot, hamming
+from .lineage import cut
 from .linkage import band_pairs
 
 #: Bits and seconds of near duplicates; cosines of one look and one face.
 DUPE_BITS, SURE_BITS, DUPE_SECONDS, SAME_LOOK, SAME_FACE = 10, 4, 600.0, 0.90, 0.363
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint; a folder is chosen only where none is set (tests)."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="burstlake-"))
-    return df.checkpoint()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(v, component) for every end of ``edges`` (a, b): the least v reachable. Each round halves the distance to it."""
-    both = _cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = _cut(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("component").alias("near"))
         to = labels.join(near, "v").select("v", F.least("component", "near").alias("to"), F.col("component").alias("was"))
         beyond = labels.select(F.col("v").alias("to"), F.col("component").alias("beyond"))
-        new = _cut(to.join(beyond, "to", "left").select("v", F.least("to", F.coalesce("beyond", "to")).alias("component"), "was"))
+        new = cut(to.join(beyond, "to", "left").select("v", F.least("to", F.coalesce("beyond", "to")).alias("component"), "was"))
         labels = new.select("v", "component")
         if new.where("component <> was").isEmpty():
             return labels

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import running_sums
+
 
 @dataclass(frozen=True)
 class Ridge:
@@ -70,26 +72,21 @@ def tied_hits(rows: DataFrame, group: list[str], score: str, truth: str) -> Data
 def auc(rows: DataFrame, score: str, truth: str) -> DataFrame:
     """positives, negatives, auc (Mann-Whitney, ties at their middle rank; NaN and null dropped).
 
-    Counts by distinct score first; running sums go over those, with the totals of ranges of scores summed before, so
-    no task sorts all rows.
+    Counts by distinct score first; running sums go over those, range by range.
     """
     good = rows.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(truth).isNotNull())
     by = good.groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(truth).cast("int") == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(truth).cast("int") == 1, 0).otherwise(1)).alias("q"))
-    parted = by.repartitionByRange("s").withColumn("part", F.spark_partition_id())
-    before = parted.groupBy("part").agg(F.sum("q").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.coalesce(F.sum("q").over(Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = parted.withColumn("under", within).join(before.select("part", "base"), "part")
-    total = wins.agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), F.sum(F.col("p") * (F.col("base") + F.col("under") + F.col("q") / 2)).alias("u"))
+    over = running_sums(by, "s", ["q"])
+    total = over.agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), F.sum(F.col("p") * (F.col("q_sum") - F.col("q") / 2)).alias("u"))
     return total.select("positives", "negatives", F.try_divide("u", F.col("positives") * F.col("negatives")).alias("auc"))
 
 
 def best_threshold(rows: DataFrame, score: str, truth: str) -> DataFrame:
     """threshold, balanced: the least score from which calling rows true has the best balanced accuracy."""
     by = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(truth).cast("int")).alias("p"), F.sum(1 - F.col(truth).cast("int")).alias("q"))
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = by.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
-    at = by.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("q").over(down)}).join(F.broadcast(whole))
-    balanced = (F.try_divide("tp", "all_p") + 1 - F.try_divide("fp", "all_q")) / 2
+    over = running_sums(by, "s", ["p", "q"], descending=True)
+    at = over.join(F.broadcast(by.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))))  # one row
+    balanced = (F.try_divide("p_sum", "all_p") + 1 - F.try_divide("q_sum", "all_q")) / 2
     return at.select("s", balanced.alias("b")).agg(F.max(F.struct("b", (-F.col("s")).alias("t"))).alias("m")).select((-F.col("m.t")).alias("threshold"), F.col("m.b").alias("balanced"))
 
 

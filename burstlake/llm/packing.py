@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import shared as S
 
 #: Tokens of a sequence, the id that ends a document, words kept in a worker's table of ids.
-SIZE, END, TABLE = 2048, 0, 400_000
+SIZE, END, TABLE = 2048, 0, 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 

@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
 from . import decontaminate, language, line_dedup, near_dup, packing, secrets, substring_dedup, topk, toxicity, warc
-from .shared import table
+from .shared import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -18,7 +17,7 @@ ORACLES: dict[str, str] = {}
 
 def query(f: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship(spark)
+        prepare(spark)
         return f(spark, sf_dir)
 
     QUERIES[f.__name__] = run

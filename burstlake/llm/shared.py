@@ -11,11 +11,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Bytes of text that are hashed at once; working memory is a small multiple of it.
 SEGMENT = 1 << 20
 _MASK = (1 << 64) - 1
 
 
+#: Rows that go to a Python worker at once: texts and blocks are long, and a worker's memory follows the batch.
+BATCH_ROWS = 500
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make the package known to the executors, and keep batches for Python small."""
+    ship(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a local one is set only where none is (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -10,20 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burstlake.llm import decontaminate, line_dedup, near_dup, packing, shared, toxicity
-from burstlake.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model (learned from the labelled ones) does not reject."""
-    ship(spark)
+    shared.prepare(spark)
     return toxicity.rejected_out(docs.select(COLUMNS), toxicity.learned(docs, shared.table(spark, sf_dir, "labels")))
 
 
 def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the boilerplate lines of their source; n_chars follows the text."""
-    ship(spark)
+    shared.prepare(spark)
     cleaned = line_dedup.without_boilerplate(docs.select(COLUMNS))
     changed = F.when(F.col("lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", changed).select(COLUMNS)
@@ -31,14 +30,14 @@ def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, 0.8): that with the least doc_id. Rows without doc_id stay."""
-    ship(spark)
+    shared.prepare(spark)
     gone = shared.stored(near_dup.near_duplicates(docs).where("not kept").select("doc_id"), "near-copies")
     return docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, nor an edited copy of one."""
-    ship(spark)
+    shared.prepare(spark)
     held = decontaminate.contaminated(docs, shared.table(spark, sf_dir, "benchmark"))
     gone = shared.stored(held.select("doc_id").distinct(), "contaminated")
     return docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
@@ -46,7 +45,7 @@ def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences."""
-    ship(spark)
+    shared.prepare(spark)
     return packing.packed(docs)
 
 

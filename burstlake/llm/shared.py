@@ -18,8 +18,8 @@ SEGMENT = 1 << 20
 _MASK = (1 << 64) - 1
 
 
-#: Rows that go to a Python worker at once: texts and blocks are long, and a worker's memory follows the batch.
-BATCH_ROWS = 500
+#: Rows and bytes that go to a Python worker at once: texts and blocks are long, and a worker's memory follows the batch.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -27,6 +27,7 @@ def prepare(spark: SparkSession) -> None:
     ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:

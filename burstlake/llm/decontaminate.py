@@ -1,9 +1,10 @@
-"""Benchmark decontamination (operator 1): rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination (operator 1): pairs of near words as seeds, then Smith-Waterman alignment of words.
 
 The benchmark is a query set: it is taken in blocks of bounded size, each of which goes over all documents
-without a shuffle of their texts. A first pass counts in how many documents each n-gram of the block lies;
-of every few neighbouring n-grams of an item the rarest is a seed. Documents in which seeds of an item hit
-near one diagonal are aligned with the item word by word, which also scores edited or paraphrased copies.
+without a shuffle of their texts. Between two matches that follow each other, an alignment pays for every word it
+skips on the longer side, so one that reaches the least score skips at most one word a side at most of them.
+Counting the pairs of words that an item and a stretch of text share in this way therefore loses no alignment;
+stretches with enough of them are aligned word by word.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from pyspark.sql import functions as F
 
 from . import shared as S
 
-#: Words of an n-gram, neighbouring n-grams of which the rarest is a seed, words of the items of a block.
-GRAM, STRETCH, BLOCK_WORDS = 3, 2, 1_000_000
+#: Words of the items of a block, pairs (text, item) that are held at once.
+BLOCK_WORDS, AT_ONCE = 1_000_000, 2_000_000
 #: Alignment of words; a document holds an item from this share of the best possible score.
 MATCH, MISMATCH, GAP, LEAST_SCORE = 2, -1, -1, 0.5
-#: Hits of an item count together if their diagonals (document word - item word) differ by less.
-BAND = 12
+#: A pair of words is seen with this many steps from the first to the second, and as one pair whichever it is.
+STEPS = (1, 2)
+#: Words that are aligned at once; longer stretches are taken in overlapping pieces.
+PIECE = 1 << 16
 FOUND = "doc_id long, item_id long, score double, start int, end int"
 
 
@@ -32,45 +35,52 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return S.word_hashes(data, starts, ends), starts, ends, first
 
 
+def pair_hashes(words: np.ndarray, step: int) -> np.ndarray:
+    """A hash of each word and the one ``step`` words on (0: of the word alone)."""
+    if not step:
+        return S.gram_hashes(words, 1)
+    with np.errstate(over="ignore"):
+        return S.mix64(words[:-step] * np.uint64(0x9FB21C651E98DF25) + words[step:])
+
+
 class _Block:
-    """The items of one block: word hashes, and their distinct n-grams in order."""
+    """The items of one block: word hashes, their pairs of near words, and what an alignment of each must hold."""
 
-    def __init__(self, rows: list, n: int):
-        self.n = n
+    def __init__(self, rows: list, least: float):
         data, offsets = S.utf8(pa.array([r["text"] or "" for r in rows], pa.string()))
         words, _, _, first = _words(data, offsets)
         self.ids = [r["item_id"] for r in rows]
         self.words = [words[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        grams = [S.gram_hashes(w, min(n, max(1, len(w)))) for w in self.words]
-        self.hash = np.concatenate([*grams, np.zeros(0, np.uint64)])
-        self.item = np.repeat(np.arange(len(rows)), [len(g) for g in grams])
-        self.at = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)]).astype(np.int64)
-        self.short = sorted({len(w) for w in self.words if 0 < len(w) < n})
-        self.index()
-
-    def index(self) -> None:
-        self.keys, self.first, self.count = np.unique(self.hash, return_index=True, return_counts=True)
-        self.order = np.argsort(self.hash, kind="stable")
+        size = np.diff(first)
+        # k matches score 2 k less at least the words skipped: with score 2 least size, under k - least size of the k - 1
+        # steps skip two words or more, so least size - 1 skip fewer; and all lie in (3 - 2 least) size words of text
+        self.need = np.maximum(np.ceil(least * size - 1 - 1e-9), 1).astype(np.int64)
+        self.span = np.maximum(np.ceil((3 - 2 * least) * size), size).astype(np.int64) + 1
+        self.steps = [*STEPS, *([0] if (size == 1).any() else [])]
+        found = [(pair_hashes(w, step), k) for k, w in enumerate(self.words) for step in ([0] if len(w) == 1 else STEPS)]
+        hashes = np.concatenate([*(h for h, _ in found), np.zeros(0, np.uint64)])
+        order = np.argsort(hashes, kind="stable")
+        self.item = np.repeat(np.array([k for _, k in found], np.int64), [len(h) for h, _ in found])[order]
+        self.at = np.concatenate([*(np.arange(len(h)) for h, _ in found), np.zeros(0, np.int64)]).astype(np.int64)[order]
+        self.keys, self.count = np.unique(hashes, return_counts=True)
         self.begin = np.concatenate([[0], np.cumsum(self.count)])
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
-    def keep(self, rare: np.ndarray) -> None:
-        self.hash, self.item, self.at = self.hash[rare], self.item[rare], self.at[rare]
-        self.index()
-
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of words where a known n-gram begins, and which."""
+    def hits(self, words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of words (in order) where a known pair of one row begins, and which."""
         where, which = [], []
-        for n in [self.n, *self.short]:
-            grams = S.gram_hashes(words, n)
-            maybe = np.flatnonzero(self.bits[(grams & np.uint64((1 << 22) - 1)).astype(np.int64)])
-            k = np.searchsorted(self.keys, grams[maybe])
-            k[k == len(self.keys)] = 0
-            sure = self.keys[k] == grams[maybe] if len(self.keys) else np.zeros(0, bool)
+        for step in self.steps:
+            pairs = pair_hashes(words, step)
+            maybe = np.flatnonzero(self.bits[(pairs & np.uint64((1 << 22) - 1)).astype(np.int64)])
+            maybe = maybe[row[maybe] == row[maybe + step]]
+            k = np.minimum(np.searchsorted(self.keys, pairs[maybe]), len(self.keys) - 1)
+            sure = self.keys[k] == pairs[maybe]
             where.append(maybe[sure])
             which.append(k[sure])
-        return np.concatenate(where), np.concatenate(which)
+        where, which = np.concatenate(where), np.concatenate(which)
+        order = np.argsort(where, kind="stable")
+        return where[order], which[order]
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -92,37 +102,45 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _counter(block: _Block):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(block.keys), np.int64)
-        for batch in batches:
-            data, offsets = S.utf8(batch.column(1))
-            for i, j in S.row_blocks(offsets):
-                words, _, _, first = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                where, which = block.hits(words)
-                row = np.searchsorted(first, where, "right")
-                total += np.bincount(np.unique(row * len(block.keys) + which) % max(1, len(block.keys)), minlength=len(total))[: len(total)]
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["k", "docs"])
-
-    return count
-
-
-def candidates(block: _Block, where: np.ndarray, which: np.ndarray, n_words: int) -> Iterator[tuple[int, int, int]]:
-    """(item, low, high): ranges of words of one document that may hold an item."""
-    reps = block.count[which]
-    flat = block.order[np.repeat(block.begin[which], reps) + (np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps))]
-    item, q, p = block.item[flat], block.at[flat], np.repeat(where, reps)
-    order = np.lexsort((p - q, item))
-    item, q, p = item[order], q[order], p[order]
-    new = np.ones(len(p), bool)
-    new[1:] = (item[1:] != item[:-1]) | (np.diff(p - q) > BAND)
-    for i, j in zip(np.flatnonzero(new), [*np.flatnonzero(new)[1:], len(p)], strict=True):
-        size = len(block.words[item[i]])
-        if len(np.unique(q[i:j])) >= min(2, max(1, size // (2 * block.n))):
-            low, high = int((p - q)[i:j].min()) - BAND, int((p - q)[i:j].max()) + size + BAND
-            # a run of hits that follow each other over many diagonals (a text that repeats one phrase) may be long
-            yield int(item[i]), max(0, low), min(n_words, high)
+def candidates(block: _Block, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, low, high): all ranges of the words of a row that may hold an item."""
+    row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    where, which = block.hits(words, row_of)
+    total = np.concatenate([[0], np.cumsum(block.count[which])])
+    done, most = 0, int(block.span.max())
+    while done < len(where):
+        stop = max(done + 1, int(np.searchsorted(total, total[done] + AT_ONCE, "right")) - 1)
+        end = int(np.searchsorted(where, where[stop - 1] + most, "right"))  # what begins here may go on beyond
+        k, p = which[done:end], where[done:end]
+        done = stop
+        reps = block.count[k]
+        flat = np.repeat(block.begin[k], reps) + (np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps))
+        p = np.repeat(p, reps)
+        item, q = block.item[flat], block.at[flat]
+        key = row_of[p] * len(block.words) + item
+        slot = key & 0xFFFFF
+        enough = np.bincount(slot, minlength=1 << 20)[slot] >= block.need[item]
+        p, q, item, key = p[enough], q[enough], item[enough], key[enough]
+        order = np.lexsort((p, key))
+        p, q, item, key = p[order], q[order], item[order], key[order]
+        last = np.arange(len(p)) + block.need[item] - 1
+        fits = np.flatnonzero(last < len(p))
+        fits = fits[(key[last[fits]] == key[fits]) & (p[last[fits]] - p[fits] < block.span[item[fits]])]
+        if not len(fits):
+            continue
+        new = np.ones(len(fits), bool)
+        new[1:] = (key[fits][1:] != key[fits][:-1]) | (np.diff(p[fits]) > 2 * block.span[item[fits]][1:])
+        heads = np.flatnonzero(new)
+        for i, j in zip(fits[heads], fits[np.append(heads[1:], len(fits)) - 1], strict=True):
+            x, span = int(item[i]), int(block.span[item[i]])
+            upto = np.searchsorted(key, key[i], "right")
+            upto = i + np.searchsorted(p[i:upto], p[j] + span)
+            if len(np.unique(q[i:upto])) < block.need[x]:
+                continue
+            row = int(row_of[p[i]])
+            low, high = max(int(first[row]), int(p[i]) - span), min(int(first[row + 1]), int(p[j]) + span)
+            for a in range(low, max(low + 1, high - span), PIECE):
+                yield row, x, a, min(high, a + PIECE + span)
 
 
 def _finder(block: _Block, least: float):
@@ -134,25 +152,18 @@ def _finder(block: _Block, least: float):
             for i, j in S.row_blocks(offsets):
                 part = data[offsets[i] : offsets[j]]
                 words, starts, ends, first = _words(part, offsets[i : j + 1] - offsets[i])
-                where, which = block.hits(words)
-                order = np.argsort(where, kind="stable")
-                where, which = where[order], which[order]
-                cut = np.searchsorted(where, first)
-                for row in np.flatnonzero(np.diff(cut)).tolist():
-                    a, b = int(first[row]), int(first[row + 1])
-                    own = words[a:b]
-                    best: dict[int, tuple] = {}
-                    for item, low, high in candidates(block, where[cut[row] : cut[row + 1]] - a, which[cut[row] : cut[row + 1]], b - a):
-                        wanted = block.words[item]
-                        score, end = align(wanted, own[low:high])
-                        share = score / (MATCH * len(wanted))
-                        if share >= least and share > best.get(item, (0,))[0]:
-                            back = align(wanted[::-1], own[low : low + end][::-1])[1]
-                            best[item] = share, low + end - back, low + end
+                best: dict[tuple[int, int], tuple] = {}
+                for row, item, low, high in candidates(block, words, first):
+                    wanted = block.words[item]
+                    score, end = align(wanted, words[low:high])
+                    share = score / (MATCH * len(wanted))
+                    if share >= least and share > best.get((row, item), (0,))[0]:
+                        back = align(wanted[::-1], words[low : low + end][::-1])[1]
+                        best[row, item] = share, low + end - back, low + end
+                for (row, item), (share, x, y) in best.items():
                     base = int(offsets[i + row] - offsets[i])
-                    for item, (share, x, y) in best.items():
-                        chars = lambda stop: int(((part[base:stop] & 0xC0) != 0x80).sum())
-                        out.append((ids[i + row], block.ids[item], share, chars(starts[a + x]), chars(ends[a + y - 1])))
+                    chars = lambda stop: int(((part[base:stop] & 0xC0) != 0x80).sum())  # noqa: B023, E731
+                    out.append((ids[i + row], block.ids[item], share, chars(starts[x]), chars(ends[y - 1])))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "score", "start", "end"])
@@ -160,23 +171,14 @@ def _finder(block: _Block, least: float):
     return find
 
 
-def rare_seeds(block: _Block, docs_with: np.ndarray) -> np.ndarray:
-    """Of each STRETCH neighbouring n-grams of an item, the one in the fewest documents (ties: the first)."""
-    often = docs_with[np.searchsorted(block.keys, block.hash)]
-    group = block.item * (1 << 32) + block.at // STRETCH
-    order = np.lexsort((block.at, often, group))
-    keep = np.ones(len(order), bool)
-    keep[1:] = group[order][1:] != group[order][:-1]
-    return np.sort(order[keep])
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, n: int = GRAM) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """A row for each document (doc_id, text) that holds a benchmark item (item_id, text), or an edited copy of it.
 
     doc_id, item_id, score (alignment score over the best possible, at least ``least``), start and end of the best alignment
     (characters of the document, end exclusive). Words are runs of letters and digits, A-Z lower-cased; null
     and empty texts hold nothing and are held by nothing. Repeated rows are reported each; equal items each
-    by their own id. Other columns are ignored; with an empty table on either side the result is empty.
+    by their own id. Other columns are ignored; with an empty table on either side the result is empty. No alignment is
+    missed but those of a single word where ``least`` of an item is one word or less (items of two words: both are needed).
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -185,12 +187,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
     blocks = max(1, -(-size // (4 * BLOCK_WORDS)))
     out = spark.createDataFrame([], FOUND)
     for b in range(blocks):
-        block = _Block(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect(), n)
+        block = _Block(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect(), least)
         if not len(block.keys):
             continue
-        often = np.zeros(len(block.keys), np.int64)
-        for row in texts.mapInArrow(_counter(block), "k int, docs long").groupBy("k").agg(F.sum("docs").alias("docs")).collect():
-            often[row["k"]] = row["docs"]
-        block.keep(rare_seeds(block, often))
-        out = out.union(texts.mapInArrow(_finder(block, least), FOUND)) if blocks > 1 else texts.mapInArrow(_finder(block, least), FOUND)
+        found = texts.mapInArrow(_finder(block, least), FOUND)
+        out = out.union(found) if blocks > 1 else found
     return out

@@ -134,6 +134,42 @@ def test_contaminated_equals_brute_force_alignment(spark):
     assert decontaminate.contaminated(frame(spark, docs), bench.limit(0)).collect() == []
 
 
+def test_evenly_edited_copies_are_aligned(spark):
+    rng = random.Random(21)
+    items = [(k, sentence(rng, rng.randint(12, 48))) for k in range(16)]
+    edits = [
+        lambda w: [rng.choice(WORDS) if k % 4 == 3 else x for k, x in enumerate(w)],
+        lambda w: edited(rng, w, 0.3),
+        lambda w: [f"{x}q" if k % 3 == 2 else x for k, x in enumerate(w)],
+        lambda w: [y for x in w for y in (x, "and")],
+        lambda w: [x for k, x in enumerate(w) if k % 3 != 2],
+        lambda w: w,
+    ]
+    docs = [(100 * k + e, f"{sentence(rng, 60)} {' '.join(f(t.split()))} {sentence(rng, 60)}", "a") for k, t in items for e, f in enumerate(edits)]
+    docs.append((5000, " ".join([items[0][1]] * 3 + ["and the"] * 400 + edits[0](items[0][1].split())), "a"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in collect(decontaminate.contaminated(frame(spark, docs), bench))}
+    want = {(i, b): s for i, t, _ in docs for b, x in items if (s := brute_align(x.split(), t.split())) >= 0.5}
+    assert got == pytest.approx(want)
+    assert {(100 * k + e, k) for k, _ in items for e in (0, 2, 3, 5)} <= set(got)
+
+
+def test_pieces_of_hits_lose_no_alignment(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(22)
+    items = [{"item_id": k, "text": sentence(rng, 20)} for k in range(5)] + [{"item_id": 9, "text": "alone"}]
+    text = " ".join([sentence(rng, 50), items[0]["text"], sentence(rng, 300), items[3]["text"], "alone", sentence(rng, 40)])
+    block = decontaminate._Block(items, 0.5)
+    data = np.frombuffer(text.encode(), np.uint8)
+    words, _, _, first = decontaminate._words(data, np.array([0, len(data)]))
+    for at_once, piece in ((2_000_000, 1 << 16), (3, 7)):
+        monkeypatch.setattr(decontaminate, "AT_ONCE", at_once)
+        monkeypatch.setattr(decontaminate, "PIECE", piece)
+        full = {x for _, x, low, high in decontaminate.candidates(block, words, first) if decontaminate.align(block.words[x], words[low:high])[0] == 2 * len(block.words[x])}
+        assert full == {0, 3, 5}
+
+
 def test_line_dedup(spark):
     rng = random.Random(3)
     foot = "All rights reserved by the site"

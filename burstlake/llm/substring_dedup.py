@@ -2,7 +2,8 @@
 
 A gear hash over the last 16 bytes cuts every text where its value is small, so a cut depends on nothing
 further away and an insertion moves the cuts around it only. Neighbouring chunks are digested in pairs; a
-pair that lies in two documents is repeated, and runs of repeated pairs are the repeated passages.
+pair that lies in two documents is repeated, and runs of repeated pairs are the repeated passages, broken where
+the document that held them first is another one.
 """
 
 from __future__ import annotations
@@ -87,20 +88,31 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_passages(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """A row for each passage of ``docs`` (doc_id, text) that lies in another document too.
 
-    doc_id, start and end (characters, end exclusive), first_doc (the least doc_id with a part of it)
-    and original (doc_id is first_doc: this one stays if repeats are cut). Only runs over ``min_chars``
-    count. Null or empty texts have none. Rows without doc_id take no part; rows with the same doc_id count
+    doc_id, start and end (characters, end exclusive), first_doc (the least doc_id that holds it)
+    and original (doc_id is first_doc: this one stays if repeats are cut). A run of passages that follow each other
+    counts from ``min_chars`` on, however short its passages; but what an earlier document holds within an original
+    passage is cut out of it from ``min_chars`` on only, and belongs to it otherwise. Passages that follow each other
+    overlap by a chunk. Null or empty texts have none. Rows without doc_id take no part; rows with the same doc_id count
     as one document, so a text does not repeat itself. Other columns are ignored.
     """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pairs = texts.mapInArrow(_pairs, PAIRS)
     held = pairs.groupBy("pair").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
     repeated = pairs.join(held, "pair")
-    order = Window.partitionBy("doc_id").orderBy("idx")
-    runs = repeated.withColumn("run", F.col("idx") - F.dense_rank().over(order))
-    spans = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc").alias("first_doc"))
-    spans = spans.withColumn("chars", F.col("end") - F.col("start"))
-    return spans.where(F.col("chars") >= min_chars).select("doc_id", "start", "end", "first_doc", (F.col("doc_id") == F.col("first_doc")).alias("original"))
+    order = Window.partitionBy("doc_id").orderBy("idx", "first_doc")
+    apart = F.coalesce(F.col("idx") - F.lag("idx").over(order) > 1, F.lit(True))
+    begins = repeated.withColumn("apart", apart).withColumn("begins", F.col("apart") | (F.col("first_doc") != F.lag("first_doc").over(order)))
+    parts = begins.withColumn("part", F.sum(F.col("begins").cast("int")).over(order)).groupBy("doc_id", "part")
+    parts = parts.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc").alias("first_doc"), F.bool_or("apart").alias("apart"))
+    order = Window.partitionBy("doc_id").orderBy("part")
+    chars = lambda c: F.max("end").over(Window.partitionBy("doc_id", c)) - F.min("start").over(Window.partitionBy("doc_id", c))
+    changes = lambda c: (F.col("apart") | (F.col(c) != F.lag(c).over(order))).cast("int")
+    parts = parts.withColumn("own", F.col("doc_id") == F.col("first_doc")).withColumn("turn", changes("own"))
+    parts = parts.withColumns({"run": F.sum(F.col("apart").cast("int")).over(order), "stretch": F.sum("turn").over(order)})
+    parts = parts.withColumns({"chars": chars("run"), "stays": F.col("own") | (chars("stretch") < min_chars)}).where(F.col("chars") >= min_chars)
+    parts = parts.withColumn("turn", F.when(F.col("stays"), changes("stays")).otherwise(1)).withColumn("span", F.sum("turn").over(order))
+    spans = parts.groupBy("doc_id", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc").alias("first_doc"), F.bool_or("stays").alias("original"))
+    return spans.select("doc_id", "start", "end", F.when(F.col("original"), F.col("doc_id")).otherwise(F.col("first_doc")).alias("first_doc"), "original")
 
 
 def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

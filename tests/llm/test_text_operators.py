@@ -94,6 +94,29 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(frame(spark, [])).collect() == []
 
 
+def test_copies_that_share_a_passage_lose_nothing(spark):
+    rng = random.Random(8)
+    shared, quote = sentence(rng, 80), sentence(rng, 8)
+    bodies = {k: (sentence(rng, 90), sentence(rng, 90)) for k in (5, 6)}
+    one, other = (" ".join([a, shared, b]) for a, b in bodies.values())
+    rows = [(1, f"{sentence(rng, 60)} {quote} {sentence(rng, 60)}", "a"), (3, f"{sentence(rng, 40)} {shared} {sentence(rng, 40)}", "a")]
+    rows += [(5, one, "a"), (9, one, "a"), (12, one, "a"), (6, other, "a"), (10, other, "a")]
+    quoted = f"{sentence(rng, 90)} {quote} {sentence(rng, 90)}"
+    rows += [(20, quoted, "a"), (21, quoted, "a")]
+    got = collect(substring_dedup.repeated_passages(frame(spark, rows)))
+    text = {i: t for i, t, _ in rows}
+    for r in got:
+        assert text[r["doc_id"]][r["start"] : r["end"]].strip() in text[r["first_doc"]]
+        assert r["original"] == (r["doc_id"] == r["first_doc"])
+    cut = {r["doc_id"]: r["text"] for r in collect(substring_dedup.without_repeats(frame(spark, rows)))}
+    holders = lambda words: [i for i in sorted(cut) if " ".join(words) in cut[i]]
+    inner = lambda t: [t.split()[k : k + 6] for k in range(20, len(t.split()) - 26)]
+    assert all(holders(w) == [3] for w in inner(shared))
+    assert all(holders(w) == [k] for k, two in bodies.items() for t in two for w in inner(t))
+    assert cut[1] == text[1] and cut[3] == text[3] and cut[20] == quoted  # a short quotation is no passage
+    assert all(len(cut[i]) < 150 for i in (9, 10, 12, 21))
+
+
 def test_chunks_resist_insertions():
     import numpy as np
 

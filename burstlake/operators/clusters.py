@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import dot, hamming
-from .lineage import cut
+from .lineage import cut, scanned
 from .linkage import band_pairs
 
 #: Bits and seconds of near duplicates; cosines of one look and one face.
@@ -86,31 +88,38 @@ def cluster_by_look(rows: DataFrame, same: float = SAME_LOOK) -> DataFrame:
 
 
 def cluster_faces(rows: DataFrame, album: str, det: str, vector: str, same: float = SAME_FACE) -> DataFrame:
-    """album, det, label: greedy clusters around running sums, labelled by their first det; of equal clusters the last wins."""
+    """album, det, label: greedy clusters around running sums, labelled by their first det; of equal clusters the last wins.
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(det, ignore_index=True)
+    The order decides, so each album is scanned; what is held is a batch, and a sum for each cluster.
+    """
+
+    def scan():
         sums: list[np.ndarray] = []
         labels: list[int] = []
-        out = []
-        for d, vec in zip(pdf[det], pdf[vector], strict=True):
-            v = np.asarray(vec, float)
-            best, score = None, -2.0
-            for k, s in enumerate(sums):
-                cosine = float(s @ v) / (np.linalg.norm(s) * np.linalg.norm(v) or 1.0)
-                if cosine >= score:
-                    best, score = k, cosine
-            if best is None or score < same:
-                sums.append(v.copy())
-                labels.append(d)
-                best = len(sums) - 1
-            else:
-                sums[best] += v
-            out.append(labels[best])
-        return pd.DataFrame({album: pdf[album], det: pdf[det], "label": out})
+
+        def step(pdf: pd.DataFrame, last: bool) -> Iterator[pd.DataFrame]:
+            out = []
+            for d, vec in zip(pdf[det], pdf[vector], strict=True):
+                v = np.asarray(vec, float)
+                best, score = None, -2.0
+                for k, s in enumerate(sums):
+                    cosine = float(s @ v) / (np.linalg.norm(s) * np.linalg.norm(v) or 1.0)
+                    if cosine >= score:
+                        best, score = k, cosine
+                if best is None or score < same:
+                    sums.append(v.copy())
+                    labels.append(d)
+                    best = len(sums) - 1
+                else:
+                    sums[best] += v
+                out.append(labels[best])
+            yield pd.DataFrame({album: pdf[album], det: pdf[det], "label": out})
+
+        return step
 
     kind = {f.name: f.dataType for f in rows.schema}
-    return rows.where(F.col(vector).isNotNull()).groupBy(album).applyInPandas(scan, f"{album} {kind[album].simpleString()}, {det} {kind[det].simpleString()}, label {kind[det].simpleString()}")
+    schema = T.StructType([T.StructField(album, kind[album]), T.StructField(det, kind[det]), T.StructField("label", kind[det])])
+    return scanned(rows.where(F.col(vector).isNotNull()).select(album, det, vector), album, [F.col(det).asc_nulls_last()], scan, schema)
 
 
 def collapse_copies(rows: DataFrame, same: list[Column], item: str, worth: list[Column]) -> DataFrame:

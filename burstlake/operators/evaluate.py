@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import running_sums
+from .lineage import at_place, running_sums
 
 
 @dataclass(frozen=True)
@@ -90,10 +90,9 @@ def best_threshold(rows: DataFrame, score: str, truth: str) -> DataFrame:
     return at.select("s", balanced.alias("b")).agg(F.max(F.struct("b", (-F.col("s")).alias("t"))).alias("m")).select((-F.col("m.t")).alias("threshold"), F.col("m.b").alias("balanced"))
 
 
-def nearest_percentile(values: Column, percent: float) -> Column:
-    """v[round((n - 1) * p / 100)] of the sorted array: no interpolation."""
-    at = F.round((F.size(values) - 1) * (percent / 100)).cast("int") + 1
-    return F.try_element_at(F.sort_array(values), at)
+def nearest_percentile(rows: DataFrame, group: list[str], value: str, percent: float) -> DataFrame:
+    """group, value: v[round((n - 1) * p / 100)] of each group's sorted values: no interpolation."""
+    return at_place(rows, group, value, lambda n: F.round((n - 1) * (percent / 100)).cast("long"))
 
 
 def confusion(rows: DataFrame, group: list[str], said: str, truth: str) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .lineage import scanned
+
 #: Seconds between frames of one burst; joining bursts; brackets, stacks and intervals.
 GAP, MERGE_GAP, MERGE_SPAN = 1.5, 10.0, 30.0
 BRACKET_GAP, BRACKET_FRAMES, BRACKET_STEP, BRACKET_SPAN, BRACKET_REPEAT = 2.0, (3, 9), 0.6, 1.5, 0.2
@@ -82,59 +86,70 @@ def sets(frames: DataFrame, camera: str = "camera") -> DataFrame:
     """``frames`` (camera, frame_id, taken, ev, focus, focal) with set_id (its first frame_id) and set_kind.
 
     Brackets first, then focus stacks, then intervals, each on frames that are still free. Greedy runs consume frames,
-    so each camera is scanned in order.
+    so each camera is scanned in order, in batches: what is held is a batch and the runs that are open at its end.
     """
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["taken", "frame_id"], ignore_index=True)
-        t, ev, focus, focal = (pdf[c].to_numpy(float) for c in ("taken", "ev", "focus", "focal"))
-        owner, kind = np.full(len(pdf), -1), np.full(len(pdf), None, object)
-        rules = (("bracket", _bracket_end), ("stack", _stack_end), ("interval", _interval_end))
-        for name, end_of in rules:
-            free = np.flatnonzero(owner < 0)
-            i = 0
-            while i < len(free):
-                j = end_of(free[i:], t, ev, focus, focal)
-                if j:
-                    owner[free[i : i + j]], kind[free[i : i + j]] = free[i], name
-                i += j or 1
-        ids = pdf["frame_id"].to_numpy()
-        return pdf.assign(set_id=pd.array([ids[o] if o >= 0 else None for o in owner], "Int64"), set_kind=kind)
-
-    return frames.groupBy(camera).applyInPandas(scan, T.StructType([*frames.schema.fields, T.StructField("set_id", T.LongType()), T.StructField("set_kind", T.StringType())]))
-
-
-def _bracket_end(at: np.ndarray, t, ev, focus, focal) -> int:
+    names = [*frames.columns, "set_id", "set_kind"]
+
+    def scan():
+        open_rows: dict[str, pd.DataFrame] = {}
+
+        def step(pdf: pd.DataFrame, last: bool) -> Iterator[pd.DataFrame]:
+            for kind, end_of in (("bracket", _bracket_end), ("stack", _stack_end), ("interval", _interval_end)):
+                pdf = pd.concat([x for x in (open_rows.get(kind), pdf) if x is not None and len(x)] or [pdf], ignore_index=True)
+                t, ev, focus, focal = (pdf[c].to_numpy(float, na_value=np.nan) for c in ("taken", "ev", "focus", "focal"))
+                at, owner, i = np.arange(len(pdf)), np.full(len(pdf), -1), 0
+                while i < len(pdf):
+                    n, good = end_of(at[i:], t, ev, focus, focal)
+                    if i + n == len(pdf) and not last:  # the run may go on in the next batch
+                        break
+                    if good:
+                        owner[i : i + n] = i
+                    i += n if good else 1
+                open_rows[kind] = pdf.iloc[i:]
+                taken = owner >= 0
+                if taken.any():
+                    yield pdf[taken].assign(set_id=pd.array(pdf["frame_id"].to_numpy()[owner[taken]], "Int64"), set_kind=kind)[names]
+                pdf = pdf[:i][~taken[:i]]
+            if len(pdf):
+                yield pdf.assign(set_id=pd.array([None] * len(pdf), "Int64"), set_kind=None)[names]
+
+        return step
+
+    return scanned(frames, camera, [F.col("taken").asc_nulls_last(), F.col("frame_id")], scan, T.StructType([*frames.schema.fields, T.StructField("set_id", T.LongType()), T.StructField("set_kind", T.StringType())]))
+
+
+def _bracket_end(at: np.ndarray, t, ev, focus, focal) -> tuple[int, bool]:
+    """The length of the run from the first frame of ``at`` on, and whether it is a set; so the next two."""
     run = [at[0]]
     if np.isnan(ev[at[0]]):
-        return 0
+        return 0, False
     for k in range(1, len(at)):
         x, y = at[k - 1], at[k]
         seen = ev[run]
         if len(run) == BRACKET_FRAMES[1] or not (t[y] - t[x] <= BRACKET_GAP) or np.isnan(ev[y]) or not _close(focal[run[0]], focal[y]) or abs(ev[y] - ev[x]) < BRACKET_STEP or (abs(seen - ev[y]) < BRACKET_REPEAT).any():
             break
         run.append(y)
-    return len(run) if len(run) >= BRACKET_FRAMES[0] and np.ptp(ev[run]) >= BRACKET_SPAN else 0
+    return len(run), len(run) >= BRACKET_FRAMES[0] and np.ptp(ev[run]) >= BRACKET_SPAN
 
 
-def _stack_end(at: np.ndarray, t, ev, focus, focal) -> int:
+def _stack_end(at: np.ndarray, t, ev, focus, focal) -> tuple[int, bool]:
     n, direction = 1, 0.0
     for x, y in zip(at, at[1:], strict=False):
         step = focus[y] - focus[x]
         if not (t[y] - t[x] <= STACK_GAP) or not _close(focal[at[0]], focal[y]) or not abs(step) > STACK_RATIO * max(abs(focus[x]), abs(focus[y])) or (direction and np.sign(step) != direction):
             break
         direction, n = np.sign(step), n + 1
-    return n if n >= STACK_FRAMES else 0
+    return n, n >= STACK_FRAMES
 
 
-def _interval_end(at: np.ndarray, t, ev, focus, focal) -> int:
+def _interval_end(at: np.ndarray, t, ev, focus, focal) -> tuple[int, bool]:
     n = 1
     for x, y in zip(at, at[1:], strict=False):
         if not INTERVAL_GAP[0] <= t[y] - t[x] <= INTERVAL_GAP[1] or not _close(focal[at[0]], focal[y]):
             break
         n += 1
     gaps = np.diff(t[at[:n]])
-    return n if n >= INTERVAL_FRAMES and gaps.std() < INTERVAL_SPREAD * gaps.mean() else 0
+    return n, n >= INTERVAL_FRAMES and gaps.std() < INTERVAL_SPREAD * gaps.mean()
 
 
 def spread_sample(rows: DataFrame, keys: list[str], order_by: list[str], most: int = 8) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, casefold, plain_key
+from .lineage import at_place
 
 #: Share that settles a pair of fields, a make alone, and a reading.
 PAIR_SHARE, MAKE_SHARE, SETTLE_SHARE = 0.5, 0.6, 0.7
@@ -53,15 +54,11 @@ def best_by_confidence(rows: DataFrame, group: str, value: str, confidence: str,
     return sure.groupBy(group).agg(F.max_by(value, F.struct(F.col(confidence), -F.col(seq))).alias(value), F.max(confidence).alias(confidence))
 
 
-def upper_median(values: Column) -> Column:
-    """The element at floor(n / 2) of the sorted array (no interpolation)."""
-    return F.try_element_at(F.sort_array(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
-
-
 def median_colour(rows: DataFrame, group: str, colour: str) -> DataFrame:
-    """group, colour: the channels' upper medians of ``#rrggbb``. A value that breaks off still counts for the channels before."""
+    """group, colour: the channels' upper medians (element floor(n / 2), no interpolation) of ``#rrggbb``. A value that breaks off still counts for the channels before."""
     channel = lambda k: F.when(F.col(colour).rlike("^#([0-9A-Fa-f]{2}){" + str(k + 1) + "}"), F.conv(F.substring(colour, 2 + 2 * k, 2), 16, 10).cast("int"))
-    middle = rows.groupBy(group).agg(*[upper_median(F.collect_list(channel(k))).alias(f"c{k}") for k in range(3)])
+    said = rows.select(group, F.posexplode(F.array(*[channel(k) for k in range(3)])).alias("k", "c"))
+    middle = at_place(said, [group, "k"], "c", lambda n: F.floor(n / 2)).groupBy(group).agg(*[F.max(F.when(F.col("k") == k, F.col("c"))).alias(f"c{k}") for k in range(3)])
     return middle.select(group, F.when(F.expr("c0 is not null and c1 is not null and c2 is not null"), F.format_string("#%02x%02x%02x", "c0", "c1", "c2")).alias(colour))
 
 

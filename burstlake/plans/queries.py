@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import text as X
 from ..functions import times as D
-from ..operators import clusters, evaluate, identity, keeper, linkage, moments, mutations, sequence, views, votes
+from ..operators import clusters, evaluate, identity, keeper, lineage, linkage, moments, mutations, sequence, views, votes
 from ..session import ship
 from . import stats
 
@@ -359,7 +359,8 @@ def o3_cover_candidates(t) -> DataFrame:
 
 @query("SELECT s_suppkey, CAST(row_number() OVER (ORDER BY CAST(regexp_extract(s_name, '[0-9]+') AS BIGINT)) AS INT) AS place FROM supplier")
 def o6_natural_order(t) -> DataFrame:
-    return t("supplier").select("s_suppkey", F.row_number().over(Window.orderBy(X.natural_key(F.col("s_name")))).alias("place"))
+    named = t("supplier").select("s_suppkey", X.natural_key(F.col("s_name")).alias("_key"))
+    return lineage.numbered(named, [F.col("_key"), F.col("s_suppkey")], "place").select("s_suppkey", F.col("place").cast("int").alias("place"))
 
 
 @query("SELECT DISTINCT c_nationkey AS k FROM customer EXCEPT SELECT DISTINCT s_nationkey FROM supplier")
@@ -451,7 +452,7 @@ def g21_threshold(t) -> DataFrame:
 
 @query("SELECT l_returnflag, list_sort(list(l_quantity))[CAST(round((count(*) - 1) * 0.9) AS BIGINT) + 1] AS p90 FROM lineitem GROUP BY 1")
 def g22_percentile(t) -> DataFrame:
-    return t("lineitem").groupBy("l_returnflag").agg(evaluate.nearest_percentile(F.collect_list("l_quantity"), 90).alias("p90"))
+    return evaluate.nearest_percentile(t("lineitem"), ["l_returnflag"], "l_quantity", 90).withColumnRenamed("l_quantity", "p90")
 
 
 @query("""WITH c AS (SELECT user_id, CASE WHEN event_id % 4 > 0 THEN event_type END AS s, CASE WHEN event_id % 5 > 0 THEN CASE WHEN event_id % 3 = 0 THEN 'view' ELSE event_type END END AS t FROM events), k AS (SELECT user_id, count(*) FILTER (WHERE s = t) AS correct, count(*) FILTER (WHERE s <> t) AS wrong, count(*) FILTER (WHERE s IS NULL AND t IS NOT NULL) AS abstained, count(*) FILTER (WHERE s IS NOT NULL AND t IS NULL) AS invented FROM c GROUP BY user_id)

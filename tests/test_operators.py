@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from burstlake.operators import clusters, evaluate, keeper, linkage, mutations, sequence, votes
+from burstlake.operators import clusters, evaluate, keeper, lineage, linkage, mutations, sequence, votes
 from burstlake.plans import stats
 from burstlake.schemas import FRAMES, SUBJECTS, conform
 
@@ -165,3 +165,44 @@ def test_files_are_offered_once_settled(spark, tmp_path):
     stream = settled(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
     stream.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
     assert [(r["path"], r["seen"]) for r in spark.read.schema(schema).parquet(f"{tmp_path}/out").collect()] == [("a", 40.0)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_places_of_large_groups_need_no_lists(spark):
+    values = [("a", float(k * 37 % 101)) for k in range(101)] + [("b", 5.0)] * 40 + [("b", 7.0)] * 10 + [(None, 1.0), ("c", None), ("b", None)]
+    df = spark.createDataFrame(values, "g string, v double")
+    got = evaluate.nearest_percentile(df, ["g"], "v", 90)
+    assert {r["g"]: r["v"] for r in got.collect()} == {"a": 90.0, "b": 7.0, None: 1.0, "c": None}
+    colours = spark.createDataFrame([("g", f"#{k:02x}{255 - k:02x}07") for k in range(200)], "g string, c string")
+    middle = votes.median_colour(colours, "g", "c")
+    assert [tuple(r) for r in middle.collect()] == [("g", "#649c07")]
+    assert "collect_list" not in plan(got) + plan(middle)
+
+
+def test_numbers_by_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x"))
+    got = lineage.numbered(df.repartition(4), [F.col("x").desc()], "place")
+    assert {(r["x"], r["place"]) for r in got.collect()} == {(x, 1000 - x) for x in range(1000)}
+
+
+def test_large_cameras_and_albums_are_scanned_in_batches(spark):
+    frames = [(c, 100 * k + j, 40.0 * k + j, float(j), None, 50.0) for c in ("x", None) for k in range(30) for j in range(3)]  # brackets
+    frames += [("x", 10_000 + k, 20_000.0 + 60 * k, None, None, 50.0) for k in range(40)] + [("x", 90_000, None, 1.0, 1.0, 50.0)]
+    df = spark.createDataFrame(frames, "camera string, frame_id long, taken double, ev double, focus double, focal double")
+    faces = spark.createDataFrame([(k % 2, k, [1.0, 0.1 * (k % 3)] if k % 5 else [-0.1, 1.0]) for k in range(60)], "album int, det long, v array<double>")
+    before, got = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), []
+    try:
+        for n in (10_000, 7):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            found, people = sequence.sets(df), clusters.cluster_faces(faces, "album", "det", "v")
+            assert "FlatMapGroups" not in plan(found) + plan(people)
+            got.append((sorted(map(repr, found.collect())), sorted(map(tuple, people.collect()))))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got[0] == got[1]
+    assert len(got[0][0]) == len(frames) and len(got[0][1]) == 60
+    assert sum("bracket" in r for r in got[0][0]) == 180 and sum("interval" in r for r in got[0][0]) == 40
+    assert {(r[0], r[2]) for r in got[0][1]} == {(0, 0), (0, 2), (1, 1), (1, 5)}

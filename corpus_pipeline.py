@@ -28,19 +28,29 @@ def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cleaned.withColumn("n_chars", changed).select(COLUMNS)
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ``row``, fixed by storing it: doc_id may be null or come twice, and decisions are about rows."""
+    return shared.stored(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), name)
+
+
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8): that with the least doc_id. Rows without doc_id stay."""
+    """One row of each group of near copies (five words, 0.8): one with the least doc_id. Rows without doc_id stay."""
     shared.prepare(spark)
-    gone = shared.stored(near_dup.near_duplicates(docs).where("not kept").select("doc_id"), "near-copies")
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
+    docs = _numbered(docs, "near-rows")
+    groups = near_dup.near_duplicates(docs.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    groups = shared.stored(groups, "near-groups").join(docs.where("doc_id is not null").select("row", "doc_id"), "row")
+    least = groups.groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    gone = shared.stored(groups.join(least, "group").where("row <> least.row").select("row"), "near-copies")
+    return docs.join(gone, "row", "left_anti").select(COLUMNS)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, nor an edited copy of one."""
+    """Rows that hold no benchmark item, nor an edited copy of one, whether they have a doc_id or not."""
     shared.prepare(spark)
-    held = decontaminate.contaminated(docs, shared.table(spark, sf_dir, "benchmark"))
-    gone = shared.stored(held.select("doc_id").distinct(), "contaminated")
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
+    docs = _numbered(docs, "benchmark-rows")
+    held = decontaminate.contaminated(docs.select(F.col("row").alias("doc_id"), "text"), shared.table(spark, sf_dir, "benchmark"))
+    gone = shared.stored(held.select(F.col("doc_id").alias("row")).distinct(), "contaminated")
+    return docs.join(gone, "row", "left_anti").select(COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -181,3 +181,18 @@ def test_pipeline_keeps_clean_documents_and_drops_planted_ones(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     left = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert left == {*range(60), 400, 401}
+
+
+def test_pipeline_stages_decide_about_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    words = [a + b for a in "ka lo mi tu re sa".split() for b in "n r th st mo la".split()]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    item, one, two, three = text(25), text(60), text(60), text(60)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda stage, rows: sorted(((r["doc_id"], r["text"]) for r in stage(spark, frame(rows), str(tmp_path)).collect()), key=repr)
+    assert left(corpus_pipeline.benchmark_out, [(None, f"{one} {item}"), (None, two), (7, f"{item} {two}"), (7, three)]) == [(7, three), (None, two)]
+    rows = [(3, one), (9, one), (9, two), (12, two), (5, three), (5, three), (None, one)]
+    assert left(corpus_pipeline.near_copies_out, rows) == sorted([(3, one), (9, two), (5, three), (None, one)], key=repr)

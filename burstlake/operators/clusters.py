@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,18 +18,31 @@ from .linkage import band_pairs
 DUPE_BITS, SURE_BITS, DUPE_SECONDS, SAME_LOOK, SAME_FACE = 10, 4, 600.0, 0.90, 0.363
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(v, component) for every end of ``edges`` (a, b): the least v reachable. Each round halves the distance to it."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    while True:
-        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("component").alias("near"))
-        to = labels.join(near, "v").select("v", F.least("component", "near").alias("to"), F.col("component").alias("was"))
-        beyond = labels.select(F.col("v").alias("to"), F.col("component").alias("beyond"))
-        new = cut(to.join(beyond, "to", "left").select("v", F.least("to", F.coalesce("beyond", "to")).alias("component"), "was"))
-        labels = new.select("v", "component")
-        if new.where("component <> was").isEmpty():
-            return labels
+def components(edges: DataFrame, store: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """(v, component) for every end of ``edges`` (a, b): the least v reachable. Nulls are no ends; repeats and loops are allowed.
+
+    Every v hooks onto its least neighbour, chains of hooks are jumped, and the edges are contracted to what is left
+    between the trees: in two rounds at least half of the trees that still have edges are gone, and the edges shrink
+    with them. ``store`` cuts the lineage of each round.
+    """
+    ends = edges.select("a", "b").where("a is not null and b is not null")
+    left = store(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = store(left.select(F.col("a").alias("v")).union(left.select(F.col("b").alias("v"))).distinct().withColumn("component", F.col("v")))
+    left = left.where("a < b")
+    while not left.isEmpty():
+        hooks = left.select(F.col("b").alias("v"), F.col("a").alias("to")).union(left.select(F.col("a").alias("v"), F.col("b").alias("to")))
+        hooks = hooks.groupBy("v").agg(F.min("to").alias("to")).where("to < v")
+        while True:  # to the root of each tree
+            beyond = hooks.select(F.col("v").alias("to"), F.col("to").alias("beyond"))
+            jumped = store(hooks.join(beyond, "to", "left").select("v", F.coalesce("beyond", "to").alias("to"), F.col("beyond").isNotNull().alias("moved")))
+            hooks = jumped.select("v", "to")
+            if jumped.where("moved").isEmpty():
+                break
+        found = store(found.join(hooks.withColumnRenamed("v", "component"), "component", "left").select("v", F.coalesce("to", "component").alias("component")))
+        roots = [hooks.select(F.col("v").alias(c), F.col("to").alias(f"{c}2")) for c in ("a", "b")]
+        moved = left.join(roots[0], "a", "left").join(roots[1], "b", "left").select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b")).where("a <> b")
+        left = store(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return found
 
 
 def near_frames(frames: DataFrame, confirm: Column | None = None, bits: int = DUPE_BITS, seconds: float = DUPE_SECONDS) -> DataFrame:

@@ -92,6 +92,22 @@ def test_near_frames_and_components(spark):
     assert clusters.components(chain.limit(0)).collect() == []
 
 
+def test_components_of_random_graphs(spark):
+    rng = random.Random(13)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(500, 500), (None, 3), (7, None), (1000, 999), (1000, 998), (997, 1000)]
+    least = {v: v for e in edges if None not in e for v in e}
+    while True:
+        new = dict(least)
+        for a, b in edges:
+            if a is not None and b is not None:
+                new[a] = new[b] = min(new[a], new[b])
+        if new == least:
+            break
+        least = new
+    got = clusters.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r["v"]: r["component"] for r in got.collect()} == least
+
+
 def test_greedy_clusters_never_hold_a_frame_twice(spark):
     rows = [(1, 1, 1, "car", [1.0, 0.0]), (1, 1, 2, "car", [1.0, 0.0]), (1, 2, 3, "car", [0.99, 0.1]), (1, 3, 4, "bike", [1.0, 0.0]), (1, 3, 5, None, None), (None, 9, 6, "car", [0.0, 1.0]), (None, 8, 7, "car", [0.0, 1.0])]
     df = spark.createDataFrame(rows, "burst long, frame long, det long, cls string, embedding array<double>")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import dot, hamming
+from ..functions.text import tidy_plate
 from .lineage import cut, scanned
 from .linkage import band_pairs
+from .moments import alike_plates, merge_on_plates
 
 #: Bits and seconds of near duplicates; cosines of one look and one face.
 DUPE_BITS, SURE_BITS, DUPE_SECONDS, SAME_LOOK, SAME_FACE = 10, 4, 600.0, 0.90, 0.363
@@ -49,55 +52,87 @@ def near_frames(frames: DataFrame, confirm: Column | None = None, bits: int = DU
     """(a, b) of near-duplicate ``frames`` (id, taken, phash, burst) of different bursts.
 
     At most ``seconds`` apart and ``bits`` bits, and confirmed by ``confirm`` (a column on the structs a and b), or,
-    where that is null, at most SURE_BITS. Frames without a time meet all frames of equal hash halves instead.
+    where that is null, at most SURE_BITS. Frames without a time are compared with all frames of a near hash instead.
     """
     far = hamming(F.col("a.phash"), F.col("b.phash"))
     apart = F.coalesce(F.col("a.burst") != F.col("b.burst"), F.lit(True))
     good = (far <= bits) & apart & F.coalesce(confirm if confirm is not None else F.lit(None).cast("boolean"), far <= SURE_BITS)
     timed = band_pairs(frames, "id", "taken", seconds).where(good).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    # 64 bits in 11 parts: hashes that differ in 10 bits share a part
-    row = F.struct(*[F.col(c) for c in frames.columns])
-    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("phash", 6 * k).bitwiseAND(F.lit(63 if k < 10 else 15)).alias("p")) for k in range(bits + 1)]))
-    untimed = frames.where("taken is null").select(row.alias("u"), parts.alias("part"))
-    others = frames.select(row.alias("o"), parts.alias("part"))
-    met = untimed.join(others, "part").where("u.id <> o.id").select(F.least("u", "o").alias("a"), F.greatest("u", "o").alias("b"))
+    # of four 16-bit parts one differs in a quarter of the bits at most: an untimed frame asks for all parts so near its own
+    row, close = F.struct(*[F.col(c) for c in frames.columns]), bits // 4
+    flips = [sum(1 << b for b in chosen) for n in range(close + 1) for chosen in combinations(range(16), n)]
+    part = lambda k: F.shiftrightunsigned("phash", 16 * k).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), part(k).alias("p")) for k in range(4)])).alias("part")
+    flipped = lambda k: F.transform(F.array(*map(F.lit, flips)), lambda x: F.struct(F.lit(k).alias("k"), part(k).bitwiseXOR(x).alias("p")))
+    near = F.explode(F.flatten(F.array(*map(flipped, range(4))))).alias("part")
+    untimed = frames.where("taken is null and phash is not null").select(row.alias("u"), near)
+    others = frames.where("phash is not null").select(row.alias("o"), parts)
+    met = untimed.join(others, "part").where("u.id <> o.id").where(hamming(F.col("u.phash"), F.col("o.phash")) <= bits)
+    met = met.select(F.when(F.col("u.id") < F.col("o.id"), F.col("u")).otherwise(F.col("o")).alias("a"), F.when(F.col("u.id") < F.col("o.id"), F.col("o")).otherwise(F.col("u")).alias("b"))
     return timed.unionByName(met.where(good).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))).distinct()
 
 
 def cluster_by_look(rows: DataFrame, same: float = SAME_LOOK) -> DataFrame:
-    """``rows`` (burst, frame, det, cls, embedding) with ``grp``, dense within the burst.
+    """``rows`` (burst, frame, det, cls, embedding; plate if it is known) with ``grp``, dense within the burst.
 
     In order of det: a row joins the group with the most similar member if that is ``same`` at least, the group
-    does not hold the row's frame, and the classes agree. The order decides, so each burst is scanned; a null
-    burst is one group of its own.
+    does not hold the row's frame, and the classes agree. A group whose plates are clearly others is out, and the first
+    that has seen the row's plate, or a near one, takes it at once. The order decides, so each burst is scanned; a null
+    burst is one group of its own. A row without embedding gets no group.
     """
+    names = rows.columns
+    known = rows if "plate" in names else rows.withColumn("plate", F.lit(None).cast("string"))
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("det", ignore_index=True)
         groups: list[dict] = []
         out = []
-        for frame, cls, vec in zip(pdf["frame"], pdf["cls"], pdf["embedding"], strict=True):
+        for frame, cls, vec, plate in zip(pdf["frame"], pdf["cls"], pdf["embedding"], pdf["_plate"], strict=True):
             best, score = None, 0.0
             v = None if vec is None else np.asarray(vec, float)
+            if v is None:
+                out.append(None)
+                continue
             for k, g in enumerate(groups):
-                if v is None or frame in g["frames"] or (cls and g["cls"] and cls != g["cls"]) or len(g["vectors"][0]) != len(v):
+                if frame in g["frames"] or (cls and g["cls"] and cls != g["cls"]):
+                    continue
+                if plate and g["plates"]:
+                    if any(alike_plates(plate, p) for p in g["plates"]):
+                        best, score = k, 1.0
+                        break
                     continue
-                s = float((np.stack(g["vectors"]) @ v).max())
+                if g["vectors"].shape[1] != len(v):
+                    continue
+                s = float((g["vectors"] @ v).max())
                 if s > score:
                     best, score = k, s
-            if v is None:
-                out.append(None)
-                continue
             if best is None or score < same:
-                groups.append({"frames": set(), "vectors": [], "cls": cls})
+                groups.append({"frames": set(), "vectors": np.zeros((0, len(v))), "cls": cls, "plates": set()})
                 best = len(groups) - 1
-            groups[best]["frames"].add(frame)
-            groups[best]["vectors"].append(v)
-            groups[best]["cls"] = groups[best]["cls"] or cls
+            g = groups[best]
+            g["frames"].add(frame)
+            if g["vectors"].shape[1] == len(v):
+                g["vectors"] = np.vstack([g["vectors"], v])
+            g["cls"] = g["cls"] or cls
+            if plate:
+                g["plates"].add(plate)
             out.append(best)
-        return pdf.assign(grp=pd.array(out, "Int64"))
+        return pdf[names].assign(grp=pd.array(out, "Int64"))
+
+    return known.withColumn("_plate", tidy_plate(F.col("plate"))).groupBy("burst").applyInPandas(scan, T.StructType([*rows.schema.fields, T.StructField("grp", T.LongType())]))
 
-    return rows.groupBy("burst").applyInPandas(scan, T.StructType([*rows.schema.fields, T.StructField("grp", T.LongType())]))
+
+def vehicles(rows: DataFrame, album: str, same: float = SAME_LOOK) -> DataFrame:
+    """album, det, vehicle, of ``rows`` (album, burst, frame, det, cls, embedding, plate): clusters by look, joined over bursts by their plates.
+
+    ``vehicle`` is the least det of the first of the joined clusters, in order of their first dets.
+    """
+    looked = cluster_by_look(rows.withColumn("burst", F.struct(album, "burst")), same).where("grp is not null").withColumn("_plate", tidy_plate(F.col("plate")))
+    key = [F.col(f"burst.{album}").alias(album), F.col("burst.burst").alias("burst"), F.col("grp")]
+    groups = looked.groupBy("burst", "grp").agg(F.min("det").alias("first"), F.collect_set("_plate").alias("plates"), F.collect_set("frame").alias("frames"), F.min_by("cls", F.when(F.col("cls").isNotNull(), F.col("det"))).alias("cls"))
+    merged = merge_on_plates(groups.select(F.col(f"burst.{album}").alias(album), F.col("first").alias("grp"), "cls", "plates", "frames"), album)
+    named = groups.select("burst", "grp", F.col("first")).join(merged.select(F.col("grp").alias("first"), F.col("merged").alias("vehicle")), "first")
+    return looked.select(*key, "det").withColumn("burst", F.struct(album, "burst")).join(named.select("burst", "grp", "vehicle"), ["burst", "grp"]).select(album, "det", "vehicle")
 
 
 def cluster_faces(rows: DataFrame, album: str, det: str, vector: str, same: float = SAME_FACE) -> DataFrame:
@@ -135,11 +170,47 @@ def cluster_faces(rows: DataFrame, album: str, det: str, vector: str, same: floa
     return scanned(rows.where(F.col(vector).isNotNull()).select(album, det, vector), album, [F.col(det).asc_nulls_last()], scan, schema)
 
 
-def collapse_copies(rows: DataFrame, same: list[Column], item: str, worth: list[Column]) -> DataFrame:
-    """``rows`` with copy_of: the survivor of the rows with equal ``same`` (the greatest ``worth``, of equals the least item); null on survivors."""
-    named = rows.withColumn("_same", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(same)]))
-    best = named.groupBy("_same").agg(F.max_by(item, F.struct(*worth, -F.col(item))).alias("_kept"))
-    return named.join(best, "_same").withColumn("copy_of", F.when(F.col("_kept") != F.col(item), F.col("_kept"))).drop("_same", "_kept")
+def collapse_copies(rows: DataFrame, same: list[Column], item: str, worth: list[Column] | None = None) -> DataFrame:
+    """``rows`` with copy_of: the survivor of the rows with equal ``same`` (the greatest ``worth``, of equals the least item); null on survivors.
+
+    A row that lacks any of ``same`` (no time, no content) stays alone, and so does one that is hidden already. Without ``worth``
+    a picked row comes first, then one not rejected, then stars and reviews. If the rows have stars, picked and rejected, the survivor
+    takes over the hand work of its copies: the most stars, any pick, and a rejection only if all were rejected and none picked; a copy
+    is no pick any more. What pointed at a row that is now hidden points at its survivor.
+    """
+    has = set(rows.columns)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int") if c in has else F.lit(0)
+    worth = worth or [zero("picked"), (zero("rejected") == 0).cast("int"), zero("stars"), zero("reviewed")]
+    hidden = F.coalesce(F.col("copy_of"), F.lit(0)) != 0 if "copy_of" in has else F.lit(False)
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(same)])
+    whole = ~hidden
+    for c in same:
+        whole = whole & c.isNotNull()
+    named = rows.withColumn("_same", F.when(whole, key))
+    carried = [F.max(zero("stars")).alias("_stars"), F.max(zero("picked")).alias("_picked"), F.min(zero("rejected")).alias("_rejected")]
+    best = named.where("_same is not null").groupBy("_same").agg(F.max_by(item, F.struct(*worth, -F.col(item))).alias("_kept"), F.count("*").alias("_n"), *carried).where("_n > 1")
+    joined = named.join(best, "_same", "left")
+    old = F.col("copy_of") if "copy_of" in has else F.lit(None).cast(rows.schema[item].dataType)
+    is_copy, is_kept = F.col("_kept") != F.col(item), F.col("_kept") == F.col(item)
+    now = joined.withColumn("_copy_of", F.when(is_copy, F.col("_kept")).otherwise(F.nullif(old, F.lit(0)) if "copy_of" in has else old))
+    if "stars" in has:
+        now = now.withColumn("stars", F.when(is_kept & (F.col("_stars") > 0), F.col("_stars")).otherwise(F.col("stars")))
+    if "rejected" in has:
+        now = now.withColumn("rejected", F.when(is_kept, F.when(F.col("_picked") == 1, 0).otherwise(F.least(F.col("_rejected"), F.lit(1)))).otherwise(F.col("rejected")))
+    if "picked" in has:
+        now = now.withColumn("picked", F.when(is_kept, F.col("_picked")).when(is_copy, 0).otherwise(F.col("picked")))
+    if "burst_pick" in has:
+        now = now.withColumn("burst_pick", F.when(is_copy, None).otherwise(F.col("burst_pick")))
+    now = now.drop("copy_of", "_same", "_kept", "_n", "_stars", "_picked", "_rejected").withColumnRenamed("_copy_of", "copy_of")
+    if "copy_of" in has:
+        moved = named.where("_same is not null").join(best.select("_same", "_kept"), "_same").where(F.col("_kept") != F.col(item)).select(F.col(item).alias("copy_of"), F.col("_kept").alias("_to"))
+        now = now.join(moved, "copy_of", "left").withColumn("copy_of", F.coalesce("_to", "copy_of")).drop("_to")
+    return now.select(*rows.columns, *([] if "copy_of" in has else ["copy_of"]))
+
+
+def restore_copies(frames: DataFrame, album: int) -> DataFrame:
+    """``frames`` where the hidden copies of ``album`` are shown again (regroup it afterwards)."""
+    return frames.withColumn("copy_of", F.when(F.col("job_id") == album, None).otherwise(F.col("copy_of")))
 
 
 def suppress_overlaps(boxes: DataFrame, image: str, threshold: float) -> DataFrame:

@@ -11,36 +11,47 @@ from .mutations import upsert
 from .votes import SETTLE_SHARE, best_by_confidence, median_colour, pair_vote, ranked_values, vote
 
 
-def accumulate(rows: DataFrame, group: str, values: str, seq: str, distance: int = 1, least: int = 5) -> DataFrame:
-    """group, values: list values commonest first; a rarer spelling within ``distance`` of a commoner one of ``least`` letters is folded into it.
+#: Edits, least letters, and how many times commoner the kept spelling must be.
+VARIANTS = ((1, 4, 3), (2, 5, 10))
 
-    Which spelling folds into which depends on the order, so the ranked values of one group (not its rows) are scanned.
+
+def accumulate(rows: DataFrame, group: str, values: str, seq: str, rules: tuple[tuple[int, int, int], ...] = VARIANTS) -> DataFrame:
+    """group, values: list values commonest first, as first written; a rare misspelling of a much commoner one counts for that.
+
+    Which spelling folds into which depends on the order and on what was folded before, so the ranked spellings of one group
+    (not its rows) are scanned. Of equal counts the one that was kept first comes first.
     """
-    said = rows.select(group, seq, F.explode(values).alias("v"))
-    ranked = ranked_values(said, group, F.col("v"), seq).select(group, "value", "n", "place")
+    said = rows.select(group, seq, F.posexplode(values).alias("_at", "v")).withColumn("_order", F.struct(seq, "_at"))
+    ranked = ranked_values(said, group, F.col("v"), "_order").select(group, "value", "folded", "n", "place")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[str] = []
-        for v in pdf.sort_values("place")["value"]:
-            if not any(_close(v.lower(), k.lower(), distance, least) for k in kept):
-                kept.append(v)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], values: [kept]})
+        kept: list[list] = []
+        for v, folded, n in pdf.sort_values("place")[["value", "folded", "n"]].itertuples(index=False):
+            into = next((k for k in kept if _is_variant(folded, n, k[1], k[2], rules)), None)
+            if into is None:
+                kept.append([v, folded, n])
+            else:
+                into[2] += n
+        return pd.DataFrame({group: [pdf[group].iloc[0]], values: [[k[0] for k in sorted(kept, key=lambda k: -k[2])]]})
 
     kind = rows.schema[group].dataType.simpleString()
     return ranked.groupBy(group).applyInPandas(fold, f"{group} {kind}, {values} array<string>")
 
 
-def _close(a: str, b: str, distance: int, least: int) -> bool:
-    if a == b:
-        return True
-    if min(len(a), len(b)) < least or abs(len(a) - len(b)) > distance:
-        return False
+def _is_variant(text: str, n: int, kept: str, kept_n: int, rules) -> bool:
+    return any(min(len(text), len(kept)) >= least and n * times <= kept_n and _edits(text, kept, most) <= most for most, least, times in rules)
+
+
+def _edits(a: str, b: str, most: int) -> int:
+    """The edit distance, or ``most`` + 1 if the lengths alone differ by more."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         above, row = row, [i]
         for j, y in enumerate(b, 1):
             row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
-    return row[-1] <= distance
+    return row[-1]
 
 
 def consensus(rows: DataFrame, group: str, seq: str) -> DataFrame:

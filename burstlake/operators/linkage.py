@@ -50,27 +50,28 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> D
     return both.withColumn(f"{value}_as_of", F.last(f"_{value}", ignorenulls=True).over(order)).where("_side = 1").drop("_side", f"_{value}")
 
 
-def nearest_known(rows: DataFrame, known: DataFrame, threshold: float, id_col: str, name: str, vector: str = "embedding", bound: int = 10_000) -> DataFrame:
+def nearest_known(rows: DataFrame, known: DataFrame, threshold: float, id_col: str, name: str, vector: str = "embedding", bound: int = 32 << 20) -> DataFrame:
     """(id, name, score) of the known entity with the greatest product of at least ``threshold``; of equals the last name.
 
-    ``known`` is a registry: it is counted first and broadcast only up to ``bound`` rows; beyond that it is met in
-    blocks of that size, and the best of the blocks' best is kept.
+    ``known`` is a registry: its bytes are counted first and it is broadcast only up to ``bound`` bytes; beyond that it is met in
+    blocks of about that size, and the best of the blocks' best is kept. Vectors of another length do not meet.
     """
-    n = known.count()
-    blocks = max(1, -(-n // bound))
+    weight = known.agg(F.sum(F.coalesce(F.size(vector), F.lit(0)) * 8 + 64).alias("b")).first()["b"] or 0
+    blocks = max(1, -(-weight // bound))
     out = None
     for b in range(blocks):
-        part = known if blocks == 1 else known.where(F.pmod(F.xxhash64(name), F.lit(blocks)) == b)
+        part = known if blocks == 1 else known.where(F.pmod(F.xxhash64(name, vector), F.lit(blocks)) == b)
         side = F.broadcast(part.select(F.col(name).alias("known_name"), F.col(vector).alias("known_vector")))
         score = dot(F.col(vector), F.col("known_vector"))
         met = rows.join(side, F.size(vector) == F.size("known_vector")).select(id_col, "known_name", score.alias("score")).where(F.col("score") >= threshold)
-        out = met if out is None else out.unionByName(met)
-    return out.groupBy(id_col).agg(F.max(F.struct("score", "known_name")).alias("m")).select(id_col, F.col("m.known_name").alias(name), F.round("m.score", 3).alias("score"))
+        best = met.groupBy(id_col).agg(F.max(F.struct("score", "known_name")).alias("m"))
+        out = best if out is None else out.unionByName(best)
+    return out.groupBy(id_col).agg(F.max("m").alias("m")).select(id_col, F.col("m.known_name").alias(name), F.round("m.score", 3).alias("score"))
 
 
 def fill_blanks(rows: DataFrame, known: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Blank ``columns`` of ``rows`` filled from the row of ``known`` with the same key."""
-    side = known.select(key, *[F.col(c).alias(f"_known_{c}") for c in columns])
+    """Blank ``columns`` of ``rows`` filled from the row of ``known`` with the same key; of several such rows the first value by order."""
+    side = known.groupBy(key).agg(*[F.min(F.nullif(F.col(c), F.lit(""))).alias(f"_known_{c}") for c in columns])
     joined = rows.join(side, key, "left")
     return joined.withColumns({c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"_known_{c}")) for c in columns}).drop(*[f"_known_{c}" for c in columns])
 

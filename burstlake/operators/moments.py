@@ -60,18 +60,18 @@ def split_moments(frames: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return rows.withColumn("moment", moment).select(*frames.columns, "moment")
 
 
+def alike_plates(a: str, b: str) -> bool:
+    """One plate, or the same but for one character that is read for another (``text.near_plate`` for scans that hold state)."""
+    differing = [(x, y) for x, y in zip(a, b, strict=False) if x != y]
+    return len(a) == len(b) and (not differing or (len(differing) == 1 and any(set(differing[0]) <= set(c) for c in CONFUSABLE)))
+
+
 def merge_on_plates(groups: DataFrame, album: str) -> DataFrame:
     """album, grp, merged: groups (album, grp, cls, plates, frames) joined to an earlier one that read the same or a near plate.
 
     Frames must be apart and classes equal; a group grows as it takes others in, so an album's groups (not its detections) are scanned.
     """
 
-    def near(a: str, b: str) -> bool:
-        if a == b:
-            return True
-        differing = [(x, y) for x, y in zip(a, b, strict=False) if x != y]
-        return len(a) == len(b) and len(differing) == 1 and any(set(differing[0]) <= set(c) for c in CONFUSABLE)
-
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("grp", ignore_index=True)
         plates, frames = [set(p if p is not None else ()) for p in pdf["plates"]], [set(f if f is not None else ()) for f in pdf["frames"]]
@@ -80,7 +80,7 @@ def merge_on_plates(groups: DataFrame, album: str) -> DataFrame:
             if to[i] != i or not plates[i]:
                 continue
             for j in range(i + 1, len(pdf)):
-                if to[j] != j or not plates[j] or frames[i] & frames[j] or (cls[i] and cls[j] and cls[i] != cls[j]) or not any(near(p, q) for p in plates[j] for q in plates[i]):
+                if to[j] != j or not plates[j] or frames[i] & frames[j] or (cls[i] and cls[j] and cls[i] != cls[j]) or not any(alike_plates(p, q) for p in plates[j] for q in plates[i]):
                     continue
                 to[j] = i
                 plates[i] |= plates[j]

@@ -52,18 +52,52 @@ def undo_last(rows: DataFrame, seq: str) -> DataFrame:
     return rows.join(F.broadcast(rows.agg(F.max(seq).alias(seq))), seq, "left_anti")
 
 
-def mark(frames: DataFrame, marks: DataFrame, key: str = "id") -> DataFrame:
-    """``marks`` (id, stars, rejected, picked; null leaves) applied: a pick clears a rejection and a rejection clears a pick."""
-    m = marks.select(key, *[F.col(c).alias(f"_m_{c}") for c in ("stars", "rejected", "picked")])
+def mark(frames: DataFrame, marks: DataFrame, key: str = "id", clear: str = "clear_stars") -> DataFrame:
+    """``marks`` (id, stars, rejected, picked; null leaves) applied: stars, then the rejection, then the pick.
+
+    A rejection clears the pick, and a pick the rejection; so of both together the pick stands. Where ``marks`` has a
+    true ``clear_stars``, null stars are meant: the stars go. Of several marks of one frame none is taken before another: give one.
+    """
+    wipe = F.coalesce(F.col(clear), F.lit(False)) if clear in marks.columns else F.lit(False)
+    m = marks.select(key, *[F.col(c).alias(f"_m_{c}") for c in ("stars", "rejected", "picked")], wipe.alias("_wipe"))
     j = frames.join(m, key, "left")
+    rejected, picked = F.coalesce("_m_rejected", "rejected"), F.when(F.col("_m_rejected") != 0, 0).otherwise(F.col("picked"))
     out = {
-        "stars": F.coalesce("_m_stars", "stars"),
-        "rejected": F.when(F.col("_m_picked") == 1, 0).otherwise(F.coalesce("_m_rejected", "rejected")),
-        "picked": F.when(F.col("_m_rejected") == 1, 0).otherwise(F.coalesce("_m_picked", "picked")),
+        "stars": F.when(F.col("_wipe") & F.col("_m_stars").isNull(), None).otherwise(F.coalesce("_m_stars", "stars")),
+        "rejected": F.when(F.col("_m_picked") != 0, 0).otherwise(rejected),
+        "picked": F.coalesce("_m_picked", picked),
     }
     return j.withColumns(out).select(frames.columns)
 
 
+def mark_subjects(subjects: DataFrame, marks: DataFrame, key: str = "id", image: str = "image_id", clear: str = "clear_stars") -> DataFrame:
+    """The same ``marks`` on the subjects of the frames: stars and rejections; what is no longer rejected is not culled either."""
+    wipe = F.coalesce(F.col(clear), F.lit(False)) if clear in marks.columns else F.lit(False)
+    m = marks.select(F.col(key).alias(image), F.col("stars").alias("_m_stars"), F.col("rejected").alias("_m_rejected"), wipe.alias("_wipe"))
+    out = {
+        "stars": F.when(F.col("_wipe") & F.col("_m_stars").isNull(), None).otherwise(F.coalesce("_m_stars", "stars")),
+        "rejected": F.coalesce("_m_rejected", "rejected"),
+        "cull_reason": F.when(F.col("_m_rejected") == 0, None).otherwise(F.col("cull_reason")),
+    }
+    return subjects.join(m, image, "left").withColumns(out).select(subjects.columns)
+
+
+def clear_groups(subjects: DataFrame, frames: DataFrame, album: int | None = None) -> DataFrame:
+    """``subjects`` without group keys, sizes, agreements and colours (of one album, or of all)."""
+    names = ["group_key", "group_size", "group_agreement", "group_colour_hex"]
+    have = [c for c in names if c in subjects.columns]
+    if album is None:
+        return subjects.withColumns({c: F.lit(None).cast(subjects.schema[c].dataType) for c in have})
+    own = frames.where(F.col("job_id") == album).select(F.col("id").alias("image_id"), F.lit(True).alias("_own"))
+    return subjects.join(own, "image_id", "left").withColumns({c: F.when(F.col("_own").isNull(), F.col(c)) for c in have}).select(subjects.columns)
+
+
+def clear_culls(subjects: DataFrame, frames: DataFrame, album: int) -> DataFrame:
+    """``subjects`` of ``album`` without the reasons that rules gave; rejections by hand stay."""
+    own = frames.where(F.col("job_id") == album).select(F.col("id").alias("image_id"), F.lit(True).alias("_own"))
+    return subjects.join(own, "image_id", "left").withColumn("cull_reason", F.when(F.col("_own").isNull(), F.col("cull_reason"))).select(subjects.columns)
+
+
 def drop_orphans(children: DataFrame, parents: DataFrame, key: str, parent_key: str) -> DataFrame:
     """A parent that goes takes its children along."""
     return children.join(parents.select(F.col(parent_key).alias(key)), key, "left_semi")

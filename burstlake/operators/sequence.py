@@ -10,14 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lineage import scanned
+from ..functions.numeric import continuity, histogram_distance
+from .lineage import numbered, running_sums, scanned
 
 #: Seconds between frames of one burst; joining bursts; brackets, stacks and intervals.
 GAP, MERGE_GAP, MERGE_SPAN = 1.5, 10.0, 30.0
 BRACKET_GAP, BRACKET_FRAMES, BRACKET_STEP, BRACKET_SPAN, BRACKET_REPEAT = 2.0, (3, 9), 0.6, 1.5, 0.2
 STACK_GAP, STACK_FRAMES, STACK_RATIO = 1.5, 3, 0.01
 INTERVAL_GAP, INTERVAL_FRAMES, INTERVAL_SPREAD = (1.0, 120.0), 10, 0.10
-FOCAL_TOLERANCE = 0.01
+FOCAL_TOLERANCE, APERTURE_TOLERANCE, SHUTTER_TOLERANCE = 0.01, 0.34, 0.34
+#: Fixed values of joining bursts: distance of scenes and liveries, and the ratio of areas and the shift of boxes (with leeway).
+MERGE_SCENE, MERGE_LIVERY, MERGE_SCALE, MERGE_SHIFT, MERGE_LEEWAY = 0.12, 0.50, 3.0, 0.30, 1.5
 
 
 def sessionise(frames: DataFrame, camera: str, taken: str, tie: str, gap: float = GAP) -> DataFrame:
@@ -34,10 +37,10 @@ def sessionise(frames: DataFrame, camera: str, taken: str, tie: str, gap: float
 def number_sessions(frames: DataFrame, camera: str) -> DataFrame:
     """Adds ``burst``: sessions numbered from 1 over all cameras in order of name.
 
-    Only one row for each camera passes through a single task, never the frames.
+    Cameras are counted and summed by ranges: one row for each range passes through a single task.
     """
-    counts = frames.groupBy(camera).agg((F.max("session") + 1).alias("_n"))
-    base = counts.select(camera, F.coalesce(F.sum("_n").over(Window.orderBy(camera).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    counts = running_sums(frames.groupBy(camera).agg((F.max("session") + 1).alias("_n")), camera, ["_n"])
+    base = counts.select(camera, (F.col("_n_sum") - F.col("_n")).alias("_base"))
     return frames.join(base, camera).withColumn("burst", F.col("_base") + F.col("session") + 1).drop("_base")
 
 
@@ -47,17 +50,31 @@ def bursts(frames: DataFrame, keys: list[str], taken: str, member: str) -> DataF
     return frames.groupBy(*keys).agg(F.min(taken).alias("started"), F.max(taken).alias("ended"), ordered.alias("frames"), F.count("*").alias("n"))
 
 
-def merge_bursts(ends: DataFrame, camera: str, joins: Column, span: float = MERGE_SPAN, gap: float = MERGE_GAP) -> DataFrame:
+def same_subject(leeway: float = MERGE_LEEWAY) -> Column:
+    """The default rule of ``merge_bursts``: the last frame of burst ``a`` and the first of ``b`` show one subject.
+
+    Each burst has ``first`` and ``last``: structs of portrait, scene, livery (histograms; the livery of vehicles only) and
+    box (x1, y1, x2, y2 as fractions). The orientation and the scene must be alike; boxes and liveries where both have them.
+    """
+    step = continuity("a.last.box", "b.first.box")
+    boxes = (step["scale"] <= MERGE_SCALE * leeway) & (step["shift"] <= MERGE_SHIFT * leeway)
+    both_boxed = F.col("a.last.box").isNotNull() & F.col("b.first.box").isNotNull()
+    livery = histogram_distance(F.col("a.last.livery"), F.col("b.first.livery"))
+    scene = histogram_distance(F.col("a.last.scene"), F.col("b.first.scene"))
+    return (F.col("a.last.portrait") == F.col("b.first.portrait")) & (scene <= MERGE_SCENE) & (~both_boxed | boxes) & F.coalesce(livery <= MERGE_LIVERY, F.lit(True))
+
+
+def merge_bursts(ends: DataFrame, camera: str, joins: Column | None = None, span: float = MERGE_SPAN, gap: float = MERGE_GAP) -> DataFrame:
     """``ends``: a row for each burst (camera, burst, started, ended). Adds ``merged``: the key of the group's first burst.
 
     A burst joins the open group if it begins within ``gap`` of the last one's end, ``joins`` holds (a column of
-    the rows ``a``, the one before, and ``b``), and it begins within ``span`` of the group's start. The last rule depends
+    the rows ``a``, the one before, and ``b``; ``same_subject`` if none is given), and it begins within ``span`` of the group's start. The last rule depends
     on where the group began, so each camera's bursts (not frames) are scanned in order.
     """
     order = Window.partitionBy(camera).orderBy("started", "burst")
     row = F.struct(*[F.col(c) for c in ends.columns])
     paired = ends.withColumn("a", F.lag(row).over(order)).withColumn("b", row)
-    may = F.coalesce((F.col("b.started") >= F.col("a.ended")) & (F.col("b.started") - F.col("a.ended") <= gap) & joins, F.lit(False))
+    may = F.coalesce((F.col("b.started") >= F.col("a.ended")) & (F.col("b.started") - F.col("a.ended") <= gap) & (same_subject() if joins is None else joins), F.lit(False))
     flagged = paired.withColumn("_may", may).drop("a", "b")
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -73,19 +90,24 @@ def merge_bursts(ends: DataFrame, camera: str, joins: Column, span: float = MERG
 
 
 def renumber(frames: DataFrame, key: str, order_by: list[str]) -> DataFrame:
-    """Adds ``dense``: ``key`` renumbered from 1 by first appearance (one row for each key is sorted)."""
+    """Adds ``dense``: ``key`` renumbered from 1 by first appearance. One row for each key is sorted, in ranges; a null key is none."""
     firsts = frames.groupBy(key).agg(F.min(F.struct(*order_by)).alias("_first"))
-    return frames.join(firsts.select(key, F.row_number().over(Window.orderBy("_first")).alias("dense")), key)
+    return frames.join(numbered(firsts.where(F.col(key).isNotNull()), [F.col("_first")], "dense").select(key, "dense"), key)
 
 
 def _close(a: float, b: float) -> bool:
     return np.isnan(a) or np.isnan(b) or abs(a - b) <= FOCAL_TOLERANCE * max(abs(a), abs(b))
 
 
+def _stops(a: float, b: float, each: float, most: float) -> bool:
+    """Two settings are within ``most`` stops, where doubling is ``each``; a setting that is missing or no number over 0 is no mismatch."""
+    return not (a > 0 and b > 0) or abs(each * np.log2(a / b)) <= most
+
+
 def sets(frames: DataFrame, camera: str = "camera") -> DataFrame:
-    """``frames`` (camera, frame_id, taken, ev, focus, focal) with set_id (its first frame_id) and set_kind.
+    """``frames`` (camera, frame_id, taken, ev, focus, focal; aperture and shutter if they are known) with set_id (its first frame_id) and set_kind.
 
-    Brackets first, then focus stacks, then intervals, each on frames that are still free. Greedy runs consume frames,
+    All kinds keep the focal length and the aperture of their first frame, stacks the shutter, too. Brackets first, then focus stacks, then intervals, each on frames that are still free. Greedy runs consume frames,
     so each camera is scanned in order, in batches: what is held is a batch and the runs that are open at its end.
     """
     names = [*frames.columns, "set_id", "set_kind"]
@@ -96,10 +118,11 @@ def sets(frames: DataFrame, camera: str = "camera") -> DataFrame:
         def step(pdf: pd.DataFrame, last: bool) -> Iterator[pd.DataFrame]:
             for kind, end_of in (("bracket", _bracket_end), ("stack", _stack_end), ("interval", _interval_end)):
                 pdf = pd.concat([x for x in (open_rows.get(kind), pdf) if x is not None and len(x)] or [pdf], ignore_index=True)
-                t, ev, focus, focal = (pdf[c].to_numpy(float, na_value=np.nan) for c in ("taken", "ev", "focus", "focal"))
+                nothing = np.full(len(pdf), np.nan)
+                read = [pdf[c].to_numpy(float, na_value=np.nan) if c in pdf.columns else nothing for c in ("taken", "ev", "focus", "focal", "aperture", "shutter")]
                 at, owner, i = np.arange(len(pdf)), np.full(len(pdf), -1), 0
                 while i < len(pdf):
-                    n, good = end_of(at[i:], t, ev, focus, focal)
+                    n, good = end_of(at[i:], *read)
                     if i + n == len(pdf) and not last:  # the run may go on in the next batch
                         break
                     if good:
@@ -118,7 +141,7 @@ def sets(frames: DataFrame, camera: str = "camera") -> DataFrame:
     return scanned(frames, camera, [F.col("taken").asc_nulls_last(), F.col("frame_id")], scan, T.StructType([*frames.schema.fields, T.StructField("set_id", T.LongType()), T.StructField("set_kind", T.StringType())]))
 
 
-def _bracket_end(at: np.ndarray, t, ev, focus, focal) -> tuple[int, bool]:
+def _bracket_end(at: np.ndarray, t, ev, focus, focal, aperture, shutter) -> tuple[int, bool]:
     """The length of the run from the first frame of ``at`` on, and whether it is a set; so the next two."""
     run = [at[0]]
     if np.isnan(ev[at[0]]):
@@ -126,26 +149,26 @@ def _bracket_end(at: np.ndarray, t, ev, focus, focal) -> tuple[int, bool]:
     for k in range(1, len(at)):
         x, y = at[k - 1], at[k]
         seen = ev[run]
-        if len(run) == BRACKET_FRAMES[1] or not (t[y] - t[x] <= BRACKET_GAP) or np.isnan(ev[y]) or not _close(focal[run[0]], focal[y]) or abs(ev[y] - ev[x]) < BRACKET_STEP or (abs(seen - ev[y]) < BRACKET_REPEAT).any():
+        if len(run) == BRACKET_FRAMES[1] or not (t[y] - t[x] <= BRACKET_GAP) or np.isnan(ev[y]) or not _close(focal[run[0]], focal[y]) or not _stops(aperture[run[0]], aperture[y], 2.0, APERTURE_TOLERANCE) or abs(ev[y] - ev[x]) < BRACKET_STEP or (abs(seen - ev[y]) < BRACKET_REPEAT).any():
             break
         run.append(y)
     return len(run), len(run) >= BRACKET_FRAMES[0] and np.ptp(ev[run]) >= BRACKET_SPAN
 
 
-def _stack_end(at: np.ndarray, t, ev, focus, focal) -> tuple[int, bool]:
+def _stack_end(at: np.ndarray, t, ev, focus, focal, aperture, shutter) -> tuple[int, bool]:
     n, direction = 1, 0.0
     for x, y in zip(at, at[1:], strict=False):
         step = focus[y] - focus[x]
-        if not (t[y] - t[x] <= STACK_GAP) or not _close(focal[at[0]], focal[y]) or not abs(step) > STACK_RATIO * max(abs(focus[x]), abs(focus[y])) or (direction and np.sign(step) != direction):
+        if not (t[y] - t[x] <= STACK_GAP) or not _close(focal[at[0]], focal[y]) or not _stops(aperture[at[0]], aperture[y], 2.0, APERTURE_TOLERANCE) or not _stops(shutter[at[0]], shutter[y], 1.0, SHUTTER_TOLERANCE) or not abs(step) > STACK_RATIO * max(abs(focus[x]), abs(focus[y])) or (direction and np.sign(step) != direction):
             break
         direction, n = np.sign(step), n + 1
     return n, n >= STACK_FRAMES
 
 
-def _interval_end(at: np.ndarray, t, ev, focus, focal) -> tuple[int, bool]:
+def _interval_end(at: np.ndarray, t, ev, focus, focal, aperture, shutter) -> tuple[int, bool]:
     n = 1
     for x, y in zip(at, at[1:], strict=False):
-        if not INTERVAL_GAP[0] <= t[y] - t[x] <= INTERVAL_GAP[1] or not _close(focal[at[0]], focal[y]):
+        if not INTERVAL_GAP[0] <= t[y] - t[x] <= INTERVAL_GAP[1] or not _close(focal[at[0]], focal[y]) or not _stops(aperture[at[0]], aperture[y], 2.0, APERTURE_TOLERANCE):
             break
         n += 1
     gaps = np.diff(t[at[:n]])

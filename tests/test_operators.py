@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from burstlake.operators import clusters, evaluate, keeper, lineage, linkage, mutations, sequence, votes
+from burstlake.operators import clusters, evaluate, identity, keeper, lineage, linkage, mutations, sequence, votes
 from burstlake.plans import stats
 from burstlake.schemas import FRAMES, SUBJECTS, conform
 
@@ -56,6 +56,95 @@ def test_sets(spark):
     assert got[40] == (None, None)
 
 
+def test_sets_keep_aperture_and_shutter(spark):
+    nan = float("nan")
+    rows = [("a", k, k * 0.5, ev, nan, 50.0, f, 0.01) for k, (ev, f) in enumerate([(0.0, 8.0), (1.0, 8.0), (2.0, 8.5)])]  # a third of a stop is the same
+    rows += [("b", 100 + k, k * 0.5, ev, nan, 50.0, f, 0.01) for k, (ev, f) in enumerate([(0.0, 8.0), (1.0, 8.0), (2.0, 11.0)])]
+    rows += [("c", 200 + k, float(k), 0.0, 10.0 + k, 50.0, 8.0, t) for k, t in enumerate([0.01, 0.01, 0.02])]
+    rows += [("d", 300 + k, float(k), 0.0, 10.0 + k, 50.0, None, t) for k, t in enumerate([0.01, 0.01, 0.012])]
+    rows += [("e", 400 + k, 5.0 * k, 0.0, nan, 50.0, 4.0 if k < 6 else 8.0, 0.01) for k in range(12)]
+    df = spark.createDataFrame(rows, "camera string, frame_id long, taken double, ev double, focus double, focal double, aperture double, shutter double")
+    kinds = {}
+    for r in sequence.sets(df).collect():
+        kinds.setdefault(r["camera"], set()).add(r["set_kind"])
+    assert kinds == {"a": {"bracket"}, "b": {None}, "c": {None}, "d": {"stack"}, "e": {None}}
+
+
+def test_bursts_of_one_subject_are_joined(spark):
+    box, scene, other = (0.1, 0.1, 0.5, 0.5), [200, 55], [0, 255]
+    look = lambda portrait=False, s=scene, livery=None, b=box: (portrait, s, livery, b)
+    pairs = [(look(), look()), (look(), look(portrait=True)), (look(), look(s=other)), (look(), look(s=None)), (look(), look(b=(0.7, 0.7, 0.72, 0.72))), (look(), look(b=None)), (look(livery=[255, 0]), look(livery=[0, 255])), (look(livery=[255, 0]), look(livery=None))]
+    rows = [(k, 2 * k + j, 3.0 * j, 3.0 * j + 1, side, side) for k, pair in enumerate(pairs) for j, side in enumerate(pair)]
+    kind = "struct<portrait:boolean,scene:array<int>,livery:array<int>,box:struct<x1:double,y1:double,x2:double,y2:double>>"
+    df = spark.createDataFrame(rows, f"camera int, burst long, started double, ended double, first {kind}, last {kind}")
+    got = {r["camera"] for r in sequence.merge_bursts(df, "camera").collect() if r["burst"] % 2 and r["merged"] == r["burst"] - 1}
+    assert got == {0, 5, 7}
+
+
+def test_misspellings_are_folded_where_they_are_rare(spark):
+    said = [["Michelin"]] * 12 + [["Michelim"]] * 4 + [["Michxlxn"]] + [["Castro"]] * 5 + [["Castrol"]] * 6 + [["abc"]] * 9 + [["abd"], ["Late", " "], None]
+    df = spark.createDataFrame([("g", k, v) for k, v in enumerate(said)], "g string, seq long, sponsors array<string>")
+    got = identity.accumulate(df, "g", "sponsors", "seq").first()["sponsors"]
+    assert got == ["Michelin", "abc", "Castrol", "Castro", "abd", "Late"]  # 16 + 1: two edits, over ten times rarer
+
+
+def test_plates_decide_clusters(spark):
+    v, w = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, 1, 1, "car", v, "AB-12"), (1, 2, 2, "car", v, "XY 99"), (1, 3, 3, "car", w, "AB12"), (1, 4, 4, "car", v, None), (1, 5, 5, "car", v, "A812"), (2, 6, 6, "car", w, "ab12"), (2, 7, 7, "car", w, None), (3, 6, 8, "car", v, "AB12")]
+    df = spark.createDataFrame([("x", *r) for r in rows], "album string, burst long, frame long, det long, cls string, embedding array<double>, plate string")
+    got = {r["det"]: r["grp"] for r in clusters.cluster_by_look(df).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0, 8: 0}
+    whole = {r["det"]: r["vehicle"] for r in clusters.vehicles(df, "album").collect()}
+    assert whole == {1: 1, 2: 2, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, 8: 8}  # 8 shares a frame with 6
+
+
+def test_copies_give_their_hand_work_to_the_survivor(spark):
+    rows = [(1, 1.0, 10, 5, 0, 0, None, 1), (2, 1.0, 10, None, 1, 0, None, None), (3, 1.0, 10, 2, 0, 1, None, None), (4, 2.0, 10, None, 0, 1, None, None), (5, 2.0, 10, None, 0, 1, None, None), (6, None, 10, 1, 0, 0, None, None), (7, None, 10, 1, 0, 0, None, None), (8, 9.0, 10, 1, 0, 0, 1, None), (9, 1.0, 10, 1, 0, 0, 2, None)]
+    df = spark.createDataFrame(rows, "id long, taken double, width int, stars int, picked int, rejected int, copy_of long, burst_pick int")
+    got = {r["id"]: (r["copy_of"], r["stars"], r["picked"], r["rejected"]) for r in clusters.collapse_copies(df, [F.round(F.col("taken") * 1000), F.col("width")], "id").collect()}
+    assert got[2] == (None, 5, 1, 0) and got[1][0] == 2 and got[3][0] == 2 and got[1][2] == 0
+    assert got[4] == (None, None, 0, 1) and got[5][0] == 4
+    assert got[6][0] is None and got[7][0] is None and got[8] == (2, 1, 0, 0) and got[9] == (2, 1, 0, 0)
+    back = clusters.restore_copies(df.withColumn("job_id", F.lit(1)), 1)
+    assert back.where("copy_of is not null").count() == 0
+
+
+def test_marks(spark):
+    frames = spark.createDataFrame([(k, 3, 1, 0) for k in range(1, 7)], "id long, stars int, rejected int, picked int")
+    marks = spark.createDataFrame([(1, None, 1, 1, False), (2, None, 0, None, False), (3, None, None, 1, False), (4, None, None, None, True), (5, 0, 1, 0, False)], "id long, stars int, rejected int, picked int, clear_stars boolean")
+    got = {r["id"]: tuple(r)[1:] for r in mutations.mark(frames, marks).collect()}
+    assert got == {1: (3, 0, 1), 2: (3, 0, 0), 3: (3, 0, 1), 4: (None, 1, 0), 5: (0, 1, 0), 6: (3, 1, 0)}
+    subjects = spark.createDataFrame([(10 + k, k, 3, 1, "soft") for k in range(1, 7)], "id long, image_id long, stars int, rejected int, cull_reason string")
+    got = {r["image_id"]: (r["stars"], r["rejected"], r["cull_reason"]) for r in mutations.mark_subjects(subjects, marks).collect()}
+    assert got == {1: (3, 1, "soft"), 2: (3, 0, None), 3: (3, 1, "soft"), 4: (None, 1, "soft"), 5: (0, 1, "soft"), 6: (3, 1, "soft")}
+
+
+def test_units_that_mix_bands_are_folded(spark):
+    # a vehicle and two faces that beat each other in a circle: the order of frames decides
+    a, b, c = (0.740, 0.03, 0.2), (0.735, 0.005, 0.3), (0.742, 0.005, 0.1)
+    orders = {"abc": (a, b, c), "cab": (c, a, b), "bca": (b, c, a)}
+    rows = [(u, k, 100 * n + k, *x) for n, (u, three) in enumerate(orders.items()) for k, x in enumerate(three)]
+    rows += [("one", 9, 900, 0.8, 0.03, 0.1), ("one", 9, 901, 0.8, 0.03, 0.2), ("soft", 1, 950, 0.1, 0.03, 0.9), ("soft", 1, 951, 0.1, 0.005, 0.9), ("abc2", 1, 2, 0.9, 0.03, 0.5)]
+    df = spark.createDataFrame(rows, "unit string, frame long, row long, score double, band double, area double")
+    got = {(r["unit"], r["row"]) for r in keeper.pick_keepers(df, ["unit"], "frame", "row", "band").where("picked = 1").collect()}
+    want = set()
+    for n, (u, three) in enumerate(orders.items()):
+        held = None
+        for k, (score, band, area) in enumerate(three):
+            new = (k, score, band, area)
+            if held is None or (int(score / max(band, held[2])), area) > (int(held[1] / max(band, held[2])), held[3]):
+                held = new
+        want.add((u, 100 * n + held[0]))
+    assert got == want | {("one", 901), ("abc2", 2)} and len({orders[u][r % 100] for u, r in want}) == 3
+
+
+def test_a_row_may_win_in_one_unit_only(spark):
+    rows = [("u", 1, 7, 0.9), ("v", 1, 7, 0.8), ("v", 2, 8, 0.95), (None, 3, 9, 0.9)]
+    df = spark.createDataFrame(rows, "unit string, frame long, row long, score double")
+    got = sorted(((r["unit"], r["row"], r["picked"]) for r in keeper.pick_keepers(df, ["unit"], "frame", "row").collect()), key=repr)
+    assert got == sorted([("u", 7, 1), ("v", 7, None), ("v", 8, 1), (None, 9, 1)], key=repr)
+
+
 def test_keeper_ties_nan_and_hand_marks(spark):
     rows = [("u", 1, 1, 0.80, 0), ("u", 2, 2, 0.80, 0), ("v", 3, 3, 0.99, 0), ("v", 4, 4, 0.10, 4), ("w", 5, 5, float("nan"), 0), ("w", 6, 6, None, 0), ("x", 7, 7, 0.5, 0)]
     df = spark.createDataFrame(rows, "unit string, frame long, row long, score double, by_hand long")

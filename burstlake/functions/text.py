@@ -29,7 +29,7 @@ def near_plate(a: Column, b: Column) -> Column:
     """Same length and exactly one differing character, whose two readings are confusable."""
     pairs = F.arrays_zip(F.split(a, "").alias("x"), F.split(b, "").alias("y"))
     differing = F.filter(pairs, lambda p: p["x"] != p["y"])
-    first = differing[0]
+    first = F.get(differing, F.lit(0))
     alike = None
     for group in CONFUSABLE:
         both = F.lit(group).contains(first["x"]) & F.lit(group).contains(first["y"])
@@ -64,7 +64,7 @@ def same_make(a: Column, b: Column) -> Column:
 
 def split_list(c: Column, separator: str = ",") -> Column:
     """Trimmed, non-empty parts."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), separator), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def slug(c: Column, longest: int = 60) -> Column:
@@ -75,7 +75,7 @@ def slug(c: Column, longest: int = 60) -> Column:
 
 def colour_label(c: Column) -> Column:
     """The first word that names a colour label."""
-    return F.filter(F.split(F.lower(c), r"[^a-z]+"), lambda w: w.isin(*COLOURS))[0]
+    return F.get(F.filter(F.split(F.lower(c), r"[^a-z]+"), lambda w: w.isin(*COLOURS)), F.lit(0))
 
 
 def word_or(c: Column, allowed: tuple[str, ...], default: str) -> Column:

@@ -38,3 +38,38 @@ def wall_seconds(ts: Column) -> Column:
     """The wall clock of a timestamp as seconds, with its fraction; for times without zone the session's zone does not matter."""
     whole = F.unix_date(ts.cast("date")).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
     return (whole * 1_000_000 + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long")) / F.lit(1e6)
+
+
+#: Tags of the capture time and of its fraction, the most exact first.
+STAMPS = ("SubSecDateTimeOriginal", "DateTimeOriginal", "DateTimeDigitized", "DateTime")
+FRACTIONS = ("SubSecTimeOriginal", "SubSecTime", "SubSecTimeDigitized")
+
+
+def taken_at(tags: Column) -> Column:
+    """Seconds of the first stamp in ``tags`` (a map of text); a fraction of its own is added unless the tag that has both is there, even empty."""
+    given = lambda n: F.when(~F.coalesce(F.try_element_at(tags, F.lit(n)), F.lit("")).isin("", "-"), F.try_element_at(tags, F.lit(n)))
+    stamp, fraction = F.coalesce(*map(given, STAMPS)), F.coalesce(*map(given, FRACTIONS))
+    both = F.concat(F.lit("0."), F.regexp_extract(stamp, r"\.(\d+)", 1)).try_cast("double")
+    seconds = parse_stamp(stamp) + F.when(F.regexp_extract(stamp, r"\.(\d+)", 1) != "", both).otherwise(0.0)
+    return F.when(F.map_contains_key(tags, F.lit(STAMPS[0])), seconds).otherwise(with_subseconds(seconds, fraction))
+
+
+def civil_from_days(days: Column) -> Column:
+    """The date of days since 1970-01-01."""
+    return F.date_from_unix_date(days)
+
+
+def epoch_of_iso(c: Column) -> Column:
+    """Seconds of ``YYYY-MM-DDTHH:MM[:SS]`` with Z, an offset or neither (then UTC); fractions are left out, nonsense is null."""
+    pattern = r"^\s*(\d{4})-(\d{1,2})-(\d{1,2})[T ](\d{1,2}):(\d{1,2})(?::(\d{1,2}))?(?:\.\d*)?(?:Z|([+-])(\d{1,2}):(\d{1,2}))?\s*$"
+    got = lambda k: F.coalesce(F.nullif(F.regexp_extract(c, pattern, k), F.lit("")).cast("long"), F.lit(0))
+    offset = F.when(F.regexp_extract(c, pattern, 7) == "-", -1).otherwise(1) * (got(8) * 3600 + got(9) * 60)
+    days = days_from_civil(got(1).cast("int"), got(2).cast("int"), got(3).cast("int"))
+    return F.when(c.rlike(pattern) & got(2).between(1, 12), days * F.lit(86400).cast("long") + got(4) * 3600 + got(5) * 60 + got(6) - offset)
+
+
+def iso_of_epoch(seconds: Column) -> Column:
+    """``YYYY-MM-DDTHH:MM:SSZ`` of whole seconds, 0 at least; no zone is applied."""
+    whole = F.greatest(F.floor(seconds), F.lit(0)).cast("long")
+    rest = F.pmod(whole, F.lit(86400))
+    return F.format_string("%sT%02d:%02d:%02dZ", F.date_from_unix_date(F.floor(whole / 86400).cast("int")).cast("string"), F.floor(rest / 3600), F.floor(F.pmod(rest, F.lit(3600)) / 60), F.pmod(rest, F.lit(60)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import dot, hamming
-from ..functions.text import tidy_plate
+from ..functions.text import plain_key, tidy_plate
 from .lineage import cut, scanned
 from .linkage import band_pairs
 from .moments import alike_plates, merge_on_plates
@@ -135,6 +135,70 @@ def vehicles(rows: DataFrame, album: str, same: float = SAME_LOOK) -> DataFrame:
     return looked.select(*key, "det").withColumn("burst", F.struct(album, "burst")).join(named.select("burst", "grp", "vehicle"), ["burst", "grp"]).select(album, "det", "vehicle")
 
 
+def cluster_by_signature(rows: DataFrame, album: str, bits: int = 14, colour: float = 0.62, window: int = 6) -> DataFrame:
+    """album, det, grp (from 1, in order of det) of ``rows`` (album, det, frame, burst, shape, colours, cls, make, plate, paint).
+
+    ``shape``: a 64-bit hash; ``colours``: a histogram; ``paint``: a measured colour as struct(h, s, v). A row joins the first group that fits: one that
+    does not hold its frame, has no other plate (within a burst it may), and either has read its plate or is alike in class, make, colours and paint, and
+    near: in shape, in frames, by a near plate, or in the burst. Across bursts shape and frames count only if make or paint agrees. The order
+    decides, so each album is scanned in order, batch by batch; what is held is one entry a group. Rows without signature get none.
+    """
+
+    def scan():
+        groups: list[dict] = []
+
+        def fits(g: dict, r) -> bool:
+            same_burst = r.burst is not None and r.burst in g["bursts"]
+            near = False
+            if r.plate and g["plates"]:
+                if r.plate in g["plates"]:
+                    return True
+                near = any(alike_plates(r.plate, p) for p in g["plates"])
+                if not near and not same_burst:
+                    return False
+            alike_make = not r.make or not g["make"] or r.make == g["make"]
+            if (r.cls and g["cls"] and r.cls != g["cls"]) or (not near and not same_burst and not alike_make):
+                return False
+            if len(r.colours) != len(g["colours"]) or float(np.minimum(r.colours, g["colours"]).sum()) < colour or not _same_paint(r.paint, g["paint"]):
+                return False
+            close = bin((r.shape ^ g["shape"]) & (2**64 - 1)).count("1") <= bits or abs(r.frame - g["last"]) <= window
+            if r.burst is not None and g["bursts"] and not same_burst and not ((r.make and g["make"] and alike_make) or (r.paint is not None and g["paint"] is not None)):
+                close = False
+            return close or near or same_burst
+
+        def step(pdf: pd.DataFrame, last: bool) -> Iterator[pd.DataFrame]:
+            out = []
+            for r in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False):
+                k = next((k for k, g in enumerate(groups) if r.frame not in g["frames"] and fits(g, r)), None)
+                if k is None:
+                    groups.append({"frames": set(), "bursts": set(), "plates": set(), "cls": None, "make": None, "colours": r.colours, "shape": r.shape, "paint": r.paint, "last": r.frame})
+                    k = len(groups) - 1
+                g = groups[k]
+                g["frames"].add(r.frame)
+                g["bursts"] |= {r.burst} - {None}
+                g["plates"] |= {r.plate} - {None}
+                g["cls"], g["make"], g["last"] = g["cls"] or r.cls, g["make"] or r.make, max(g["last"], r.frame)
+                out.append(k + 1)
+            yield pd.DataFrame({album: pdf[album], "det": pdf["det"], "grp": out})
+
+        return step
+
+    signed = rows.where("shape is not null and colours is not null").select(album, "det", "frame", "burst", "shape", "colours", F.nullif("cls", F.lit("")).alias("cls"), F.nullif(plain_key(F.col("make")), F.lit("")).alias("make"), tidy_plate(F.col("plate")).alias("plate"), F.array("paint.h", "paint.s", "paint.v").alias("paint"))
+    signed = signed.withColumn("paint", F.when(~F.exists("paint", lambda x: x.isNull()), F.col("paint")))
+    kind = {f.name: f.dataType for f in rows.schema}
+    schema = T.StructType([T.StructField(album, kind[album]), T.StructField("det", kind["det"]), T.StructField("grp", T.LongType())])
+    return scanned(signed, album, [F.col("det")], scan, schema)
+
+
+def _same_paint(a, b, hue: float = 0.075, grey: float = 0.18, light: float = 0.45) -> bool:
+    """``moments.same_swatch`` for scans that hold state."""
+    if a is None or b is None:
+        return True
+    if (a[1] < grey) != (b[1] < grey):
+        return False
+    return abs(a[2] - b[2]) <= light if a[1] < grey else min(abs(a[0] - b[0]), 1 - abs(a[0] - b[0])) <= hue
+
+
 def cluster_faces(rows: DataFrame, album: str, det: str, vector: str, same: float = SAME_FACE) -> DataFrame:
     """album, det, label: greedy clusters around running sums, labelled by their first det; of equal clusters the last wins.
 

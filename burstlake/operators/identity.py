@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_plate, blank_to_null, near_plate, plain_key
+from ..functions.vehicles import own_readings, remembered
+from .clusters import SAME_LOOK, vehicles
 from .mutations import upsert
 from .votes import SETTLE_SHARE, best_by_confidence, median_colour, pair_vote, ranked_values, vote
 
@@ -55,18 +57,50 @@ def _edits(a: str, b: str, most: int) -> int:
 
 
 def consensus(rows: DataFrame, group: str, seq: str) -> DataFrame:
-    """A record for each group: make and model by pair vote, colour words by vote, colour by median, plate by confidence."""
+    """A record for each group: members, make and model by pair vote (with agreement and what is disputed), colour, body type, team, driver and country by
+    vote, the measured colour by median, plate and race_number by confidence, sponsors and livery_text accumulated.
+
+    Only what ``rows`` have of these is settled; plate_conf and number_conf are the confidences.
+    """
+    has = set(rows.columns)
     out = rows.groupBy(group).agg(F.count("*").alias("members"))
-    for part in (
-        pair_vote(rows, group, "make", "model", seq),
-        vote(rows, group, F.col("colour"), seq).select(group, F.col("winner").alias("colour"), F.col("share").alias("colour_share")),
-        median_colour(rows, group, "colour_hex"),
-        best_by_confidence(rows, group, "plate", "plate_conf", seq),
-    ):
+    voted = lambda c: vote(rows, group, F.col(c), seq).select(group, F.col("winner").alias(c), F.col("share").alias(f"{c}_share"))
+    parts = [pair_vote(rows, group, "make", "model", seq)]
+    parts += [voted(c) if c == "colour" else voted(c).drop(f"{c}_share") for c in ("colour", "body_type", "team", "driver", "country") if c in has]
+    parts += [median_colour(rows, group, "colour_hex")] if "colour_hex" in has else []
+    parts += [best_by_confidence(rows, group, v, c, seq) for v, c in (("plate", "plate_conf"), ("race_number", "number_conf")) if {v, c} <= has]
+    parts += [accumulate(rows, group, c, seq) for c in ("sponsors", "livery_text") if c in has]
+    for part in parts:
         out = out.join(part, group, "left")
     return out
 
 
+def consolidate(subjects: DataFrame, album: str, same: float = SAME_LOOK) -> DataFrame:
+    """``subjects`` (album, burst, frame, det, cls, embedding, plate, make, model, ...) sorted into vehicles, with what each vehicle agrees on.
+
+    Adds group_key (dense within the album by first det), group_size, group_agreement (3 places), group_colour_hex, own_make, own_model and own_colour (what the
+    frame's own reader said, which is what is voted on), and fills: make, model and colour from the group if it agrees, else as the frame said; blank
+    plate, race_number, team, driver and country; sponsors and livery_text. Rows without embedding stay as they are, with null keys.
+    """
+    has = set(subjects.columns)
+    col = lambda c: F.col(c) if c in has else F.lit(None).cast("string")
+    own = own_readings({k: col(k) for k in ("make", "model", "colour", "own_make", "own_model", "own_colour")})
+    read = subjects.withColumns({**own, **remembered({**{f"own_{k}": col(f"own_{k}") for k in own}, **own})})
+    cars = vehicles(read.select(album, "burst", "frame", "det", "cls", "embedding", "plate"), album, same)
+    firsts = cars.select(album, "vehicle").distinct()
+    keys = firsts.withColumn("group_key", F.row_number().over(Window.partitionBy(album).orderBy("vehicle")))
+    member = read.join(cars.join(keys, [album, "vehicle"]).select(album, "det", "group_key"), [album, "det"], "left")
+    unit = member.where("group_key is not null").withColumn("_group", F.struct(album, "group_key"))
+    settled = consensus(unit, "_group", "det")
+    names = [c for c in settled.columns if c != "_group"]
+    joined = member.withColumn("_group", F.when(F.col("group_key").isNotNull(), F.struct(album, "group_key"))).join(settled.select("_group", *[F.col(c).alias(f"_g_{c}") for c in names]), "_group", "left")
+    filled = {c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"_g_{c}")) for c in ("plate", "race_number", "team", "driver", "country") if c in has and c in names}
+    lists = {c: F.when(F.size(f"_g_{c}") > 0, F.col(f"_g_{c}")).otherwise(F.col(c)) for c in ("sponsors", "livery_text") if c in has}
+    better = {c: F.coalesce(F.nullif(F.col(f"_g_{c}"), F.lit("")), F.col(c)) for c in ("make", "model", "colour") if c in names}
+    sums = {"group_size": F.col("_g_members"), "group_agreement": F.round("_g_agreement", 3), "group_colour_hex": F.col("_g_colour_hex") if "colour_hex" in names else F.lit(None).cast("string")}
+    return joined.withColumns(filled | lists | better | sums).drop("_group", *[f"_g_{c}" for c in names])
+
+
 def agreed(rows: DataFrame, group: str, seq: str) -> DataFrame:
     """group, plate, aliases, votes: the plate most read, and the near misses of it as aliases."""
     ranked = ranked_values(rows, group, F.nullif(ascii_plate(F.col("plate")), F.lit("")), seq)

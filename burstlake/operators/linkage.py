@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import dot
+from ..functions.text import blank_to_null, normalised_path, path_key
 
 SLOP_SECONDS = 2.0
 
@@ -86,3 +87,77 @@ def longest_prefix(rows: DataFrame, known: DataFrame, stem: str, known_stem: str
 def largest_of(rows: DataFrame, key: str, size: str, item: str) -> DataFrame:
     """key, item of the greatest size (of equals the least item)."""
     return rows.groupBy(key).agg(F.max(F.struct(F.col(size), (-F.col(item)).alias("i"))).alias("m")).select(key, (-F.col("m.i")).alias(item), F.col(f"m.{size}").alias(size))
+
+
+def annotate(images: DataFrame, given: DataFrame, columns: list[str], path: str = "path", seq: str = "seq") -> DataFrame:
+    """``images`` with ``columns`` taken over from the rows of ``given`` with the same path (in any case, any separators).
+
+    Of several rows with one path the last by ``seq`` counts; rows of unknown paths say nothing; other images keep what they have.
+    """
+    last = given.groupBy(path_key(F.col(path)).alias("_key")).agg(F.max_by(F.struct(*columns), seq).alias("_new"))
+    joined = images.withColumn("_key", path_key(F.col(path))).join(last, "_key", "left")
+    return joined.withColumns({c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c) if c in images.columns else None) for c in columns}).drop("_key", "_new")
+
+
+def file_marks(rating: Column, label: Column) -> tuple[Column, Column]:
+    """A file's own stars (1 to 5: cameras write 0 for none) and label (null if blank)."""
+    return F.when(rating.between(1, 5), rating), blank_to_null(label)
+
+
+def without(rows: DataFrame, others: DataFrame, key: str, where: Column) -> DataFrame:
+    """``rows`` that none of ``others`` that ``where`` holds for belongs to: people without a face, say."""
+    return rows.join(others.where(where).select(key).distinct(), key, "left_anti")
+
+
+def entry_of_number(rows: DataFrame, entries: DataFrame, number: str, seq: str) -> DataFrame:
+    """``rows`` with ``entry`` (a struct) of the same number, whatever its leading zeros; of several entries the first by ``seq``."""
+    key = lambda c: F.nullif(F.regexp_replace(F.regexp_replace(c, "[^0-9]", ""), "^0+(?=[0-9])", ""), F.lit(""))
+    first = entries.withColumn("_key", key(F.col(number))).where("_key is not null").groupBy("_key").agg(F.min_by(F.struct(*entries.columns), seq).alias("entry"))
+    return rows.withColumn("_key", key(F.col(number))).join(first, "_key", "left").drop("_key")
+
+
+def entry_of_evidence(evidence: DataFrame, entries: DataFrame, item: str, lines: str, entry: str, drivers: str) -> DataFrame:
+    """item, entry, score of the one entry whose drivers the ``lines`` of an item name best; items where two are as good have none.
+
+    A full name counts 3, else a surname of four letters 2. An entry list is small; its names meet texts by their words, not text by text:
+    a name can only be in a text that holds its surname as a word.
+    """
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{IsAlphabetic}\p{N}]+"), lambda w: w != "")
+    said = evidence.select(item, words(F.array_join(lines, " ")).alias("w")).select(item, F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("text"), F.array_distinct("w").alias("w"))
+    names = entries.select(F.col(entry).alias("entry"), F.explode(drivers).alias("d")).select("entry", words(F.col("d")).alias("parts")).where(F.size("parts") > 0)
+    names = names.select("entry", F.element_at("parts", -1).alias("surname"), F.array_join("parts", " ").alias("full"), F.size("parts").alias("k"))
+    held = lambda c: F.col("text").contains(F.concat(F.lit(" "), c, F.lit(" ")))
+    met = said.select(item, "text", F.explode("w").alias("surname")).join(names, "surname")
+    points = F.when((F.col("k") > 1) & held(F.col("full")), 3).when(F.length("surname") >= 4, 2).otherwise(0)
+    score = met.groupBy(item, "entry").agg(F.sum(points).alias("score")).where("score > 0")
+    w = Window.partitionBy(item)
+    top = score.withColumn("_top", F.max("score").over(w)).where("score = _top").withColumn("_n", F.count("*").over(w)).where("_n = 1")
+    return top.select(item, "entry", F.col("score").cast("long").alias("score"))
+
+
+def classify_entries(entries: DataFrame, photos: DataFrame, seq: str = "seq") -> DataFrame:
+    """``entries`` (path, rating, pick, ...) of a package with status matched, missing or skipped, reason, and photo, the id of the photo.
+
+    Paths are compared in any case and with any separators; of photos with one path the first by id counts, and virtual copies are no photos.
+    An entry without path, with a rating beyond -1 to 5 or a pick beyond -1 to 1 is skipped; of entries for one photo all but the first are.
+    """
+    masters = photos.where(~F.coalesce("virtual", F.lit(False))).groupBy(normalised_path(F.col("path")).alias("_key")).agg(F.min("id").alias("photo"))
+    joined = entries.withColumn("_key", normalised_path(F.col("path"))).join(masters, "_key", "left")
+    n = F.row_number().over(Window.partitionBy("_key").orderBy(seq))
+    reason = (
+        F.when(blank_to_null(F.col("path")).isNull(), "entry has no path")
+        .when(~F.coalesce(F.col("rating").between(-1, 5), F.lit(True)), "rating out of range")
+        .when(~F.coalesce(F.col("pick").between(-1, 1), F.lit(True)), "pick out of range")
+        .when(F.col("photo").isNotNull() & (n > 1), "path comes twice")
+    )
+    judged = joined.withColumn("reason", reason)
+    status = F.when(F.col("reason").isNotNull(), "skipped").when(F.col("photo").isNull(), "missing").otherwise("matched")
+    return judged.withColumn("status", status).drop("_key")
+
+
+def common_parent(paths: DataFrame, group: list[str], path: str = "path") -> DataFrame:
+    """group, parent: the folder that all paths of a group are in (as the first of them writes it), null if they are in several or one has none."""
+    folder = F.nullif(F.regexp_extract(F.col(path), r"^(.*)[/\\\\][^/\\\\]*$", 1), F.lit(""))
+    rows = paths.select(*group, folder.alias("_folder"), normalised_path(folder).alias("_key"))
+    per = rows.groupBy(*group).agg(F.min("_key").alias("lo"), F.max("_key").alias("hi"), F.count("*").alias("n"), F.count("_key").alias("k"), F.min("_folder").alias("first"))
+    return per.select(*group, F.when((F.col("lo") == F.col("hi")) & (F.col("n") == F.col("k")), F.col("first")).alias("parent"))

@@ -35,17 +35,22 @@ def mode(rows: DataFrame, group: list[str], value: str) -> DataFrame:
 
 
 def pair_vote(rows: DataFrame, group: str, make: str, model: str, seq: str) -> DataFrame:
-    """group, make, model, disputed: the pair most said if it holds half, else the make alone if it holds 0.6, else neither."""
-    named = rows.where(blank_to_null(F.col(make)).isNotNull())
-    pairs = ranked_values(named, group, F.concat_ws("\x1f", F.trim(make), F.coalesce(F.trim(model), F.lit(""))), seq)
-    best = pairs.withColumn("total", F.sum("n").over(Window.partitionBy(group))).where("place = 1")
-    alone = vote(named, group, F.col(make), seq).select(group, F.col("winner").alias("make_alone"), F.col("share").alias("make_share"))
-    parts = F.split("value", "\x1f")
-    whole = F.col("n") / F.col("total") >= PAIR_SHARE
-    other = named.groupBy(group).agg(F.count_distinct(plain_key(F.col(make))).alias("makes"))
-    return best.join(alone, group).join(other, group).select(
-        group, F.when(whole, parts[0]).when(F.col("make_share") >= MAKE_SHARE, F.col("make_alone")).alias("make"), F.when(whole, F.nullif(parts[1], F.lit(""))).alias("model"), (F.col("makes") > 1).alias("disputed")
-    )
+    """group, make, model, agreement, disputed: the pair most said if it holds half, else the make alone if it holds 0.6, else neither.
+
+    Rows that say neither do not count. disputed: all pairs that were said, sorted, where no pair holds half (else empty).
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    named = rows.select(group, seq, blank(make).alias("_make"), blank(model).alias("_model")).where("_make <> '' or _model <> ''")
+    pairs = ranked_values(named, group, F.concat("_make", F.lit("\x1f"), "_model"), seq)
+    w = Window.partitionBy(group)
+    best = pairs.withColumns({"total": F.sum("n").over(w), "said": F.array_sort(F.collect_set(F.trim(F.replace("value", F.lit("\x1f"), F.lit(" ")))).over(w))}).where("place = 1")
+    makes = ranked_values(named, group, F.col("_make"), seq).where("place = 1").select(group, F.col("value").alias("make_alone"), F.col("n").alias("make_n"))
+    whole, parts = F.col("n") / F.col("total") >= PAIR_SHARE, F.split("value", "\x1f")
+    alone = ~whole & (F.col("make_n") / F.col("total") >= MAKE_SHARE)
+    return best.join(makes, group, "left").select(
+        group, F.when(whole, F.nullif(parts[0], F.lit(""))).when(alone, F.col("make_alone")).alias("make"), F.when(whole, F.nullif(parts[1], F.lit(""))).alias("model"),
+        F.when(alone, F.col("make_n") / F.col("total")).otherwise(F.col("n") / F.col("total")).alias("agreement"), F.when(whole, F.array().cast("array<string>")).otherwise(F.col("said")).alias("disputed"),
+    )
 
 
 def best_by_confidence(rows: DataFrame, group: str, value: str, confidence: str, seq: str) -> DataFrame:

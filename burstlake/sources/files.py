@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_plate, blank_to_null
+from ..functions.times import age_seconds, epoch_of_iso
 
 REGISTRY = ("plate", "make", "model", "colour", "body_type", "team", "sponsors", "race_number")
 NUMBER_NAMES = ("number", "no", "num", "race number", "car number", "start number", "#")
@@ -89,3 +90,41 @@ def catalogue(files: DataFrame, folders: DataFrame, roots: DataFrame, images: Da
     place = folders.join(roots, folders["root"] == roots["root_id"])
     named = files.join(place, files["folder"] == place["folder_id"])
     return images.join(named, images["file"] == named["file_id"]).select("image_id", F.concat("root_path", "folder_path", "file_name").alias("path"), "rating", "pick", "label")
+
+
+#: Names of the number column of a number map.
+MAP_NAMES = ("number", "no", "no.", "num", "car", "race number", "racenumber")
+
+
+def read_number_map(spark: SparkSession, path: str) -> DataFrame:
+    """number (digits without leading zeros), fields (map, in column order) and described (the values, comma-joined) of a CSV with a number column.
+
+    Column names are kept as they are written; of equal names the last value counts; blank cells are left out; of equal numbers the last row
+    counts. A table with a header but no number column is an error.
+    """
+    raw = spark.read.option("header", False).option("multiLine", True).option("escape", '"').csv(path)
+    head = [(c or "").lstrip("\ufeff") for c in raw.limit(1).collect()[0]] if not raw.isEmpty() else []
+    at = next((i for name in MAP_NAMES for i, c in enumerate(head) if c.strip().lower() == name), None)
+    if at is None:
+        if head:
+            raise ValueError(f"no number column among {head}")
+        return spark.createDataFrame([], "number string, fields map<string,string>, described string")
+    rows = spark.read.option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').schema(", ".join(f"c{i} string" for i in range(len(head)))).csv(path)
+    digits = F.regexp_replace(F.col(f"c{at}"), "[^0-9]", "")
+    number = F.regexp_replace(digits, "^0+(?=[0-9])", "")
+    last = {name.strip(): i for i, name in enumerate(head) if name.strip() and i != at}
+    order = list(dict.fromkeys(name.strip() for i, name in enumerate(head) if name.strip() and i != at))
+    pairs = F.filter(F.array(*[F.struct(F.lit(n).alias("k"), F.trim(f"c{last[n]}").alias("v")) for n in order]), lambda p: F.coalesce(p["v"], F.lit("")) != "") if order else F.array().cast("array<struct<k:string,v:string>>")
+    named = rows.select(number.alias("number"), pairs.alias("pairs"), F.monotonically_increasing_id().alias("seq")).where("number <> ''")
+    kept = named.groupBy("number").agg(F.max_by("pairs", "seq").alias("pairs"))
+    return kept.select("number", F.map_from_entries("pairs").alias("fields"), F.array_join(F.transform("pairs", lambda p: p["v"]), ", ").alias("described"))
+
+
+def pending_packages(spark: SparkSession, path: str, now: float) -> DataFrame:
+    """name, album, photos (how many), age_s of the JSON packages in a folder, newest first; a file that is no JSON has its name and the age of the file."""
+    rows = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("pathGlobFilter", "*.[jJ][sS][oO][nN]").schema(PACKAGE).json(path)
+    rows = rows.withColumns({"_file": F.col("_metadata.file_name"), "_modified": F.unix_micros("_metadata.file_modification_time") / 1e6})
+    created = F.coalesce(epoch_of_iso(F.col("created_at")).cast("double"), F.col("_modified"))
+    name = F.regexp_replace("_file", r"\.[^.]*$", "")
+    out = rows.select(name.alias("name"), F.col("album.label").alias("album"), F.when(F.col("photos").isNotNull(), F.size("photos")).alias("photos"), age_seconds(F.lit(now), created).alias("age_s"))
+    return out.orderBy("age_s", "name")

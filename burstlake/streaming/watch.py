@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.lineage import cut
+from ..sources.files import photos, read_packages
+
 SETTLE = 20.0
 
 
@@ -58,3 +61,34 @@ def regroup_touched(stream: DataFrame, read: Callable[[], DataFrame], write: Cal
 def unfinished(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """A pass that is taken up again only sees rows whose result is missing."""
     return rows.join(done.select(key), key, "left_anti")
+
+
+def consume_inbox(spark: SparkSession, folder: str, name: str, known: DataFrame, apply: Callable[[DataFrame], None]) -> DataFrame:
+    """The packages in ``folder``, each taken once; name and to (done, failed or left) of every file.
+
+    Bad files are moved to ``failed`` with what is wrong in the name's ``.reason`` file; good ones whose photos are ``known`` (path) go to ``apply`` together and are moved to
+    ``done`` before it is called, so that one that ends in the middle is not applied again; those that match nothing stay. Files are moved by the store's own rename.
+    """
+    good, bad = read_packages(spark, folder, name)
+    rows = photos(good)
+    hit = rows.join(known.select("path").distinct(), "path", "left_semi")
+    matched = [r["file"] for r in hit.select("file").distinct().collect()]  # packages of one inbox, as listed by the store
+    every, failed = [r["file"] for r in good.select("file").distinct().collect()], {r["file"]: r["reason"] for r in bad.collect()}
+    jvm = spark.sparkContext._jvm
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    store = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    taken = cut(hit)
+    out = []
+    for file in sorted([*every, *failed]):
+        to = "failed" if file in failed else "done" if file in matched else "left"
+        if to != "left":
+            store.mkdirs(path(f"{folder}/{to}"))
+            store.rename(path(file), path(f"{folder}/{to}/{path(file).getName()}"))
+        if file in failed:
+            note = store.create(path(f"{folder}/failed/{path(file).getName()}.reason"))
+            note.write(bytearray(failed[file].encode()))
+            note.close()
+        out.append((path(file).getName(), to))
+    if matched:
+        apply(taken)
+    return spark.createDataFrame(out, "name string, to string")

@@ -1,16 +1,18 @@
 """WARC archives: writing with revisit records, and reading by boundary chains (operator 10).
 
-A record ends with two line ends and the next begins with the version line, so Spark's text writer and reader
+A record ends with two line ends and the next begins with ``WARC/`` and a version, so Spark's text writer and reader
 do the byte work on any store, in splits, with those bytes as the line separator. What follows a separator is
-a candidate record: it may as well be magic inside a payload. Each task emits its candidates with the offset
+a candidate record of any version: it may as well be magic inside a payload. Each task emits its candidates with the offset
 of their successor; within a split successors are followed on the spot, and pointer jumping from the start of
-every file over the splits keeps only the records that the chain reaches.
+every file over the splits keeps only the records that the chain reaches. Where a chain breaks off before the
+end of its file, the record that it breaks at says so.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +23,15 @@ from pyspark.sql import functions as F
 
 from . import shared as S
 
-VERSION, END = "WARC/1.1\r\n", "\r\n\r\n"
-SEPARATOR = END + VERSION
+MAGIC, VERSION, END = "WARC/", "WARC/1.1\r\n", "\r\n\r\n"
+SEPARATOR = END + MAGIC
+#: What is said of a record that the chain breaks at.
+BROKEN = {"header": "no version or no valid Content-Length", "next": "no record where its length says", "digest": "the response it refers to is missing or has another payload"}
 #: Payloads under this many bytes are never replaced by a revisit.
 LEAST_REVISIT = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+_VERSION = re.compile(rb"(WARC/)?[0-9]+\.[0-9]+[ \t]*\r\n")
 _SCAN = "file string, block long, rel long, size long, head long, length long, exit_rel long, type string, id string, uri string, refers_to string, digest string, bytes long, complete boolean"
 
 
@@ -120,7 +125,7 @@ def _payload(block: bytes) -> bytes:
 
 def _candidate(raw: bytes) -> dict:
     end = raw.find(b"\r\n\r\n")
-    header = _header(raw[:end]) if end >= 0 else {}
+    header = _header(raw[:end]) if end >= 0 and _VERSION.match(raw) else {}
     number = header.get("content-length", "")
     if not number.isascii() or not number.isdigit():
         return {"head": 0, "length": None, "complete": False}
@@ -158,25 +163,34 @@ def _reached(candidates: DataFrame) -> DataFrame:
 
 
 def _follow(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of the candidates of one split, those on the chain from its entry; ``owner``: the record that each lies in (-1: an earlier split's)."""
+    """Of the candidates of one split, those on the chain from its entry; ``owner``: the record that each lies in (-1: an earlier split's).
+
+    ``leaves``: where the last of them says that the next record is.
+    """
     pdf = pdf.sort_values("at", ignore_index=True)
     place = {at: k for k, at in enumerate(pdf["at"].tolist())}
     on, after = np.zeros(len(pdf), bool), pdf["after"].tolist()
     entry = pdf["entry"].iloc[0]
     k = None if pd.isna(entry) else place.get(int(entry))
+    leaves = pd.array([None] * len(pdf), "Int64")
     while k is not None:
-        on[k] = True
+        on[k], last = True, k
         k = None if pd.isna(after[k]) else place.get(int(after[k]))
+        if k is None and not pd.isna(after[last]):
+            leaves[last] = int(after[last])
     owner = pd.Series(np.where(on, pdf["at"], np.nan)).ffill().fillna(-1).astype("int64")
-    return pd.DataFrame({"file": pdf["file"], "block": pdf["block"], "at": pdf["at"], "owner": owner})
+    return pd.DataFrame({"file": pdf["file"], "block": pdf["block"], "at": pdf["at"], "owner": owner, "leaves": leaves})
 
 
 def records(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """A row for each record of the archives under ``path`` that the chain from its file's start reaches.
 
     file, offset, type, id, uri, refers_to, digest (hex SHA-1 of the payload; for a revisit that of its header), bytes (of the payload; for
-    a revisit from its header), and payload if asked for (null for revisits). Magic inside a payload is not a record, however
-    often it stands there. A header without a valid Content-Length ends its file's chain. Files must be plain, not gzipped.
+    a revisit from its header), damage, and payload if asked for (null for revisits). Magic inside a payload is not a record, however
+    often it stands there. Records of all versions are read; files named ``.gz`` are unpacked (and not split), and offsets count
+    unpacked bytes. A chain that breaks off before its file's end is reported: ``damage`` of the last record that it reaches is one of
+    BROKEN (null for all other records), and what lies beyond is not read. A very long payload is held by one worker at a time. A folder
+    of empty files has no records.
     """
     found = S.stored(_pieces(spark, path).mapInArrow(_scan, _SCAN), "candidates")
     sizes = found.groupBy("file", "block").agg(F.sum(F.col("size") + len(SEPARATOR)).alias("n"))
@@ -185,15 +199,22 @@ def records(spark: SparkSession, path: str, with_payload: bool = False) -> DataF
     placed = S.stored(placed, "placed")
     entries = placed.select("file", "block", "at").join(_reached(placed), ["file", "at"], "left_semi").select("file", "block", F.col("at").alias("entry"))
     asked = placed.select("file", "block", "at", "after").join(entries, ["file", "block"], "left")
-    marked = asked.groupBy("file", "block").applyInPandas(_follow, "file string, block long, at long, owner long")
+    marked = asked.groupBy("file", "block").applyInPandas(_follow, "file string, block long, at long, owner long, leaves long")
     marked = S.stored(marked, "marked")
     # what lies before a split's entry belongs to the last record of an earlier split
     last = marked.groupBy("file", "block").agg(F.max(F.when(F.col("owner") >= 0, F.col("owner"))).alias("last"))
     earlier = last.select("file", "block", F.last("last", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
     owned = marked.join(earlier, ["file", "block"]).select("file", "at", F.when(F.col("owner") >= 0, F.col("owner")).otherwise(F.col("earlier")).alias("owner")).where("owner is not null")
-    index = S.stored(placed.drop("exit", "exit_rel", "after").join(owned, ["file", "at"]), "index")
+    # a chain may leave a split for a record of another, or end with its file
+    whole = sizes.groupBy("file").agg(F.sum("n").alias("n"))
+    ended = whole.select("file", F.explode(F.array(F.col("n") - len(END), F.col("n"))).alias("next"))  # with the last line ends, or without
+    lost = marked.where("leaves is not null").select("file", "at", F.col("leaves").alias("next"))
+    lost = lost.join(placed.select("file", F.col("at").alias("next")), ["file", "next"], "left_anti").join(ended, ["file", "next"], "left_anti")
+    damage = F.when(F.col("length").isNull(), BROKEN["header"]).when(F.col("lost"), BROKEN["next"])
+    index = placed.drop("exit", "exit_rel", "after").join(owned, ["file", "at"]).join(lost.select("file", "at", F.lit(True).alias("lost")), ["file", "at"], "left")
+    index = S.stored(index.withColumn("damage", damage).drop("lost"), "index")
     true = index.where("at = owner")
-    fields = ["file", F.when(F.col("at") == 0, F.lit(0)).otherwise(F.col("at") - len(VERSION)).alias("offset"), "type", "id", "uri", "refers_to"]
+    fields = ["file", F.when(F.col("at") == 0, F.lit(0)).otherwise(F.col("at") - len(MAGIC)).alias("offset"), "type", "id", "uri", "refers_to", "damage"]
     apart = F.col("complete") if not with_payload else F.lit(False)
     out = true.where(apart).select(*fields, "digest", "bytes", *([F.lit(None).cast("binary").alias("payload")] if with_payload else []))
     rest = true.where(~apart)
@@ -239,13 +260,23 @@ def page_id_of(urn: str) -> Column:
     return F.expr(f"try_cast(regexp_extract({urn}, '^<urn:page:(-?[0-9]+)>$', 1) as bigint)")
 
 
+def checked(found: DataFrame) -> DataFrame:
+    """``found`` (rows of ``records``), where a revisit whose response is missing or has another digest or length says so in ``damage``."""
+    responses = found.where("type = 'response'").select(F.col("id").alias("refers_to"), F.col("digest").alias("_digest"), F.col("bytes").alias("_bytes")).where("refers_to is not null")
+    again = found.where("type = 'revisit'").join(responses.distinct(), "refers_to", "left")
+    good = F.coalesce((F.col("_digest") == F.col("digest")) & (F.col("_bytes") == F.coalesce("bytes", "_bytes")), F.lit(False))
+    again = again.groupBy(*found.columns).agg(F.bool_or(good).alias("_good")).withColumn("damage", F.coalesce("damage", F.when(~F.col("_good"), BROKEN["digest"])))
+    return found.where("not coalesce(type = 'revisit', false)").unionByName(again.select(found.columns))
+
+
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """``pages`` written as archives under ``path`` (a new folder of the shared one) and read back: a row for each page.
 
-    page_id, payload_bytes, payload_digest, record_type, refers_to; see write_archives for nulls, copies and repeated rows.
+    page_id, payload_bytes, payload_digest, record_type, refers_to, damage; see write_archives for nulls, copies and repeated rows.
+    An empty table gives an empty result.
     """
     spark = pages.sparkSession
     path = path or S.new_path(spark, "warc")
     write_archives(pages, path)
     found = records(spark, path)
-    return found.select(page_id_of("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), page_id_of("refers_to").alias("refers_to"))
+    return found.select(page_id_of("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), page_id_of("refers_to").alias("refers_to"), "damage")

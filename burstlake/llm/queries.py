@@ -103,32 +103,30 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
-def _sql_spans(kind: str, pattern: str, value: str) -> str:
-    return f"""list_transform(range(1, len({kind}_m) + 1), lambda i: {{'start': CAST(list_sum(list_transform({kind}_g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform({kind}_m[:i - 1], lambda x: length(x))), 0) AS BIGINT),
-      'ord': {["assign", "access", "hex", "mixed"].index(kind)}, 'kind': '{kind}',
-      'end': CAST(list_sum(list_transform({kind}_g[:i], lambda x: length(x))) + list_sum(list_transform({kind}_m[:i], lambda x: length(x))) AS BIGINT), 'value': {value}[i]}})"""
-
-
 def _sql_secrets() -> str:
+    """Matches and what lies between them are unnested side by side, and places are running sums of their lengths."""
     patterns = {"assign": secrets.ASSIGN.replace("'", "''"), "access": r"AKIA[A-Z0-9]+", "hex": "[0-9a-f]+", "mixed": secrets.MIXED}
-    parts = ", ".join(f"regexp_split_to_array(t, '{p}') AS {k}_g, regexp_extract_all(t, '{p}') AS {k}_m" for k, p in patterns.items())
-    keep = {"assign": "length(x.value) >= 12", "access": "length(x.value) >= 18", "hex": "length(x.value) >= 16", "mixed": "regexp_matches(x.value, '[0-9]') AND regexp_matches(x.value, '[a-z]') AND regexp_matches(x.value, '[A-Z]')"}
-    spans = ", ".join(f"list_filter({_sql_spans(k, p, 'assign_v' if k == 'assign' else k + '_m')}, lambda x: {keep[k]}) AS {k}" for k, p in patterns.items())
-    joined = "array_to_string(list_transform(list_sort({}), lambda x: x.kind || ':' || x.start || ':' || x.\"end\"), ',')"
+    keep = {"assign": "length(value) >= 12", "access": "length(value) >= 18", "hex": "length(value) >= 16", "mixed": "regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')"}
+    every = " UNION ALL ".join(
+        f"""(SELECT row, {ord} AS ord, '{kind}' AS kind, value, CAST(upto - length(m) AS BIGINT) AS start, CAST(upto AS BIGINT) AS "end" FROM (
+  SELECT row, m, value, sum(length(gap) + length(m)) OVER (PARTITION BY row ORDER BY i) AS upto FROM (
+    SELECT row, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(gaps[:len(ms)]) AS gap, unnest(vals) AS value FROM (
+      SELECT row, regexp_extract_all(t, '{p}') AS ms, regexp_split_to_array(t, '{p}') AS gaps, regexp_extract_all(t, '{p}', {2 if kind == "assign" else 0}) AS vals FROM texts))) WHERE {keep[kind]})"""
+        for ord, (kind, p) in enumerate(patterns.items())
+    )
+    joined = "coalesce(string_agg(kind || ':' || start || ':' || \"end\", ',' ORDER BY start, ord)"
     return f"""
-WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-parts AS (SELECT doc_id, source, {parts}, regexp_extract_all(t, '{patterns["assign"]}', 2) AS assign_v FROM texts),
-spans AS (SELECT doc_id, source, {spans} FROM parts),
-base AS (SELECT doc_id, source, assign, access, hex, assign || access || hex AS b, mixed FROM spans),
-apart AS (SELECT *, list_filter(mixed, lambda m: len(list_filter(b, lambda x: x.start < m."end" AND m.start < x."end")) = 0) AS m FROM base),
-held AS (SELECT doc_id, source, unnest(b || m) AS s FROM apart),
-ownership AS (SELECT s.value AS value, count(DISTINCT source) AS owners FROM held GROUP BY s.value),
-judged AS (SELECT doc_id, count_if(owners <= 1) AS n_live, count_if(owners > 1 AND s.kind <> 'mixed') AS n_copied, coalesce(list(s) FILTER (WHERE s.kind = 'mixed' AND owners <= 1), []) AS added
-  FROM held JOIN ownership ON s.value = ownership.value GROUP BY doc_id)
-SELECT doc_id, CAST(len(assign) AS BIGINT) AS n_assign, CAST(len(access) AS BIGINT) AS n_access, CAST(len(hex) AS BIGINT) AS n_hex,
-  sha256({joined.format("b")}) AS base_sha256, {joined.format("b || coalesce(added, [])")} AS spans,
-  CAST(coalesce(n_live, 0) AS BIGINT) AS n_live, CAST(coalesce(n_copied, 0) AS BIGINT) AS n_copied
-FROM apart LEFT JOIN judged USING (doc_id)
+WITH texts AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t FROM documents),
+every AS ({every}),
+apart AS (SELECT * FROM every e WHERE kind <> 'mixed' OR NOT EXISTS (SELECT 1 FROM every b WHERE b.row = e.row AND b.kind <> 'mixed' AND b.start < e."end" AND e.start < b."end")),
+ownership AS (SELECT value, count(DISTINCT coalesce('s' || source, '-')) AS owners, count(DISTINCT (coalesce('s' || source, '-'), coalesce(CAST(doc_id AS VARCHAR), '-'))) AS repositories FROM apart JOIN texts USING (row) GROUP BY value),
+judged AS (SELECT a.*, owners <= {secrets.OWNERS} AND repositories <= {secrets.REPOSITORIES} AS live FROM apart a JOIN ownership USING (value)),
+summed AS (SELECT row, count_if(kind = 'assign') AS n_assign, count_if(kind = 'access') AS n_access, count_if(kind = 'hex') AS n_hex,
+  {joined} FILTER (WHERE kind <> 'mixed'), '') AS base, {joined} FILTER (WHERE kind <> 'mixed' OR live), '') AS spans, count_if(live) AS n_live, count_if(NOT live AND kind <> 'mixed') AS n_copied
+  FROM judged GROUP BY row)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(coalesce(n_live, 0) AS BIGINT) AS n_live, CAST(coalesce(n_copied, 0) AS BIGINT) AS n_copied
+FROM texts LEFT JOIN summed USING (row)
 """
 
 
@@ -167,6 +165,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 g AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest, max(page_id) OVER (PARTITION BY body) AS kept FROM p)
 SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN kept END AS refers_to
+  CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN kept END AS refers_to,
+  CAST(NULL AS VARCHAR) AS damage
 FROM g
 """

@@ -4,8 +4,9 @@ For every language a byte model of orders 3 to 0 with escapes (method C) is coun
 frozen. A text's code length under each model is exact: for every byte the code of the longest context in
 which it was seen, and the escapes that lead there. The shortest code names the language.
 
-Bytes are folded into at most 63 symbols (A-Z as a-z; the most frequent bytes of the sample) and a rest, whose
-bytes share a code that is the same for all languages; four symbols then address a table directly.
+Bytes are folded into at most 62 symbols (A-Z as a-z; the most frequent bytes of the sample) and a rest, whose
+bytes share one; what stands before a text's first byte is a symbol of its own. Four symbols then address a
+table directly.
 """
 
 from __future__ import annotations
@@ -23,7 +24,11 @@ from . import shared as S
 #: Documents of each language that the sample is to have (expected number, by the hash of their id).
 ROWS = 1500
 ORDER, BITS = 3, 6
-#: Contexts of the highest orders that were seen less often are left to the shorter ones.
+#: Languages to a file of their counts.
+FILE_LANGS = 10_000
+#: Symbols of what stands before a text, and of rare bytes.
+BEFORE, RARE = 0, 1
+#: Sequences of the highest order that were seen less often are left to the shorter orders, which count all.
 LEAST = 2
 PREDICTED = "doc_id long, lang_pred string, score double, bits_per_byte double"
 
@@ -40,7 +45,7 @@ class Model:
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all rows, each row after ORDER zeros, and where the rows begin (at their zeros)."""
+    """Symbols of all rows, each row after ORDER symbols BEFORE, and where the rows begin (at those)."""
     at = offsets + ORDER * np.arange(len(offsets))
     out = np.zeros(int(at[-1]), np.uint32)
     where = np.arange(len(data)) + np.repeat(ORDER * np.arange(1, len(offsets)), np.diff(offsets))
@@ -74,15 +79,14 @@ def _counter(fold: np.ndarray, langs: list[str]):
     return count
 
 
-def freeze(langs: list[str], fold: np.ndarray, lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
-    """Code lengths of all seen (context, symbol) pairs and escapes of all contexts, from counts of the highest order."""
+def freeze(langs: list[str], fold: np.ndarray, orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Model:
+    """Code lengths of all seen (context, symbol) pairs and escapes of all contexts, from the counts (lang, gram, n) of each order from 0 on."""
     model = Model(langs, fold)
     count = len(langs)
     # order -1: every symbol alike
     below = np.full((1 << BITS, count), BITS, float)
-    for order in range(ORDER + 1):
-        short = gram & ((1 << (BITS * (order + 1))) - 1)
-        codes, inverse = np.unique(short, return_inverse=True)
+    for order, (lang, gram, n) in enumerate(orders):
+        codes, inverse = np.unique(gram, return_inverse=True)
         seen = np.zeros((len(codes), count))
         np.add.at(seen, (inverse, lang), n)
         contexts, of = np.unique(codes >> BITS, return_inverse=True)
@@ -154,14 +158,19 @@ class _Tables:
 
 
 def learned(docs: DataFrame, rows: int = ROWS) -> Model:
-    """A model from ``docs`` (doc_id, text, lang) that crc32(doc_id) mod 3 does not hold out, about ``rows`` of each lang."""
+    """A model from ``docs`` (doc_id, text, lang) that crc32(doc_id) mod 3 does not hold out, about ``rows`` of each lang.
+
+    Null and empty texts teach nothing. There is a model for each lang, and so its size follows their number; what reaches the driver are counts,
+    at most 2^18 a language for the lower orders, and for the highest the sequences of four that the sample has twice.
+    """
     may = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1))
-    there = sorted((r["lang"], r["n"]) for r in may.groupBy("lang").agg(F.count("*").alias("n")).collect())
-    langs = [x for x, _ in there]
+    there = S.stored(may.groupBy("lang").agg(F.count("*").alias("_n")), "langs", FILE_LANGS)
+    langs = sorted(r["lang"] for r in there.select("lang").collect())
     if not langs:
         return Model()
-    share = F.create_map(*[v for x, n in there for v in (F.lit(x), F.lit(min(1.0, rows / n)))])
-    picked = may.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", F.col("text").cast("string").alias("text")).where("text is not null and text <> ''")
+    share = F.least(F.lit(1.0), rows / F.col("_n")) * (1 << 20)
+    picked = may.select("doc_id", "lang", F.col("text").cast("string").alias("text")).where("text is not null and text <> ''").join(there, "lang")
+    picked = picked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select("lang", "text")
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256, np.int64)
@@ -173,14 +182,16 @@ def learned(docs: DataFrame, rows: int = ROWS) -> Model:
     often = np.zeros(256, np.int64)
     for r in picked.select("text").mapInArrow(histogram, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
         often[S.LOWER[r["byte"]]] += r["n"]
-    best = np.lexsort((np.arange(256), -often))[: (1 << BITS) - 1]
-    fold = np.zeros(256, np.uint32)
-    fold[best[often[best] > 0]] = np.arange(1, (often[best] > 0).sum() + 1)
-    counted = picked.mapInArrow(_counter(fold, langs), "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    table = counted.where(F.col("n") >= LEAST).toArrow()  # bounded: at most 2^24 codes for a language, in fact what the sample holds
-    if not table.num_rows:
-        return Model()
-    return freeze(langs, fold, table.column("lang").to_numpy().astype(np.int64), table.column("gram").to_numpy(), table.column("n").to_numpy())
+    best = np.lexsort((np.arange(256), -often))[: (1 << BITS) - 2]
+    fold = np.full(256, RARE, np.uint32)
+    fold[best[often[best] > 0]] = np.arange(2, (often[best] > 0).sum() + 2)
+    counted = S.stored(picked.mapInArrow(_counter(fold, langs), "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    orders = []
+    for order in range(ORDER + 1):
+        short = counted.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << (BITS * (order + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
+        table = (short if order < ORDER else counted.where(F.col("n") >= LEAST)).toArrow()
+        orders.append((table.column("lang").to_numpy().astype(np.int64), table.column("gram").to_numpy(), table.column("n").to_numpy()))
+    return freeze(langs, fold, orders) if len(orders[0][0]) else Model()
 
 
 def _predictor(model: Model):

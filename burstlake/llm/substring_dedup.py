@@ -22,7 +22,7 @@ LEAST, MOST, RATE = 12, 128, 20
 #: Characters that a repeated run must cover. Its two ends lie a chunk or so inside the passage.
 MIN_CHARS = 100
 _GEAR = (S.mix64(np.arange(1000, 1256, dtype=np.uint64)) >> np.uint64(40)).astype(np.uint16)
-PAIRS = "doc_id long, pair long, idx int, start int, end int"
+PAIRS = "doc_id long, text_id long, pair long, idx int, start int, end int"
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -66,7 +66,7 @@ def cuts(data: np.ndarray) -> np.ndarray:
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = S.utf8(batch.column(1))
-        ids = batch.column(0).to_pylist()
+        ids, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         for i, j in S.row_blocks(offsets):
             parts = []
             for row in range(i, j):
@@ -79,47 +79,51 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 with np.errstate(over="ignore"):
                     pair = S.mix64(digests[:-1] * np.uint64(0x9FB21C651E98DF25) + digests[1:])
                 chars = np.concatenate([[0], np.cumsum((text & 0xC0) != 0x80, dtype=np.int32)])
-                parts.append((np.full(len(pair), ids[row]), pair.view(np.int64), np.arange(len(pair)), chars[starts[:-1]], chars[ends[1:]]))
+                parts.append((np.full(len(pair), ids[row]), np.full(len(pair), texts[row]), pair.view(np.int64), np.arange(len(pair)), chars[starts[:-1]], chars[ends[1:]]))
             if parts:
                 cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64 if k < 2 else np.int32)) for k, c in enumerate(cols)], names=["doc_id", "pair", "idx", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64 if k < 3 else np.int32)) for k, c in enumerate(cols)], names=["doc_id", "text_id", "pair", "idx", "start", "end"])
 
 
 def repeated_passages(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """A row for each passage of ``docs`` (doc_id, text) that lies in another document too.
 
-    doc_id, start and end (characters, end exclusive), first_doc (the least doc_id that holds it)
-    and original (doc_id is first_doc: this one stays if repeats are cut). A run of passages that follow each other
+    doc_id, start and end (characters, end exclusive), first_doc (the least doc_id that holds it), original (doc_id is
+    first_doc: this one stays if repeats are cut), and text_id, a hash of the text that start and end count in. A run of passages that follow each other
     counts from ``min_chars`` on, however short its passages; but what an earlier document holds within an original
     passage is cut out of it from ``min_chars`` on only, and belongs to it otherwise. Passages that follow each other
-    overlap by a chunk. Null or empty texts have none. Rows without doc_id take no part; rows with the same doc_id count
-    as one document, so a text does not repeat itself. Other columns are ignored.
+    overlap by a chunk. Null or empty texts have none. Rows without doc_id take no part; rows with the same doc_id are one
+    document: its texts do not repeat themselves or each other, each is reported on its own, and equal rows once. A very long
+    text is hashed in segments. Other columns are ignored. An empty table gives an empty result.
     """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pairs = texts.mapInArrow(_pairs, PAIRS)
+    pairs = texts.withColumn("text_id", F.xxhash64("text")).mapInArrow(_pairs, PAIRS)
     held = pairs.groupBy("pair").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-    repeated = pairs.join(held, "pair")
-    order = Window.partitionBy("doc_id").orderBy("idx", "first_doc")
+    # stored, so that a pair which very many texts hold is met by shuffled rows on both sides, which Spark can split
+    own = ["doc_id", "text_id"]
+    order = Window.partitionBy(*own).orderBy("idx", "first_doc")
+    repeated = pairs.join(S.stored(held, "held"), "pair")
+    repeated = repeated.withColumn("again", F.lag("idx").over(order)).where("again is null or again <> idx").drop("again")  # equal rows
     apart = F.coalesce(F.col("idx") - F.lag("idx").over(order) > 1, F.lit(True))
     begins = repeated.withColumn("apart", apart).withColumn("begins", F.col("apart") | (F.col("first_doc") != F.lag("first_doc").over(order)))
-    parts = begins.withColumn("part", F.sum(F.col("begins").cast("int")).over(order)).groupBy("doc_id", "part")
+    parts = begins.withColumn("part", F.sum(F.col("begins").cast("int")).over(order)).groupBy(*own, "part")
     parts = parts.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc").alias("first_doc"), F.bool_or("apart").alias("apart"))
-    order = Window.partitionBy("doc_id").orderBy("part")
-    chars = lambda c: F.max("end").over(Window.partitionBy("doc_id", c)) - F.min("start").over(Window.partitionBy("doc_id", c))
+    order = Window.partitionBy(*own).orderBy("part")
+    chars = lambda c: F.max("end").over(Window.partitionBy(*own, c)) - F.min("start").over(Window.partitionBy(*own, c))
     changes = lambda c: (F.col("apart") | (F.col(c) != F.lag(c).over(order))).cast("int")
     parts = parts.withColumn("own", F.col("doc_id") == F.col("first_doc")).withColumn("turn", changes("own"))
     parts = parts.withColumns({"run": F.sum(F.col("apart").cast("int")).over(order), "stretch": F.sum("turn").over(order)})
     parts = parts.withColumns({"chars": chars("run"), "stays": F.col("own") | (chars("stretch") < min_chars)}).where(F.col("chars") >= min_chars)
     parts = parts.withColumn("turn", F.when(F.col("stays"), changes("stays")).otherwise(1)).withColumn("span", F.sum("turn").over(order))
-    spans = parts.groupBy("doc_id", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc").alias("first_doc"), F.bool_or("stays").alias("original"))
-    return spans.select("doc_id", "start", "end", F.when(F.col("original"), F.col("doc_id")).otherwise(F.col("first_doc")).alias("first_doc"), "original")
+    spans = parts.groupBy(*own, "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc").alias("first_doc"), F.bool_or("stays").alias("original"))
+    return spans.select("doc_id", "start", "end", F.when(F.col("original"), F.col("doc_id")).otherwise(F.col("first_doc")).alias("first_doc"), "original", "text_id")
 
 
 def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the passages cut out that an earlier document holds; other columns and rows stay as they are."""
-    cut = S.fresh(docs, "cut")
-    spans = repeated_passages(docs, min_chars).where("not original").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cut))
-    joined = docs.join(spans, "doc_id", "left")
+    cut, text_id = S.fresh(docs, "cut"), S.fresh(docs, "text_id")
+    spans = repeated_passages(docs, min_chars).where("not original").groupBy("doc_id", F.col("text_id").alias(text_id)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cut))
+    joined = docs.withColumn(text_id, F.xxhash64(F.col("text").cast("string"))).join(spans, ["doc_id", text_id], "left")
     kept = F.expr(
         f"aggregate({cut}, struct(0 as at, '' as out), (s, c) -> struct(greatest(s.at, c.end) as at, "
         "concat(s.out, substring(text, s.at + 1, greatest(c.start - s.at, 0))) as out), s -> concat(s.out, substring(text, s.at + 1)))"

@@ -1,9 +1,11 @@
 """Toxicity by compression distance (operator 6).
 
-Two zstandard dictionaries are trained on labelled rows: one on ordinary text, one on what is typical of
-toxic text (words far more frequent there). Every window of a text is compressed with the ordinary
-dictionary alone and with the toxic one before it; the bytes saved are the window's evidence. A logistic
-curve, fitted on labelled rows that neither dictionary saw, turns a text's windows into a score.
+Two zstandard dictionaries are trained apart on labelled rows: one on ordinary text, one on the passages of
+toxic text around words that are far more frequent there. Every window of a text is compressed with the
+ordinary dictionary alone, and with the toxic one before it, so that ordinary words cost the same both times;
+the difference of the lengths is the window's evidence, and from a threshold on the window is a hit. A
+logistic curve, fitted on labelled rows that neither dictionary saw, calibrates a text's windows to a score
+and so the threshold of 0.5.
 """
 
 from __future__ import annotations
@@ -19,10 +21,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many labelled rows of each class are learned from (those with the least hash of their id).
-TOXIC_ROWS, ORDINARY_ROWS = 3000, 6000
+from . import shared as S
+
+#: At most so many labelled rows of each class are learned from, and so many bytes of them (those with the least hash of
+#: their id; a text that does not fit any more is passed over): a bound on what reaches the driver.
+TOXIC_ROWS, ORDINARY_ROWS, TOXIC_BYTES, ORDINARY_BYTES = 3000, 6000, 16 << 20, 32 << 20
 #: Bytes of a window, level of compression, sizes of the two dictionaries, words or beginnings of words that the toxic one is trained on.
 WINDOW, LEVEL, ORDINARY_SIZE, TOXIC_SIZE, WORDS = 96, 9, 8192, 1536, 300
+#: Windows that the ordinary dictionary is trained on, spread evenly over those of all its texts: some hundred times its size in bytes.
+TRAINED = 40_000
 #: Bytes saved in a window from which it counts as a hit.
 HIT = 4
 _EDGES = b".,;:!?\"'()"
@@ -85,6 +92,11 @@ def _trained(size: int, samples: list[bytes]) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def _spread(items: list, most: int) -> list:
+    """``items``, or ``most`` of them at even steps."""
+    return items if len(items) <= most else [items[k * len(items) // most] for k in range(most)]
+
+
 def fit(rows: list[tuple[str, int]], weight: dict[int, float]) -> Model:
     """``rows``: distinct (text, label). Two rows of three of a class train the dictionaries, the third the curve."""
     by = {k: [t for t, y in rows if y == k] for k in (0, 1)}
@@ -100,7 +112,7 @@ def fit(rows: list[tuple[str, int]], weight: dict[int, float]) -> Model:
     typical = {w for w in sorted((w for w, r in ratio.items() if r >= 10), key=lambda w: (-often[w] * math.log(ratio[w]), w))[:WORDS]}
     spoken = [b" " + w + b" " for t in toxic for w in t.encode("utf-8", "replace").lower().split() if any(s in typical for s in _starts(w))] or [b" "]
     model = Model(
-        _trained(ORDINARY_SIZE, [w for t in ordinary[:1500] for w in windows(t)][:40_000]),
+        _trained(ORDINARY_SIZE, _spread([w for t in ordinary for w in windows(t)], TRAINED)),
         _trained(TOXIC_SIZE, [b"".join(spoken[i : i + 8]) for i in range(0, len(spoken), 8)]),
     )
     tools = model.compressors()
@@ -121,13 +133,29 @@ def fit(rows: list[tuple[str, int]], weight: dict[int, float]) -> Model:
 
 
 def learned(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """A model from at most TOXIC_ROWS and ORDINARY_ROWS rows of ``labels`` (doc_id, label) whose crc32(doc_id) mod 5 is not 0."""
+    """A model from at most TOXIC_ROWS and ORDINARY_ROWS rows of ``labels`` (doc_id, label) whose crc32(doc_id) mod 5 is not 0.
+
+    A document with both labels counts as toxic; null texts and labels other than 0 and 1 are left out; equal texts count once. The rows
+    are picked by id; their lengths are looked at before their texts, so that the driver gets TOXIC_BYTES and ORDINARY_BYTES at most.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     there = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS))]
-    picked = parts[0].union(parts[1])  # bounded by the two parameters, so it may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.col("text").isNotNull()).select("doc_id", "text", "y").collect()
+    picked = S.stored(parts[0].union(parts[1]), "picked", TOXIC_ROWS + ORDINARY_ROWS)  # bounded by the two parameters, so it may be broadcast
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("y", F.xxhash64("text").alias("hash"), F.octet_length("text").alias("size")).agg(F.min(F.struct("doc_id", "text")).alias("first"))
+    texts = S.stored(texts.select("y", "size", F.col("first.doc_id").alias("doc_id"), F.col("first.text").alias("text")), "labelled", TOXIC_ROWS + ORDINARY_ROWS)
+    fits: list[int] = []
+    for y, most in ((1, TOXIC_BYTES), (0, ORDINARY_BYTES)):
+        for r in texts.where(F.col("y") == y).select("doc_id", "size").orderBy(F.xxhash64("doc_id"), "doc_id", "size").limit(TOXIC_ROWS if y else ORDINARY_ROWS).collect():
+            if r["size"] <= most:
+                most -= r["size"]
+                fits.append((r["doc_id"], r["size"], y))
+    wanted = docs.sparkSession.createDataFrame(fits, "doc_id long, size int, y int") if fits else None
+    if wanted is None:
+        return Model()
+    rows = texts.join(F.broadcast(wanted), ["doc_id", "size", "y"], "left_semi").select("doc_id", "text", "y").collect()
     seen: set[str] = set()
     distinct = [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"])) if not (r["text"] in seen or seen.add(r["text"]))]
     got = Counter(y for _, y in distinct)

@@ -42,7 +42,7 @@ def test_plates_are_read_among_mottoes(spark):
     assert (got["text"], got["state"], got["candidates"]) == ("XYZ987", "QLD", ["1ABC123", "XYZ987"]) and got["confidence"] == pytest.approx(1.0)
     none = one(spark, vehicles.interpret_plate(lines(("NSW", 0.9), ("", 0.5))))
     assert (none["text"], none["state"], none["confidence"]) == (None, "NSW", 0.0)
-    assert one(spark, vehicles.trim_to_format(F.lit("ABC1234"))) == "ABC1234" and one(spark, vehicles.trim_to_format(F.lit("ABC123."))) == "ABC123"
+    assert one(spark, vehicles.trim_to_format(F.lit("ABC1234"))) == "ABC123" and one(spark, vehicles.trim_to_format(F.lit("ABC123."))) == "ABC123"
 
 
 def test_tags_and_times(spark):

@@ -3,8 +3,9 @@
 Every text becomes the set of its distinct word shingles. Texts with equal sets form a class; a class is
 handled once however many copies it has. Bands of full minima give candidates, whose packed low bits
 estimate the similarity (corrected for chance agreement); what may reach the threshold is confirmed on the
-full sets. A bucket emits pairs with its most connected member only, so their number is linear in its size;
-buckets that still hold several components are then compared block by block, so that no link is lost.
+full sets. In a round each class is paired with one lead of its buckets at most, what links is contracted, and
+the next round takes the buckets that are still open. What some rounds leave apart is compared in full:
+signatures in blocks, bucket by bucket, tell which classes may link, and the full sets of those meet in blocks.
 """
 
 from __future__ import annotations
@@ -14,17 +15,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.clusters import components
 from . import shared as S
 
 #: Signature: BANDS x ROWS minima, of which the LOW lowest bits are packed into longs.
 BANDS, ROWS, LOW = 32, 4, 2
 #: A pair is dropped before confirmation if its estimate lies this far under the threshold (six deviations).
 MARGIN = 0.22
-#: Members to a block, where what the star round left apart is compared block by block.
-BLOCK = 64
+#: Rounds of pairs with leads, before what is left is compared block by block.
+TURNS = 2
+#: Signatures to a block; full sets, and their shingles in all, to a block (a set that is larger has one of its own).
+SIGNATURES, BLOCK, BLOCK_SHINGLES = 512, 64, 1 << 19
+#: Longs of a signature.
+LONGS = [f"s{k}" for k in range(BANDS * ROWS * LOW // 64)]
 
 SKETCH = "doc_id long, key binary, n_shingles long, sig array<long>, bands array<long>"
 _rng = np.random.default_rng(20240501)
@@ -111,8 +117,7 @@ def _sketcher(n: int):
 def _set_fetcher(n: int, wanted: np.ndarray, bits: int):
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64())
-            mask = S.in_bit_set(wanted, ids.fill_null(0).to_numpy(zero_copy_only=False), bits) | ids.is_null().to_numpy(zero_copy_only=False)
+            mask = S.in_bit_set(wanted, batch.column(0).to_numpy(), bits)
             data, offsets = S.utf8(batch.column(1).filter(pa.array(mask)))
             for i, j in S.row_blocks(offsets):
                 sets = [s for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n) if len(s)]
@@ -134,35 +139,27 @@ def _confirmer(percent: int):
     return confirm
 
 
-def estimate(sig_a: str, sig_b: str) -> F.Column:
-    """Similarity from agreeing low bits: share p of equal positions, corrected for chance agreement 2^-LOW."""
-    fold = "x -> x" if LOW == 1 else "x -> (x | shiftrightunsigned(x, 1)) & 6148914691236517205L"
-    differing = f"aggregate(transform(zip_with({sig_a}, {sig_b}, (x, y) -> x ^ y), {fold}), 0, (s, x) -> s + bit_count(x))"
-    return F.expr(f"(1D - {differing} / {BANDS * ROWS}D - {0.5**LOW}D) / {1 - 0.5**LOW}D")
+def estimated(differing: float) -> float:
+    """Similarity from the positions whose low bits differ: the share p that agrees, corrected for chance agreement 2^-LOW."""
+    return (1 - differing / (BANDS * ROWS) - 0.5**LOW) / (1 - 0.5**LOW)
 
 
-def _may_link(percent: int, a: str, b: str) -> F.Column:
-    """Exact bound on set sizes, and the estimate with its margin."""
-    sizes = F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)")
-    return sizes & (estimate(f"{a}.sig", f"{b}.sig") >= percent / 100 - MARGIN)
+def most_differing(percent: int) -> int:
+    """The most positions that may differ, for an estimate no more than MARGIN under the threshold."""
+    return max(k for k in range(BANDS * ROWS + 1) if k == 0 or estimated(k) >= percent / 100 - MARGIN)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(v, label) for every end of ``links`` (a, b): label is the least v that can be reached.
+_FOLD = "" if LOW == 1 else " | shiftrightunsigned({0}, 1)) & 6148914691236517205L"
 
-    Neighbours' least labels and pointer jumping in turn; each round is a stored table, and it ends when none changes.
-    """
-    edges = S.stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = S.stored(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        near = edges.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "v").select("v", F.least("label", "near").alias("to"), F.col("label").alias("was"))
-        jump = labels.select(F.col("v").alias("to"), F.col("label").alias("beyond"))
-        new = hooked.join(jump, "to", "left").select("v", F.least("to", F.coalesce("beyond", "to")).alias("label"), "was")
-        new = S.stored(new, "labels")
-        if new.where("label <> was").isEmpty():
-            return new.select("v", "label")
-        labels = new.select("v", "label")
+
+def _differing(p: str, q: str) -> str:
+    """SQL for the positions whose low bits differ; ``p`` and ``q`` end in the prefixes of the signatures' columns."""
+    return " + ".join(f"bit_count((({x}){_FOLD.format(x)})" for x in (f"({p}{c} ^ {q}{c})" for c in LONGS))
+
+
+def _may_link(percent: int, p: str, q: str) -> str:
+    """Exact bound on set sizes, and the estimate with its margin."""
+    return f"100 * least({p}n, {q}n) >= {percent} * greatest({p}n, {q}n) and {_differing(p, q)} <= {most_differing(percent)}"
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -173,111 +170,176 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sequence, with fewer words); component_id is the least doc_id reachable; kept says doc_id is it.
     Null or empty text, or no word: n_shingles 0, linked with nothing. Null doc_id: takes part, but is never
     a component_id (null if the component has no other). Rows with one doc_id and one text count as one document, all kept
-    or none. Other columns are ignored. An empty table gives an empty result.
+    or none. A very long text is one set like any other. Other columns are ignored. An empty table gives an empty result.
     """
-    spark: SparkSession = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = S.stored(texts.mapInArrow(_sketcher(shingle), SKETCH), "sketches")
-    classes = S.stored(
-        sketches.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")),
-        "classes",
-    )
-    rows = classes.select("key", F.explode("bands").alias("bucket"))
+    n = sketches.count()
+    firsts = [F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "sig", "bands"))]
+    words = [F.col("sig")[k].alias(c) for k, c in enumerate(LONGS)]
+    classes = sketches.where("key is not null").groupBy("key").agg(*firsts)
+    classes = S.stored(classes.select(F.monotonically_increasing_id().alias("cid"), "key", "rep", F.col("n_shingles").alias("n"), *words, "bands"), "classes", 4 * n)
+    rows = classes.select("cid", "n", *LONGS, F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = S.stored(rows.join(shared, "bucket"), "members")
+    members = S.stored(rows.join(shared, "bucket"), "members", BANDS * n)
     if members.isEmpty():
         return _result(sketches, classes, None)
-    connected = members.groupBy("key").agg(F.sum("size").alias("pop"))
-    info = S.stored(connected.join(classes.select("key", "n", "sig", "rep"), "key"), "info")
-    members = S.stored(members.join(info.select("key", F.struct("pop", "key", "n", "sig").alias("m")), "key"), "members")
-
-    sets = S.stored(_fetch_sets(texts, info, shingle), "sets")
-    links = S.stored(_confirmed(_star_pairs(members, percent), sets, percent), "links")
-    labels = spark.createDataFrame([], "v binary, label binary") if links.isEmpty() else components(links)
-    current = S.stored(_still_open(members, labels), "open")
-    if not current.isEmpty():
-        more = S.stored(_block_links(current, sets, percent), "links")
-        if not more.isEmpty():
-            labels = components(links.union(more))
+    info = S.stored(members.groupBy("cid").agg(F.sum("size").alias("pop")).join(classes.drop("bands"), "cid"), "info", n)
+    n, size = info.count(), members.count()
+    members = members.drop("size").join(info.select("cid", "pop"), "cid")
+    sets = S.stored(_fetch_sets(texts, info, n, shingle), "sets")
+    labels, tested = info.select("cid", F.col("cid").alias("label")), None
+    for turn in range(TURNS):
+        members, pairs = _pairs_with_leads(members, info, labels, tested, percent, turn, n, size)
+        if pairs.isEmpty():
+            continue
+        tested = pairs if tested is None else tested.union(pairs)
+        labels = _relabelled(labels, S.stored(_confirmed(pairs, sets, percent), "links"), n)
+    members = S.stored(_still_open(members, labels), "open", size)
+    if not members.isEmpty():
+        labels = _relabelled(labels, S.stored(_block_links(members, sets, percent), "links"), n)
     return _result(sketches, classes, labels)
 
 
-def _fetch_sets(texts: DataFrame, info: DataFrame, shingle: int) -> DataFrame:
-    """The full sets of the classes in ``info``, made anew from their texts: only those are kept or moved."""
-    bits = 1 << min(27, max(23, (8 * info.count()).bit_length()))
-    wanted = S.bit_set(info, "rep", bits)
-    found = texts.mapInArrow(_set_fetcher(shingle, wanted, bits), "key binary, members binary")
-    return found.join(info.select("key"), "key", "left_semi").groupBy("key").agg(F.first("members").alias("members"))
+def _fetch_sets(texts: DataFrame, info: DataFrame, n: int, shingle: int) -> DataFrame:
+    """(cid, members): full sets of the classes in ``info``, made anew from their texts: only those are kept or moved."""
+    bits = 1 << min(27, max(23, (8 * n).bit_length()))
+    # by the id's hash: ids may follow a pattern that its remainder would repeat
+    wanted = S.bit_set(info, F.xxhash64("rep"), bits)
+    found = texts.select(F.xxhash64("doc_id").alias("hash"), "text").mapInArrow(_set_fetcher(shingle, wanted, bits), "key binary, members binary")
+    return found.join(info.select("key", "cid"), "key").groupBy("cid").agg(F.first("members").alias("members"))
 
 
-def _still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of buckets whose members are in more than one component so far, with their labels."""
-    now = members.join(labels.withColumnRenamed("v", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    return now.drop("size").join(mixed.select("bucket", "size"), "bucket")
+def _relabelled(labels: DataFrame, links: DataFrame, n: int) -> DataFrame:
+    """``labels`` (cid, label), where labels that ``links`` (a, b) connect have become the least of them."""
+    if links.isEmpty():
+        return labels
+    ends = [labels.select(F.col("cid").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b")]
+    between = links.join(ends[0], "a").join(ends[1], "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    joined = components(between, lambda df: S.stored(df, "labels", n)).select(F.col("v").alias("label"), "component")
+    return S.stored(labels.join(joined, "label", "left").select("cid", F.coalesce("component", "label").alias("label")), "labels", n)
+
 
+def _still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of buckets whose members have more than one label so far, with their labels."""
+    now = members.drop("label").join(labels, "cid")
+    mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    return now.join(mixed.select("bucket"), "bucket", "left_semi")
 
-def _pair(x: str, y: str) -> list[F.Column]:
-    return [F.least(f"{x}.key", f"{y}.key").alias("a"), F.greatest(f"{x}.key", f"{y}.key").alias("b")]
 
+def _pairs_with_leads(members: DataFrame, info: DataFrame, labels: DataFrame, tested: DataFrame | None, percent: int, turn: int, n: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """The rows that are still open, and (a, b): for each class at most one pair, with the likeliest lead of its buckets.
 
-def _star_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Each bucket's best connected member with each other one: linear in the bucket, and mostly the same few members in all."""
-    joined = members.join(members.groupBy("bucket").agg(F.max("m").alias("lead")), "bucket").where("m.key <> lead.key")
-    return joined.where(_may_link(percent, "lead", "m")).select(*_pair("lead", "m")).distinct()
+    A bucket's lead is its best connected member at first, so that mostly the same few lead; later that of one label or another.
+    """
+    members = S.stored(_still_open(members, labels), "open", size)
+    by = F.least("pop", F.lit(1 << 40))
+    if turn:
+        by = F.pmod(F.xxhash64("label", F.lit(turn)), F.lit(1 << 20)) * F.lit(1 << 41) + by
+    leads = members.groupBy("bucket").agg(F.max_by("cid", by).alias("lead"))
+    told = info.join(labels, "cid").select(F.col("cid").alias("lead"), F.col("label").alias("lead_label"), *(F.col(c).alias(f"lead_{c}") for c in ("n", *LONGS)))
+    offers = members.join(leads.join(told, "lead"), "bucket").where("label <> lead_label").where(_may_link(percent, "", "lead_"))
+    offers = offers.select("cid", "lead", F.expr(_differing("", "lead_")).alias("differing"))
+    if tested is not None:
+        offers = offers.join(tested.select(F.col("a").alias("cid"), F.col("b").alias("lead")), ["cid", "lead"], "left_anti")
+    best = offers.groupBy("cid").agg(F.min_by("lead", "differing").alias("lead"))
+    return members, S.stored(best.select(F.col("cid").alias("a"), F.col("lead").alias("b")), "pairs", n)
+
+
+def _in_blocks(rows: DataFrame, group: str, most: int, shingles: int, columns: list[str], name: str, sets: DataFrame | None = None) -> DataFrame:
+    """Pairs of blocks of each ``group`` that hold different labels: left, right (lists of structs of ``columns``).
+
+    Rows are dealt to blocks of about ``most`` rows and ``shingles`` shingles; a label that fills a block has blocks of its own, and
+    those do not meet each other, so a label of m rows costs m / ``most`` meetings with each other block.
+    """
+    of_label = rows.groupBy(group, "label").agg(F.count("*").alias("k"), F.sum("n").alias("all_n"))
+    full = F.greatest(F.ceil(F.col("k") / most), F.ceil(F.col("all_n") / shingles))
+    of_label = of_label.withColumn("own", F.when(full > 1, F.col("label")))
+    room = of_label.groupBy(group, "own").agg(F.greatest(F.ceil(F.sum("k") / most), F.ceil(F.sum("all_n") / shingles)).alias("parts"))
+    same = F.expr(f"g.{group} = r.{group} and g.own <=> r.own")
+    sized = of_label.alias("g").join(room.alias("r"), same).select(f"g.{group}", "g.label", "g.own", "r.parts")
+    placed = rows.join(sized, [group, "label"]).withColumn("block", F.xxhash64("own", F.pmod(F.xxhash64("cid"), F.col("parts"))))
+    placed = placed if sets is None else placed.join(sets, "cid")
+    blocks = S.stored(placed.groupBy(group, "block", "own").agg(F.collect_list(F.struct(*columns)).alias("them")), name)
+    i = blocks.select(group, F.col("block").alias("i"), F.col("own").alias("own_i"))
+    j = blocks.select(group, F.col("block").alias("j"), F.col("own").alias("own_j"))
+    meet = i.join(j, group).where("i <= j and not coalesce(own_i = own_j, false)").select(group, "i", "j")
+    left = blocks.select(group, F.col("block").alias("i"), F.col("them").alias("left"))
+    right = blocks.select(group, F.col("block").alias("j"), F.col("them").alias("right"))
+    return meet.join(left, [group, "i"]).join(right, [group, "j"]).select("left", "right")
 
 
 def _block_links(current: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Exact links between different labels in open buckets.
 
-    Buckets that share members form clusters; a cluster's members are cut into blocks of about BLOCK, those of a large
-    label into blocks of their own, and each two blocks meet once, with their full sets, in some task. Such a
-    task returns no more links than members, as it leaves out those that join what it has joined.
+    Signatures meet first, in blocks of each bucket: what may link by size and estimate is connected, and the full sets of
+    each cluster of such classes meet in blocks, once. Either step returns fewer links than a block pair has rows, as
+    it leaves out those that join what it has joined.
     """
-    lead = current.groupBy("bucket").agg(F.min("key").alias("a"))
-    joined = components(current.join(lead, "bucket").select("a", F.col("key").alias("b")))
-    docs = current.select("key", "label").distinct().join(joined.select(F.col("v").alias("key"), F.col("label").alias("cluster")), "key")
-    of_label = docs.groupBy("cluster", "label").agg(F.count("*").alias("k"))
-    grouped = of_label.withColumn("own", F.when(F.col("k") >= BLOCK, F.col("label")))
-    room = grouped.groupBy("cluster", "own").agg(F.ceil(F.sum("k") / BLOCK).alias("parts"))
-    same = F.expr("g.cluster = r.cluster and g.own <=> r.own")
-    sized = grouped.alias("g").join(room.alias("r"), same).select("g.cluster", "g.label", "g.own", "r.parts")
-    placed = docs.join(sized, ["cluster", "label"])
-    placed = placed.withColumn("block", F.xxhash64("own", F.pmod(F.xxhash64("key"), F.col("parts"))))
-    full = placed.join(sets, "key").select("cluster", "block", "own", F.struct("key", "label", "members").alias("d"))
-    blocks = S.stored(full.groupBy("cluster", "block", "own").agg(F.collect_list("d").alias("them")), "blocks")
-    i = blocks.select("cluster", F.col("block").alias("i"), F.col("own").alias("own_i"))
-    j = blocks.select("cluster", F.col("block").alias("j"), F.col("own").alias("own_j"))
-    # a block of one label has nothing to compare with blocks of that label
-    meet = i.join(j, "cluster").where("i <= j and not coalesce(own_i = own_j, false)").select("cluster", "i", "j")
-    left = blocks.select("cluster", F.col("block").alias("i"), F.col("them").alias("left"))
-    right = blocks.select("cluster", F.col("block").alias("j"), F.col("them").alias("right"))
-    met = meet.join(left, ["cluster", "i"]).join(right, ["cluster", "j"])
-    return met.select("left", "right").mapInArrow(_comparer(percent), "a binary, b binary")
+    found = _in_blocks(current, "bucket", SIGNATURES, 1 << 62, ["cid", "label", "n", *LONGS], "signature-blocks")
+    likely = S.stored(found.mapInArrow(_estimator(percent), "a long, b long"), "likely")
+    found_n = likely.count()
+    if not found_n:
+        return likely
+    clusters = components(likely, lambda df: S.stored(df, "clusters", found_n)).select(F.col("v").alias("cid"), F.col("component").alias("cluster"))
+    docs = S.stored(clusters.join(current.select("cid", "label", "n").distinct(), "cid"), "clustered", 2 * found_n)
+    return _in_blocks(docs, "cluster", BLOCK, BLOCK_SHINGLES, ["cid", "label", "members"], "set-blocks", sets).mapInArrow(_comparer(percent), "a long, b long")
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """(row, column) pairs of ``linked`` (true: an edge) that connect what it connects, without cycles."""
+    out = []
+    rows, columns = linked.any(1), linked.any(0)
+    for first in np.flatnonzero(rows).tolist():
+        if not rows[first]:
+            continue
+        rows[first], waiting = False, [(0, first)]
+        while waiting:
+            side, k = waiting.pop()
+            line, free = (linked[:, k], rows) if side else (linked[k], columns)
+            new = np.flatnonzero(line & free)
+            free[new] = False
+            out += [(x, k) if side else (k, x) for x in new.tolist()]
+            waiting += [(1 - side, x) for x in new.tolist()]
+    return out
+
+
+def _side(batch: pa.RecordBatch, name: str, row: int) -> pa.StructArray:
+    lists = batch.column(name)
+    return lists.values.slice(lists.offsets[row].as_py(), len(lists[row]))
+
+
+def _estimator(percent: int):
+    most, low = most_differing(percent), np.uint64(0x5555555555555555)
+
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one, two = ({c: side.field(c).to_numpy(zero_copy_only=False) for c in ("cid", "label", "n", *LONGS)} for side in (_side(batch, "left", row), _side(batch, "right", row)))
+                x, y = one["n"][:, None], two["n"][None, :]
+                may = (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (one["label"][:, None] != two["label"][None, :])
+                differing = np.zeros(may.shape, np.int64)
+                for c in LONGS:
+                    bits = one[c].view(np.uint64)[:, None] ^ two[c].view(np.uint64)[None, :]
+                    differing += np.bitwise_count(bits if LOW == 1 else (bits | (bits >> np.uint64(1))) & low)
+                out = [(one["cid"][p], two["cid"][q]) for p, q in forest(may & (differing <= most))]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return estimate
 
 
 def _comparer(percent: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                one, two = batch.column("left")[row].as_py(), batch.column("right")[row].as_py()
-                sizes = [np.array([len(d["members"]) // 8 for d in side]) for side in (one, two)]
-                both = common_counts([np.frombuffer(d["members"], np.uint64) for d in one], [np.frombuffer(d["members"], np.uint64) for d in two])
+                one, two = ({c: side.field(c) for c in ("cid", "label", "members")} for side in (_side(batch, "left", row), _side(batch, "right", row)))
+                cids, labels = ([side[c].to_numpy() for side in (one, two)] for c in ("cid", "label"))
+                sets = [[np.frombuffer(m.as_buffer(), np.uint64) for m in side["members"]] for side in (one, two)]
+                sizes = [np.array([len(m) for m in side]) for side in sets]
+                both = common_counts(*sets)
                 linked = 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
-                parent: dict[bytes, bytes] = {}
-
-                def top(x: bytes) -> bytes:
-                    while parent.setdefault(x, x) != x:
-                        x = parent[x]
-                    return x
-
-                out = []
-                for x, y in np.argwhere(linked).tolist():
-                    p, q = top(one[x]["label"]), top(two[y]["label"])
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-                        out.append(tuple(sorted((one[x]["key"], two[y]["key"]))))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+                out = [(cids[0][x], cids[1][y]) for x, y in forest(linked & (labels[0][:, None] != labels[1][None, :]))]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return compare
 
@@ -302,16 +364,18 @@ def common_counts(one: list[np.ndarray], two: list[np.ndarray], slice_size: int
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    full = pairs.join(sets.select(F.col("key").alias("b"), F.col("members").alias("sb")), "b").join(sets.select(F.col("key").alias("a"), F.col("members").alias("sa")), "a")
-    return full.mapInArrow(_confirmer(percent), "a binary, b binary")
+    full = pairs.join(sets.select(F.col("cid").alias("b"), F.col("members").alias("sb")), "b").join(sets.select(F.col("cid").alias("a"), F.col("members").alias("sa")), "a")
+    return full.mapInArrow(_confirmer(percent), "a long, b long")
 
 
 def _result(sketches: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    reps = classes.select("key", "rep")
+    reps = classes.select("cid", "key", "rep")
     if labels is not None:
-        linked = reps.join(labels.withColumnRenamed("v", "key"), "key")
+        linked = reps.join(labels, "cid")
         least = linked.groupBy("label").agg(F.min("rep").alias("least"))
-        reps = reps.join(linked.join(least, "label").select("key", "least"), "key", "left").select("key", F.coalesce("least", "rep").alias("rep"))
-    found = sketches.select("doc_id", "key", "n_shingles").join(reps, "key", "left")
-    own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("rep"))
-    return found.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
+        reps = reps.join(linked.join(least, "label").select("cid", "least"), "cid", "left").select("key", F.coalesce("least", "rep").alias("rep"))
+    found = sketches.select("doc_id", "key", "n_shingles")
+    # rows without a word have no key: they meet nothing and need no place in the shuffle
+    alone = found.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    joined = found.where("key is not null").join(reps, "key").select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
+    return joined.union(alone).withColumn("kept", F.expr("doc_id <=> component_id"))

@@ -8,18 +8,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
 
 #: Bytes of text that are hashed at once; working memory is a small multiple of it.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _MASK = (1 << 64) - 1
 
 
 #: Rows and bytes that go to a Python worker at once: texts and blocks are long, and a worker's memory follows the batch.
-BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -46,12 +46,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/burstlake/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a small table that go to one file.
+FILE_ROWS = 200_000
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
-    This cuts lineage, survives lost executors, and gives later joins a real size to plan with.
+    This cuts lineage, survives lost executors, and gives later joins a real size to plan with. Of a table with at most
+    ``rows`` narrow rows no more files are written than they fill: a round over few rows is not to leave a file a partition.
     """
     path = new_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -157,12 +164,11 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
         return mix64(total)
 
 
-def bit_set(df: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A bit map of fixed size of ``column`` modulo ``bits``: built by aggregation, 4 KB a row, never larger than bits / 8 bytes."""
-    at = F.pmod(F.col(column), F.lit(bits))
+def bit_set(df: DataFrame, hashed: Column, bits: int) -> np.ndarray:
+    """A bit map of fixed size of a hash modulo ``bits``: built by aggregation, 4 KB a row, never larger than bits / 8 bytes."""
+    at = F.pmod(hashed, F.lit(bits))
     rows = (
-        df.where(F.col(column).isNotNull())
-        .select(F.shiftright(at, 15).alias("bucket"), at.bitwiseAND(F.lit(32767)).alias("at"))
+        df.select(F.shiftright(at, 15).alias("bucket"), at.bitwiseAND(F.lit(32767)).alias("at"))
         .groupBy("bucket")
         .agg(F.bitmap_construct_agg("at").alias("map"))
     )
@@ -172,8 +178,8 @@ def bit_set(df: DataFrame, column: str, bits: int) -> np.ndarray:
     return out
 
 
-def in_bit_set(bitmap: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
-    at = np.mod(values, bits)
+def in_bit_set(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    at = np.mod(hashes, bits)
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 

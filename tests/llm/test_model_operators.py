@@ -28,6 +28,32 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_inner_products(df.limit(0)).collect() == []
 
 
+def test_top_k_over_many_groups_and_huge_components(spark, monkeypatch):
+    for name, value in (("BLOCK", 4), ("BLOCKS", 3), ("QUERIES", 2), ("EXTREMES", 3)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 1, (6, 8))
+    rows = [(int(i), (centres[i // 60] + rng.normal(0, 0.05, 8)).tolist()) for i in range(360)]
+    huge = [(50, [1e30, 1e30]), (1, [1e30, 1e30]), (2, [1e300, -1e300]), (3, [-1e30, 5.0]), (100, [1e15, -3e14]), (7, [1e12, 2e12])]
+    for data in (rows, huge):
+        whole = [(i, [min(max(int(np.floor(min(max(x, -(2.0**54)), 2.0**54) * 256)), -(2**62)), 2**62) for x in v]) for i, v in data]
+        want = []
+        for q, v in whole:
+            if q % 50 == 0:
+                scored = sorted((-min(max(sum(a * b for a, b in zip(v, w, strict=True)), -(2**63)), 2**63 - 1), i) for i, w in whole if i != q)[:5]
+                want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+        got = topk.top_inner_products(spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3))
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_blocks_below_the_kth_score_are_left_out():
+    rng = np.random.default_rng(6)
+    vectors = np.concatenate([np.full((128, 4), 10 * k) for k in range(20)]) + rng.integers(0, 5, (2560, 4))
+    found, scored = topk.pruned_top(np.arange(2560), vectors, np.array([-1]), np.ones((1, 4), np.int64), 5)
+    assert scored < 4 and min(s for _, _, s in found) >= 760
+    assert topk.pruned_top(np.arange(2560), vectors, np.array([-1]), np.ones((1, 4), np.int64), 5, np.array([10_000.0])) == ([], 0)
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     extra = spark.createDataFrame([(-1, None, None, None, None), (-2, "", "en", None, 0), (-3, "12 34 !", None, "s", 7), (None, "the and of", "en", "s", 10)], "doc_id long, text string, lang string, source string, n_chars long")
@@ -62,48 +88,50 @@ def test_language_on_held_out_rows(spark, docs):
     assert set(language.languages(docs, language.learned(docs.where("lang is null"))).toPandas().lang_pred) == {"und"}
 
 
-def test_code_lengths_equal_a_plain_model():
-    rng = random.Random(4)
-    texts = ["".join(rng.choice("abcd ") for _ in range(300)), "".join(rng.choice("aabbx ") for _ in range(300))]
-    fold = np.zeros(256, np.uint32)
-    for k, c in enumerate("abcdx ", 1):
-        fold[ord(c)] = k
-    grams = []
-    counts = [{}, {}]
-    for g, t in enumerate(texts):
-        sym = [0, 0, 0] + [int(fold[ord(c)]) for c in t]
+def plain_code_length(texts, fold, asked, least):
+    """Prediction by partial matching, a context at a time: orders 0 to 2 count all, order 3 what was seen ``least`` times."""
+    counts = {}
+    for t in texts:
+        sym = [0, 0, 0] + [int(fold[b]) for b in t.encode().lower()]
         for i in range(3, len(sym)):
-            code = sum(s << (6 * (3 - k)) for k, s in enumerate(sym[i - 3 : i + 1]))
-            grams.append((g, code))
             for order in range(4):
-                ctx = tuple(sym[i - order : i])
-                counts[g].setdefault(ctx, {}).setdefault(sym[i], 0)
-                counts[g][ctx][sym[i]] += 1
-    pairs, n = np.unique(np.array(grams), axis=0, return_counts=True)
-    model = language.freeze(["a", "b"], fold, pairs[:, 0], pairs[:, 1], n)
-    tables = language._Tables(model)
-    asked = "abxd ca badcab xx dab" * 3 + "zz ab"
-    data = np.frombuffer(asked.encode(), np.uint8)
-    got = tables.bits(*language.symbols(data, np.array([0, 10, 10, len(data)]), fold))
-
-    def plain(g, text):
-        sym, total = [0, 0, 0] + [int(fold[ord(c)]) for c in text], 0.0
-        for i in range(3, len(sym)):
-            for order in (3, 2, 1, 0, -1):
-                if order < 0:
-                    total += 6
+                of = counts.setdefault(tuple(sym[i - order : i]), {})
+                of[sym[i]] = of.get(sym[i], 0) + 1
+    counts = {c: {s: n for s, n in of.items() if len(c) < 3 or n >= least} for c, of in counts.items()}
+    total, sym = 0.0, [0, 0, 0] + [int(fold[b]) for b in asked.encode().lower()]
+    for i in range(3, len(sym)):
+        for order in (3, 2, 1, 0, -1):
+            if order < 0:
+                total += 6
+                break
+            seen = counts.get(tuple(sym[i - order : i]))
+            if seen:
+                whole = sum(seen.values()) + len(seen)
+                if sym[i] in seen:
+                    total -= np.log2(seen[sym[i]] / whole)
                     break
-                seen = counts[g].get(tuple(sym[i - order : i]))
-                if seen:
-                    whole = sum(seen.values()) + len(seen)
-                    if sym[i] in seen:
-                        total -= np.log2(seen[sym[i]] / whole)
-                        break
-                    total -= np.log2(len(seen) / whole)
-        return total
-
-    want = [[plain(g, t) for g in (0, 1)] for t in (asked[:10], "", asked[10:])]
+                total -= np.log2(len(seen) / whole)
+    return total
+
+
+def test_what_production_builds_equals_a_plain_model(spark):
+    rng = random.Random(4)
+    words = {"a": "abcd éß", "b": "aabbx ü漢"}
+    rows = [(k, "".join(rng.choice(words[g]) for _ in range(rng.choice([3, 80, 200]))).title(), g) for k, g in enumerate("ab" * 12)]
+    rows += [(100, "zq zq", "c"), (101, None, "a"), (102, "", "b"), (103, "never", None), (None, "never", "a")]  # a language with one short text
+    rows += [rows[0]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"n": F.lit(1), "_n": F.lit(2), "gram": F.lit("x")})
+    model = language.learned(df)
+    taught = {g: [t for i, t, x in rows if x == g and i is not None and t and zlib.crc32(str(i).encode()) % 3 != 1] for g in "abc"}
+    assert model.langs == [g for g in "abc" if taught[g]] and len(taught["a"]) > 3
+    asked = ["abxd ca badcab éé xx dab" * 3, "", "zz 漢ab", "A" * 700_000 + "x"]
+    data = [np.frombuffer(t.encode(), np.uint8) for t in asked]
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    got = language._Tables(model).bits(*language.symbols(np.concatenate(data), offsets, model.symbol))
+    want = [[plain_code_length(taught[g], model.symbol, t, language.LEAST) for g in model.langs] for t in asked]
     assert got == pytest.approx(np.array(want), rel=1e-4)
+    found = language.languages(spark.createDataFrame([(1, asked[3]), (1, asked[3]), (2, asked[0])], "doc_id long, text string"), model).collect()
+    assert len(found) == 3 and all(r["lang_pred"] in model.langs for r in found)
 
 
 def test_packing_round_trip(spark, docs):
@@ -165,6 +193,53 @@ def test_warc_round_trip_with_magic_in_payloads(spark):
     assert warc.round_trip(df.limit(0)).collect() == []
 
 
+def _record(version, number, body, length=None):
+    head = f"WARC/{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{number}>\r\nContent-Length: {len(body) if length is None else length}\r\n\r\n"
+    return head.encode() + body + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("split", [300, 1 << 20])
+def test_foreign_and_damaged_archives(spark, tmp_path, split):
+    import gzip
+
+    bodies = [b"a" * 5, b"", b"x\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\nabc", b"\r\n\r\nWARC/none", b"z" * 3000]
+    whole = {v: b"".join(_record(v, k, b) for k, b in enumerate(bodies)) for v in ("0.18", "1.0", "1.1")}
+    files = {f"v{v}.warc": raw for v, raw in whole.items()}
+    files["packed.warc.gz"] = b"".join(gzip.compress(_record("1.0", k, b)) for k, b in enumerate(bodies))
+    files["mixed.warc"] = _record("1.0", 0, b"one") + _record("1.1", 1, b"two")
+    files["long.warc"] = _record("1.0", 0, b"one") + _record("1.0", 1, b"two", 9999)
+    files["short.warc"] = _record("1.0", 0, b"one") + _record("1.0", 1, b"two", 1) + _record("1.0", 2, b"lost")
+    files["none.warc"] = _record("1.0", 0, b"one") + _record("1.0", 1, b"two", "many") + _record("1.0", 2, b"lost")
+    files["empty.warc"] = b""
+    for name, raw in files.items():
+        (tmp_path / name).write_bytes(raw)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        got = warc.records(spark, str(tmp_path)).collect()
+        payloads = warc.records(spark, str(tmp_path), with_payload=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    by = {}
+    for r in got:
+        by.setdefault(r["file"].rpartition("/")[2], []).append((r["offset"], r["id"], r["bytes"], r["damage"]))
+    for name in ("v0.18.warc", "v1.0.warc", "v1.1.warc", "packed.warc.gz"):
+        assert [x[1:] for x in sorted(by[name])] == [(f"<urn:page:{k}>", len(b), None) for k, b in enumerate(bodies)]
+    assert [x[3] for x in sorted(by["mixed.warc"])] == [None, None]
+    assert [(x[1], x[3]) for x in sorted(by["long.warc"])] == [("<urn:page:0>", None), ("<urn:page:1>", warc.BROKEN["next"])]
+    assert [(x[1], x[3]) for x in sorted(by["short.warc"])] == [("<urn:page:0>", None), ("<urn:page:1>", warc.BROKEN["next"])]
+    assert [(x[1], x[3]) for x in sorted(by["none.warc"])] == [("<urn:page:0>", None), (None, warc.BROKEN["header"])]
+    assert "empty.warc" not in by
+    raw = {(r["file"].rpartition("/")[2], r["id"]): r["payload"] for r in payloads}
+    assert all(bytes(raw["v1.0.warc", f"<urn:page:{k}>"]) == b for k, b in enumerate(bodies))
+
+
+def test_revisits_are_checked_against_their_responses(spark):
+    rows = [("response", "a", None, "d1", 5), ("revisit", "b", "a", "d1", 5), ("revisit", "c", "a", "d2", 5), ("revisit", "d", "zz", "d1", 5), ("revisit", "e", "a", "d1", None), (None, None, None, None, None)]
+    found = spark.createDataFrame([(*r, None) for r in rows], "type string, id string, refers_to string, digest string, bytes long, damage string")
+    got = {r["id"]: r["damage"] for r in warc.checked(found).collect()}
+    assert got == {"a": None, "b": None, "c": warc.BROKEN["digest"], "d": warc.BROKEN["digest"], "e": None, None: None}
+
+
 def test_pipeline_keeps_clean_documents_and_drops_planted_ones(spark, tmp_path):
     import corpus_pipeline
 

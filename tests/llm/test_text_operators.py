@@ -67,6 +67,37 @@ def test_near_duplicates_equal_brute_force(spark, n, percent):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_blocks_alone_lose_no_link(spark, monkeypatch):
+    rng = random.Random(6)
+    centre, rows = sentence(rng, 80).split(), []
+    for k in range(70):
+        rows.append((k, " ".join(edited(rng, centre, rng.choice([0, 0.01, 0.02, 0.05]))), "a"))
+    rows += [(100 + k, sentence(rng, 50), "a") for k in range(5)] + [(200, rows[0][1], "a")]
+    for name, value in (("TURNS", 0), ("SIGNATURES", 8), ("BLOCK", 3), ("BLOCK_SHINGLES", 200)):
+        monkeypatch.setattr(near_dup, name, value)
+    got = collect(near_dup.near_duplicates(frame(spark, rows), 3, 85))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute_components(rows, 3, 85))
+
+
+def test_forest_connects_what_a_matrix_connects():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+
+    def groups(edges, n):
+        label = list(range(2 * n))
+        for x, y in edges:
+            old, new = label[x], label[n + y]
+            label = [new if z == old else z for z in label]
+        return {frozenset(k for k in range(2 * n) if label[k] == z) for z in set(label)}
+
+    for n, share in ((1, 1.0), (12, 0.05), (12, 0.1), (20, 0.3), (9, 0.0)):
+        linked = rng.random((n, n)) < share
+        edges = near_dup.forest(linked.copy())
+        assert all(linked[x, y] for x, y in edges) and len(edges) < max(1, 2 * n)
+        assert groups(edges, n) == groups(np.argwhere(linked).tolist(), n)
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert near_dup.near_duplicates(frame(spark, [])).collect() == []
 
@@ -117,6 +148,70 @@ def test_copies_that_share_a_passage_lose_nothing(spark):
     assert all(len(cut[i]) < 150 for i in (9, 10, 12, 21))
 
 
+def brute_chunks(text):
+    """Ends of chunks by the rule, byte by byte: the rolling hash h = 2 h + GEAR[byte] modulo 2^16, cuts where it is small."""
+    raw, h, ends, last = text.encode(), 0, [], 0
+    candidates = []
+    for k, b in enumerate(raw):
+        h = (2 * h + int(substring_dedup._GEAR[b])) % 65536
+        at = k + 1
+        if h < 65536 // substring_dedup.RATE and 16 <= at < len(raw) and raw[at] & 0xC0 != 0x80:
+            candidates.append(at)
+    before = -substring_dedup.LEAST
+    for at in candidates:  # a cut goes if the candidate before it, kept or not, is too near
+        if at - before >= substring_dedup.LEAST:
+            ends.append(at)
+        before = at
+    out = []
+    for at in [*ends, len(raw)]:
+        if at - last > substring_dedup.MOST:
+            p = last + substring_dedup.MOST
+            while p < at:
+                while p < at and raw[p] & 0xC0 == 0x80:
+                    p += 1
+                out.append(p)
+                p += substring_dedup.MOST
+        out.append(at)
+        last = at
+    return sorted(set(out))
+
+
+def test_repeated_chunks_equal_brute_force(spark):
+    rng = random.Random(41)
+    shared = [sentence(rng, 60) for _ in range(4)]
+    rows = [(k, " ".join([sentence(rng, 30), rng.choice(shared), sentence(rng, 30), rng.choice(shared)]) + "é漢" * rng.randint(0, 90), "a") for k in range(30)]
+    rows += [(40, rows[3][1], "a"), rows[5], (5, shared[0] + " " + sentence(rng, 40), "b"), (5, sentence(rng, 40), "c"), (None, shared[1], "a"), (41, shared[1] + " " + shared[1], "a"), (42, None, "a"), (43, "", "a")]
+    rows.append((44, sentence(rng, 60_000) + " " + shared[2], "a"))
+    import numpy as np
+
+    texts = {(i, t) for i, t, _ in rows if i is not None and t}
+    chunks = {x: list(zip([0, *brute_chunks(x[1])[:-1]], brute_chunks(x[1]), strict=True)) for x in texts}
+    assert all(substring_dedup.cuts(np.frombuffer(t.encode(), np.uint8)).tolist() == brute_chunks(t) for _, t in texts)
+    holders = {}
+    for (i, t), c in chunks.items():
+        raw = t.encode()
+        for (a, m), (_, b) in zip(c, c[1:], strict=False):
+            holders.setdefault((raw[a:m], raw[m:b]), set()).add(i)
+    got = {}
+    for r in collect(substring_dedup.repeated_passages(frame(spark, rows), 100)):
+        got.setdefault((r["doc_id"], r["text_id"]), []).append((r["start"], r["end"]))
+    hashes = {(r["doc_id"], r["text"]): r["h"] for r in frame(spark, rows).select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    for (i, t), c in chunks.items():
+        raw, runs = t.encode(), []
+        for (a, m), (_, b) in zip(c, c[1:], strict=False):
+            if len(holders[raw[a:m], raw[m:b]]) > 1:
+                start, end = len(raw[:a].decode()), len(raw[:b].decode())
+                if runs and start < runs[-1][1]:
+                    runs[-1][1] = end
+                else:
+                    runs.append([start, end])
+        want = [tuple(x) for x in runs if x[1] - x[0] >= 100]
+        covered = sorted(got.get((i, hashes[i, t]), []))
+        assert (covered[0][0], max(b for _, b in covered)) == (want[0][0], want[-1][1]) if want else not covered, (i, want, covered)
+        assert all(any(a <= x and y <= b for a, b in want) for x, y in covered)
+    assert len({x for x in got if x[0] == 5}) == 2 and all(len(v) == len(set(v)) for v in got.values())
+
+
 def test_chunks_resist_insertions():
     import numpy as np
 
@@ -228,3 +323,16 @@ def test_secrets_equal_a_scan_of_each_text(spark):
     assert by[2]["spans"].startswith("mixed:0:27") and by[2]["n_live"] == 2
     assert by[10]["n_copied"] == 1 and by[10]["n_live"] == 0
     assert secrets.secrets(frame(spark, [])).collect() == []
+
+
+def test_places_of_very_many_matches(spark):
+    rng = random.Random(31)
+    parts = [rng.choice(["é", " ", "x, "]) * rng.randint(1, 5) + f"{rng.getrandbits(80):020x}" for _ in range(3 * secrets.RUN + 7)]
+    text = " password = abcdefghijklmnop ".join(["".join(parts), " Ab1" * 6, "Zx9" * 9])
+    rows = [(1, text, None), (2, " ".join(["Zx9" * 9] * 600), "b"), (3, "Qq7" * 8, "c")] + [(10 + k, "copy Qw5" + "Qw5" * 8, "c") for k in range(12)]
+    got = {r["doc_id"]: r for r in collect(secrets.secrets(frame(spark, rows).drop("owner")))}
+    want = sorted([(m.start(), "hex", m.end()) for m in re.finditer(r"[0-9a-f]{16,}", text)] + [(m.start(), "assign", m.end()) for m in re.finditer(r"password = [a-p]+", text)])
+    base = ",".join(f"{k}:{a}:{b}" for a, k, b in want)
+    assert got[1]["spans"] == base and got[1]["n_hex"] == sum(k == "hex" for _, k, _ in want)  # another owner holds the mixed one too
+    assert got[2]["spans"] == "" and got[2]["n_live"] == 0 and got[3]["spans"] == "mixed:0:24"
+    assert all(got[10 + k]["spans"] == "" for k in range(12))  # one owner, but too many repositories

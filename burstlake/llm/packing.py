@@ -8,10 +8,12 @@ rank among the pieces of its length, which comes from counts by task: no length
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from . import shared as S
 
 #: Tokens of a sequence, the id that ends a document, words kept in a worker's table of ids.
-SIZE, END, TABLE = 2048, 0, 200_000
+SIZE, END, TABLE = 2048, 0, 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
@@ -46,63 +48,72 @@ def _merged(token: str, end: str, order: dict[tuple[str, str], int]) -> list[str
     return parts
 
 
+def ranks_of(path: str) -> tuple[dict[bytes, int] | None, dict[int, int]]:
+    """The merges of a tokenizer as ranks, and the ids of the ranks; none if it is of a kind that ranks do not express.
+
+    Made once, by the driver; tasks get it as a broadcast, which the vocabulary bounds.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    end = spec["model"].get("end_of_word_suffix")
+    if spec["model"].get("type") != "BPE" or not end:
+        return None, {}
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    special = {t["content"] for t in spec["added_tokens"]}
+    merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"]]
+    tokens = [t for t in spec["model"]["vocab"] if t not in special]
+    if any(c not in of for t in tokens for c in t.removesuffix(end)):
+        return None, {}
+
+    def raw(token: str) -> bytes:
+        ended = token.endswith(end) and token != end
+        return bytes(of[c] for c in (token[: -len(end)] if ended else token)) + b"\xff" * ended
+
+    ids = {raw(t): spec["model"]["vocab"][t] for t in tokens}
+    ranks = {bytes([b]): b for b in range(256)}
+    for b in range(255):
+        if bytes([b, 255]) in ids:
+            ranks[bytes([b, 255])] = len(ranks)
+    for a, b in merges:
+        if raw(a).endswith(b"\xff") or raw(a) + raw(b) in ranks:
+            return None, {}
+        ranks[raw(a) + raw(b)] = len(ranks)
+    # BPE by merges and by ranks agree if each token, taken alone, becomes itself: then no other split of it can stand
+    order = {m: k for k, m in enumerate(merges)}
+    if any(_merged(t, end, order) != [t] for t in tokens):
+        return None, {}
+    return ranks, {r: ids.get(b, -1) for b, r in ranks.items()}
+
+
 class Ids:
     """Token ids of texts, as bytes of little-endian unsigned 32-bit numbers, equal to those of ``tokenizers``.
 
     The tokenizer drops white space, so words are independent, and most come again. Texts in Latin-1 letters
     are split into words by the tokenizer's own pattern, and new words are merged by a fast engine that is
     given the merges as ranks; that engine is equal if every token of the vocabulary encodes to itself, which
-    is checked when it is built. All other texts, and all texts if the check fails, go to ``tokenizers``.
+    is checked when the ranks are made. All other texts, and all texts if the check fails, go to ``tokenizers``.
     """
 
     _LETTER, _DIGIT = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
     _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
     _OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]|<\|")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: dict[bytes, int] | None, id_of: dict[int, int]):
+        self.path, self.id_of = path, id_of
+        self.table: dict[str, bytes] = {}
+        self.engine = None
+        if ranks:
+            import tiktoken
+
+            self.engine = tiktoken._tiktoken.CoreBPE(ranks, {}, r".+")
+
+    @cached_property
+    def full(self):
+        """The tokenizer itself: most tasks never need it."""
         from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(path)
-        self.table: dict[str, bytes] = {}
-        try:
-            self.engine, self.id_of = self._engine(path)
-        except Exception:  # a tokenizer of another kind
-            self.engine = None
-
-    @staticmethod
-    def _engine(path: str):
-        import json
-
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-        end = spec["model"]["end_of_word_suffix"]
-
-        def raw(token: str) -> bytes:
-            ended = token.endswith(end) and token != end
-            return bytes(of[c] for c in (token[: -len(end)] if ended else token)) + b"\xff" * ended
-
-        special = {t["content"] for t in spec["added_tokens"]}
-        ids = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        ranks = {bytes([b]): b for b in range(256)}
-        for b in range(255):
-            if bytes([b, 255]) in ids:
-                ranks[bytes([b, 255])] = len(ranks)
-        for merge in spec["model"]["merges"]:
-            a, b = merge if isinstance(merge, list) else merge.split(" ")
-            if raw(a).endswith(b"\xff") or raw(a) + raw(b) in ranks:
-                raise ValueError("merges are not ranks")
-            ranks[raw(a) + raw(b)] = len(ranks)
-        core = tiktoken._tiktoken.CoreBPE(ranks, {}, r".+")
-        # BPE by merges and by ranks agree if each token, taken alone, becomes itself: then no other split of it can stand
-        order = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(spec["model"]["merges"])}
-        for token in spec["model"]["vocab"]:
-            if token not in special and _merged(token, end, order) != [token]:
-                raise ValueError("a token does not encode to itself")
-        return core, {r: ids.get(b, -1) for b, r in ranks.items()}
+        return Tokenizer.from_file(self.path)
 
     def __missing_word(self, word: str) -> bytes:
         ids = [self.id_of[r] for r in self.engine.encode_single_piece(word.encode() + b"\xff")]
@@ -122,15 +133,15 @@ class Ids:
 _made: dict[str, Ids] = {}
 
 
-def _ids(path: str) -> Ids:
+def _ids(path: str, made) -> Ids:
     if path not in _made:
-        _made[path] = Ids(path)
+        _made[path] = Ids(path, *made.value)
     return _made[path]
 
 
-def _cutter(path: str, size: int, end: int):
+def _cutter(path: str, made, size: int, end: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = _ids(path).of, TaskContext.get().partitionId()
+        encode, task = _ids(path, made).of, TaskContext.get().partitionId()
         count = np.zeros(size + 1, np.int64)
         stop = np.array([end], "<u4").tobytes()
         for batch in batches:
@@ -241,7 +252,9 @@ def packed(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end:
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = S.stored(texts.mapInArrow(_cutter(tokenizer or default_tokenizer(), size, end), PIECES), "pieces")
+    path = tokenizer or default_tokenizer()
+    made = spark.sparkContext.broadcast(ranks_of(path))
+    pieces = S.stored(texts.mapInArrow(_cutter(path, made, size, end), PIECES), "pieces")
     by_task = pieces.groupBy("task", "length").agg((F.max("nth") + 1).alias("n"))
     before = by_task.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = pieces.join(before.drop("n"), ["task", "length"]).withColumn("rank", F.col("before") + F.col("nth")).drop("task", "before", "nth")

@@ -63,6 +63,11 @@ def clipping(b: str, width: Column, height: Column, margin: float = 0.0) -> Colu
     return F.struct(sides.alias("sides"), (1 - F.lit(0.6) * sides / 4).alias("factor"))
 
 
+def clipping_text(sides: Column) -> Column:
+    """What to say of a box that touches the frame's edges; nothing if it does not."""
+    return F.when(sides == 0, "").when(sides == 1, "touches the frame edge").otherwise(F.concat(F.lit("cut off on "), sides.cast("string"), F.lit(" edges")))
+
+
 def interpolate(x: Column, knots: list[tuple[float, float]]) -> Column:
     """Piecewise linear through ``knots`` (rising), constant beyond them."""
     out = F.when(x <= knots[0][0], F.lit(float(knots[0][1])))

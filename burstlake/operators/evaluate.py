@@ -95,6 +95,19 @@ def best_threshold(rows: DataFrame, score: str, truth: str) -> DataFrame:
     return at.select("s", balanced.alias("b")).agg(F.max(F.struct("b", (-F.col("s")).alias("t"))).alias("m")).select((-F.col("m.t")).alias("threshold"), F.col("m.b").alias("balanced"))
 
 
+def percent_ranks(rows: DataFrame, group: str, value: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: (rank - 1) / (n - 1) in the group, 0 in a group of one; nulls are the least.
+
+    Equal values are counted first; the counts are summed by ranges of (group, value), so that a group of any size is many tasks.
+    """
+    counted = rows.groupBy(F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_at", F.struct("_g", F.col("_v").isNotNull().alias("known"), "_v"))
+    upto = cut(running_sums(counted, "_at", ["_n"]).select("_g", "_v", "_n", (F.col("_n_sum") - F.col("_n")).alias("_before")))
+    of_group = upto.groupBy(F.col("_g").alias("_h")).agg(F.min("_before").alias("_base"), F.sum("_n").alias("_all"))
+    share = (F.col("_before") - F.col("_base")) / F.greatest(F.col("_all") - 1, F.lit(1))
+    placed = upto.join(of_group, F.col("_g").eqNullSafe(F.col("_h"))).select("_g", "_v", share.alias(name))
+    return rows.join(placed, F.col(group).eqNullSafe(F.col("_g")) & F.col(value).eqNullSafe(F.col("_v"))).drop("_g", "_v")
+
+
 def nearest_percentile(rows: DataFrame, group: list[str], value: str, percent: float) -> DataFrame:
     """group, value: v[round((n - 1) * p / 100)] of each group's sorted values: no interpolation."""
     return at_place(rows, group, value, lambda n: F.round((n - 1) * (percent / 100)).cast("long"))

@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The shared folder in ``spark.checkpoint.dir``. Where none is set, a local folder is chosen in local mode (tests); on a cluster that is an error,
+    as executors and the driver share no local folder."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not path:
+        current = context._jsc.sc().getCheckpointDir()
+        path = current.get() if current.isDefined() else None
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="burstlake-")
+        context.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df``; a folder is chosen only where none is set (tests)."""
+    """A reliable checkpoint of ``df`` in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="burstlake-"))
+        context.setCheckpointDir(work_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -106,3 +106,10 @@ def drop_orphans(children: DataFrame, parents: DataFrame, key: str, parent_key:
 def reconcile(jobs: DataFrame, running: tuple[str, ...] = ("scanning", "culling", "identifying"), to: str = "interrupted") -> DataFrame:
     """After a crash, what was running is not."""
     return jobs.withColumn("status", F.when(F.col("status").isin(*running), to).otherwise(F.col("status")))
+
+
+def edit(base: DataFrame, delta: DataFrame, key: str, columns: list[str], given: str = "given") -> DataFrame:
+    """Rows of ``delta`` (key, columns, given: the names that are meant) applied: a name that is given counts even if its value is null, and a name that is not leaves the value."""
+    d = delta.select(key, *[F.col(c).alias(f"_d_{c}") for c in columns], F.col(given).alias("_given"))
+    meant = lambda c: F.coalesce(F.array_contains("_given", c), F.lit(False))
+    return base.join(d, key, "left").select(*[F.when(meant(c), F.col(f"_d_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in base.columns])

@@ -210,3 +210,15 @@ def summary(frames: DataFrame, subjects: DataFrame) -> DataFrame:
 def region_counts(subjects: DataFrame, keys: list[str]) -> DataFrame:
     """keys, region, n: subjects by region; one without is a vehicle."""
     return subjects.groupBy(*keys, F.coalesce("region_type", F.lit("vehicle")).alias("region")).agg(F.count("*").alias("n"))
+
+
+def cover(frames: DataFrame, subjects: DataFrame, passes: Column | None = None, most: int = 20) -> DataFrame:
+    """The frame of an album to show: of its ``most`` best vehicles by conf * area * (1 + sharpness), else of its ``most`` best frames by stars * 0.2 or rating, the first that ``passes``
+    (a column on the candidates id and path)."""
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    shown = frames.where(visible()).select("id", "path", "stars", "rating")
+    cars = subjects.where(F.coalesce("region_type", F.lit("vehicle")) == "vehicle").select(F.col("image_id").alias("id"), (F.col("conf") * area * (1 + F.coalesce("sharpness", F.lit(0.0)))).alias("worth"))
+    by_car = shown.join(cars, "id").orderBy(F.desc_nulls_last("worth"), "id").limit(most).select("id", "path", "worth", F.lit(0).alias("turn"))
+    by_rating = shown.withColumn("worth", F.coalesce(F.col("stars") * 0.2, "rating", F.lit(0.0))).orderBy(F.desc("worth"), "id").limit(most).select("id", "path", "worth", F.lit(1).alias("turn"))
+    both = by_car.unionByName(by_rating)
+    return (both if passes is None else both.where(passes)).orderBy("turn", F.desc_nulls_last("worth"), "id").limit(1).select("id", "path")

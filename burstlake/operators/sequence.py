@@ -191,11 +191,13 @@ def relative_features(rows: DataFrame, keys: list[str], value: str, order_by: li
     return rows.withColumns({"value_centred": F.col(value) - F.avg(value).over(whole), "value_rank": share(rank), "position": share(order), "is_first": at == 1, "is_last": at == n, "log_size": F.ln(n.cast("double"))})
 
 
-def sliding_rate(samples: DataFrame, key: str, at: str, total: str, span: int) -> DataFrame:
-    """Adds ``rate``: units a second between the oldest sample within ``span`` seconds (or the one before) and this one."""
+def sliding_rate(samples: DataFrame, key: str, at: str, total: str, span: int, whole: str | None = None) -> DataFrame:
+    """Adds ``rate``: units a second between the oldest sample within ``span`` seconds (or the one before) and this one; and, if ``whole`` names
+    the column of what there is to do, ``eta``: the seconds that the rest takes at that rate (null at no rate)."""
     recent = Window.partitionBy(key).orderBy(at).rangeBetween(-span, 0)
     order = Window.partitionBy(key).orderBy(at)
     alone = F.count("*").over(recent) < 2
     t0 = F.when(alone, F.lag(at).over(order)).otherwise(F.first(at).over(recent))
     v0 = F.when(alone, F.lag(total).over(order)).otherwise(F.first(total).over(recent))
-    return samples.withColumn("rate", F.try_divide(F.col(total) - v0, F.col(at) - t0))
+    rated = samples.withColumn("rate", F.try_divide(F.col(total) - v0, F.col(at) - t0))
+    return rated if whole is None else rated.withColumn("eta", F.when(F.col("rate") > 0, F.greatest(F.col(whole) - F.col(total), F.lit(0)) / F.col("rate")))

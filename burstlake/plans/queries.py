@@ -89,7 +89,7 @@ def w8_sets(t) -> DataFrame:
 
 @query("SELECT event_id, event_type, pr FROM (SELECT event_id, event_type, percent_rank() OVER (PARTITION BY event_type ORDER BY value) AS pr FROM events) WHERE pr >= 0.8")
 def w1_percent_rank(t) -> DataFrame:
-    return t("events").select("event_id", "event_type", F.percent_rank().over(Window.partitionBy("event_type").orderBy("value")).alias("pr")).where("pr >= 0.8D")
+    return evaluate.percent_ranks(t("events").select("event_id", "event_type", "value"), "event_type", "value", "pr").where("pr >= 0.8D").select("event_id", "event_type", "pr")
 
 
 @query("WITH f AS (SELECT o_orderpriority, min(o_orderkey) AS k FROM orders GROUP BY 1) SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY k) AS INT) AS dense FROM orders JOIN f USING (o_orderpriority)")
@@ -510,12 +510,10 @@ def _stream(t, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _landed(stream: DataFrame, mode: str = "append") -> DataFrame:
     """A stream of what is there now, run to its end into Parquet in the shared folder."""
-    import tempfile
     import uuid
 
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="burstlake-")
-    place = f"{root.rstrip('/')}/burstlake/stream-{uuid.uuid4().hex}"
+    place = f"{lineage.work_dir(spark)}/burstlake/stream-{uuid.uuid4().hex}"
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").option("path", f"{place}/rows").format("parquet").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{place}/rows")
 

@@ -5,19 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import brightness
+from ..operators import lineage
 from ..operators.keeper import pick_keepers
-from ..operators.sequence import GAP, number_sessions, sessionise
+from ..operators.sequence import GAP, number_sessions, sessionise, sets
 from ..schemas import visible
 
+#: Fixed value: keys of sets lie past those of bursts.
+SET_KEY_BASE = 1_000_000
 
-def regroup(frames: DataFrame, gap: float = GAP) -> DataFrame:
-    """``frames`` with time_burst, burst_key and burst_pick made anew from their cameras, times and ratings.
 
-    Hidden copies and unfinished frames keep null keys. Sessions are by album and camera.
+def regroup(frames: DataFrame, gap: float = GAP, stacks: bool = True, keep_sets: bool = True) -> DataFrame:
+    """``frames`` with time_burst, burst_key, burst_pick, set_id and set_kind made anew from their cameras, times, settings and ratings.
+
+    Hidden copies and unfinished frames keep null keys. Sessions are by album and camera. A bracket, focus stack or interval is a burst of its own, whose key lies past
+    those of bursts (the base and the id of its first frame). Without ``stacks`` every frame is its own burst, numbered in order. Sets are looked for only if the frames
+    have what tells them apart (exposure and focus).
     """
     seen = frames.where(visible()).withColumn("_camera", F.concat_ws("\x1f", F.lpad(F.col("job_id").cast("string"), 19, "0"), "camera"))
     numbered = number_sessions(sessionise(seen, "_camera", "taken_at", "path", gap), "_camera")
-    rows = numbered.select("id", F.col("burst"), F.coalesce("rating", "sharpness").alias("score"), F.coalesce("stars", F.lit(0)).alias("by_hand"), F.lit(0).alias("cut_sides"))
-    picks = pick_keepers(rows, ["burst"], "id", "id").select("id", F.col("burst").alias("burst_key"), F.col("picked").alias("burst_pick"))
-    keys = picks.withColumn("time_burst", F.col("burst_key"))
-    return frames.drop("burst_key", "burst_pick", "time_burst").join(keys, "id", "left")
+    rows = numbered.withColumn("time_burst", F.col("burst").cast("long"))
+    if not stacks:
+        placed = lineage.numbered(rows, [F.col("_camera"), F.coalesce("taken_at", F.lit(0.0)), F.col("path"), F.col("id")], "_dense")
+        rows = placed.withColumn("burst", F.col("_dense").cast("long"))
+    sets_known = {"exposure_time", "focus_distance"} <= set(frames.columns)
+    if keep_sets and sets_known:
+        bias = F.col("exposure_bias") if "exposure_bias" in frames.columns else F.lit(None).cast("double")
+        ev = F.coalesce(F.when(F.col("exposure_time") > 0, brightness(F.col("exposure_time"), bias)), bias)
+        asked = rows.select(F.col("_camera").alias("camera"), F.col("id").alias("frame_id"), F.col("taken_at").alias("taken"), ev.alias("ev"), F.col("focus_distance").alias("focus"), F.col("focal_length").cast("double").alias("focal"), F.col("f_number").cast("double").alias("aperture"), F.col("exposure_time").alias("shutter"))
+        found = sets(asked).select(F.col("frame_id").alias("id"), "set_id", "set_kind")
+        rows = rows.drop("set_id", "set_kind").join(found, "id").withColumn("burst", F.coalesce(F.col("set_id") + SET_KEY_BASE, F.col("burst")))
+    else:
+        rows = rows.drop("set_id", "set_kind").withColumns({"set_id": F.lit(None).cast("long"), "set_kind": F.lit(None).cast("string")})
+    scored = rows.select("id", "burst", "time_burst", "set_id", "set_kind", F.coalesce("rating", "sharpness").alias("score"), F.coalesce("stars", F.lit(0)).alias("by_hand"), F.lit(0).alias("cut_sides"))
+    keys = pick_keepers(scored, ["burst"], "id", "id").select("id", F.col("burst").alias("burst_key"), F.col("picked").alias("burst_pick"), "time_burst", "set_id", "set_kind")
+    return frames.drop("burst_key", "burst_pick", "time_burst", "set_id", "set_kind").join(keys, "id", "left")

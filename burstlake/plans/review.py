@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..functions import times as D
 from ..operators import clusters, evaluate, identity, linkage, moments, mutations, rating, selection, sequence, views, votes
 from ..schemas import needs_review
+from . import stats
 from .queries import FRAMES, SESSIONS, frames, query, sessions
 
 SEEN = """seen AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS image_id, CASE l_linenumber % 4 WHEN 0 THEN 'person' WHEN 3 THEN 'eye' WHEN 2 THEN 'vehicle' END AS region_type, l_quantity / 50 AS rating,
@@ -640,3 +641,67 @@ def o9_ranked_values(t) -> DataFrame:
 def m7_hue(t) -> DataFrame:
     colour = moments.hsv(F.format_string("#%02x%02x%02x", F.col("p_partkey") * 37 % 256, F.col("p_partkey") * 59 % 256, F.col("p_partkey") * 83 % 256))
     return t("part").select("p_partkey", F.round(colour["h"], 6).alias("h"))
+
+
+REPORT = f"""{FRAMES}, fr AS (SELECT *, id * 1000 AS file_size, burst_key AS time_burst, CASE WHEN id % 4 > 0 THEN id % 10 / 20 END AS af_x1, id % 7 / 20 AS af_y1, 0.6 AS af_x2, 0.7 AS af_y2, CASE WHEN id % 3 = 0 THEN id % 100 / 100 END AS af_sharpness, 1000 AS width, 800 AS height FROM frames),
+  su AS (SELECT l_orderkey AS image_id, CASE l_linenumber % 4 WHEN 0 THEN 'person' WHEN 3 THEN 'eye' END AS region_type, CASE WHEN l_linenumber % 3 = 0 THEN 1 END AS panning, CASE WHEN l_quantity > 48 THEN 1 END AS burst_pick, CASE WHEN l_quantity > 40 THEN 'sharp' WHEN l_quantity < 10 THEN 'blurred' ELSE 'soft' END AS sharpness_verdict,
+    CASE WHEN l_linenumber = 2 THEN CAST(trunc(l_quantity) AS INT) % 6 END AS stars, l_partkey % 700 AS x1, l_suppkey % 70 * 10 AS y1, l_partkey % 700 + 300 AS x2, l_suppkey % 70 * 10 + 100 AS y2 FROM lineitem),
+  v AS (SELECT * FROM fr WHERE status = 'done' AND coalesce(copy_of, 0) = 0)"""
+
+
+def _report(t) -> tuple[DataFrame, DataFrame]:
+    e = F.expr
+    f = frames(t).withColumns({"file_size": F.col("id") * 1000, "time_burst": F.col("burst_key"), "af_x1": e("case when id % 4 > 0 then id % 10 / 20D end"), "af_y1": e("id % 7 / 20D"), "af_x2": F.lit(0.6), "af_y2": F.lit(0.7), "af_sharpness": e("case when id % 3 = 0 then id % 100 / 100D end"), "width": F.lit(1000), "height": F.lit(800)})
+    x, y = F.col("l_partkey") % 700, F.col("l_suppkey") % 70 * 10
+    s = t("lineitem").select(F.col("l_orderkey").alias("image_id"), e("case l_linenumber % 4 when 0 then 'person' when 3 then 'eye' end").alias("region_type"), e("case when l_linenumber % 3 = 0 then 1 end").alias("panning"), e("case when l_quantity > 48 then 1 end").alias("burst_pick"), e("case when l_quantity > 40 then 'sharp' when l_quantity < 10 then 'blurred' else 'soft' end").alias("sharpness_verdict"), e("case when l_linenumber = 2 then cast(l_quantity as int) % 6 end").alias("stars"), x.alias("x1"), y.alias("y1"), (x + 300).alias("x2"), (y + 100).alias("y2"))
+    return f, s
+
+
+@query(f"""WITH {REPORT}, p AS (SELECT image_id AS id, max(coalesce(panning, 0)) AS pan, max(coalesce(burst_pick, 0)) AS pick, count(*) FILTER (WHERE sharpness_verdict = 'blurred') AS b, count(*) FILTER (WHERE sharpness_verdict = 'soft') AS s, count(*) FILTER (WHERE sharpness_verdict = 'sharp') AS h FROM su GROUP BY 1),
+  af AS (SELECT v.id, bool_or(x1 IS NOT NULL) AS d, bool_or(coalesce((af_x1 + af_x2) / 2 * width BETWEEN x1 AND x2 AND (af_y1 + af_y2) / 2 * height BETWEEN y1 AND y2, false)) AS k FROM v LEFT JOIN su ON su.image_id = v.id AND coalesce(region_type, 'vehicle') IN ('vehicle', 'person') WHERE af_x1 IS NOT NULL GROUP BY v.id),
+  w AS (SELECT job_id, count(*) AS frames, sum(file_size) AS size_bytes, count(*) FILTER (WHERE pan = 1) AS pans, sum(b) AS blurred, sum(s) AS soft, sum(h) AS sharp, count(*) FILTER (WHERE af_x1 IS NULL) AS af_missing, count(*) FILTER (WHERE d AND NOT k) AS af_off_subject, count(*) FILTER (WHERE NOT d) AS af_no_subject, count(*) FILTER (WHERE af_sharpness < 0.606) AS af_soft,
+    count(*) FILTER (WHERE coalesce(burst_pick, 0) = 1 OR coalesce(pick, 0) = 1) AS keepers, count(*) FILTER (WHERE rejected = 1) AS rejected, min(taken_at) AS taken_from, max(taken_at) AS taken_to, count(DISTINCT time_burst) AS bursts FROM v LEFT JOIN p USING (id) LEFT JOIN af USING (id) GROUP BY 1)
+  SELECT w.*, (SELECT count(*) FROM fr c WHERE c.job_id = w.job_id AND coalesce(c.copy_of, 0) <> 0) AS copies_hidden FROM w""")
+def a17_numbers(t) -> DataFrame:
+    return stats.shoot_numbers(*_report(t))
+
+
+@query(f"""WITH {REPORT}, s AS (SELECT image_id AS id, max(stars) AS best FROM su GROUP BY 1), l AS (SELECT job_id, 'camera' AS list, camera AS value, NULL::DOUBLE AS x FROM v UNION ALL SELECT job_id, 'lens', lens, NULL FROM v UNION ALL SELECT job_id, 'iso', CAST(iso AS VARCHAR), iso FROM v UNION ALL SELECT job_id, 'stars', CAST(coalesce(stars, best, 0) AS VARCHAR), coalesce(stars, best, 0) FROM v LEFT JOIN s USING (id)),
+  c AS (SELECT job_id, list, value, x, count(*) AS n FROM l GROUP BY ALL) SELECT job_id, list, value, n, CAST(row_number() OVER (PARTITION BY job_id, list ORDER BY n DESC, x, value) AS INT) AS place FROM c""")
+def a17_lists(t) -> DataFrame:
+    return stats.shoot_lists(*_report(t))
+
+
+@query(f"""WITH {REPORT} SELECT count(DISTINCT job_id) AS albums, count(*) AS frames, sum(file_size) AS size_bytes, count(*) FILTER (WHERE rejected = 1) AS rejected, count(*) FILTER (WHERE af_x1 IS NULL) AS af_missing, 17 AS complete FROM v""")
+def a18_library(t) -> DataFrame:
+    f, s = _report(t)
+    odd = F.col("job_id") % 7 == 6  # two of twenty albums lack a setting
+    whole = f.withColumns({"f_number": F.when(~odd, 2.8), "exposure_time": F.lit(0.01), "focal_length": F.lit(50.0), "lens": F.when(F.col("job_id") == 1, "").otherwise(F.col("lens"))})
+    total, _ = stats.library_report(whole, s)
+    return total.select("albums", "frames", "size_bytes", "rejected", "af_missing", F.col("complete").cast("int").alias("complete"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN 'new' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders")
+def e2_edit(t) -> DataFrame:
+    o = t("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    given = F.array_compact(F.array(F.when(F.col("o_orderkey") % 3 < 2, "o_orderstatus"), F.when(F.col("o_orderkey") % 2 == 0, "o_orderpriority")))
+    delta = o.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 1, "new").alias("o_orderstatus"), F.lit(None).cast("string").alias("o_orderpriority"), given.alias("given"))
+    return mutations.edit(o, delta, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem k WHERE k.l_returnflag = 'R' AND k.l_orderkey = l.l_orderkey AND k.l_linenumber = l.l_linenumber AND k.l_quantity = l.l_quantity AND k.l_discount = l.l_discount AND k.l_tax = l.l_tax)")
+def j3_five_keys(t) -> DataFrame:
+    keys = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"]
+    return t("lineitem").join(t("lineitem").where("l_returnflag = 'R'").select(*keys), keys, "left_anti").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'touches the frame edge' ELSE 'cut off on ' || (event_id % 4) || ' edges' END AS told FROM events")
+def f26_framing_text(t) -> DataFrame:
+    return t("events").select("event_id", N.clipping_text(F.col("event_id") % 4).alias("told"))
+
+
+@query(f"""WITH {FRAMES}, {BOXES}, v AS (SELECT * FROM frames WHERE status = 'done' AND coalesce(copy_of, 0) = 0), c AS (SELECT v.id, path, ((id % 10) / 10) * (x2 - x1) * (y2 - y1) AS worth FROM v JOIN (SELECT image_id, x1, y1, x2, y2, region_type FROM boxes) b ON b.image_id = v.id WHERE coalesce(region_type, 'vehicle') = 'vehicle')
+  SELECT id, path FROM (SELECT * FROM c ORDER BY worth DESC, id LIMIT 20) WHERE id % 2 = 1 ORDER BY worth DESC, id LIMIT 1""")
+def o3_cover(t) -> DataFrame:
+    b = boxes(t).select("image_id", "region_type", "box.*", (F.col("image_id") % 10 / 10).alias("conf"), F.lit(0.0).alias("sharpness"))
+    return selection.cover(frames(t), b, F.col("id") % 2 == 1)

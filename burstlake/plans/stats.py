@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import is_vehicle, visible
@@ -83,3 +83,65 @@ def job_list(jobs: DataFrame, frames: DataFrame, subjects: DataFrame) -> DataFra
     s = subjects.join(frames.select(F.col("id").alias("image_id"), "job_id"), "image_id").groupBy(F.col("job_id").alias("id")).agg(F.count("*").alias("subjects"), F.count_if(F.coalesce("number", F.lit("")) != "").alias("numbers"))
     names = ["total", "done", "failed", "subjects", "numbers"]
     return jobs.join(f, "id", "left").join(s, "id", "left").fillna(0, names)
+
+
+#: Columns of the lists of a report, and those of them where a blank value is none.
+LISTED, NAMED = ("camera", "lens", "f_number", "exposure_time", "iso", "focal_length"), ("camera", "lens")
+
+
+def focus_folds(frames: DataFrame, subjects: DataFrame) -> DataFrame:
+    """id, detected, held of frames with a focus area (af_x1 to af_y2, fractions): a vehicle or person is there, and the middle of the area lies in one (pixels of width and height)."""
+    areas = frames.where("af_x1 is not null and af_y1 is not null and af_x2 is not null and af_y2 is not null")
+    boxes = subjects.where(F.coalesce("region_type", F.lit("vehicle")).isin("vehicle", "person")).select(F.col("image_id").alias("id"), "x1", "y1", "x2", "y2")
+    x, y = (F.col("af_x1") + F.col("af_x2")) / 2, (F.col("af_y1") + F.col("af_y2")) / 2
+    inside = (x * F.col("width")).between(F.col("x1"), F.col("x2")) & (y * F.col("height")).between(F.col("y1"), F.col("y2"))
+    return areas.join(boxes, "id", "left").groupBy("id").agg(F.bool_or(F.col("x1").isNotNull()).alias("detected"), F.bool_or(F.coalesce(inside, F.lit(False))).alias("held"))
+
+
+def shoot_numbers(frames: DataFrame, subjects: DataFrame, blurred: float = 0.606) -> DataFrame:
+    """A row for each album: frames, copies_hidden, size_bytes, pans, bursts (of time), subjects that are blurred, soft and sharp, focus areas that are missing, off the
+    subject, without one and soft, keepers (the engine's, of a frame or a subject of it), rejected, taken_from, taken_to. All but the copies count visible frames."""
+    seen = frames.where(visible())
+    copies = frames.groupBy("job_id").agg(F.count_if(F.coalesce("copy_of", F.lit(0)) != 0).alias("copies_hidden"))
+    verdicts = [F.count_if(F.col("sharpness_verdict") == v).alias(v) for v in ("blurred", "soft", "sharp")]
+    per = subjects.groupBy(F.col("image_id").alias("id")).agg(F.max(F.coalesce("panning", F.lit(0))).alias("_pan"), F.max(F.coalesce("burst_pick", F.lit(0))).alias("_pick"), *verdicts)
+    focus = focus_folds(seen, subjects)
+    bursts = seen.where("time_burst is not null").select("job_id", "time_burst").distinct().groupBy("job_id").agg(F.count("*").alias("bursts"))
+    wide = seen.join(per, "id", "left").join(focus, "id", "left").groupBy("job_id").agg(
+        F.count("*").alias("frames"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("size_bytes"), F.count_if(F.col("_pan") == 1).alias("pans"), *[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in ("blurred", "soft", "sharp")],
+        F.count_if(F.col("af_x1").isNull()).alias("af_missing"), F.count_if(F.col("detected") & ~F.col("held")).alias("af_off_subject"), F.count_if(~F.col("detected")).alias("af_no_subject"), F.count_if(F.col("af_sharpness") < blurred).alias("af_soft"),
+        F.count_if((F.coalesce("burst_pick", F.lit(0)) == 1) | (F.coalesce("_pick", F.lit(0)) == 1)).alias("keepers"), F.count_if(F.coalesce("rejected", F.lit(0)) == 1).alias("rejected"), F.min("taken_at").alias("taken_from"), F.max("taken_at").alias("taken_to"),
+    )
+    return copies.join(wide, "job_id", "left").join(bursts, "job_id", "left").fillna(0, ["frames", "size_bytes", "pans", "bursts", "blurred", "soft", "sharp", "af_missing", "af_off_subject", "af_no_subject", "af_soft", "keepers", "rejected"])
+
+
+def shoot_lists(frames: DataFrame, subjects: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys (job_id), list, value (text), n, place: how often each camera, lens, setting and star comes, commonest first (of equals the lesser value); place 1 is the most used.
+
+    One pass unpivots the columns; values are counted before they are ranked.
+    """
+    keys = ["job_id"] if keys is None else keys
+    best = subjects.groupBy(F.col("image_id").alias("id")).agg(F.max("stars").alias("_best"))
+    rows = frames.where(visible()).join(best, "id", "left").withColumn("_stars", F.coalesce("stars", "_best", F.lit(0)))
+    value = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c in NAMED else F.col(c).cast("string")
+    number = lambda c: F.lit(None).cast("double") if c in NAMED else F.col(c).cast("double")
+    parts = F.explode(F.array(*[F.struct(F.lit(n).alias("list"), value(c).alias("value"), number(c).alias("number")) for n, c in [*((c, c) for c in LISTED if c in frames.columns), ("stars", "_stars")]]))
+    counted = rows.select(*keys, parts.alias("p")).select(*keys, "p.*").where("value is not null").groupBy(*keys, "list", "value", "number").agg(F.count("*").alias("n"))
+    return counted.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "list").orderBy(F.desc("n"), "number", "value"))).drop("number")
+
+
+def complete_albums(frames: DataFrame) -> DataFrame:
+    """job_id of albums all of whose visible frames have a camera, a lens and all settings."""
+    whole = F.lit(True)
+    for c in LISTED:
+        whole = whole & (F.coalesce(F.col(c).cast("string"), F.lit("")) != "")
+    return frames.where(visible()).groupBy("job_id").agg(F.bool_and(whole).alias("_whole")).where("_whole").select("job_id")
+
+
+def library_report(frames: DataFrame, subjects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row over all albums (the sums of ``shoot_numbers``, albums and complete albums), and the lists over the complete albums, whose headers can be trusted."""
+    each = shoot_numbers(frames, subjects)
+    sums = [c for c in each.columns if c not in ("job_id", "taken_from", "taken_to")]
+    complete = complete_albums(frames)
+    total = each.agg(F.count_if(F.col("frames") > 0).alias("albums"), *[F.sum(c).alias(c) for c in sums], F.min("taken_from").alias("taken_from"), F.max("taken_to").alias("taken_to"))
+    return total.join(F.broadcast(complete.agg(F.count("*").alias("complete")))), shoot_lists(frames.join(complete, "job_id", "left_semi"), subjects, [])

@@ -92,3 +92,11 @@ def consume_inbox(spark: SparkSession, folder: str, name: str, known: DataFrame,
     if matched:
         apply(taken)
     return spark.createDataFrame(out, "name string, to string")
+
+
+def joined_streams(left: DataFrame, right: DataFrame, key: str, at: str, within: str, late: str) -> DataFrame:
+    """Rows of two streams with one ``key`` at most ``within`` apart in ``at`` (columns of the right side end in _r); both forget what is older than ``late`` and that."""
+    a = left.withWatermark(at, late)
+    b = right.select(*[F.col(c).alias(f"{c}_r") for c in right.columns]).withWatermark(f"{at}_r", late)
+    near = F.col(f"{at}_r").between(F.col(at) - F.expr(f"interval {within}"), F.col(at) + F.expr(f"interval {within}"))
+    return a.join(b, (F.col(key) == F.col(f"{key}_r")) & near)

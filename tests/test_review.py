@@ -249,3 +249,48 @@ def test_large_numbers_of_candidates_are_spaced_in_batches(spark):
             last = p
     df = spark.createDataFrame([("g", p) for p in places], "g string, p long")
     assert sorted(r["p"] for r in evaluate.spaced(df, "g", "p", 7).collect()) == want
+
+
+def test_regroup_with_sets_and_without_stacks(spark):
+    from burstlake.plans.regroup import SET_KEY_BASE, regroup
+    from burstlake.schemas import FRAMES, conform
+
+    rows = [(k, 1, f"p{k}", "done", "c", 0.5 * k, 0.01 * 2**k, 0.9) for k in range(3)] + [(10, 1, "p10", "done", "c", 50.0, 0.01, 0.8), (11, 1, "p11", "done", "c", 51.0, 0.01, 0.95), (12, 1, "p12", "error", "c", 51.0, 0.01, 0.95), (13, 2, "p13", "done", "c", None, None, 0.95)]
+    df = conform(spark.createDataFrame(rows, "id long, job_id long, path string, status string, camera string, taken_at double, exposure_time double, rating double"), FRAMES).withColumns({"focus_distance": F.lit(None).cast("double"), "exposure_bias": F.lit(0.0)})
+    got = {r["id"]: (r["burst_key"], r["time_burst"], r["burst_pick"], r["set_kind"]) for r in regroup(df).collect()}
+    assert got == {0: (SET_KEY_BASE, 1, 1, "bracket"), 1: (SET_KEY_BASE, 1, None, "bracket"), 2: (SET_KEY_BASE, 1, None, "bracket"), 10: (2, 2, None, None), 11: (2, 2, 1, None), 12: (None, None, None, None), 13: (3, 3, 1, None)}
+    alone = {r["id"]: r["burst_key"] for r in regroup(df, stacks=False, keep_sets=False).collect()}
+    assert alone == {0: 1, 1: 2, 2: 3, 10: 4, 11: 5, 12: None, 13: 6}
+
+
+def test_rates_tell_what_is_left(spark):
+    rows = [("a", 0, 0, 100), ("a", 10, 50, 100), ("a", 20, 50, 100), ("a", 60, 90, 100)]
+    got = {r["t"]: r["eta"] for r in sequence.sliding_rate(spark.createDataFrame(rows, "k string, t long, n long, whole long"), "k", "t", "n", 10, "whole").collect()}
+    assert got == {0: None, 10: 10.0, 20: None, 60: 10.0}
+
+
+def test_streams_are_joined_in_a_band(spark, tmp_path):
+    from burstlake.streaming.watch import joined_streams
+
+    a = [("x", 0), ("x", 100), ("y", 50), ("z", 5000)]
+    b = [("x", 20), ("x", 200), ("y", 500), ("z", 5000)]
+    for name, rows in (("a", a), ("b", b)):
+        spark.createDataFrame(rows, "k string, s long").select("k", F.timestamp_seconds(F.col("s") + 1_000_000).alias("ts"), F.col("s")).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    stream = lambda name: spark.readStream.schema("k string, ts timestamp, s long").parquet(f"{tmp_path}/{name}")
+    out = joined_streams(stream("a"), stream("b"), "k", "ts", "60 seconds", "10 minutes").select("k", "s", "s_r")
+    out.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect()) == [("x", 0, 20), ("z", 5000, 5000)]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from burstlake.operators.lineage import work_dir
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=context)
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        work_dir(session)
+    session.conf = SimpleNamespace(get=lambda key, default=None: "file:///shared/")
+    assert work_dir(session) == "file:///shared"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import work_dir
 from ..session import ship
 
 #: Bytes of text that are hashed at once; working memory is a small multiple of it.
@@ -23,27 +23,15 @@ BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make the package known to the executors, and keep batches for Python small."""
+    """Make the package known to the executors, and keep the session's batches for Python small: results are computed later, so this stays set."""
     ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one is set only where none is (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = current.get() if current.isDefined() else None
-    if not path:
-        path = tempfile.mkdtemp(prefix="burstlake-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/burstlake/{name}-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/burstlake/{name}-{uuid.uuid4().hex}"
 
 
 #: Rows of a small table that go to one file.

@@ -60,6 +60,58 @@ def docs(spark):
     return shared.table(spark, "/root/testdata/sf0.01", "documents").unionByName(extra).withColumn("score", F.lit("clash")).withColumn("label", F.lit(1))
 
 
+def brute_score(text, model):
+    """Each window of at most 96 bytes compressed twice; bytes saved become four numbers, and a logistic curve the score."""
+    import math
+
+    import zstandard
+
+    raw, parts, i = (text or "").encode().lower(), [], 0
+    while i < len(raw):
+        j = min(len(raw), i + 96)
+        if j < len(raw) and (k := raw.rfind(b" ", i + 48, j)) > 0:
+            j = k
+        parts.append(raw[i:j])
+        i = j
+    tools = [zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for c in (model.ordinary, model.toxic + model.ordinary)]
+    saved = sorted(len(tools[0].compress(p)) - len(tools[1].compress(p)) for p in parts or [b""])
+    root = math.sqrt(len(saved))
+    x = [saved[-1], sum(saved[-2:]), sum(v >= toxicity.HIT for v in saved) / root, sum(max(v - 2, 0) for v in saved) / root]
+    return 1 / (1 + math.exp(-max(-30, min(30, model.bias + sum(a * b for a, b in zip(x, model.weights, strict=True))))))
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    rng = random.Random(12)
+    words = [a + b for a in "ka lo mi tu re sa ne po".split() for b in "n r th st mo la ge fi".split()]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    bad = lambda: f"{text(30)} vile filth wretch {text(20)} you filthy wretches {text(20)}"
+    rows = [(k, bad() if k % 3 == 0 else text(80), int(k % 3 == 0)) for k in range(240)]
+    docs = spark.createDataFrame([(k, t, 1) for k, t, _ in rows], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([*((k, y) for k, _, y in rows), (0, 0), (9999, 1), (None, 1), (7, 5)], "doc_id long, toxic int")
+    model = toxicity.learned(docs, labels)
+    odd = [(1000, None), (1001, ""), (1002, "vile filth " * 20_000), (1003, text(30_000)), (1004, "É漢字 " * 50), (None, bad()), (1005, bad()), (1005, bad())]
+    asked = docs.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string")).withColumn("windows", F.lit("clash"))
+    got = toxicity.toxicity(asked, model).collect()
+    texts = [r["text"] for r in asked.collect()]
+    assert len(got) == len(texts)
+    for r, t in zip(got, texts, strict=True):
+        assert r["score"] == pytest.approx(brute_score(t, model)) and r["predicted"] == int(r["score"] >= 0.5)
+    held = [(r["predicted"], r["doc_id"] % 3 == 0) for r in got if r["doc_id"] is not None and r["doc_id"] < 240 and r["held_out"]]
+    assert sum(p == y for p, y in held) >= 0.9 * len(held)
+    assert toxicity.toxicity(asked, toxicity.learned(docs.limit(0), labels)).where("predicted = 1").count() == 0
+
+
+def test_what_reaches_the_driver_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TOXIC_BYTES", 1000)
+    monkeypatch.setattr(toxicity, "ORDINARY_BYTES", 5000)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, weight: seen.append(rows) or toxicity.Model())
+    rows = [(k, ("x" if k % 2 else "y") + str(k) * (400 if k % 20 == 0 else 20)) for k in range(400)]
+    toxicity.learned(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, toxic int"))
+    size = lambda y: sum(len(t) for t, x in seen[0] if x == y)
+    assert 900 < size(1) <= 1000 and 4000 < size(0) <= 5000
+
+
 def test_toxicity_on_held_out_rows(spark, docs):
     labels = shared.table(spark, "/root/testdata/sf0.1", "labels")
     big = shared.table(spark, "/root/testdata/sf0.1", "documents")
@@ -269,5 +321,13 @@ def test_pipeline_stages_decide_about_rows(spark, tmp_path):
     frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     left = lambda stage, rows: sorted(((r["doc_id"], r["text"]) for r in stage(spark, frame(rows), str(tmp_path)).collect()), key=repr)
     assert left(corpus_pipeline.benchmark_out, [(None, f"{one} {item}"), (None, two), (7, f"{item} {two}"), (7, three)]) == [(7, three), (None, two)]
+    for _, stage in corpus_pipeline.STAGES[1:4]:  # extra columns go, an empty table stays empty
+        empty = stage(spark, frame([(1, one)]).withColumn("row", F.lit("x")).limit(0), str(tmp_path))
+        assert empty.columns == corpus_pipeline.COLUMNS and empty.count() == 0
+    assert corpus_pipeline.packed(spark, frame([(1, one)]).limit(0), str(tmp_path)).count() == 0
+    assert left(corpus_pipeline.lines_out, [(7, one), (7, two), (None, one)]) == sorted([(7, one), (7, two), (None, one)], key=repr)
+    assert corpus_pipeline.packed(spark, frame([(7, one), (7, two), (None, one)]), str(tmp_path)).count() == 3
+    spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert left(corpus_pipeline.toxic_out, [(7, one), (7, two), (None, one)]) == sorted([(7, one), (7, two), (None, one)], key=repr)
     rows = [(3, one), (9, one), (9, two), (12, two), (5, three), (5, three), (None, one)]
     assert left(corpus_pipeline.near_copies_out, rows) == sorted([(3, one), (9, two), (5, three), (None, one)], key=repr)

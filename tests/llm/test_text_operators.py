@@ -241,13 +241,15 @@ def test_contaminated_equals_brute_force_alignment(spark):
         if k % 2:
             own += " " + ", ".join(edited(rng, items[k % 12][1].split(), rng.choice([0, 0.1, 0.2]))).title() + ". " + sentence(rng, 30)
         docs.append((k, own, "a"))
-    docs += odd(rng)[:4]
+    docs += odd(rng)[:4] + [(None, sentence(rng, 20) + " " + items[3][1], "b"), (904, sentence(rng, 20_000) + " " + items[4][1] + " " + sentence(rng, 20_000), "c"), docs[1]]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in collect(decontaminate.contaminated(frame(spark, docs), bench))}
     words = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
     want = {(i, b): s for i, t, _ in docs for b, x in items if len(words(x)) >= 15 and (s := brute_align(words(x), words(t))) >= 0.5}
     assert {k: v for k, v in got.items() if k[1] != 52} == pytest.approx(want)
-    assert len(want) >= 18
+    assert len(want) >= 20 and (None, 3) in want and (904, 4) in want
+    rows = collect(decontaminate.contaminated(frame(spark, docs), bench))
+    assert sum(r["doc_id"] == 1 and r["item_id"] == 1 for r in rows) == 2  # repeated rows are reported each
     assert decontaminate.contaminated(frame(spark, []), bench).collect() == []
     assert decontaminate.contaminated(frame(spark, docs), bench.limit(0)).collect() == []
 
@@ -293,14 +295,17 @@ def test_line_dedup(spark):
     foot = "All rights reserved by the site"
     rows = [(k, "\n".join([sentence(rng, 12), "", foot if k % 2 else sentence(rng, 5)]), "big") for k in range(30)]
     rows += [(100 + k, f"{foot}\nown words of page {k}", None) for k in range(5)]
-    rows += [(200 + k, f"copied page\n{foot}", "copies") for k in range(50)] + odd(rng)[:4]
-    got = {r["doc_id"]: r for r in collect(line_dedup.without_boilerplate(frame(spark, rows)))}
-    assert len(got) == len(rows)
+    rows += [(200 + k, f"copied page\n{foot}", "copies") for k in range(50)] + odd(rng)[:4] + [(904, "\n".join([sentence(rng, 20_000), foot, sentence(rng, 20_000)]), "big"), (None, f"no id\n{foot}", "big"), rows[1]]
+    every = collect(line_dedup.without_boilerplate(frame(spark, rows)))
+    got = {r["doc_id"]: r for r in every}
+    assert len(every) == len(rows) and len(got) == len(rows) - 1 and sum(r["doc_id"] == 1 for r in every) == 2
     for i, t, s in rows:
         gone = foot in (t or "") and s in ("big", None)
         assert got[i]["text"] == ("\n".join(x for x in t.split("\n") if x != foot) if gone else t)
         assert got[i]["lines_dropped"] == int(gone)
     assert got[200]["text"].startswith("copied page")  # copies of one page are one page: nothing of it is boilerplate
+    plain = {r["doc_id"]: r["text"] for r in collect(line_dedup.without_boilerplate(frame(spark, rows), copies=True))}
+    assert plain[200] == "" and plain[0] == got[0]["text"]  # by the plain ratio all of it is
     assert line_dedup.without_boilerplate(frame(spark, [])).collect() == []
 
 
@@ -323,6 +328,9 @@ def test_secrets_equal_a_scan_of_each_text(spark):
     assert by[2]["spans"].startswith("mixed:0:27") and by[2]["n_live"] == 2
     assert by[10]["n_copied"] == 1 and by[10]["n_live"] == 0
     assert secrets.secrets(frame(spark, [])).collect() == []
+    nobody = [(1, f"x {live}", None), (2, f"y {live}", None), (3, "Ww8" * 9, None), (3, "Ww8" * 9, "a"), (None, "Kk4" * 9, None)]
+    got = {(r["doc_id"], r["spans"]) for r in collect(secrets.secrets(frame(spark, nobody).drop("owner")))}
+    assert got == {(1, "mixed:2:29"), (2, "mixed:2:29"), (3, ""), (None, "mixed:0:27")}  # no owner is one owner
 
 
 def test_places_of_very_many_matches(spark):

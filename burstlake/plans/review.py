@@ -234,7 +234,7 @@ def m11_doubt_and_caps(t) -> DataFrame:
     return t("events").select("event_id", rating.doubtful(word, score, F.col("event_id") % 10 == 0, F.lit(False)).alias("doubtful"), rating.cullable(word, F.col("event_id") % 3 == 0).alias("cullable"), rating.pan_cap(score).alias("cap"))
 
 
-BOXES = """boxes AS (SELECT l_orderkey AS image_id, l_orderkey * 10 + l_linenumber AS id, CASE l_linenumber % 3 WHEN 0 THEN 0 WHEN 1 THEN 17 ELSE 32 END AS cls, CASE WHEN l_linenumber % 3 = 2 THEN NULL ELSE 'vehicle' END AS region_type, CAST(l_partkey % 700 AS DOUBLE) AS x1, CAST(l_suppkey % 90 * 8 AS DOUBLE) AS y1,
+BOXES = """boxes AS (SELECT l_orderkey AS image_id, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS id, CASE l_linenumber % 3 WHEN 0 THEN 0 WHEN 1 THEN 17 ELSE 32 END AS cls, CASE WHEN l_linenumber % 3 = 2 THEN NULL ELSE 'vehicle' END AS region_type, CAST(l_partkey % 700 AS DOUBLE) AS x1, CAST(l_suppkey % 90 * 8 AS DOUBLE) AS y1,
   l_partkey % 700 + 20 + l_quantity * 4 AS x2, l_suppkey % 90 * 8 + 30 + l_tax * 3000 AS y2 FROM lineitem)"""
 _SHARE = "greatest(least(p.x2, q.x2) - greatest(p.x1, q.x1), 0) * greatest(least(p.y2, q.y2) - greatest(p.y1, q.y1), 0)"
 
@@ -243,7 +243,7 @@ def boxes(t) -> DataFrame:
     d = lambda c: c.cast("double")
     x1, y1 = d(F.col("l_partkey") % 700), d(F.col("l_suppkey") % 90 * 8)
     box = F.struct(x1.alias("x1"), y1.alias("y1"), (x1 + 20 + F.col("l_quantity") * 4).alias("x2"), (y1 + 30 + F.col("l_tax") * 3000).alias("y2"))
-    return t("lineitem").select(F.col("l_orderkey").alias("image_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.expr("case l_linenumber % 3 when 0 then 0 when 1 then 17 else 32 end").alias("cls"), F.expr("case when l_linenumber % 3 = 2 then null else 'vehicle' end").alias("region_type"), box.alias("box"))
+    return t("lineitem").select(F.col("l_orderkey").alias("image_id"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")).alias("id"), F.expr("case l_linenumber % 3 when 0 then 0 when 1 then 17 else 32 end").alias("cls"), F.expr("case when l_linenumber % 3 = 2 then null else 'vehicle' end").alias("region_type"), box.alias("box"))
 
 
 @query(f"""WITH {BOXES}, m AS (SELECT p.image_id, p.id AS person, q.id AS ball, sqrt(pow(greatest(greatest(p.x1, q.x1) - least(p.x2, q.x2), 0), 2) + pow(greatest(greatest(p.y1, q.y1) - least(p.y2, q.y2), 0), 2)) / greatest(p.y2 - p.y1, p.x2 - p.x1) AS d FROM boxes p JOIN boxes q USING (image_id) WHERE p.cls = 0 AND q.cls = 32)
@@ -672,7 +672,7 @@ def a17_lists(t) -> DataFrame:
     return stats.shoot_lists(*_report(t))
 
 
-@query(f"""WITH {REPORT} SELECT count(DISTINCT job_id) AS albums, count(*) AS frames, sum(file_size) AS size_bytes, count(*) FILTER (WHERE rejected = 1) AS rejected, count(*) FILTER (WHERE af_x1 IS NULL) AS af_missing, 17 AS complete FROM v""")
+@query(f"""WITH {REPORT} SELECT count(DISTINCT job_id) AS albums, count(*) AS frames, sum(file_size) AS size_bytes, count(*) FILTER (WHERE rejected = 1) AS rejected, count(*) FILTER (WHERE af_x1 IS NULL) AS af_missing, CAST(count(DISTINCT job_id) FILTER (WHERE job_id % 7 <> 6 AND job_id <> 1) AS INT) AS complete FROM v""")
 def a18_library(t) -> DataFrame:
     f, s = _report(t)
     odd = F.col("job_id") % 7 == 6  # two of twenty albums lack a setting

@@ -30,7 +30,7 @@ def components(edges: DataFrame, store: Callable[[DataFrame], DataFrame] = cut)
     """
     ends = edges.select("a", "b").where("a is not null and b is not null")
     left = store(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found = store(left.select(F.col("a").alias("v")).union(left.select(F.col("b").alias("v"))).distinct().withColumn("component", F.col("v")))
+    found = left.select(F.col("a").alias("v")).union(left.select(F.col("b").alias("v"))).distinct().withColumn("component", F.col("v"))
     left = left.where("a < b")
     while not left.isEmpty():
         hooks = left.select(F.col("b").alias("v"), F.col("a").alias("to")).union(left.select(F.col("a").alias("v"), F.col("b").alias("to")))

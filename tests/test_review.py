@@ -294,3 +294,32 @@ def test_a_cluster_needs_a_shared_folder():
         work_dir(session)
     session.conf = SimpleNamespace(get=lambda key, default=None: "file:///shared/")
     assert work_dir(session) == "file:///shared"
+
+
+def test_overlapping_boxes_are_suppressed(spark):
+    rows = [(1, 1, "car", 0.9, 0.0, 0.0, 10.0, 10.0), (1, 2, "car", 0.8, 1.0, 0.0, 11.0, 10.0), (1, 3, "bike", 0.7, 1.0, 0.0, 11.0, 10.0), (1, 4, "car", 0.6, 20.0, 0.0, 30.0, 10.0), (1, 5, "car", 0.6, 20.0, 0.0, 30.0, 10.0), (2, 6, "car", 0.1, 0.0, 0.0, 10.0, 10.0)]
+    df = spark.createDataFrame(rows, "image long, id long, cls string, conf double, x1 double, y1 double, x2 double, y2 double")
+    assert sorted(r["id"] for r in clusters.suppress_overlaps(df, "image", 0.5).collect()) == [1, 3, 4, 6]
+
+
+def test_packages_and_catalogues(spark, tmp_path):
+    rows = spark.createDataFrame([("f", 1, None, "")], "format string, version int, direction string, created_at string")
+    files.write_packages(rows, f"{tmp_path}/out")
+    assert json.loads(spark.read.text(f"{tmp_path}/out").first()["value"]) == {"format": "f", "version": 1, "created_at": ""}
+    compact = rows.select(files.compact_json(["format", "version", "direction", "created_at"]).alias("j")).first()["j"]
+    assert json.loads(compact) == {"format": "f", "version": "1"}
+    f = spark.createDataFrame([(1, 10, "x.cr3")], "file_id long, folder long, file_name string")
+    d = spark.createDataFrame([(10, 100, "2024/")], "folder_id long, root long, folder_path string")
+    r = spark.createDataFrame([(100, "/p/")], "root_id long, root_path string")
+    i = spark.createDataFrame([(7, 1, 4, 1, "red"), (8, 2, 4, 1, "red")], "image_id long, file long, rating int, pick int, label string")
+    assert [tuple(x) for x in files.catalogue(f, d, r, i).collect()] == [(7, "/p/2024/x.cr3", 4, 1, "red")]
+
+
+def test_moments_and_marks_of_files(spark):
+    row = spark.range(1).select(F.from_json(F.lit('[{"tag":"a","p":0.9},{"tag":"b","p":0.95},{"tag":"c","p":0.6}]'), "array<struct<tag:string,p:double>>").alias("r"))
+    weights = F.create_map(F.lit("a"), F.lit(0.9), F.lit("c"), F.lit(1.0))
+    got = row.select(rating.moment_lift(F.col("r"), weights, F.lit(0.5)).alias("l"), rating.moment_lift(F.col("r"), F.create_map(F.lit("z"), F.lit(1.0)), F.lit(1.0)).alias("n"), F.size(rating.maybe_readings(F.col("r"))).alias("m"), rating.lift_bucket(F.lit(0.45)).alias("b")).first()
+    assert (got["l"]["tag"], got["l"]["amount"], got["n"], got["m"], got["b"]) == ("a", 0.45, None, 1, 2)
+    stars, label = linkage.file_marks(F.col("s"), F.col("l"))
+    marks = spark.createDataFrame([(0, " "), (5, "Red"), (6, None)], "s int, l string").select(stars.alias("s"), label.alias("l"))
+    assert [tuple(x) for x in marks.collect()] == [(None, None), (5, "Red"), (None, None)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_dedup, near_dup, packing, secrets, substring_dedup, topk, toxicity, warc
+from . import decontaminate, importance, language, line_dedup, merkle, near_dup, packing, secrets, simhash, substring_dedup, topk, toxicity, warc
 from .shared import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,3 +169,94 @@ SELECT page_id, payload_bytes, payload_digest,
   CAST(NULL AS VARCHAR) AS damage
 FROM g
 """
+
+
+#: CRC-32 in SQL, for what DuckDB has no function: the table of a byte (by its rule), bytes of a string in UTF-8, and the sum over them.
+_CRC = """
+crc_table AS MATERIALIZED (SELECT list(list_reduce(list_concat([n], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS ct FROM range(256) r(n))"""
+
+
+def _crc(x: str) -> str:
+    """SQL for the unsigned CRC-32 of the string ``x``, beside ``crc_table``."""
+    points = f"list_transform(string_split({x}, ''), lambda ch: unicode(ch))"
+    rest = lambda n: ", ".join(f"128 | ((p >> {6 * k}) & 63)" for k in range(n - 1, -1, -1))
+    utf8 = f"flatten(list_transform({points}, lambda p: CASE WHEN p < 128 THEN [p] WHEN p < 2048 THEN [192 | (p >> 6), {rest(1)}] WHEN p < 65536 THEN [224 | (p >> 12), {rest(2)}] ELSE [240 | (p >> 18), {rest(3)}] END))"
+    return f"xor(list_reduce(list_concat([4294967295], CAST({utf8} AS BIGINT[])), lambda c, b: xor(ct[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+@query
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_importance"] = rf"""
+WITH {_CRC},
+texts AS (SELECT row_number() OVER () AS row, doc_id, text, true AS doc FROM documents UNION ALL SELECT -row_number() OVER (), NULL, text, false FROM benchmark),
+words AS (SELECT row, doc_id, doc, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (
+  SELECT row, doc, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f
+  FROM words),
+counted AS (SELECT row, doc, f, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS MATERIALIZED (SELECT f, {_crc("f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM counted), crc_table),
+posted AS (SELECT row, doc, bucket, sum(n) AS n FROM counted JOIN hashed USING (f) GROUP BY ALL),
+both_have AS (SELECT bucket, coalesce(sum(n) FILTER (doc), 0) AS s, coalesce(sum(n) FILTER (NOT doc), 0) AS t FROM posted GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(t + 1 AS DOUBLE) * CAST((SELECT sum(s) FROM both_have) + 10000 AS DOUBLE)) / (CAST(s + 1 AS DOUBLE) * CAST((SELECT sum(t) FROM both_have) + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM both_have),
+sums AS (SELECT row, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM posted JOIN gains USING (bucket) WHERE doc GROUP BY row),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || left(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM words LEFT JOIN sums USING (row) WHERE doc),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * (SELECT count(*) FROM scored WHERE n_words >= 20) // 100 THEN place END AS rank FROM ranked
+"""
+
+
+@query
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.leaf_digest(text=F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    return merkle.verified(merkle.manifest(docs, {"tampered": tampered}), F.coalesce("tampered", "leaf"))
+
+
+def _sql_merkle() -> str:
+    framed = lambda x: f"coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || CAST({x} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(framed(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    levels = lambda name, start: f"""{name} AS (
+  SELECT 0 AS level, g, pos, digest, size FROM {start}
+  UNION ALL
+  SELECT level + 1, g, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(size) + 7) // 8 FROM {name} WHERE size > 1 GROUP BY level, g, pos // 8)"""
+    folds = lambda name, start, tree, others: f"""{name} AS (
+  SELECT 0 AS level, id, g, pos, size, digest, '' AS proof FROM {start}
+  UNION ALL
+  SELECT x.level + 1, id, x.g, x.pos // 8, (x.size + 7) // 8, sha256(coalesce(b, '') || x.digest || coalesce(a, '')), proof || coalesce(b, '') || coalesce(a, '')
+  FROM {name} x, LATERAL (SELECT string_agg(t.digest, '' ORDER BY t.pos) FILTER (t.pos < x.pos) AS b, string_agg(t.digest, '' ORDER BY t.pos) FILTER (t.pos > x.pos) AS a FROM {tree} t WHERE t.level = x.level AND t.g = x.g AND t.pos // 8 = x.pos // 8) WHERE x.size > 1)"""
+    return f"""
+WITH RECURSIVE {_CRC},
+marked AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce('=' || lang, '-') AS g, {leaf("text")} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {_crc("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS changed
+  FROM documents, crc_table),
+leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS size FROM marked),
+{levels("built", "(SELECT g, pos, leaf AS digest, size FROM leaves)")},
+nodes AS MATERIALIZED (SELECT * FROM built),
+tops AS MATERIALIZED (SELECT '' AS all_g, g, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS size FROM nodes WHERE size = 1),
+{levels("upper_built", "(SELECT all_g AS g, pos, subroot AS digest, size FROM tops)")},
+upper_nodes AS MATERIALIZED (SELECT * FROM upper_built),
+{folds("folding", "(SELECT id, g, pos, size, changed AS digest FROM leaves)", "nodes", "g")},
+folded AS MATERIALIZED (SELECT id, f.g, f.proof, f.digest FROM folding f WHERE size = 1),
+{folds("upper_folding", "(SELECT id, '' AS g, tops.pos, tops.size, digest FROM folded JOIN tops USING (g))", "upper_nodes", "g")}
+SELECT doc_id, leaf, subroot, root, sha256(folded.proof || u.proof) AS proof_sha256, u.digest AS folded_root, u.digest = root AS verified
+FROM leaves JOIN folded USING (id) JOIN (SELECT * FROM upper_folding WHERE size = 1) u USING (id) JOIN tops ON tops.g = leaves.g,
+  (SELECT digest AS root FROM upper_nodes WHERE size = 1)
+"""
+
+
+ORACLES["op13_merkle"] = _sql_merkle()

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.lineage import work_dir
@@ -51,6 +51,20 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def placed(rows: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with pos, the place from 0 among those of one ``group`` (never null) in ``order``, and size, the rows of the group.
+
+    Rows are sorted by ranges and stored once; only one row a range and group meets others, so a group may be of any size.
+    """
+    ordered = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    kept = stored(ordered.withColumn("at", F.monotonically_increasing_id()), name).withColumn("part", F.shiftright("at", 33))
+    parts = kept.groupBy("part", group).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    whole = Window.partitionBy(group)
+    earlier = F.coalesce(F.sum("n").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = parts.select("part", group, (F.col("first") - earlier).alias("shift"), F.sum("n").over(whole).alias("size"))
+    return kept.join(base, ["part", group]).withColumn("pos", F.col("at") - F.col("shift")).drop("part", "at", "shift")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,12 +13,14 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import dot, hamming
 from ..functions.text import plain_key, tidy_plate
-from .lineage import cut, scanned
+from .lineage import cut, numbered, scanned, tabled
 from .linkage import band_pairs
 from .moments import alike_plates, merge_on_plates
 
 #: Bits and seconds of near duplicates; cosines of one look and one face.
 DUPE_BITS, SURE_BITS, DUPE_SECONDS, SAME_LOOK, SAME_FACE = 10, 4, 600.0, 0.90, 0.363
+#: Frames to a block of the band join.
+BLOCK = 2048
 
 
 def components(edges: DataFrame, store: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
@@ -48,6 +50,63 @@ def components(edges: DataFrame, store: Callable[[DataFrame], DataFrame] = cut)
     return found
 
 
+def _time_blocks(frames: DataFrame, seconds: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(n, ids, hashes, times, bursts) of ``block`` frames each in order of time, and (i, j) of the blocks that lie at most ``seconds`` apart.
+
+    A busy minute is as many blocks as it needs, and a block meets those that its last frame reaches. One row a block is ordered in one task.
+    """
+    timed = frames.where("taken is not null and phash is not null").select("id", "taken", "phash", "burst")
+    placed = numbered(timed, [F.col("taken"), F.col("id")], "_place").withColumn("n", F.floor((F.col("_place") - 1) / block))
+    row = F.struct("taken", "id", "phash", F.col("burst").cast("long").alias("burst"))
+    them = F.sort_array(F.collect_list(row))
+    blocks = tabled(placed.groupBy("n").agg(F.min("taken").alias("lo"), F.max("taken").alias("hi"), them.alias("them")), "blocks").select("n", "lo", "hi", *[F.col(f"them.{c}").alias(c) for c in ("id", "taken", "phash", "burst")])
+    ends = blocks.select(F.col("lo").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("i")).union(blocks.select(F.col("hi") + seconds, F.lit(1), "n"))
+    seen = F.sum(1 - F.col("side")).over(Window.orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
+    reach = ends.withColumn("seen", seen).where("side = 1")
+    return blocks.drop("lo", "hi"), reach.select("i", F.explode(F.sequence(F.col("i"), F.col("seen") - 1)).alias("j"))
+
+
+def _compared(seconds: float, bits: int):
+    """Pairs of frames of two blocks (of one block: each pair once) near in time and hash, and of different bursts (null: of none)."""
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                b_id, b_t, b_h = np.asarray(row.id_b), np.asarray(row.taken_b, float), np.asarray(row.phash_b, np.int64).view(np.uint64)
+                b_burst = np.array([np.nan if v is None else v for v in row.burst_b], float)
+                out = []
+                for k, (a, t, h, burst) in enumerate(zip(row.id_a, row.taken_a, np.asarray(row.phash_a, np.int64).view(np.uint64), row.burst_a, strict=True)):
+                    low = k + 1 if row.i == row.j else 0
+                    high = int(np.searchsorted(b_t, t + seconds, "right"))
+                    if high <= low:
+                        continue
+                    far = np.bitwise_count(b_h[low:high] ^ h)
+                    near = np.flatnonzero((far <= bits) & (b_t[low:high] - t <= seconds) & ~(b_burst[low:high] == (np.nan if burst is None else burst)))
+                    out += [(min(int(a), int(b)), max(int(a), int(b)), int(f)) for b, f in zip(b_id[low:high][near], far[near], strict=True)]
+                yield pd.DataFrame(out, columns=["a", "b", "bits"])
+
+    return compare
+
+
+def near_in_time(frames: DataFrame, looks: DataFrame | None = None, same: float = SAME_LOOK, bits: int = DUPE_BITS, seconds: float = DUPE_SECONDS, block: int = BLOCK) -> DataFrame:
+    """(a, b, bits) of ``frames`` (id, taken, phash, burst) of different bursts, at most ``seconds`` and ``bits`` apart, that show the same.
+
+    ``looks`` (id, embedding) are the unit vectors of what a frame shows: where both have some, any two must have a product of ``same`` at least;
+    where one has none, hashes must agree but for SURE_BITS. Frames are joined block by block in order of time; only pairs near in time and hash
+    meet with their vectors. Frames without time or hash have no pairs here.
+    """
+    blocks, meet = _time_blocks(frames, seconds, block)
+    side = lambda n, s: blocks.select(F.col("n").alias(n), *[F.col(c).alias(f"{c}_{s}") for c in ("id", "taken", "phash", "burst")])
+    met = meet.join(side("i", "a"), "i").join(side("j", "b"), "j")
+    found = tabled(met.mapInPandas(_compared(seconds, bits), "a long, b long, bits int"), "near")
+    if looks is None:
+        return found.where(F.col("bits") <= SURE_BITS)
+    vectors = looks.where("embedding is not null").groupBy("id").agg(F.collect_list("embedding").alias("v"))  # of one frame
+    both = found.join(vectors.select(F.col("id").alias("a"), F.col("v").alias("va")), "a", "left").join(vectors.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b", "left")
+    alike = F.exists("va", lambda x: F.exists("vb", lambda y: dot(x, y) >= same))
+    return both.where(F.coalesce(alike, F.col("bits") <= SURE_BITS)).select("a", "b", "bits")
+
+
 def near_frames(frames: DataFrame, confirm: Column | None = None, bits: int = DUPE_BITS, seconds: float = DUPE_SECONDS) -> DataFrame:
     """(a, b) of near-duplicate ``frames`` (id, taken, phash, burst) of different bursts.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, casefold, plain_key
-from .lineage import at_place, cut, running_sums, scanned
+from .lineage import at_place, cut, running_sums
+from .ranges import scanned
 from .sequence import merge_bursts
 
 
@@ -275,23 +277,31 @@ def best_subjects(boxes: DataFrame, group: str, file: str, least_conf: float = 0
     return best.select(group, file, "m.*")
 
 
-def spaced(candidates: DataFrame, group: str, place: str, spacing: int = 4) -> DataFrame:
-    """Of each group's candidates in order of ``place`` those at least ``spacing`` places after the last one kept; what is held is that place."""
+class _Spaced:
+    """Held is the last place that was kept; places far enough from their neighbour are kept whatever came earlier."""
 
-    def scan():
-        last = [None]
+    def __init__(self, place: str, spacing: int) -> None:
+        self.place, self.spacing, self.last = place, spacing, None
 
-        def step(pdf: pd.DataFrame, end: bool):
-            keep = []
-            for p in pdf[place]:
-                keep.append(last[0] is None or p - last[0] >= spacing)
-                if keep[-1]:
-                    last[0] = p
-            yield pdf[np.array(keep, bool)]
+    def restarts(self, rows: pd.DataFrame, before: pd.DataFrame | None) -> np.ndarray:
+        first = np.nan if before is None else float(before[self.place].iat[0])
+        return np.diff(rows[self.place].to_numpy(float), prepend=first) >= self.spacing
 
-        return step
+    def step(self, rows: pd.DataFrame, last: bool):
+        keep = []
+        for p in rows[self.place]:
+            keep.append(self.last is None or p - self.last >= self.spacing)
+            if keep[-1]:
+                self.last = p
+        yield rows[np.array(keep, bool)]
 
-    return scanned(candidates, group, [F.col(place)], scan, candidates.schema)
+    def held(self) -> object:
+        return self.last
+
+
+def spaced(candidates: DataFrame, group: str, place: str, spacing: int = 4, ranges: int | None = None) -> DataFrame:
+    """Of each group's candidates in order of ``place`` those at least ``spacing`` places after the last one kept, by ranges: one group may hold them all."""
+    return scanned(candidates, [F.col(group)], [F.col(place)], partial(_Spaced, place, spacing), candidates.schema, ranges)
 
 
 def even_sample(rows: DataFrame, group: list[str], order: list[str], k: int) -> DataFrame:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_plate, blank_to_null, near_plate, plain_key
+from ..functions.text import blank_to_null, plain_key
 from ..functions.vehicles import own_readings, remembered
 from .clusters import SAME_LOOK, vehicles
 from .mutations import upsert
@@ -101,15 +101,6 @@ def consolidate(subjects: DataFrame, album: str, same: float = SAME_LOOK) -> Dat
     return joined.withColumns(filled | lists | better | sums).drop("_group", *[f"_g_{c}" for c in names])
 
 
-def agreed(rows: DataFrame, group: str, seq: str) -> DataFrame:
-    """group, plate, aliases, votes: the plate most read, and the near misses of it as aliases."""
-    ranked = ranked_values(rows, group, F.nullif(ascii_plate(F.col("plate")), F.lit("")), seq)
-    top = ranked.where("place = 1").select(group, F.col("value").alias("plate"), F.col("n").alias("votes"))
-    others = ranked.where("place > 1").join(top, group).where(near_plate(F.col("value"), F.col("plate")))
-    aliases = others.groupBy(group).agg(F.sort_array(F.collect_set("value")).alias("aliases"))
-    return top.join(aliases, group, "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
-
-
 def settle_reading(rows: DataFrame, group: str, value: str, seq: str, share: float = SETTLE_SHARE) -> DataFrame:
     """group, winner (null if no reading holds ``share``), forms: the commonest form of each reading by its bare letters."""
     keyed = rows.withColumn("_key", plain_key(F.col(value)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -35,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tabled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: its lineage is cut, and it has a size to plan with."""
+    path = f"{work_dir(df.sparkSession)}/burstlake/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def running_sums(rows: DataFrame, by: str, columns: list[str], descending: bool = False) -> DataFrame:
     """``rows`` with ``<c>_sum``: the sum of each column over the rows up to this one in order of ``by`` (distinct values).
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import continuity, histogram_distance
-from .lineage import numbered, running_sums, scanned
+from .lineage import numbered, running_sums
+from .ranges import scanned, with_previous
 
 #: Seconds between frames of one burst; joining bursts; brackets, stacks and intervals.
 GAP, MERGE_GAP, MERGE_SPAN = 1.5, 10.0, 30.0
@@ -64,29 +66,41 @@ def same_subject(leeway: float = MERGE_LEEWAY) -> Column:
     return (F.col("a.last.portrait") == F.col("b.first.portrait")) & (scene <= MERGE_SCENE) & (~both_boxed | boxes) & F.coalesce(livery <= MERGE_LIVERY, F.lit(True))
 
 
-def merge_bursts(ends: DataFrame, camera: str, joins: Column | None = None, span: float = MERGE_SPAN, gap: float = MERGE_GAP) -> DataFrame:
+class _Spans:
+    """A group keeps the key and the start of its first burst; the rest follows from neighbours."""
+
+    def __init__(self, span: float) -> None:
+        self.span, self.open = span, None
+
+    def restarts(self, rows: pd.DataFrame, before: pd.DataFrame | None) -> np.ndarray:
+        fresh = ~rows["_may"].to_numpy(bool)
+        fresh[:1] &= before is not None
+        return fresh
+
+    def step(self, rows: pd.DataFrame, last: bool) -> Iterator[pd.DataFrame]:
+        keys = []
+        for burst, start, may_join in zip(rows["burst"], rows["started"], rows["_may"], strict=True):
+            if self.open is None or not may_join or start - self.open[1] > self.span:
+                self.open = burst, start
+            keys.append(self.open[0])
+        yield rows.assign(merged=keys)
+
+    def held(self) -> object:
+        return self.open
+
+
+def merge_bursts(ends: DataFrame, camera: str, joins: Column | None = None, span: float = MERGE_SPAN, gap: float = MERGE_GAP, ranges: int | None = None) -> DataFrame:
     """``ends``: a row for each burst (camera, burst, started, ended). Adds ``merged``: the key of the group's first burst.
 
     A burst joins the open group if it begins within ``gap`` of the last one's end, ``joins`` holds (a column of
     the rows ``a``, the one before, and ``b``; ``same_subject`` if none is given), and it begins within ``span`` of the group's start. The last rule depends
-    on where the group began, so each camera's bursts (not frames) are scanned in order.
+    on where the group began: bursts (not frames) are scanned in order, by ranges, so that one camera may hold them all.
     """
-    order = Window.partitionBy(camera).orderBy("started", "burst")
-    row = F.struct(*[F.col(c) for c in ends.columns])
-    paired = ends.withColumn("a", F.lag(row).over(order)).withColumn("b", row)
+    order = [F.col("started"), F.col("burst")]
+    paired = with_previous(ends, [F.col(camera)], order, "a", ranges).withColumn("b", F.struct(*[F.col(c) for c in ends.columns]))
     may = F.coalesce((F.col("b.started") >= F.col("a.ended")) & (F.col("b.started") - F.col("a.ended") <= gap) & (same_subject() if joins is None else joins), F.lit(False))
     flagged = paired.withColumn("_may", may).drop("a", "b")
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["started", "burst"], ignore_index=True)
-        out, key, began = [], None, 0.0
-        for burst, start, may_join in zip(pdf["burst"], pdf["started"], pdf["_may"], strict=True):
-            if key is None or not may_join or start - began > span:
-                key, began = burst, start
-            out.append(key)
-        return pdf.drop(columns="_may").assign(merged=out)
-
-    return flagged.groupBy(camera).applyInPandas(scan, T.StructType([*ends.schema.fields, T.StructField("merged", ends.schema["burst"].dataType)]))
+    return scanned(flagged, [F.col(camera)], order, partial(_Spans, span), T.StructType([*ends.schema.fields, T.StructField("merged", ends.schema["burst"].dataType)]), ranges)
 
 
 def renumber(frames: DataFrame, key: str, order_by: list[str]) -> DataFrame:
@@ -104,41 +118,57 @@ def _stops(a: float, b: float, each: float, most: float) -> bool:
     return not (a > 0 and b > 0) or abs(each * np.log2(a / b)) <= most
 
 
-def sets(frames: DataFrame, camera: str = "camera") -> DataFrame:
+class SetScan:
+    """Brackets, then focus stacks, then intervals, each on frames that are still free; held are the runs of each kind that are open."""
+
+    def __init__(self) -> None:
+        self.open: dict[str, dict[str, list]] = {}
+
+    def restarts(self, rows: pd.DataFrame, before: pd.DataFrame | None) -> np.ndarray:
+        """No run of any kind goes on over a longer pause, nor over a frame without a time."""
+        first = np.nan if before is None else before["taken"].to_numpy(float, na_value=np.nan)[0]
+        fresh = ~(np.diff(rows["taken"].to_numpy(float, na_value=np.nan), prepend=first) <= INTERVAL_GAP[1])
+        fresh[:1] &= before is not None
+        return fresh
+
+    def step(self, pdf: pd.DataFrame, last: bool) -> Iterator[pd.DataFrame]:
+        kept = self.open
+        self.open = {}
+        for kind, end_of in (("bracket", _bracket_end), ("stack", _stack_end), ("interval", _interval_end)):
+            if kind in kept:
+                held = pd.DataFrame(kept[kind])
+                pdf = pd.concat([held, pdf], ignore_index=True) if len(pdf) else held
+            nothing = np.full(len(pdf), np.nan)
+            read = [pdf[c].to_numpy(float, na_value=np.nan) if c in pdf.columns else nothing for c in ("taken", "ev", "focus", "focal", "aperture", "shutter")]
+            at, owner, i = np.arange(len(pdf)), np.full(len(pdf), -1), 0
+            while i < len(pdf):
+                n, good = end_of(at[i:], *read)
+                if i + n == len(pdf) and not last:  # the run may go on
+                    break
+                if good:
+                    owner[i : i + n] = i
+                i += n if good else 1
+            if i < len(pdf):
+                self.open[kind] = pdf.iloc[i:].to_dict("list")
+            taken = owner >= 0
+            if taken.any():
+                yield pdf[taken].assign(set_id=pd.array(pdf["frame_id"].to_numpy()[owner[taken]], "Int64"), set_kind=kind)
+            pdf = pdf[:i][~taken[:i]]
+        if len(pdf):
+            yield pdf.assign(set_id=pd.array([None] * len(pdf), "Int64"), set_kind=None)
+
+    def held(self) -> object:
+        return self.open or None
+
+
+def sets(frames: DataFrame, camera: str = "camera", ranges: int | None = None) -> DataFrame:
     """``frames`` (camera, frame_id, taken, ev, focus, focal; aperture and shutter if they are known) with set_id (its first frame_id) and set_kind.
 
-    All kinds keep the focal length and the aperture of their first frame, stacks the shutter, too. Brackets first, then focus stacks, then intervals, each on frames that are still free. Greedy runs consume frames,
-    so each camera is scanned in order, in batches: what is held is a batch and the runs that are open at its end.
+    All kinds keep the focal length and the aperture of their first frame, stacks the shutter, too. Greedy runs consume frames,
+    so they are scanned in order: by ranges, batch by batch, so that one camera may hold all frames.
     """
-    names = [*frames.columns, "set_id", "set_kind"]
-
-    def scan():
-        open_rows: dict[str, pd.DataFrame] = {}
-
-        def step(pdf: pd.DataFrame, last: bool) -> Iterator[pd.DataFrame]:
-            for kind, end_of in (("bracket", _bracket_end), ("stack", _stack_end), ("interval", _interval_end)):
-                pdf = pd.concat([x for x in (open_rows.get(kind), pdf) if x is not None and len(x)] or [pdf], ignore_index=True)
-                nothing = np.full(len(pdf), np.nan)
-                read = [pdf[c].to_numpy(float, na_value=np.nan) if c in pdf.columns else nothing for c in ("taken", "ev", "focus", "focal", "aperture", "shutter")]
-                at, owner, i = np.arange(len(pdf)), np.full(len(pdf), -1), 0
-                while i < len(pdf):
-                    n, good = end_of(at[i:], *read)
-                    if i + n == len(pdf) and not last:  # the run may go on in the next batch
-                        break
-                    if good:
-                        owner[i : i + n] = i
-                    i += n if good else 1
-                open_rows[kind] = pdf.iloc[i:]
-                taken = owner >= 0
-                if taken.any():
-                    yield pdf[taken].assign(set_id=pd.array(pdf["frame_id"].to_numpy()[owner[taken]], "Int64"), set_kind=kind)[names]
-                pdf = pdf[:i][~taken[:i]]
-            if len(pdf):
-                yield pdf.assign(set_id=pd.array([None] * len(pdf), "Int64"), set_kind=None)[names]
-
-        return step
-
-    return scanned(frames, camera, [F.col("taken").asc_nulls_last(), F.col("frame_id")], scan, T.StructType([*frames.schema.fields, T.StructField("set_id", T.LongType()), T.StructField("set_kind", T.StringType())]))
+    schema = T.StructType([*frames.schema.fields, T.StructField("set_id", T.LongType()), T.StructField("set_kind", T.StringType())])
+    return scanned(frames, [F.col(camera)], [F.col("taken").asc_nulls_last(), F.col("frame_id")], SetScan, schema, ranges)
 
 
 def _bracket_end(at: np.ndarray, t, ev, focus, focal, aperture, shutter) -> tuple[int, bool]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import text as X
 from ..functions import times as D
-from ..operators import clusters, evaluate, identity, keeper, lineage, linkage, moments, mutations, sequence, views, votes
+from ..operators import clusters, evaluate, identity, keeper, lineage, linkage, moments, mutations, registry, sequence, views, votes
 from ..session import ship
 from . import stats
 
@@ -330,6 +330,19 @@ def j14_band_pairs(t) -> DataFrame:
     return linkage.band_pairs(e, "id", "t", 60.0).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), (F.col("a.user_id") == F.col("b.user_id")).alias("same"))
 
 
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL), n AS (SELECT count(*) AS n FROM embeddings),
+  f AS (SELECT event_id AS id, epoch_us(ts) / 1e6 AS t, CASE WHEN event_id % 5 <> 0 THEN user_id END AS burst, (user_id * 2654435761 % 4096) * 1048576 + CAST(floor(value * 16) AS BIGINT) AS h, event_id % (SELECT n FROM n) AS vec, event_id % 3 <> 0 AS seen FROM events),
+  p AS (SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h)) AS bits, a.vec AS va, b.vec AS vb, a.seen AND b.seen AS seen FROM f a JOIN f b ON a.id < b.id AND abs(a.t - b.t) <= 600 AND a.burst IS DISTINCT FROM coalesce(b.burst, -1) AND bit_count(xor(a.h, b.h)) <= 10)
+  SELECT a, b, CAST(bits AS INT) AS bits FROM p LEFT JOIN v x ON x.vec_id = p.va AND seen LEFT JOIN v y ON y.vec_id = p.vb AND seen
+  WHERE CASE WHEN x.e IS NOT NULL AND y.e IS NOT NULL THEN list_inner_product(x.e, y.e) >= 0.1 ELSE bits <= 4 END""")
+def j14_near_frames(t) -> DataFrame:
+    n = t("embeddings").count()
+    h = (F.col("user_id") * 2654435761 % 4096) * 1048576 + F.floor(F.col("value") * 16)
+    e = t("events").select(F.col("event_id").alias("id"), D.wall_seconds(F.col("ts")).alias("taken"), F.when(F.col("event_id") % 5 != 0, F.col("user_id")).alias("burst"), h.alias("phash"))
+    looks = e.where("id % 3 <> 0").select("id", (F.col("id") % n).alias("vec_id")).join(t("embeddings").select("vec_id", "embedding"), "vec_id").select("id", "embedding")
+    return clusters.near_in_time(e, looks, same=0.1)
+
+
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN s_name ELSE p_name END AS p_name FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 10 + 1")
 def j15_fill_blanks(t) -> DataFrame:
     rows = t("part").select("p_partkey", (F.col("p_partkey") % 10 + 1).alias("s_suppkey"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_name")).alias("p_name"))
@@ -494,14 +507,54 @@ def e1_marks(t) -> DataFrame:
     return mutations.mark(f, marks).select("id", "stars", "rejected", "picked")
 
 
-@query(f"""WITH {FRAMES}, v AS (SELECT *, CASE WHEN taken_at - lag(taken_at) OVER (PARTITION BY job_id, camera ORDER BY taken_at, path) > 1.5 THEN 1 ELSE 0 END AS new FROM frames WHERE status = 'done' AND coalesce(copy_of, 0) = 0),
-  s AS (SELECT *, sum(new) OVER (PARTITION BY job_id, camera ORDER BY taken_at, path) AS session FROM v), k AS (SELECT *, dense_rank() OVER (ORDER BY job_id, camera, session) AS burst FROM s),
-  r AS (SELECT id, burst, row_number() OVER (PARTITION BY burst ORDER BY coalesce(stars, 0) DESC, floor(rating / 0.03) DESC, id) AS n FROM k WHERE coalesce(stars, 0) >= 3 OR rating >= 0.728)
-  SELECT f.id, CAST(k.burst AS BIGINT) AS burst_key, CASE WHEN r.n = 1 THEN 1 END AS burst_pick FROM frames f LEFT JOIN k ON k.id = f.id LEFT JOIN r ON r.id = f.id""")
+REGROUPED = """v AS (SELECT *, CASE WHEN taken_at - lag(taken_at) OVER (PARTITION BY job_id, camera ORDER BY taken_at, path, id) <= 1.5 THEN 0 ELSE 1 END AS new FROM frames WHERE status = 'done' AND coalesce(copy_of, 0) = 0),
+  s AS (SELECT *, sum(new) OVER (PARTITION BY job_id, camera ORDER BY taken_at, path, id) AS session FROM v),
+  k AS (SELECT *, dense_rank() OVER (PARTITION BY job_id ORDER BY camera, session) AS time_burst FROM s),
+  o AS (SELECT job_id, time_burst, row_number() OVER (PARTITION BY job_id ORDER BY coalesce(taken_at, 0), path, id) AS burst_key FROM k WHERE new = 1),
+  r AS (SELECT id, row_number() OVER (PARTITION BY job_id, time_burst ORDER BY coalesce(stars, 0) DESC, floor(rating / 0.03) DESC, id) AS n FROM k WHERE coalesce(stars, 0) >= 3 OR rating >= 0.728)"""
+
+
+@query(f"""WITH {FRAMES}, {REGROUPED}
+  SELECT f.id, CAST(o.burst_key AS BIGINT) AS burst_key, CAST(k.time_burst AS BIGINT) AS time_burst, CASE WHEN r.n = 1 THEN 1 END AS burst_pick
+  FROM frames f LEFT JOIN k ON k.id = f.id LEFT JOIN o ON o.job_id = k.job_id AND o.time_burst = k.time_burst LEFT JOIN r ON r.id = f.id""")
 def e3_regroup(t) -> DataFrame:
     from .regroup import regroup
 
-    return regroup(frames(t)).select("id", "burst_key", "burst_pick")
+    return regroup(frames(t)).select("id", "burst_key", "time_burst", "burst_pick")
+
+
+def looking_frames(t) -> DataFrame:
+    """Frames with settings and looks: boxes that wander, scenes and liveries of a few kinds, focus that steps."""
+    kind = lambda c, n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.when(F.pmod(c, F.lit(n)) == k, 200).otherwise(F.lit(55 // (n - 1))).cast("int"))
+    x = F.pmod(F.col("id") * 7, F.lit(40)) / 100
+    looks = {
+        "width": F.lit(6000), "height": F.when(F.col("id") % 41 == 0, 9000).otherwise(4000), "scene": kind(F.floor(F.col("taken_at") / 20_000), 4), "livery": F.when(F.col("id") % 3 != 0, kind(F.col("id"), 5)),
+        "box": F.when(F.col("id") % 7 != 0, F.struct(x.alias("x1"), F.lit(0.2).alias("y1"), (x + 0.3).alias("x2"), F.lit(0.6).alias("y2"))), "panning": F.col("id") % 9 == 0,
+        "exposure_time": F.pow(F.lit(2.0), (F.col("id") % 4).cast("double")) / 100, "exposure_bias": F.lit(0.0), "focus_distance": (F.col("id") % 5 + 1).cast("double"), "focal_length": F.lit(50.0), "f_number": F.lit(8.0),
+    }
+    # a thousand times as fast, so that sessions hold several frames and lie near each other
+    return frames(t).withColumns({"taken_at": F.col("taken_at") / 1000}).withColumns(looks)
+
+
+@query()
+def e3_moments(t) -> DataFrame:
+    from .regroup import regroup
+
+    return regroup(looking_frames(t), gap=15.0).select("id", "burst_key", "time_burst", "burst_pick", "set_id", "set_kind")
+
+
+@query(f"""WITH {FRAMES}, {REGROUPED},
+  d AS (SELECT o_orderkey AS id, o_custkey AS image_id, o_totalprice % 1000 / 1000 AS score, CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 5 ELSE 0 END AS stars, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 3 END AS group_key FROM orders WHERE o_orderkey % 29 <> 0 AND o_orderkey % 23 <> 0),
+  m AS (SELECT d.id, k.job_id, o.burst_key, d.group_key, d.score, d.stars, d.image_id FROM d JOIN k ON k.id = d.image_id JOIN o ON o.job_id = k.job_id AND o.time_burst = k.time_burst WHERE coalesce(k.rejected, 0) = 0),
+  w AS (SELECT *, row_number() OVER (PARTITION BY job_id, burst_key, group_key ORDER BY stars DESC, floor(score / 0.03) DESC, image_id, id) AS n FROM m WHERE stars >= 3 OR score >= 0.728),
+  c AS (SELECT id, group_key IS NOT NULL OR NOT max(CAST(group_key IS NOT NULL AS INT)) OVER (PARTITION BY job_id, burst_key) = 1 AS stays FROM w WHERE n = 1)
+  SELECT o_orderkey AS id, CASE WHEN stays THEN 1 END AS burst_pick FROM orders LEFT JOIN c ON c.id = o_orderkey""")
+def e3_subject_keepers(t) -> DataFrame:
+    from .regroup import regroup, subject_keepers
+
+    e = F.expr
+    own = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("image_id"), e("o_totalprice % 1000 / 1000").alias("rating"), F.lit(None).cast("double").alias("sharpness"), e("case when o_orderkey % 7 = 0 then o_orderkey % 5 end").alias("stars"), e("case when o_orderkey % 2 = 0 then o_orderkey % 3 end").alias("group_key"), e("case when o_orderkey % 29 = 0 then 1 end").alias("rejected"), e("case when o_orderkey % 23 = 0 then 1 end").alias("bystander"))
+    return subject_keepers(regroup(frames(t)), own).select("id", "burst_pick")
 
 
 def _stream(t, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -554,7 +607,7 @@ def t1_settled(events) -> DataFrame:
     from ..streaming.watch import settled
 
     seen = events.select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), F.length("event_type").cast("long").alias("size"), F.lit(0.0).alias("mtime"), D.wall_seconds(F.col("ts")).alias("seen"))
-    return _landed(settled(seen, 3600.0))
+    return _landed(settled(seen, 3600.0, 36_000.0))
 
 
 @query(f"WITH {FRAMES} SELECT id, CASE WHEN coalesce(rejected, 0) = 1 THEN 'rejected' WHEN coalesce(picked, 0) = 1 THEN 'picked' WHEN rating_verdict = 'blurred' THEN 'culled' ELSE 'undecided' END AS decision FROM frames")
@@ -613,7 +666,65 @@ def g16_readiness(t) -> DataFrame:
   SELECT t.g AS p_size, t.v AS plate, t.n AS votes, coalesce((SELECT max(o.v) FROM k o WHERE o.g = t.g AND o.k > 1 AND o.v <> 'ABX' AND t.v <> 'ABX'), '') AS aliases FROM k t WHERE t.k = 1""")
 def a27_agreed(t) -> DataFrame:
     plate = F.concat(F.lit("ab-"), F.when(F.col("p_partkey") % 3 == 0, "0").when(F.col("p_partkey") % 3 == 1, "o").otherwise("x"))
-    return identity.agreed(t("part").withColumn("plate", plate), "p_size", "p_partkey").select("p_size", "plate", "votes", F.array_join("aliases", "|").alias("aliases"))
+    rows = t("part").withColumns({"plate": plate, "attributes": F.lit("{}")})
+    return registry.agreed(rows, ["p_size"], "p_partkey").select("p_size", "plate", "votes", F.array_join("aliases", "|").alias("aliases"))
+
+
+#: Detections over parts: plates with letters that are read for each other, and attributes of all kinds of values.
+DETECTIONS = """detections AS (SELECT p_partkey AS id, p_size % 5 AS job_id, CASE WHEN p_partkey % 4 <> 0 THEN p_size END AS group_key,
+    CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'AB' || (p_size % 20 + 10) || CASE p_partkey % 6 WHEN 0 THEN 'O' WHEN 1 THEN 'X' WHEN 2 THEN 'D' ELSE '0' END END AS plate,
+    CASE WHEN p_partkey % 3 = 0 THEN 'Maker ' || p_partkey % 3 END AS make, CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE '' END AS group_make, CASE WHEN p_partkey % 7 < 3 THEN p_type END AS group_model, p_type AS model,
+    CASE WHEN p_partkey % 13 <> 0 THEN 'Box ' || p_partkey % 4 END AS body_type, CASE WHEN p_partkey % 2 = 0 THEN '  Maker ' || p_partkey % 3 ELSE '' END AS team, [p_brand, CASE WHEN p_partkey % 3 = 1 THEN 'Box ' || p_partkey % 4 ELSE '' END] AS sponsors, p_partkey % 4 AS race_number,
+    CASE WHEN p_partkey % 8 = 0 THEN CAST(p_size AS VARCHAR) END AS number FROM part)"""
+
+
+def detections(t) -> DataFrame:
+    """``DETECTIONS``, with what is said in JSON; colour is a list in one row of two."""
+    e = F.expr
+    kept = lambda when, value: e(f"case when {when} then {value} end")
+    attributes = F.to_json(F.struct(kept("p_partkey % 3 = 0", "concat('Maker ', p_partkey % 3)").alias("make"), e("case when p_partkey % 5 = 0 then p_brand else '' end").alias("group_make"), kept("p_partkey % 7 < 3", "p_type").alias("group_model"), F.col("p_type").alias("model"), kept("p_partkey % 13 <> 0", "concat('Box ', p_partkey % 4)").alias("body_type"), e("case when p_partkey % 2 = 0 then concat('  Maker ', p_partkey % 3) else '' end").alias("team"), e("array(p_brand, case when p_partkey % 3 = 1 then concat('Box ', p_partkey % 4) else '' end)").alias("sponsors"), e("p_partkey % 4").alias("race_number")))
+    plate = e("case when p_partkey % 11 = 0 then '' else concat('ab-', p_size % 20 + 10, ' ', case p_partkey % 6 when 0 then 'o' when 1 then 'x' when 2 then 'd' else '0' end) end")
+    return t("part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 5).alias("job_id"), kept("p_partkey % 4 <> 0", "p_size").alias("group_key"), plate.alias("plate"), attributes.alias("attributes"), kept("p_partkey % 8 = 0", "cast(p_size as string)").alias("number"))
+
+
+def _sql_readings() -> str:
+    near = "length(a.plate) = length(b.plate) AND (SELECT count(*) FROM range(1, length(a.plate) + 1) r(i) WHERE a.plate[i] <> b.plate[i]) = 1 AND (SELECT bool_or(list_has_all(k, [a.plate[i], b.plate[i]])) FROM range(1, length(a.plate) + 1) r(i), (SELECT unnest([" + ", ".join(f"string_split('{c}', '')" for c in X.CONFUSABLE) + "]) AS k) WHERE a.plate[i] <> b.plate[i])"
+    top = lambda f, where: f"(SELECT job_id, group_key, v AS {f} FROM (SELECT job_id, group_key, trim(CAST({f} AS VARCHAR)) AS v, count(*) AS n, min(id) AS m FROM g WHERE {where} GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY job_id, group_key ORDER BY n DESC, m) = 1)"
+    return f"""
+WITH {DETECTIONS}, g AS (SELECT * FROM detections WHERE plate <> '' AND group_key IS NOT NULL),
+p AS (SELECT job_id, group_key, plate, count(*) AS n, min(id) AS f FROM g GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY job_id, group_key ORDER BY n DESC, f) AS place FROM p),
+near AS (SELECT a.job_id, a.group_key, list(DISTINCT b.plate ORDER BY b.plate) AS aliases FROM k a JOIN k b ON a.job_id = b.job_id AND a.group_key = b.group_key AND a.place = 1 AND b.place > 1 WHERE {near} GROUP BY ALL),
+named AS (SELECT job_id, group_key, v, count(*) AS n, min(id * 1000 + pos) AS f FROM (SELECT job_id, group_key, id, unnest(sponsors) AS v, unnest(range(len(sponsors))) AS pos FROM g) WHERE v <> '' GROUP BY ALL),
+sponsors AS (SELECT job_id, group_key, string_agg(v, ', ' ORDER BY n DESC, f) AS sponsors FROM named GROUP BY ALL),
+firsts AS (SELECT job_id, group_key, arg_min((group_make, group_model), id) AS own, min(id) AS first_seq FROM g GROUP BY ALL),
+agreed AS (
+  SELECT k.job_id, k.group_key, k.plate, k.n AS votes, coalesce(near.aliases, []) AS aliases, coalesce(nullif(own[1], ''), m.make) AS make, own[2] AS model, CAST(NULL AS VARCHAR) AS colour, b.body_type, w.team, s.sponsors, r.race_number, first_seq
+  FROM k JOIN firsts USING (job_id, group_key) LEFT JOIN near USING (job_id, group_key) LEFT JOIN {top("make", "make IS NOT NULL")} m USING (job_id, group_key) LEFT JOIN {top("body_type", "body_type IS NOT NULL")} b USING (job_id, group_key)
+    LEFT JOIN {top("team", "team <> ''")} w USING (job_id, group_key) LEFT JOIN sponsors s USING (job_id, group_key) LEFT JOIN {top("race_number", "race_number <> 0")} r USING (job_id, group_key) WHERE k.place = 1)"""
+
+
+@query(_sql_readings() + " SELECT job_id, group_key, plate, votes, array_to_string(aliases, '|') AS aliases, make, model, body_type, team, sponsors, race_number FROM agreed")
+def a27_readings(t) -> DataFrame:
+    found = registry.agreed(detections(t).where("plate <> '' and group_key is not null"), ["job_id", "group_key"], "id")
+    return found.select("job_id", "group_key", "plate", "votes", F.array_join("aliases", "|").alias("aliases"), "make", "model", "body_type", "team", F.array_join("sponsors", ", ").alias("sponsors"), "race_number")
+
+
+_KNOWN = "known AS (SELECT 'AB' || (p_size % 20 + 10) || '0' AS plate, 'ab' || (p_size % 20 + 10) || 'Q, ' AS aliases, min(CASE WHEN p_size % 20 < 8 THEN 'Make ' || p_size % 20 END) AS make, CAST(NULL AS VARCHAR) AS team FROM part GROUP BY p_size % 20, 1, 2 HAVING p_size % 20 < 16)"
+
+
+@query(_sql_readings() + f""", {_KNOWN},
+  every AS (SELECT plate, aliases, make, model, body_type, team, sponsors, race_number, 0 AS loose, first_seq AS id FROM agreed
+    UNION ALL SELECT plate, [], make, model, body_type, nullif(team, ''), array_to_string(list_filter(sponsors, lambda x: true), ', '), number, 1, id FROM detections WHERE group_key IS NULL AND plate <> ''),
+  folded AS (SELECT plate, arg_min(make, (loose, id)) FILTER (make <> '') AS make, arg_min(model, (loose, id)) FILTER (model <> '') AS model, arg_min(trim(team), (loose, id)) FILTER (trim(team) <> '') AS team, arg_min(race_number, (loose, id)) FILTER (race_number <> '') AS race_number FROM every GROUP BY plate),
+  united AS (SELECT plate, string_agg(a, ', ' ORDER BY a) AS aliases FROM (SELECT plate, unnest(aliases) AS a FROM every UNION SELECT plate, upper(nullif(trim(unnest(string_split(aliases, ','))), '')) FROM known WHERE plate IN (SELECT plate FROM every)) WHERE a <> plate GROUP BY plate)
+  SELECT coalesce(k.plate, f.plate) AS plate, CASE WHEN f.plate IS NULL THEN k.aliases ELSE coalesce(u.aliases, '') END AS aliases, coalesce(k.make, f.make) AS make, f.model, f.team, f.race_number
+  FROM known k FULL JOIN folded f ON k.plate = f.plate LEFT JOIN united u ON u.plate = f.plate""")
+def g7_seeded(t) -> DataFrame:
+    n = F.col("p_size") % 20
+    known = t("part").groupBy(n.alias("n")).agg(F.min(F.when(n < 8, F.concat(F.lit("Make "), n.cast("string")))).alias("make")).where("n < 16")
+    known = known.select(F.concat(F.lit("AB"), (F.col("n") + 10).cast("string"), F.lit("0")).alias("plate"), F.concat(F.lit("ab"), (F.col("n") + 10).cast("string"), F.lit("Q, ")).alias("aliases"), "make", *[F.lit(None).cast("string").alias(f) for f in registry.FIELDS if f != "make"])
+    return registry.seeded(known, registry.readings(detections(t))).select("plate", "aliases", "make", "model", "team", "race_number")
 
 
 @query()
@@ -630,9 +741,9 @@ def a26_consensus(t) -> DataFrame:
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE CASE WHEN s_suppkey % 3 = 0 THEN 'found' END END AS s_name FROM supplier""")
 def g7_seed_registry(t) -> DataFrame:
-    registry = t("supplier").select(F.col("s_suppkey").cast("string").alias("plate"), F.expr("case when s_suppkey % 2 = 0 then s_name end").alias("name"))
-    found = registry.where("cast(plate as int) % 3 = 0").select("plate", F.lit("found").alias("name"))
-    return identity.seed_registry(registry, found).select(F.col("plate").cast("long").alias("s_suppkey"), F.col("name").alias("s_name"))
+    known = t("supplier").select(F.col("s_suppkey").cast("string").alias("plate"), F.expr("case when s_suppkey % 2 = 0 then s_name end").alias("name"))
+    found = known.where("cast(plate as int) % 3 = 0").select("plate", F.lit("found").alias("name"))
+    return identity.seed_registry(known, found).select(F.col("plate").cast("long").alias("s_suppkey"), F.col("name").alias("s_name"))
 
 
 @query("WITH p AS (SELECT l_orderkey AS v, l_quantity AS x, sum(exp(l_quantity / 10)) OVER (PARTITION BY l_orderkey) AS s FROM lineitem) SELECT v AS l_orderkey, round(max(exp(x / 10) / s), 6) AS top FROM p GROUP BY v")

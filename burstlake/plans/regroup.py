@@ -1,42 +1,107 @@
-"""The write path for one or more albums: sessions, keys and keepers in one plan."""
+"""The write path for albums: sessions, joined sessions, moments, sets and keepers over one sort of the frames."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import brightness
+from ..functions.numeric import brightness, exact
 from ..operators import lineage
-from ..operators.keeper import pick_keepers
-from ..operators.sequence import GAP, number_sessions, sessionise, sets
+from ..operators.grouping import grouped
+from ..operators.keeper import ELIGIBLE, HAND, drop_spare_picks, key_of, pick_keepers, primary_region
+from ..operators.moments import Rules
+from ..operators.sequence import GAP
 from ..schemas import visible
 
-#: Fixed value: keys of sets lie past those of bursts.
+#: Fixed value: keys of sets lie past those of moments.
 SET_KEY_BASE = 1_000_000
 
 
-def regroup(frames: DataFrame, gap: float = GAP, stacks: bool = True, keep_sets: bool = True) -> DataFrame:
-    """``frames`` with time_burst, burst_key, burst_pick, set_id and set_kind made anew from their cameras, times, settings and ratings.
+def main_subjects(frames: DataFrame, subjects: DataFrame, focus_anchor: bool = True) -> DataFrame:
+    """``frames`` with box (fractions of the frame), panning and vehicle, from the largest subject of each that is no bystander (of equals the first by id).
 
-    Hidden copies and unfinished frames keep null keys. Sessions are by album and camera. A bracket, focus stack or interval is a burst of its own, whose key lies past
-    those of bursts (the base and the id of its first frame). Without ``stacks`` every frame is its own burst, numbered in order. Sets are looked for only if the frames
-    have what tells them apart (exposure and focus).
+    A frame without one takes its focus area (af_x1 to af_y2, fractions already), unless ``focus_anchor`` is off; where the area has made its
+    subjects bystanders, it is taken all the same.
     """
-    seen = frames.where(visible()).withColumn("_camera", F.concat_ws("\x1f", F.lpad(F.col("job_id").cast("string"), 19, "0"), "camera"))
-    numbered = number_sessions(sessionise(seen, "_camera", "taken_at", "path", gap), "_camera")
-    rows = numbered.withColumn("time_burst", F.col("burst").cast("long"))
-    if not stacks:
-        placed = lineage.numbered(rows, [F.col("_camera"), F.coalesce("taken_at", F.lit(0.0)), F.col("path"), F.col("id")], "_dense")
-        rows = placed.withColumn("burst", F.col("_dense").cast("long"))
-    sets_known = {"exposure_time", "focus_distance"} <= set(frames.columns)
-    if keep_sets and sets_known:
-        bias = F.col("exposure_bias") if "exposure_bias" in frames.columns else F.lit(None).cast("double")
-        ev = F.coalesce(F.when(F.col("exposure_time") > 0, brightness(F.col("exposure_time"), bias)), bias)
-        asked = rows.select(F.col("_camera").alias("camera"), F.col("id").alias("frame_id"), F.col("taken_at").alias("taken"), ev.alias("ev"), F.col("focus_distance").alias("focus"), F.col("focal_length").cast("double").alias("focal"), F.col("f_number").cast("double").alias("aperture"), F.col("exposure_time").alias("shutter"))
-        found = sets(asked).select(F.col("frame_id").alias("id"), "set_id", "set_kind")
-        rows = rows.drop("set_id", "set_kind").join(found, "id").withColumn("burst", F.coalesce(F.col("set_id") + SET_KEY_BASE, F.col("burst")))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    real = zero("bystander") != 1
+    best = F.max_by(F.struct("x1", "y1", "x2", "y2", (F.coalesce("region_type", F.lit("vehicle")) == "vehicle").alias("vehicle")), F.when(real, F.struct(size, -F.col("id")))).alias("_main")
+    of_frame = subjects.groupBy("image_id").agg(best, F.max(real & (zero("panning") == 1)).alias("_pan"), F.max((zero("bystander") == 1) & (zero("af_bystander") == 1)).alias("_area"))
+    met = frames.join(of_frame.withColumnRenamed("image_id", "id"), "id", "left")
+    boxed = F.col("_main").isNotNull() & (F.col("width") > 0) & (F.col("height") > 0)
+    box = F.struct(*[(F.col(f"_main.{c}") / F.col(side)).alias(c) for c, side in (("x1", "width"), ("y1", "height"), ("x2", "width"), ("y2", "height"))])
+    area = F.struct(*[F.col(f"af_{c}").cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    known = F.col("af_x1").isNotNull() & F.col("af_y1").isNotNull() & F.col("af_x2").isNotNull() & F.col("af_y2").isNotNull()
+    anchored = F.when(boxed, box).when(known & (F.lit(focus_anchor) | F.coalesce("_area", F.lit(False))), area)
+    return met.withColumns({"box": anchored, "panning": F.coalesce("_pan", F.lit(False)), "vehicle": F.coalesce("_main.vehicle", F.lit(False))}).drop("_main", "_pan", "_area")
+
+
+def _read(frames: DataFrame) -> DataFrame:
+    """What the ordered pass reads of ``frames``; columns that they do not have are null."""
+    has = set(frames.columns)
+    col = lambda name, kind: (F.col(name) if name in has else F.lit(None)).cast(kind)
+    bias = col("exposure_bias", "double")
+    ev = F.coalesce(F.when(col("exposure_time", "double") > 0, brightness(col("exposure_time", "double"), bias)), bias)
+    box = [(F.col(f"box.{c}") if "box" in has else F.lit(None)).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    livery = col("livery", "array<int>")
+    return frames.select(
+        F.col("job_id").alias("album"), "camera", "path", F.col("id").alias("frame_id"), F.col("taken_at").alias("taken"), F.coalesce(col("height", "double") > col("width", "double"), F.lit(False)).alias("portrait"),
+        col("scene", "array<int>").alias("scene"), (F.when(F.col("vehicle"), livery) if "vehicle" in has else livery).alias("livery"), *box, F.coalesce(col("panning", "boolean"), F.lit(False)).alias("panning"),
+        ev.alias("ev"), col("focus_distance", "double").alias("focus"), col("focal_length", "double").alias("focal"), col("f_number", "double").alias("aperture"), col("exposure_time", "double").alias("shutter"),
+    )
+
+
+def _in_album(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with ``name``: their place from 1 within job_id in ``order``; an album of any size is numbered by ranges."""
+    placed = lineage.numbered(rows, [F.col("job_id"), *order], "_place")
+    first = placed.groupBy(F.col("job_id").alias("_job")).agg((F.min("_place") - 1).alias("_base"))
+    return placed.join(first, F.col("job_id").eqNullSafe(F.col("_job"))).withColumn(name, (F.col("_place") - F.col("_base")).cast("long")).drop("_place", "_base", "_job")
+
+
+def regroup(frames: DataFrame, gap: float = GAP, stacks: bool = True, keep_sets: bool = True, merge: bool = True, rules: Rules | None = Rules(), ranges: int | None = None) -> DataFrame:
+    """``frames`` with time_burst, burst_key, burst_pick, set_id and set_kind made anew from their cameras, times, looks, settings and ratings.
+
+    time_burst numbers the sessions of an album, camera by camera in order of name; sessions that are joined carry the first one's. burst_key numbers the moments
+    of an album in order of time (untimed at 0) and path; a bracket, focus stack or interval has a key of its own past those: the base and the id of its
+    first frame. Without ``stacks`` every frame has its place in that order, and none is suggested (0). Joining and moments need what frames
+    look like (scene, livery, box: see ``main_subjects``); sets need exposure and focus. Hidden copies and unfinished frames keep null keys.
+    Frames are shuffled by range, by moment and by id; what is numbered is one row a session and a moment.
+    """
+    made = ["burst_key", "burst_pick", "time_burst", "set_id", "set_kind"]
+    bare = frames.drop(*made)
+    seen = bare.where(visible())
+    sets_known = keep_sets and {"exposure_time", "focus_distance"} <= set(frames.columns)
+    found = grouped(_read(seen), gap, merge, rules, sets_known, ranges)
+    own = seen.select(F.col("id").alias("frame_id"), "job_id", "camera", "path", F.coalesce("rating", "sharpness").alias("score"), F.coalesce("stars", F.lit(0)).alias("by_hand"), F.lit(0).alias("cut_sides"))
+    rows = lineage.tabled(found.join(own, "frame_id"), "grouped")
+    in_time = [F.coalesce("taken", F.lit(0.0)), F.col("path"), F.col("frame_id")]
+    sessions = _in_album(rows.where("begins").select("job_id", "camera", "taken", "path", "frame_id"), [F.col("camera"), F.col("taken").asc_nulls_last(), F.col("path"), F.col("frame_id")], "time_burst")
+    firsts = _in_album(rows.where("opens").select("job_id", "taken", "path", "frame_id", "grp"), in_time, "key")
+    numbers = firsts.join(sessions.select(F.col("frame_id").alias("grp"), "time_burst"), "grp").select(F.col("frame_id").alias("moment"), "key", "time_burst")
+    keyed = rows.join(numbers, "moment").withColumn("burst_key", F.coalesce(F.col("set_id") + SET_KEY_BASE, F.col("key")))
+    if stacks:
+        may = (F.col("by_hand") >= HAND) | (exact(F.col("score").cast("double")) >= ELIGIBLE)
+        unit = Window.partitionBy(F.coalesce("set_id", "moment"), F.col("set_id").isNull())
+        best = F.max_by("frame_id", F.when(may, key_of(keyed, 0.03, "frame_id", "frame_id"))).over(unit)
+        keyed = keyed.withColumn("burst_pick", F.when(may & (best == F.col("frame_id")), 1))
     else:
-        rows = rows.drop("set_id", "set_kind").withColumns({"set_id": F.lit(None).cast("long"), "set_kind": F.lit(None).cast("string")})
-    scored = rows.select("id", "burst", "time_burst", "set_id", "set_kind", F.coalesce("rating", "sharpness").alias("score"), F.coalesce("stars", F.lit(0)).alias("by_hand"), F.lit(0).alias("cut_sides"))
-    keys = pick_keepers(scored, ["burst"], "id", "id").select("id", F.col("burst").alias("burst_key"), F.col("picked").alias("burst_pick"), "time_burst", "set_id", "set_kind")
-    return frames.drop("burst_key", "burst_pick", "time_burst", "set_id", "set_kind").join(keys, "id", "left")
+        keyed = _in_album(keyed, in_time, "_dense").withColumns({"burst_key": F.col("_dense"), "burst_pick": F.lit(0)})
+    keys = keyed.select(F.col("frame_id").alias("id"), *made)
+    return bare.join(keys, "id", "left")
+
+
+def subject_keepers(frames: DataFrame, subjects: DataFrame) -> DataFrame:
+    """``subjects`` with burst_pick made anew: the keeper of each group of a burst of ``frames`` (regrouped), and of each burst's ungrouped ones.
+
+    Only the best region of a frame competes (region_rank, if there is one); rejected subjects, bystanders and frames do not. Ungrouped picks go
+    where a grouped subject of the burst was picked.
+    """
+    burst = frames.where("burst_key is not null and coalesce(rejected, 0) = 0").select(F.col("id").alias("image_id"), "job_id", "burst_key")
+    rows = subjects.drop("burst_pick").join(burst, "image_id").where("coalesce(rejected, 0) = 0 and coalesce(bystander, 0) = 0")
+    if "region_rank" in rows.columns:
+        rows = primary_region(rows, "image_id", "region_rank")
+    scored = rows.select("id", "image_id", "job_id", "burst_key", "group_key", F.coalesce("rating", "sharpness").alias("score"), F.coalesce("stars", F.lit(0)).alias("by_hand"))
+    picked = pick_keepers(scored, ["job_id", "burst_key", "group_key"], "image_id", "id")
+    kept = drop_spare_picks(picked.withColumn("_burst", F.struct("job_id", "burst_key")), "_burst", "group_key").select("id", F.col("picked").alias("burst_pick"))
+    return subjects.drop("burst_pick").join(kept, "id", "left")

@@ -270,7 +270,7 @@ def gains(docs: DataFrame, target: DataFrame) -> tuple[DataFrame, int]:
     """(bucket, gain) of each bucket that either corpus has, and the features of ``docs``; both corpora's counts of a bucket meet in its group."""
     none = F.lit(0).cast("long")
     both = counts(docs, "s").withColumn("t", none).unionByName(counts(target, "t").withColumn("s", none))
-    met = S.stored(both.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")), "buckets", BUCKETS)
+    met = S.stored(both.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")), "buckets")
     every = met.agg(F.coalesce(F.sum("s"), none).alias("s"), F.coalesce(F.sum("t"), none).alias("t")).first()
     d = lambda x: x.cast("double")
     ratio = (d(F.col("t") + 1) * F.lit(float(every["s"] + BUCKETS))) / (d(F.col("s") + 1) * F.lit(float(every["t"] + BUCKETS)))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.numeric import exact, stars
 from ..functions.text import natural_key
 from ..schemas import visible
-from .keeper import top_ranks
 
 #: The stars that a burst must reach to have a keeper, and the length of the list of what was read.
 KEEPER_STARS, LISTED = 3, 400
@@ -139,20 +138,35 @@ def keeper_ids(known: DataFrame) -> DataFrame:
     return rows.where(picked | ((F.col("_hand") == 0) & F.col("pick") & (decision() != "rejected"))).select("id")
 
 
+VIEWS = ("keepers", "undecided", "rejected", "review", "top3", "needsLook")
+
+
+def prepared(known: DataFrame) -> DataFrame:
+    """Rows of ``facts`` with decision, keeper and rank (in the burst, of frames that may be ranked): what all views need, in one shuffle by album and burst."""
+    unit = F.coalesce(F.concat(F.lit("b"), F.col("burst_key").cast("string")), F.concat(F.lit("f"), F.col("id").cast("string")))
+    rows = known.withColumns({"decision": decision(), "_unit": unit})
+    hand = F.max((F.col("decision") == "picked").cast("int")).over(Window.partitionBy("job_id", "_unit"))
+    rows = rows.withColumn("_hand", hand).withColumn("keeper", (F.col("decision") == "picked") | ((F.col("_hand") == 0) & F.col("pick") & (F.col("decision") != "rejected")))
+    # a rejected frame is no candidate unless it has stars by hand
+    rows = rows.withColumn("_may", (_zero("rejected") == 0) | F.col("stars").isNotNull())
+    order = [F.desc("keeper"), F.col("stars").isNull(), F.desc_nulls_last("stars"), exact(F.col("rating")).desc(), F.col("id")]
+    rank = F.row_number().over(Window.partitionBy("job_id", "_unit", "_may").orderBy(*order))
+    return rows.withColumn("rank", F.when(F.col("_may"), rank)).drop("_unit", "_hand", "_may")
+
+
+def shown_in(name: str) -> Column:
+    """Of ``prepared``: the view holds the row."""
+    tests = {"keepers": F.col("keeper"), "undecided": F.col("decision") == "undecided", "rejected": F.col("decision") == "rejected", "review": ~F.col("excluded") & ~F.col("reviewed"), "needsLook": ~F.col("excluded") & F.col("needs_look"), "top3": F.coalesce(F.col("rank") <= 3, F.lit(False))}
+    return tests.get(name, F.lit(True))
+
+
 def view(known: DataFrame, name: str = "all", least_stars: int = 0, facet: tuple[str, str] | None = None, needle: str = "") -> DataFrame:
-    """Rows of ``facts`` that a view shows: all, keepers, undecided, rejected, review, top3 or needsLook; with least stars, one facet value and a search.
+    """Rows of ``facts`` (or of ``prepared``) that a view shows: all, keepers, undecided, rejected, review, top3 or needsLook; with least stars, one facet value and a search.
 
     Keepers and ranks are worked out on the whole album before anything is left out.
     """
-    keepers = keeper_ids(known).withColumn("keeper", F.lit(True))
-    rows = known.join(keepers, "id", "left").withColumn("keeper", F.coalesce("keeper", F.lit(False))).withColumn("decision", decision())
-    if name == "top3":
-        # a rejected frame is no candidate unless it has stars by hand
-        may = rows.where((_zero("rejected") == 0) | F.col("stars").isNotNull())
-        in_burst, alone = may.where("burst_key is not null"), may.where("burst_key is null").withColumn("rank", F.lit(1))
-        rows = top_ranks(in_burst, ["job_id", "burst_key"], [F.col("stars").isNull(), F.desc_nulls_last("stars"), exact(F.col("rating")).desc(), F.col("id")], F.col("keeper")).unionByName(alone)
-    tests = {"keepers": F.col("keeper"), "undecided": F.col("decision") == "undecided", "rejected": F.col("decision") == "rejected", "review": ~F.col("excluded") & ~F.col("reviewed"), "needsLook": ~F.col("excluded") & F.col("needs_look")}
-    shown = rows.where(tests[name]) if name in tests else rows
+    rows = known if {"keeper", "rank", "decision"} <= set(known.columns) else prepared(known)
+    shown = rows.where(shown_in(name))
     if least_stars:
         shown = shown.where(F.col("level") >= least_stars)
     if facet:
@@ -162,6 +176,13 @@ def view(known: DataFrame, name: str = "all", least_stars: int = 0, facet: tuple
     return shown
 
 
+def all_views(known: DataFrame, least_stars: dict[str, int] | None = None) -> DataFrame:
+    """shown, and the columns of ``prepared``: a row for each view that shows a frame, all views in one pass."""
+    least = least_stars or {}
+    held = [F.when(shown_in(v) & (F.col("level") >= least.get(v, 0)) if least.get(v) else shown_in(v), v) for v in VIEWS]
+    return prepared(known).withColumn("shown", F.explode(F.array_compact(F.array(*held))))
+
+
 def ordered(rows: DataFrame, name: str) -> list[Column]:
     """The order of a list: frame, review (nearest to three stars, those starred by hand last), best, worst or pick; then by natural name and id."""
     by_name = [natural_key(F.element_at(F.split(F.translate("path", "\\", "/"), "/"), -1)), F.col("id")]

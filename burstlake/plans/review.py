@@ -9,9 +9,9 @@ from ..functions import framing, vehicles
 from ..functions import numeric as N
 from ..functions import text as X
 from ..functions import times as D
-from ..operators import clusters, evaluate, identity, linkage, moments, mutations, rating, selection, sequence, views, votes
+from ..operators import clusters, evaluate, identity, lineage, linkage, moments, mutations, rating, resets, selection, sequence, views, votes
 from ..schemas import needs_review
-from . import stats
+from . import rollups, stats
 from .queries import FRAMES, SESSIONS, frames, query, sessions
 
 SEEN = """seen AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS image_id, CASE l_linenumber % 4 WHEN 0 THEN 'person' WHEN 3 THEN 'eye' WHEN 2 THEN 'vehicle' END AS region_type, l_quantity / 50 AS rating,
@@ -107,14 +107,9 @@ def j18_facts(t) -> DataFrame:
 
 @query(f"""WITH {_FACTS}, v AS (SELECT 'keepers' AS shown, id FROM kept WHERE keeper UNION ALL SELECT 'undecided', id FROM kept WHERE decision = 'undecided' AND level >= 2 UNION ALL SELECT 'rejected', id FROM kept WHERE decision = 'rejected'
   UNION ALL SELECT 'review', id FROM kept WHERE NOT excluded AND NOT reviewed UNION ALL SELECT 'needsLook', id FROM kept WHERE NOT excluded AND needs_look UNION ALL SELECT 'top3', id FROM (SELECT *, row_number() OVER (PARTITION BY job_id, burst_key ORDER BY CAST(keeper AS INT) DESC, stars IS NULL, stars DESC NULLS LAST, rating DESC, id) AS k FROM kept WHERE coalesce(rejected, 0) = 0 OR stars IS NOT NULL) WHERE k <= 3)
-  SELECT shown, count(*) AS n, sum(id) AS ids FROM v GROUP BY shown""")
+  SELECT shown, id FROM v""")
 def p12_views(t) -> DataFrame:
-    known = _known(t)
-    shown = [selection.view(known, v, 2 if v == "undecided" else 0).select(F.lit(v).alias("shown"), "id") for v in ("keepers", "undecided", "rejected", "review", "needsLook", "top3")]
-    out = shown[0]
-    for s in shown[1:]:
-        out = out.unionByName(s)
-    return out.groupBy("shown").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    return selection.all_views(_known(t), {"undecided": 2}).select("shown", "id")
 
 
 @query(f"""WITH {_FACTS}, s AS (SELECT job_id, burst_key, count(*) AS size, max(CASE WHEN decision <> 'rejected' THEN level END) AS best, count(*) FILTER (WHERE keeper) AS k FROM kept WHERE burst_key IS NOT NULL GROUP BY 1, 2)
@@ -306,13 +301,11 @@ def m19_metadata(t) -> DataFrame:
     return t("events").select("event_id", v["stars"].alias("stars"), v["label"].alias("label"))
 
 
-@query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey % 3 AS m, l_suppkey % 4 AS d FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN d = 0 THEN 'Ford' WHEN d = 1 THEN 'Mazda' WHEN m = 0 THEN 'Ford' WHEN m = 1 THEN 'mazda ' END AS make FROM v""")
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey % 3 AS m, l_suppkey % 4 AS d FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN d = 0 THEN 'Ford' WHEN d = 1 THEN CASE WHEN m = 1 THEN 'mazda ' ELSE 'Mazda' END WHEN m = 0 THEN 'Ford' WHEN m = 1 THEN 'mazda ' END AS make FROM v""")
 def f10_correct_make(t) -> DataFrame:
     make = F.expr("case l_partkey % 3 when 0 then 'Ford' when 1 then 'mazda ' end")
     model = F.expr("case l_suppkey % 4 when 0 then 'XR6 Falcon' when 1 then 'old RX-7 Falcon' when 2 then 'Unknown' end")
-    fixed = vehicles.correct_make(make, model)
-    same = F.when(F.lower(F.trim(fixed)) == "mazda", F.when(F.col("l_suppkey") % 4 == 1, "Mazda").otherwise(fixed)).otherwise(fixed)
-    return t("lineitem").select("l_orderkey", "l_linenumber", same.alias("make"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", vehicles.correct_make(make, model).alias("make"))
 
 
 @query("""WITH w AS (SELECT p_partkey, upper(regexp_replace(left(p_name, 2), '[^A-Za-z0-9]', '', 'g')) || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') || upper(left(p_type, p_partkey % 3)) AS k FROM part)
@@ -510,11 +503,11 @@ def g27_even_sample(t) -> DataFrame:
     return evaluate.even_sample(t("part"), ["p_brand"], ["p_partkey"], 3).select("p_brand", "p_partkey")
 
 
-@query("SELECT event_id, CAST(CASE WHEN value / 100 > 1 - value / 100 THEN 1 ELSE 0 END AS INT) AS best, value / 100 AS expectation, greatest(value / 100, 1 - value / 100) * 2 - 1 AS confidence FROM events")
+@query("SELECT event_id, CAST(CASE WHEN value / 100 > 1 - value / 100 THEN 1 ELSE 0 END AS INT) AS best, round(value / 100, 9) AS expectation, round(greatest(value / 100, 1 - value / 100) * 2 - 1, 9) AS confidence FROM events")
 def g28_answers(t) -> DataFrame:
     p = F.col("value") / 100
     s = evaluate.answer_summary(F.array(1 - p, p))
-    return t("events").select("event_id", s["best"].alias("best"), s["expectation"].alias("expectation"), ((F.greatest(p, 1 - p) - 0.5) * 2 + s["confidence"] - (F.greatest(p, 1 - p) - 0.5) * 2).alias("confidence"))
+    return t("events").select("event_id", s["best"].alias("best"), F.round(s["expectation"], 9).alias("expectation"), F.round(s["confidence"], 9).alias("confidence"))
 
 
 @query()
@@ -553,11 +546,11 @@ def g9_restore(t) -> DataFrame:
     return clusters.restore_copies(frames(t), 4).select("id", "copy_of")
 
 
-@query("SELECT p_partkey, p_name || '.xmp' AS sidecar, p_name AS stem, p_partkey % 97 = 0 AS settled, CASE WHEN p_partkey % 3 = 0 THEN 'red' WHEN p_partkey % 3 = 1 THEN 'blue' END AS colour FROM part")
+@query("SELECT p_partkey, p_name || '.xmp' AS sidecar, p_name AS stem, CASE WHEN p_partkey % 3 = 0 THEN 'red' WHEN p_partkey % 3 = 1 THEN 'blue' END AS colour FROM part")
 def f19_names(t) -> DataFrame:
     path = F.concat("p_name", F.lit(".cr3"))
     word = F.when(F.col("p_partkey") % 3 == 0, "A RED one").when(F.col("p_partkey") % 3 == 1, "blue, red").otherwise("none")
-    return t("part").select("p_partkey", X.sidecar(path).alias("sidecar"), X.file_stem(path).alias("stem"), (F.col("p_partkey") % 97 == 0).alias("settled"), X.colour_label(word).alias("colour"))
+    return t("part").select("p_partkey", X.sidecar(path).alias("sidecar"), X.file_stem(path).alias("stem"), X.colour_label(word).alias("colour"))
 
 
 @query("SELECT p_partkey, p_partkey % 3 = 0 AS near, CASE WHEN p_partkey % 3 = 1 THEN true WHEN p_partkey % 3 = 2 THEN false END AS verdict, p_partkey % 2 = 0 AS same FROM part")
@@ -681,6 +674,94 @@ def a18_library(t) -> DataFrame:
     return total.select("albums", "frames", "size_bytes", "rejected", "af_missing", F.col("complete").cast("int").alias("complete"))
 
 
+ROLLED = f"""{REPORT}, r AS (SELECT v.* REPLACE (CASE WHEN id % 16 = 0 THEN 'kit' WHEN job_id = 1 THEN '' ELSE lens END AS lens), job_id % 7 <> 6 AS known FROM v),
+  hand AS (SELECT DISTINCT job_id, burst_key FROM r WHERE picked = 1 AND burst_key IS NOT NULL), keep AS (SELECT * FROM r WHERE coalesce(picked, 0) = 1 OR (burst_pick = 1 AND NOT EXISTS (SELECT 1 FROM hand h WHERE h.job_id = r.job_id AND h.burst_key = r.burst_key))),
+  k AS (SELECT job_id, count(*) AS compared, count(*) FILTER (WHERE id % 6 = 0) AS matched FROM keep GROUP BY 1),
+  a AS (SELECT job_id, count(*) AS frames, count(*) FILTER (WHERE id % 16 = 0) AS backfilled, count(taken_at) AS timed, max(taken_at) - min(taken_at) AS span, bool_and(known AND coalesce(lens, '') <> '' AND coalesce(camera, '') <> '' AND iso IS NOT NULL) AS whole FROM r GROUP BY 1)"""
+
+
+def _rolled(t) -> tuple[DataFrame, DataFrame]:
+    """Frames and subjects of the reports, where a frame of sixteen got its lens from its header; the catalogue picked one of six."""
+    f, s = _report(t)
+    settings = {"f_number": F.when(F.col("job_id") % 7 != 6, 2.8), "exposure_time": F.lit(0.01), "focal_length": F.lit(50.0), "catalog_pick": F.when(F.col("id") % 6 == 0, 1)}
+    bare = f.withColumns({**settings, "lens": F.when(F.col("job_id") == 1, "").when(F.col("id") % 16 == 0, None).otherwise(F.col("lens"))})
+    return rollups.backfilled(bare, f.where("id % 16 = 0").select("path", F.lit("kit").alias("lens"))), s
+
+
+@query(f"WITH {ROLLED} SELECT job_id, a.frames, backfilled, coalesce(compared, 0) AS compared, coalesce(matched, 0) AS matched, CASE WHEN compared > 0 THEN (matched * 100 + compared // 2) // compared END AS match_percent FROM a LEFT JOIN k USING (job_id)")
+def a17_rollup(t) -> DataFrame:
+    numbers, _ = rollups.album_reports(rollups.rolled_up(*_rolled(t)))
+    return numbers.select("job_id", "frames", "backfilled", "compared", "matched", "match_percent")
+
+
+@query(f"""WITH {ROLLED} SELECT count(*) AS albums, CAST(sum(a.frames) AS BIGINT) AS frames, CAST(sum(backfilled) AS BIGINT) AS backfilled, CAST(sum(compared) AS BIGINT) AS compared, CAST(sum(matched) AS BIGINT) AS matched, count(*) FILTER (whole) AS complete_albums, CAST(coalesce(sum(a.frames) FILTER (whole), 0) AS BIGINT) AS complete_frames,
+  round(sum(span) FILTER (timed >= 2), 3) AS shooting_seconds, round(avg(span) FILTER (timed >= 2), 3) AS mean_seconds, round(max(span) FILTER (timed >= 2), 3) AS longest_seconds, count(*) FILTER (timed >= 2) AS timed_albums FROM a LEFT JOIN k USING (job_id)""")
+def a18_rollup(t) -> DataFrame:
+    """From what was stored before a third of the albums were edited, made anew for those."""
+    f, s = _rolled(t)
+    before = f.withColumns({"rejected": F.when(F.col("job_id") % 3 == 0, 1).otherwise(F.col("rejected")), "picked": F.when(F.col("job_id") % 3 == 0, None).otherwise(F.col("picked"))}).where("job_id % 3 <> 0 or id % 2 = 0")
+    total, _ = rollups.library_reports(rollups.refreshed(rollups.rolled_up(before, s), f, s, f.where("job_id % 3 = 0").select("job_id")))
+    return total.select("albums", "frames", "backfilled", "compared", "matched", "complete_albums", "complete_frames", *[F.round(c, 3).alias(c) for c in ("shooting_seconds", "mean_seconds", "longest_seconds")], "timed_albums")
+
+
+@query(f"""WITH {ROLLED}, m AS (SELECT image_id AS id, max(stars) AS best FROM su GROUP BY 1), l AS (SELECT job_id, 'lens' AS list, nullif(lens, '') AS value, NULL AS x FROM r UNION ALL SELECT job_id, 'iso', CAST(iso AS VARCHAR), iso FROM r UNION ALL SELECT job_id, 'stars', CAST(coalesce(stars, best, 0) AS VARCHAR), coalesce(stars, best, 0) FROM r LEFT JOIN m USING (id))
+  SELECT list, value, count(*) AS n, CAST(row_number() OVER (PARTITION BY list ORDER BY count(*) DESC, x, value) AS INT) AS place FROM l JOIN a USING (job_id) WHERE whole AND value IS NOT NULL GROUP BY list, value, x""")
+def a18_lists(t) -> DataFrame:
+    _, lists = rollups.library_reports(rollups.rolled_up(*_rolled(t)))
+    return lists.where("list in ('lens', 'iso', 'stars')").select("list", "value", "n", "place")
+
+
+@query("""SELECT album, day, event_type, count(*) AS rows, count(DISTINCT user_id) AS items, CAST(grouping(album, day, event_type) AS INT) AS level FROM (SELECT *, user_id % 20 AS album, CAST(ts AS DATE) AS day FROM events) e
+  GROUP BY GROUPING SETS ((album, day, event_type), (album, day), (day), (event_type), ())""")
+def a34_grouping_sets(t) -> DataFrame:
+    e = t("events").select((F.col("user_id") % 20).alias("album"), F.to_date("ts").alias("day"), "event_type", "user_id")
+    a, d, k = F.col("album"), F.col("day"), F.col("event_type")
+    return e.groupingSets([[a, d, k], [a, d], [d], [k], []], a, d, k).agg(F.count("*").alias("rows"), F.count_distinct("user_id").alias("items"), F.grouping_id().cast("int").alias("level"))
+
+
+@query()
+def a34_sketches(t) -> DataFrame:
+    """Distinct cameras by album, day and kind, from sketches that are kept by all three."""
+    partial = rollups.distinct_rollup(t("events").select((F.col("user_id") % 20).alias("album"), F.to_date("ts").alias("day"), "event_type", "user_id"), ["album", "day", "event_type"], "user_id")
+    return rollups.distinct_by_sets(lineage.tabled(partial, "sketches"), [["album", "day", "event_type"], ["album", "day"], ["day"], ["event_type"], []])
+
+
+LIBRARY_SQL = """jobs AS (SELECT c_custkey AS id, 'done' AS status FROM customer), images AS (SELECT o_orderkey AS id, o_custkey AS job_id, o_orderkey % 6 AS stars, o_orderkey % 2 AS rejected FROM orders),
+  detections AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS image_id, l_linenumber % 5 AS stars, l_linenumber % 2 AS rejected, l_linenumber % 3 = 0 AS has_crop FROM lineitem)"""
+
+
+def _library(t) -> resets.Tables:
+    none = F.lit(None).cast("string")
+    images = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("job_id"), F.concat(F.lit("p"), "o_orderkey").alias("path"), (F.col("o_orderkey") % 6).alias("stars"), (F.col("o_orderkey") % 2).alias("rejected"), F.lit("done").alias("status"))
+    detections = t("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("image_id"), (F.col("l_linenumber") % 5).cast("long").alias("stars"), (F.col("l_linenumber") % 2).cast("long").alias("rejected"), F.when(F.col("l_linenumber") % 3 == 0, "crop").alias("crop_path"), none.alias("group_key"))
+    return {"jobs": t("customer").select(F.col("c_custkey").alias("id"), F.lit("done").alias("status")), "images": images, "detections": detections}
+
+
+@query(f"""WITH {LIBRARY_SQL}, gone AS (SELECT id FROM images WHERE job_id IN (SELECT id FROM jobs WHERE id % 10 = 3))
+  SELECT 'jobs' AS name, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM jobs WHERE id % 10 <> 3 UNION ALL SELECT 'images', count(*), CAST(sum(id) AS BIGINT) FROM images WHERE id NOT IN (FROM gone)
+  UNION ALL SELECT 'detections', count(*), CAST(sum(id) AS BIGINT) FROM detections WHERE image_id NOT IN (FROM gone)""")
+def e6_cascade(t) -> DataFrame:
+    """A tenth of the albums goes, with all that depends on them."""
+    left = resets.without(_library(t), "jobs", F.col("id") % 10 == 3)
+    parts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum("id").alias("ids")) for name, df in left.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(f"WITH {LIBRARY_SQL} SELECT i.id, CAST(CASE WHEN job_id <> 3 THEN stars END AS BIGINT) AS stars, CASE WHEN job_id = 3 THEN 0 ELSE rejected END AS rejected FROM images i")
+def e6_ratings(t) -> DataFrame:
+    return resets.reset_ratings(_library(t), 3)["images"].select("id", "stars", "rejected")
+
+
+@query(f"""WITH {LIBRARY_SQL}, f AS (SELECT CASE event_id % 4 WHEN 0 THEN 'thumb' WHEN 1 THEN 'view' WHEN 2 THEN 'crop' ELSE 'notes' END AS kind, event_id * 7 AS id, event_id AS bytes FROM events),
+  o AS (SELECT *, CASE WHEN kind = 'crop' THEN id NOT IN (SELECT id FROM detections WHERE has_crop) ELSE id NOT IN (SELECT id FROM images) END AS gone FROM f WHERE kind <> 'notes')
+  SELECT CASE WHEN gone THEN 'orphaned' ELSE kind END AS slot, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM o GROUP BY 1 UNION ALL SELECT 'total', count(*), CAST(sum(bytes) AS BIGINT) FROM o""")
+def e6_orphans(t) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ("thumb", "view", "crop", "notes"))), (F.col("event_id") % 4 + 1).cast("int"))
+    files = t("events").select(F.concat(F.lit("/cache/"), kind, F.lit("-"), (F.col("event_id") * 7).cast("string"), F.lit(".jpg")).alias("path"), F.col("event_id").alias("bytes"))
+    lib = _library(t)
+    return resets.cache_survey(resets.cached(files, lib["images"], lib["detections"]))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN 'new' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders")
 def e2_edit(t) -> DataFrame:
     o = t("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")

@@ -115,21 +115,27 @@ def shoot_numbers(frames: DataFrame, subjects: DataFrame, blurred: float = 0.606
     return copies.join(wide, "job_id", "left").join(bursts, "job_id", "left").fillna(0, ["frames", "size_bytes", "pans", "bursts", "blurred", "soft", "sharp", "af_missing", "af_off_subject", "af_no_subject", "af_soft", "keepers", "rejected"])
 
 
-def shoot_lists(frames: DataFrame, subjects: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """keys (job_id), list, value (text), n, place: how often each camera, lens, setting and star comes, commonest first (of equals the lesser value); place 1 is the most used.
-
-    One pass unpivots the columns; values are counted before they are ranked.
-    """
-    keys = ["job_id"] if keys is None else keys
+def value_counts(frames: DataFrame, subjects: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, list, value (text), number, n: how often each camera, lens, setting and star comes. One pass unpivots the columns; values are counted before they move."""
     best = subjects.groupBy(F.col("image_id").alias("id")).agg(F.max("stars").alias("_best"))
     rows = frames.where(visible()).join(best, "id", "left").withColumn("_stars", F.coalesce("stars", "_best", F.lit(0)))
     value = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c in NAMED else F.col(c).cast("string")
     number = lambda c: F.lit(None).cast("double") if c in NAMED else F.col(c).cast("double")
     parts = F.explode(F.array(*[F.struct(F.lit(n).alias("list"), value(c).alias("value"), number(c).alias("number")) for n, c in [*((c, c) for c in LISTED if c in frames.columns), ("stars", "_stars")]]))
-    counted = rows.select(*keys, parts.alias("p")).select(*keys, "p.*").where("value is not null").groupBy(*keys, "list", "value", "number").agg(F.count("*").alias("n"))
+    return rows.select(*keys, parts.alias("p")).select(*keys, "p.*").where("value is not null").groupBy(*keys, "list", "value", "number").agg(F.count("*").alias("n"))
+
+
+def placed(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, list, value, n, place: commonest first (of equals the lesser value)."""
     return counted.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "list").orderBy(F.desc("n"), "number", "value"))).drop("number")
 
 
+def shoot_lists(frames: DataFrame, subjects: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys (job_id), list, value (text), n, place: how often each camera, lens, setting and star comes, commonest first (of equals the lesser value); place 1 is the most used."""
+    keys = ["job_id"] if keys is None else keys
+    return placed(value_counts(frames, subjects, keys), keys)
+
+
 def complete_albums(frames: DataFrame) -> DataFrame:
     """job_id of albums all of whose visible frames have a camera, a lens and all settings."""
     whole = F.lit(True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -70,54 +71,76 @@ def within(box: Column, w: Column, h: Column) -> Column:
     return F.struct(cut(x[0], w).alias("x1"), cut(y[0], h).alias("y1"), cut(x[1], w).alias("x2"), cut(y[1], h).alias("y2"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is worked out once: a name that is used twice would be written out twice in the plan, and what is made of it four times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def measured(w: Column, h: Column, box: Column, others: Column, dx: Column, dy: Column, signed: Column) -> Column:
     """struct of what is seen of the framing: cut_sides, frac, band, lead, thirds, phi, centred, balance, occlusion.
 
     ``others``: boxes of the other subjects. ``dx`` and ``dy``: where the subject moves to (null or 0: unknown); an unsigned motion has no
     front, so its lead room is a distance. Null if the frame has no size.
     """
-    b = within(box, w, h)
-    frac = unit(size_of(b) / (w * h))
-    left, top = F.least(box["x1"], box["x2"]), F.least(box["y1"], box["y2"])
-    right, bottom = F.greatest(box["x1"], box["x2"]), F.greatest(box["y1"], box["y2"])
-    cuts = (left <= EDGE * w).cast("int") + (top <= EDGE * h).cast("int") + (right >= (1 - EDGE) * w).cast("int") + (bottom >= (1 - EDGE) * h).cast("int")
-    nx, ny = (b["x1"] + b["x2"]) / 2 / w, (b["y1"] + b["y2"]) / 2 / h
-    root2 = F.sqrt(F.lit(2.0))
-    off = lambda px, py: F.sqrt((nx - px) * (nx - px) + (ny - py) * (ny - py))
-    grid = lambda points: F.least(*[off(px, py) for px in points for py in points]) / root2
-    norm = F.sqrt(dx * dx + dy * dy)
-    ux, uy = dx / norm, dy / norm
-    corners = [F.lit(0.0), ux * w, uy * h, ux * w + uy * h]
-    ends = [ux * b["x1"] + uy * b["y1"], ux * b["x2"] + uy * b["y2"]]
-    extent = F.greatest(*corners) - F.least(*corners)
-    room = ((F.greatest(*corners) - F.greatest(*ends)) - (F.least(*ends) - F.least(*corners))) / extent
-    lead = F.when(norm > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(extent > 1e-9, room).otherwise(0.0))))
-    mass = lambda o: F.struct(size_of(within(o, w, h)).alias("a"), (((within(o, w, h)["x1"] + within(o, w, h)["x2"]) / 2 / w - 0.5) * 2).alias("m"))
-    all_mass = F.aggregate(F.transform(F.concat(F.array(box), others), mass), F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("a")), lambda s, x: F.struct((s["m"] + x["a"] * x["m"]).alias("m"), (s["a"] + x["a"]).alias("a")))
-    balance = F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(all_mass["m"], all_mass["a"]))), F.lit(0.0))
-    hidden = F.coalesce(unit(F.array_max(F.transform(others, lambda o: covered(b, o)))), F.lit(0.0))
-    whole = F.when(frac >= WHOLE, 0).otherwise(cuts)
-    return F.when(
-        (w > 0) & (h > 0),
-        F.struct(
-            whole.alias("cut_sides"), frac.alias("frac"), F.when(frac < SMALL, "small").when(frac > TIGHT, "tight").otherwise("good").alias("band"), F.when(signed, lead).otherwise(F.abs(lead)).alias("lead"),
+    root2 = 2**0.5
+
+    def placed(s: Column) -> Column:
+        """The box in the frame, its middle as a share of it, how many edges it touches, and the motion's direction."""
+        left, top = F.least(s["box"]["x1"], s["box"]["x2"]), F.least(s["box"]["y1"], s["box"]["y2"])
+        right, bottom = F.greatest(s["box"]["x1"], s["box"]["x2"]), F.greatest(s["box"]["y1"], s["box"]["y2"])
+        cuts = (left <= EDGE * s["w"]).cast("int") + (top <= EDGE * s["h"]).cast("int") + (right >= (1 - EDGE) * s["w"]).cast("int") + (bottom >= (1 - EDGE) * s["h"]).cast("int")
+        b, norm = s["b"], s["norm"]
+        return F.struct(
+            s["w"].alias("w"), s["h"].alias("h"), b.alias("b"), cuts.alias("cuts"), unit(size_of(b) / (s["w"] * s["h"])).alias("frac"), ((b["x1"] + b["x2"]) / 2 / s["w"]).alias("nx"), ((b["y1"] + b["y2"]) / 2 / s["h"]).alias("ny"),
+            F.when(norm > 0, s["dx"] / norm).alias("ux"), F.when(norm > 0, s["dy"] / norm).alias("uy"),
+        )
+
+    def ahead(s: Column) -> Column:
+        """Where the frame and the box begin and end along the motion."""
+        b, ux, uy = s["b"], s["ux"], s["uy"]
+        corners = F.array(F.lit(0.0), ux * s["w"], uy * s["h"], ux * s["w"] + uy * s["h"])
+        ends = F.array(ux * b["x1"] + uy * b["y1"], ux * b["x2"] + uy * b["y2"])
+        return F.struct(F.array_min(corners).alias("lo"), F.array_max(corners).alias("hi"), F.array_min(ends).alias("first"), F.array_max(ends).alias("last"))
+
+    def room(e: Column) -> Column:
+        extent = e["hi"] - e["lo"]
+        share = ((e["hi"] - e["last"]) - (e["first"] - e["lo"])) / extent
+        return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(extent > 1e-9, share).otherwise(0.0)))
+
+    def seen(s: Column) -> Column:
+        off = lambda px, py: F.sqrt((s["nx"] - px) * (s["nx"] - px) + (s["ny"] - py) * (s["ny"] - py))
+        grid = lambda points: F.least(*[off(px, py) for px in points for py in points]) / root2
+        mass = lambda o: let(within(o, s["w"], s["h"]), lambda i: F.struct(size_of(i).alias("a"), (((i["x1"] + i["x2"]) / 2 / s["w"] - 0.5) * 2).alias("m")))
+        nothing = F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("a"))
+        weighed = F.aggregate(F.transform(F.concat(F.array(box), others), mass), nothing, lambda t, x: F.struct((t["m"] + x["a"] * x["m"]).alias("m"), (t["a"] + x["a"]).alias("a")), lambda t: F.try_divide(t["m"], t["a"]))
+        balance = F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), weighed)), F.lit(0.0))
+        hidden = F.coalesce(unit(F.array_max(F.transform(others, lambda o: covered(s["b"], o)))), F.lit(0.0))
+        lead = F.when(s["ux"].isNotNull(), let(ahead(s), room))
+        return F.struct(
+            F.when(s["frac"] >= WHOLE, 0).otherwise(s["cuts"]).alias("cut_sides"), s["frac"].alias("frac"), F.when(s["frac"] < SMALL, "small").when(s["frac"] > TIGHT, "tight").otherwise("good").alias("band"), F.when(signed, lead).otherwise(F.abs(lead)).alias("lead"),
             grid(THIRDS).alias("thirds"), grid(PHI).alias("phi"), (off(0.5, 0.5) / root2 <= CENTRED).alias("centred"), balance.alias("balance"), hidden.alias("occlusion"),
-        ),
-    )
+        )
+
+    given = F.struct(w.alias("w"), h.alias("h"), box.alias("box"), within(box, w, h).alias("b"), dx.alias("dx"), dy.alias("dy"), F.sqrt(dx * dx + dy * dy).alias("norm"))
+    return F.when((w > 0) & (h > 0), let(let(given, placed), seen))
 
 
 def framing_score(m: Column, tilt: Column, policy: Policy = SPORT) -> Column:
     """0 to 1: the weighted mean of the terms that could be measured, 0.5 if none."""
-    size = F.when(m["band"] == "good", 1.0).when(m["band"] == "small", 1 - unit((SMALL - m["frac"]) / SMALL)).otherwise(1 - 0.5 * unit((m["frac"] - TIGHT) / (1 - TIGHT)))
-    mode = F.when(m["centred"], 1.0).otherwise(unit(F.greatest(1 - m["thirds"] / THIRDS_FAR, 1 - m["phi"] / PHI_FAR)))
-    lopsided = F.when(~m["centred"], 1 - F.greatest(F.abs(m["balance"]) - LOPSIDED, F.lit(0.0)) / (1 - LOPSIDED))
-    lead = F.when(F.abs(m["lead"]) >= LEAD_NEUTRAL, 1 - F.abs(m["lead"] - LEAD) / (1 - LEAD))
-    level = 1 - unit((F.abs(tilt) - TILT_GOOD) / (TILT_BAD - TILT_GOOD))
-    terms = [(1 - m["cut_sides"] / 4, policy.cut), (size, policy.size), (mode, policy.mode), (1 - m["occlusion"], policy.occlusion), (lopsided, policy.balance), (lead, policy.lead), (level, policy.tilt)]
-    used = [(unit(t), w) for t, w in terms if w > 0]
-    total = sum((F.coalesce(t * w, F.lit(0.0)) for t, w in used), F.lit(0.0))
-    weight = sum((F.when(t.isNotNull(), w).otherwise(0.0) for t, w in used), F.lit(0.0))
-    return F.coalesce(unit(F.try_divide(total, weight)), F.lit(0.5))
+
+    def score(m: Column) -> Column:
+        size = F.when(m["band"] == "good", 1.0).when(m["band"] == "small", 1 - unit((SMALL - m["frac"]) / SMALL)).otherwise(1 - 0.5 * unit((m["frac"] - TIGHT) / (1 - TIGHT)))
+        mode = F.when(m["centred"], 1.0).otherwise(unit(F.greatest(1 - m["thirds"] / THIRDS_FAR, 1 - m["phi"] / PHI_FAR)))
+        lopsided = F.when(~m["centred"], 1 - F.greatest(F.abs(m["balance"]) - LOPSIDED, F.lit(0.0)) / (1 - LOPSIDED))
+        lead = F.when(F.abs(m["lead"]) >= LEAD_NEUTRAL, 1 - F.abs(m["lead"] - LEAD) / (1 - LEAD))
+        level = 1 - unit((F.abs(tilt) - TILT_GOOD) / (TILT_BAD - TILT_GOOD))
+        terms = [(1 - m["cut_sides"] / 4, policy.cut), (size, policy.size), (mode, policy.mode), (1 - m["occlusion"], policy.occlusion), (lopsided, policy.balance), (lead, policy.lead), (level, policy.tilt)]
+        weighed = F.array(*[F.struct(unit(t).cast("double").alias("t"), F.lit(float(w)).alias("w")) for t, w in terms if w > 0])
+        nothing = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
+        add = lambda s, x: F.when(x["t"].isNull(), s).otherwise(F.struct((s["s"] + x["t"] * x["w"]).alias("s"), (s["w"] + x["w"]).alias("w")))
+        return F.coalesce(F.aggregate(weighed, nothing, add, lambda s: unit(F.try_divide(s["s"], s["w"]))), F.lit(0.5))
+
+    return F.coalesce(let(m, score), F.lit(0.5))
 
 
 def _sides(boxes: DataFrame, image: str, a: Column, b: Column) -> DataFrame:

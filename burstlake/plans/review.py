@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import framing, vehicles
+from ..functions import extend, framing, vehicles
 from ..functions import numeric as N
 from ..functions import text as X
 from ..functions import times as D
@@ -726,6 +728,39 @@ def a34_sketches(t) -> DataFrame:
     return rollups.distinct_by_sets(lineage.tabled(partial, "sketches"), [["album", "day", "event_type"], ["album", "day"], ["day"], ["event_type"], []])
 
 
+@query("""WITH r AS (SELECT user_id, event_type = 'purchase' OR event_id % 3 = 0 AS truth, rank() OVER (PARTITION BY user_id ORDER BY floor(value / 10)) + (count(*) OVER (PARTITION BY user_id, floor(value / 10)) - 1) / 2.0 AS rank FROM events WHERE value IS NOT NULL),
+  s AS (SELECT user_id, sum(rank) FILTER (truth) AS ranks, count(*) FILTER (truth) AS n, count(*) AS k FROM r GROUP BY user_id) SELECT user_id, round(CASE WHEN n > 0 AND n < k THEN (ranks - n * (n + 1) / 2.0) / (n * (k - n)) END, 9) AS auc FROM s""")
+def x1_sql_aggregate(t) -> DataFrame:
+    """An aggregate of ours, called in SQL."""
+    e = t("events").where("value is not null").selectExpr("user_id", "floor(value / 10) AS score", "event_type = 'purchase' OR event_id % 3 = 0 AS truth")
+    extend.register(e.sparkSession)
+    return e.sparkSession.sql("SELECT user_id, round(auc(cast(score AS double), truth), 9) AS auc FROM {e} GROUP BY user_id", e=e)
+
+
+@query(f"WITH {SESSIONS} SELECT CAST(user_id AS VARCHAR) AS key, CAST(session AS BIGINT) AS session, min(taken) AS started, max(taken) AS ended, count(*) AS n FROM sessions GROUP BY user_id, session")
+def x2_sql_table_function(t) -> DataFrame:
+    """A table function over a table that is partitioned and ordered, called in SQL."""
+    e = t("events").select(F.col("user_id").cast("string").alias("key"), D.wall_seconds(F.col("ts")).alias("taken"))
+    extend.register(e.sparkSession)
+    return e.sparkSession.sql("SELECT * FROM burst_spans(10800.0D, TABLE(SELECT key, taken FROM {e}) PARTITION BY key ORDER BY taken)", e=e)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN false WHEN event_id % 4 = 0 THEN event_id % 2 = 0 AND event_id % 8 = 0 ELSE coalesce(CASE WHEN event_id % 5 > 0 THEN value / 100 END, 1) < CASE WHEN event_id % 7 = 0 THEN 0.5 ELSE 0.8 END END AS review FROM events")
+def x3_sql_function(t) -> DataFrame:
+    """A scalar function of ours in SQL, written into the plan."""
+    e = t("events")
+    extend.register(e.sparkSession)
+    return e.sparkSession.sql("SELECT event_id, needs_review(CASE WHEN event_id % 5 > 0 THEN value / 100 END, CASE WHEN event_id % 3 = 0 THEN 1 END, CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END, CASE WHEN event_id % 8 = 0 THEN 1 END, CASE WHEN event_id % 7 = 0 THEN 0.5D ELSE 0.0D END) AS review FROM {e}", e=e)
+
+
+@query("""SELECT p_partkey, CASE WHEN p_name LIKE 'a%' OR p_partkey % 10 = 0 THEN '' ELSE array_to_string(list_filter(['ee', 'on', 'a'], lambda w: contains(p_name, w)), '|') END AS moments, CASE WHEN p_partkey % 10 > 0 AND p_name LIKE 'a%' THEN 'RuntimeError: no answer' END AS error FROM part""")
+def x4_judged(t) -> DataFrame:
+    """A judge that fails on some pictures: the others of their batches are answered."""
+    rows = t("part").select("p_partkey", F.when(F.col("p_partkey") % 10 > 0, F.encode("p_name", "UTF-8")).alias("image"))
+    said = extend.judged(rows, partial(extend.ByteJudge, ord("a")), "p_partkey", "image", "A trial.", ["ee", "on", "a"], 8)
+    return said.select("p_partkey", F.coalesce(F.array_join("moments", "|"), F.lit("")).alias("moments"), "error")
+
+
 LIBRARY_SQL = """jobs AS (SELECT c_custkey AS id, 'done' AS status FROM customer), images AS (SELECT o_orderkey AS id, o_custkey AS job_id, o_orderkey % 6 AS stars, o_orderkey % 2 AS rejected FROM orders),
   detections AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS image_id, l_linenumber % 5 AS stars, l_linenumber % 2 AS rejected, l_linenumber % 3 = 0 AS has_crop FROM lineitem)"""
 

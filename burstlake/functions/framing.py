@@ -71,76 +71,138 @@ def within(box: Column, w: Column, h: Column) -> Column:
     return F.struct(cut(x[0], w).alias("x1"), cut(y[0], h).alias("y1"), cut(x[1], w).alias("x2"), cut(y[1], h).alias("y2"))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of ``value``, which is worked out once: a name that is used twice would be written out twice in the plan, and what is made of it four times."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+Names = dict[str, Column]
+Step = Callable[[Names], Names]
+#: Bytes of code of a method that the JVM still compiles.
+COMPILED = 8000
+#: What is given of a frame and a subject (x1 to y2), and what is measured.
+GIVEN = ("w", "h", "x1", "y1", "x2", "y2", "dx", "dy", "signed", "others")
+MEASURED = ("cut_sides", "frac", "band", "lead", "thirds", "phi", "centred", "balance", "occlusion")
+
+
+def _placed(s: Names) -> Names:
+    """The box with its corners in order and cut to the frame, and how many edges it touches."""
+    left, top = F.least(s["x1"], s["x2"]), F.least(s["y1"], s["y2"])
+    right, bottom = F.greatest(s["x1"], s["x2"]), F.greatest(s["y1"], s["y2"])
+    cut = lambda v, most: F.greatest(F.lit(0.0), F.least(most, v))
+    cuts = (left <= EDGE * s["w"]).cast("int") + (top <= EDGE * s["h"]).cast("int") + (right >= (1 - EDGE) * s["w"]).cast("int") + (bottom >= (1 - EDGE) * s["h"]).cast("int")
+    return {"bx1": cut(left, s["w"]), "by1": cut(top, s["h"]), "bx2": cut(right, s["w"]), "by2": cut(bottom, s["h"]), "cuts": cuts, "norm": F.sqrt(s["dx"] * s["dx"] + s["dy"] * s["dy"])}
+
+
+def _centred(s: Names) -> Names:
+    """The box's share of the frame, its middle, and the direction it moves in (null: none)."""
+    area = F.greatest(s["bx2"] - s["bx1"], F.lit(0.0)) * F.greatest(s["by2"] - s["by1"], F.lit(0.0))
+    moves = s["norm"] > 0
+    return {"share": area / (s["w"] * s["h"]), "nx": (s["bx1"] + s["bx2"]) / 2 / s["w"], "ny": (s["by1"] + s["by2"]) / 2 / s["h"], "ux": F.when(moves, s["dx"] / s["norm"]), "uy": F.when(moves, s["dy"] / s["norm"])}
+
+
+def _aligned(s: Names) -> Names:
+    """How far the middle is from the grids and from the frame's own; where frame and box begin and end along the motion; what the boxes weigh to one side."""
+    off = lambda px, py: F.sqrt((s["nx"] - px) * (s["nx"] - px) + (s["ny"] - py) * (s["ny"] - py))
+    grid = lambda points: F.least(*[off(px, py) for px in points for py in points]) / 2**0.5
+    along, across = s["ux"] * s["w"], s["uy"] * s["h"]
+    near, far = s["ux"] * s["bx1"] + s["uy"] * s["by1"], s["ux"] * s["bx2"] + s["uy"] * s["by2"]
+    corners = (F.lit(0.0), along, across, along + across)
+    b = F.struct(s["bx1"].alias("x1"), s["by1"].alias("y1"), s["bx2"].alias("x2"), s["by2"].alias("y2"))
+    mass = lambda o: F.struct(size_of(within(o, s["w"], s["h"])).alias("a"), ((within(o, s["w"], s["h"])["x1"] + within(o, s["w"], s["h"])["x2"]) / s["w"] - 1).alias("m"))
+    own = F.struct((s["share"] * s["w"] * s["h"] * (s["nx"] - 0.5) * 2).alias("m"), (s["share"] * s["w"] * s["h"]).alias("a"))
+    alone = F.when(own["a"] > 0, own["m"] / own["a"])
+    every = F.aggregate(F.transform(s["others"], mass), own, lambda t, x: F.struct((t["m"] + x["a"] * x["m"]).alias("m"), (t["a"] + x["a"]).alias("a")), lambda t: F.try_divide(t["m"], t["a"]))
+    some = F.size(s["others"]) > 0
+    return {
+        "thirds": grid(THIRDS), "phi": grid(PHI), "middle": off(0.5, 0.5) / 2**0.5, "lo": F.least(*corners), "hi": F.greatest(*corners), "nearest": F.least(near, far), "farthest": F.greatest(near, far),
+        "lean": F.when(some, every).otherwise(alone), "hidden": F.when(some, F.array_max(F.transform(s["others"], lambda o: covered(b, o)))),
+    }
+
+
+def _seen(s: Names) -> Names:
+    """MEASURED, but for what is so already."""
+    extent = s["hi"] - s["lo"]
+    room = ((s["hi"] - s["farthest"]) - (s["nearest"] - s["lo"])) / extent
+    ahead = F.when(s["ux"].isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(extent > 1e-9, room).otherwise(0.0))))
+    frac = unit(s["share"])
+    return {
+        "frac": frac, "cut_sides": F.when(frac >= WHOLE, 0).otherwise(s["cuts"]), "band": F.when(frac < SMALL, "small").when(frac > TIGHT, "tight").otherwise("good"), "lead": F.when(s["signed"], ahead).otherwise(F.abs(ahead)),
+        "centred": s["middle"] <= CENTRED, "balance": F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s["lean"])), F.lit(0.0)), "occlusion": F.coalesce(unit(s["hidden"]), F.lit(0.0)),
+    }
+
+
+def _terms(policy: Policy) -> Step:
+    def terms(s: Names) -> Names:
+        size = F.when(s["band"] == "good", 1.0).when(s["band"] == "small", 1 - unit((SMALL - s["frac"]) / SMALL)).otherwise(1 - 0.5 * unit((s["frac"] - TIGHT) / (1 - TIGHT)))
+        mode = F.when(s["centred"], 1.0).otherwise(F.greatest(1 - s["thirds"] / THIRDS_FAR, 1 - s["phi"] / PHI_FAR))
+        lopsided = F.when(~s["centred"], 1 - F.greatest(F.abs(s["balance"]) - LOPSIDED, F.lit(0.0)) / (1 - LOPSIDED))
+        lead = F.when(F.abs(s["lead"]) >= LEAD_NEUTRAL, 1 - F.abs(s["lead"] - LEAD) / (1 - LEAD))
+        level = 1 - (F.abs(s["tilt"]) - TILT_GOOD) / (TILT_BAD - TILT_GOOD)
+        return {"t_cut": 1 - s["cut_sides"] / 4, "t_size": size, "t_mode": mode, "t_occlusion": 1 - s["occlusion"], "t_balance": lopsided, "t_lead": lead, "t_tilt": level}
+
+    return terms
+
+
+def _score(policy: Policy) -> Step:
+    def score(s: Names) -> Names:
+        used = [(s[f"t_{name}"], w) for name, w in vars(policy).items() if w > 0]
+        total = sum((F.coalesce(unit(t) * w, F.lit(0.0)) for t, w in used), F.lit(0.0))
+        weight = sum((F.when(t.isNotNull(), w).otherwise(0.0) for t, w in used), F.lit(0.0))
+        return {"score": F.coalesce(unit(F.try_divide(total, weight)), F.lit(0.5))}
+
+    return score
+
+
+_MEASURE = (_placed, _centred, _aligned, _seen)
+
+
+def _bound(given: Names, steps: tuple[Step, ...], wanted: tuple[str, ...]) -> Column:
+    """``wanted`` of the steps' names as a struct. What a step makes is bound for the next: a name that is used twice would be written out twice in the plan, and what is made of it four times."""
+    value = F.struct(*[c.alias(k) for k, c in given.items()])
+    names = list(given)
+    for step in steps:
+        made: list[str] = []
+
+        def grown(v: Column, step: Step = step, names: list[str] = names, made: list[str] = made) -> Column:
+            new = step({k: v[k] for k in names})
+            made += new
+            return F.struct(*[v[k].alias(k) for k in names if k not in new], *[c.alias(k) for k, c in new.items()])
+
+        value = F.get(F.transform(F.array(value), grown), F.lit(0))
+        names = [*[k for k in names if k not in made], *made]
+    last = F.transform(F.array(value), lambda v: F.struct(*[v[k].alias(k) for k in wanted]))
+    return F.get(last, F.lit(0))
 
 
 def measured(w: Column, h: Column, box: Column, others: Column, dx: Column, dy: Column, signed: Column) -> Column:
     """struct of what is seen of the framing: cut_sides, frac, band, lead, thirds, phi, centred, balance, occlusion.
 
     ``others``: boxes of the other subjects. ``dx`` and ``dy``: where the subject moves to (null or 0: unknown); an unsigned motion has no
-    front, so its lead room is a distance. Null if the frame has no size.
+    front, so its lead room is a distance. Null if the frame has no size. For many rows ``framed`` does the same in generated code.
     """
-    root2 = 2**0.5
-
-    def placed(s: Column) -> Column:
-        """The box in the frame, its middle as a share of it, how many edges it touches, and the motion's direction."""
-        left, top = F.least(s["box"]["x1"], s["box"]["x2"]), F.least(s["box"]["y1"], s["box"]["y2"])
-        right, bottom = F.greatest(s["box"]["x1"], s["box"]["x2"]), F.greatest(s["box"]["y1"], s["box"]["y2"])
-        cuts = (left <= EDGE * s["w"]).cast("int") + (top <= EDGE * s["h"]).cast("int") + (right >= (1 - EDGE) * s["w"]).cast("int") + (bottom >= (1 - EDGE) * s["h"]).cast("int")
-        b, norm = s["b"], s["norm"]
-        return F.struct(
-            s["w"].alias("w"), s["h"].alias("h"), b.alias("b"), cuts.alias("cuts"), unit(size_of(b) / (s["w"] * s["h"])).alias("frac"), ((b["x1"] + b["x2"]) / 2 / s["w"]).alias("nx"), ((b["y1"] + b["y2"]) / 2 / s["h"]).alias("ny"),
-            F.when(norm > 0, s["dx"] / norm).alias("ux"), F.when(norm > 0, s["dy"] / norm).alias("uy"),
-        )
-
-    def ahead(s: Column) -> Column:
-        """Where the frame and the box begin and end along the motion."""
-        b, ux, uy = s["b"], s["ux"], s["uy"]
-        corners = F.array(F.lit(0.0), ux * s["w"], uy * s["h"], ux * s["w"] + uy * s["h"])
-        ends = F.array(ux * b["x1"] + uy * b["y1"], ux * b["x2"] + uy * b["y2"])
-        return F.struct(F.array_min(corners).alias("lo"), F.array_max(corners).alias("hi"), F.array_min(ends).alias("first"), F.array_max(ends).alias("last"))
-
-    def room(e: Column) -> Column:
-        extent = e["hi"] - e["lo"]
-        share = ((e["hi"] - e["last"]) - (e["first"] - e["lo"])) / extent
-        return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(extent > 1e-9, share).otherwise(0.0)))
-
-    def seen(s: Column) -> Column:
-        off = lambda px, py: F.sqrt((s["nx"] - px) * (s["nx"] - px) + (s["ny"] - py) * (s["ny"] - py))
-        grid = lambda points: F.least(*[off(px, py) for px in points for py in points]) / root2
-        mass = lambda o: let(within(o, s["w"], s["h"]), lambda i: F.struct(size_of(i).alias("a"), (((i["x1"] + i["x2"]) / 2 / s["w"] - 0.5) * 2).alias("m")))
-        nothing = F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("a"))
-        weighed = F.aggregate(F.transform(F.concat(F.array(box), others), mass), nothing, lambda t, x: F.struct((t["m"] + x["a"] * x["m"]).alias("m"), (t["a"] + x["a"]).alias("a")), lambda t: F.try_divide(t["m"], t["a"]))
-        balance = F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), weighed)), F.lit(0.0))
-        hidden = F.coalesce(unit(F.array_max(F.transform(others, lambda o: covered(s["b"], o)))), F.lit(0.0))
-        lead = F.when(s["ux"].isNotNull(), let(ahead(s), room))
-        return F.struct(
-            F.when(s["frac"] >= WHOLE, 0).otherwise(s["cuts"]).alias("cut_sides"), s["frac"].alias("frac"), F.when(s["frac"] < SMALL, "small").when(s["frac"] > TIGHT, "tight").otherwise("good").alias("band"), F.when(signed, lead).otherwise(F.abs(lead)).alias("lead"),
-            grid(THIRDS).alias("thirds"), grid(PHI).alias("phi"), (off(0.5, 0.5) / root2 <= CENTRED).alias("centred"), balance.alias("balance"), hidden.alias("occlusion"),
-        )
-
-    given = F.struct(w.alias("w"), h.alias("h"), box.alias("box"), within(box, w, h).alias("b"), dx.alias("dx"), dy.alias("dy"), F.sqrt(dx * dx + dy * dy).alias("norm"))
-    return F.when((w > 0) & (h > 0), let(let(given, placed), seen))
+    given = dict(zip(GIVEN, (w, h, box["x1"], box["y1"], box["x2"], box["y2"], dx, dy, signed, others), strict=True))
+    return F.when((w > 0) & (h > 0), _bound(given, _MEASURE, MEASURED))
 
 
 def framing_score(m: Column, tilt: Column, policy: Policy = SPORT) -> Column:
-    """0 to 1: the weighted mean of the terms that could be measured, 0.5 if none."""
-
-    def score(m: Column) -> Column:
-        size = F.when(m["band"] == "good", 1.0).when(m["band"] == "small", 1 - unit((SMALL - m["frac"]) / SMALL)).otherwise(1 - 0.5 * unit((m["frac"] - TIGHT) / (1 - TIGHT)))
-        mode = F.when(m["centred"], 1.0).otherwise(unit(F.greatest(1 - m["thirds"] / THIRDS_FAR, 1 - m["phi"] / PHI_FAR)))
-        lopsided = F.when(~m["centred"], 1 - F.greatest(F.abs(m["balance"]) - LOPSIDED, F.lit(0.0)) / (1 - LOPSIDED))
-        lead = F.when(F.abs(m["lead"]) >= LEAD_NEUTRAL, 1 - F.abs(m["lead"] - LEAD) / (1 - LEAD))
-        level = 1 - unit((F.abs(tilt) - TILT_GOOD) / (TILT_BAD - TILT_GOOD))
-        terms = [(1 - m["cut_sides"] / 4, policy.cut), (size, policy.size), (mode, policy.mode), (1 - m["occlusion"], policy.occlusion), (lopsided, policy.balance), (lead, policy.lead), (level, policy.tilt)]
-        weighed = F.array(*[F.struct(unit(t).cast("double").alias("t"), F.lit(float(w)).alias("w")) for t, w in terms if w > 0])
-        nothing = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-        add = lambda s, x: F.when(x["t"].isNull(), s).otherwise(F.struct((s["s"] + x["t"] * x["w"]).alias("s"), (s["w"] + x["w"]).alias("w")))
-        return F.coalesce(F.aggregate(weighed, nothing, add, lambda s: unit(F.try_divide(s["s"], s["w"]))), F.lit(0.5))
-
-    return F.coalesce(let(m, score), F.lit(0.5))
+    """0 to 1, of what was ``measured``: the weighted mean of the terms that could be, 0.5 if none."""
+    given = {k: m[k] for k in MEASURED} | {"tilt": tilt}
+    return _bound(given, (_terms(policy), _score(policy)), ("score",))["score"]
+
+
+def framed(rows: DataFrame, given: Names, tilt: Column, policy: Policy = SPORT) -> DataFrame:
+    """``rows`` with MEASURED and score, from ``given`` (GIVEN): each step is a projection of plain columns, which Spark keeps apart. A frame without size has nulls, and a score of 0.5.
+
+    The steps fused into one method would be longer than what the JVM compiles, and run five times as long: the session is told to fuse no such method.
+    """
+    conf = rows.sparkSession.conf
+    if int(conf.get("spark.sql.codegen.hugeMethodLimit")) > COMPILED:
+        conf.set("spark.sql.codegen.hugeMethodLimit", COMPILED)
+    names: Names = {}
+    out = rows
+    sized = (given["w"] > 0) & (given["h"] > 0)
+    for k, step in enumerate([lambda s: given | {"tilt": tilt, "sized": sized}, *_MEASURE, _terms(policy), _score(policy)]):
+        made = step(names)
+        out = out.withColumns({f"_{k}_{name}": c for name, c in made.items()})
+        names = names | {name: F.col(f"_{k}_{name}") for name in made}
+    known = {name: F.when(names["sized"], names[name]) for name in MEASURED} | {"score": F.when(names["sized"], names["score"]).otherwise(0.5)}
+    return out.select(*[F.col(c) for c in rows.columns if c not in known], *[c.alias(name) for name, c in known.items()])
 
 
 def _sides(boxes: DataFrame, image: str, a: Column, b: Column) -> DataFrame:

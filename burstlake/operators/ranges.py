@@ -79,17 +79,17 @@ def _runner(make: Callable[[], Scan], names: list[str], opens: dict[int, str], e
                         empty = block
                         continue
                 empty = block.iloc[:0]
-                # of rows that are scanned again none begins afresh: they were cut off there
-                starts = np.zeros(len(block), bool) if again else scan.restarts(block, before)
-                before, i = block.iloc[-1:], 0
-                for j in [*np.flatnonzero(starts).tolist(), len(block)]:
-                    if j > i:
-                        yield from out(scan.step(block.iloc[i:j], False))
-                    if j < len(block):
+                before, block_before, j = block.iloc[-1:], before, 0
+                if first and not again:  # up to the first place where a scan begins afresh, what is found may change; after it no place matters
+                    starts = np.flatnonzero(scan.restarts(block, block_before))
+                    if len(starts):
+                        j = int(starts[0])
+                        if j:
+                            yield from out(scan.step(block.iloc[:j], False))
                         yield from out(scan.step(empty, True))
-                        if first:
-                            yield told(int(block["_at"].iat[j]), None, None)
-                        scan, first, i = make(), False, j
+                        yield told(int(block["_at"].iat[j]), None, None)
+                        scan, first = make(), False
+                yield from out(scan.step(block.iloc[j:], False))
         if scan is not None:
             yield from end(opens.get(now[0]) == now[1])
 

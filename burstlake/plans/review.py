@@ -269,9 +269,9 @@ def j20_riders(t) -> DataFrame:
 def m14_framing(t) -> DataFrame:
     """Single subjects that move to the right in a frame of 1000 x 800."""
     none = F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")
-    m = framing.measured(F.lit(1000.0), F.lit(800.0), F.col("box"), none, F.lit(1.0), F.lit(0.0), F.lit(True))
-    rows = boxes(t).select("id", m.alias("m"))
-    return rows.select("id", "m.cut_sides", F.round("m.frac", 6).alias("frac"), F.round("m.thirds", 6).alias("thirds"), F.round(framing.framing_score(F.col("m"), (F.col("id") % 5 - 2).cast("double")), 6).alias("score"))
+    given = dict(zip(framing.GIVEN, (F.lit(1000.0), F.lit(800.0), *[F.col(f"box.{c}") for c in ("x1", "y1", "x2", "y2")], F.lit(1.0), F.lit(0.0), F.lit(True), none), strict=True))
+    rows = framing.framed(boxes(t).select("id", "box"), given, (F.col("id") % 5 - 2).cast("double"))
+    return rows.select("id", "cut_sides", F.round("frac", 6).alias("frac"), F.round("thirds", 6).alias("thirds"), F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {BOXES}, f AS (SELECT o_orderkey AS id, CAST(o_custkey % 900 AS DOUBLE) AS ax, CAST(o_orderkey % 700 AS DOUBLE) AS ay, CASE WHEN o_orderkey % 3 = 0 THEN 'grid' ELSE 'point' END AS kind, CASE WHEN o_orderkey % 10 > 0 THEN 0.5 END AS score, CASE WHEN o_orderkey % 8 = 0 THEN 700 ELSE 60 END AS w FROM orders),

@@ -54,12 +54,20 @@ def test_functions_are_called_in_sql(spark):
     assert "PythonUDF" not in plan._jdf.queryExecution().toString()
 
 
-def test_a_name_that_is_bound_is_worked_out_once(spark):
+def test_framing_in_steps_equals_the_expression(spark):
+    import random
+
     from burstlake.functions import framing
 
-    df = spark.createDataFrame([(1, 10.0)], "id long, v double")
-    box = F.struct(F.col("v").alias("x1"), F.lit(5.0).alias("y1"), (F.col("v") + 20).alias("x2"), F.lit(40.0).alias("y2"))
-    none = F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")
-    m = framing.measured(F.lit(100.0), F.lit(80.0), box, none, F.lit(1.0), F.lit(0.0), F.lit(True))
-    plan = df.select("id", framing.framing_score(m, F.lit(0.0)).alias("s"))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("greatest(") < 120
+    rng = random.Random(51)
+    box = lambda: tuple(rng.uniform(-10, 110) for _ in range(4))
+    rows = [(k, *box(), [box() for _ in range(k % 3)], rng.choice([None, 0.0, 1.0, -2.0]), rng.choice([None, 0.0, 1.0]), bool(k % 2), rng.choice([None, 2.0]), 0.0 if k == 5 else 100.0) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, x1 double, y1 double, x2 double, y2 double, others array<struct<x1:double,y1:double,x2:double,y2:double>>, dx double, dy double, signed boolean, tilt double, w double")
+    given = {k: F.lit(80.0) if k == "h" else F.col(k) for k in framing.GIVEN}
+    names = [*framing.MEASURED, "score"]
+    steps = framing.framed(df, given, F.col("tilt"))
+    m = framing.measured(F.col("w"), F.lit(80.0), F.struct("x1", "y1", "x2", "y2"), F.col("others"), F.col("dx"), F.col("dy"), F.col("signed"))
+    whole = df.select("id", m.alias("m")).join(df.select("id", "tilt"), "id").select("id", "m.*", framing.framing_score(F.col("m"), F.col("tilt")).alias("score"))
+    one, two = ({r["id"]: tuple(r[c] for c in names) for r in x.collect()} for x in (steps, whole))
+    assert one == two and one[5][:9] == (None,) * 9 and one[5][9] == 0.5
+    assert steps._jdf.queryExecution().executedPlan().toString().count("greatest(") < 60

@@ -761,6 +761,53 @@ def x4_judged(t) -> DataFrame:
     return said.select("p_partkey", F.coalesce(F.array_join("moments", "|"), F.lit("")).alias("moments"), "error")
 
 
+@query("""SELECT p_partkey, nullif(upper(regexp_replace(CASE WHEN p_partkey % 9 = 0 THEN ' - ' ELSE p_name || '-' || p_partkey END, '[^A-Za-z0-9]', '', 'g')), '') AS plate,
+  coalesce((SELECT bool_or(contains(lower(p_type), w)) FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w) WHERE length(w) >= 4 AND w <> 'blue'), false) AS backed, array_to_string(list_filter(list_transform(string_split(p_name, ' '), lambda w: trim(w)), lambda w: w <> ''), '|') AS parts,
+  CASE p_partkey % 4 WHEN 0 THEN 'gentle' WHEN 1 THEN 'eager' ELSE 'normal' END AS word FROM part""")
+def f22_words(t) -> DataFrame:
+    """Plates made tidy, claims that a line of evidence backs, lists in a text, and words out of a set."""
+    name = F.when(F.col("p_partkey") % 9 == 0, " - ").otherwise(F.concat("p_name", F.lit("-"), F.col("p_partkey").cast("string")))
+    word = F.when(F.col("p_partkey") % 4 == 0, " Gentle ").when(F.col("p_partkey") % 4 == 1, "EAGER").otherwise("odd")
+    return t("part").select("p_partkey", X.tidy_plate(name).alias("plate"), X.corroborated(F.col("p_name"), F.array("p_type"), ("blue",)).alias("backed"), F.array_join(X.split_list(F.col("p_name"), " "), "|").alias("parts"), X.word_or(word, ("gentle", "normal", "eager"), "normal").alias("word"))
+
+
+@query("""SELECT o_orderkey, CAST(date_diff('day', DATE '1970-01-01', d) + (o_orderkey % 40) - 1 AS INT) AS days, CAST(d AS DATE) AS back, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey + 978307200.0 END AS foreign_time, greatest(CAST(round(o_custkey - o_orderkey + 0.25) AS BIGINT), 0) AS age
+  FROM (SELECT *, date_trunc('month', o_orderdate) AS d FROM orders)""")
+def d3_times(t) -> DataFrame:
+    """Days of dates that roll over, and back; times of a foreign epoch as text; ages, none under 0."""
+    o = t("orders").withColumn("d", F.to_date(F.col("o_orderdate")))
+    days = D.days_from_civil(F.year("d"), F.month("d"), (F.col("o_orderkey") % 40).cast("int"))
+    back = D.civil_from_days(D.days_from_civil(F.year("d"), F.month("d"), F.lit(1)))
+    text = F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey").cast("string")).otherwise("soon")
+    return o.select("o_orderkey", days.alias("days"), back.alias("back"), D.from_foreign_epoch(text).alias("foreign_time"), D.age_seconds(F.col("o_custkey") + 0.25, F.col("o_orderkey")).alias("age"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(greatest(l_quantity, l_linenumber) / least(l_quantity, l_linenumber), 9) AS scale, round(sqrt(pow((l_quantity - l_linenumber) / 2, 2)) / sqrt(2), 9) AS shift, round(coalesce(CASE WHEN l_linenumber > 2 THEN l_discount END, 0) + log2(l_quantity), 9) AS ev,
+  CASE WHEN l_linenumber % 3 > 0 THEN greatest(l_tax, l_discount) END AS both_greatest, CAST(round(100 * l_linenumber / 7) AS INT) AS share, CAST(l_linenumber * 16 + 10 AS INT) AS byte FROM lineitem""")
+def m4_numbers(t) -> DataFrame:
+    """Boxes that follow each other, brightness in stops, the greater of two that are both known, shares in percent, and bytes of hex."""
+    box = lambda w: F.struct(F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), w.cast("double").alias("x2"), F.lit(1.0).alias("y2"))
+    rows = t("lineitem").withColumns({"a": box(F.col("l_quantity")), "b": box(F.col("l_linenumber"))})
+    step = N.continuity("a", "b")
+    byte = F.get(N.bytes_of_hex(F.concat(F.lit("00"), F.hex("l_linenumber"), F.lit("a"))), F.lit(1))
+    return rows.select(
+        "l_orderkey", "l_linenumber", F.round(step["scale"], 9).alias("scale"), F.round(step["shift"], 9).alias("shift"), F.round(N.brightness(F.col("l_quantity"), F.when(F.col("l_linenumber") > 2, F.col("l_discount"))), 9).alias("ev"),
+        N.strict_greatest(F.when(F.col("l_linenumber") % 3 > 0, F.col("l_tax")), F.col("l_discount")).alias("both_greatest"), views.share(F.col("l_linenumber"), F.lit(7)).alias("share"), byte.alias("byte"),
+    )
+
+
+@query("SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter([p_brand, p_type, split_part(p_name, ' ', 1), '', p_brand], lambda x: x <> '' AND x <> p_type))), '|') AS aliases FROM part")
+def u5_aliases(t) -> DataFrame:
+    first = F.element_at(F.split("p_name", " "), 1)
+    return t("part").select("p_partkey", F.array_join(identity.aliases_of(F.array("p_brand", "p_type"), F.array(first, F.lit(""), F.col("p_brand")), F.col("p_type")), "|").alias("aliases"))
+
+
+@query("(SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier) UNION ALL (SELECT c_nationkey + 100 FROM customer EXCEPT ALL SELECT s_nationkey + 100 FROM supplier)")
+def u7_set_operations_all(t) -> DataFrame:
+    k = lambda name, c, more=0: t(name).select((F.col(c) + more).alias("k"))
+    return k("customer", "c_nationkey").intersectAll(k("supplier", "s_nationkey")).unionAll(k("customer", "c_nationkey", 100).exceptAll(k("supplier", "s_nationkey", 100)))
+
+
 LIBRARY_SQL = """jobs AS (SELECT c_custkey AS id, 'done' AS status FROM customer), images AS (SELECT o_orderkey AS id, o_custkey AS job_id, o_orderkey % 6 AS stars, o_orderkey % 2 AS rejected FROM orders),
   detections AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS image_id, l_linenumber % 5 AS stars, l_linenumber % 2 AS rejected, l_linenumber % 3 = 0 AS has_crop FROM lineitem)"""
 

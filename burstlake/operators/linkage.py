@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.numeric import dot
 from ..functions.text import blank_to_null, normalised_path, path_key
 
 SLOP_SECONDS = 2.0
@@ -54,20 +58,52 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> D
 def nearest_known(rows: DataFrame, known: DataFrame, threshold: float, id_col: str, name: str, vector: str = "embedding", bound: int = 32 << 20) -> DataFrame:
     """(id, name, score) of the known entity with the greatest product of at least ``threshold``; of equals the last name.
 
-    ``known`` is a registry: its bytes are counted first and it is broadcast only up to ``bound`` bytes; beyond that it is met in
-    blocks of about that size, and the best of the blocks' best is kept. Vectors of another length do not meet.
+    ``known`` is a registry: its bytes are counted first, and it travels in blocks of about ``bound`` bytes, each of which goes over the rows once; an Arrow
+    batch of rows meets a block in one product of matrices, and no row is joined with all entities. Vectors of another length do not meet; a missing
+    component counts as 0. The best of the blocks' best is kept.
     """
     weight = known.agg(F.sum(F.coalesce(F.size(vector), F.lit(0)) * 8 + 64).alias("b")).first()["b"] or 0
     blocks = max(1, -(-weight // bound))
+    asked = rows.select(id_col, F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("_v")).where("size(_v) > 0")
+    listed = known.select(F.col(name).alias("_name"), F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("_v")).where("size(_v) > 0")
+    schema = T.StructType([T.StructField(id_col, rows.schema[id_col].dataType), T.StructField("_name", T.StringType()), T.StructField("_score", T.DoubleType())])
     out = None
     for b in range(blocks):
-        part = known if blocks == 1 else known.where(F.pmod(F.xxhash64(name, vector), F.lit(blocks)) == b)
-        side = F.broadcast(part.select(F.col(name).alias("known_name"), F.col(vector).alias("known_vector")))
-        score = dot(F.col(vector), F.col("known_vector"))
-        met = rows.join(side, F.size(vector) == F.size("known_vector")).select(id_col, "known_name", score.alias("score")).where(F.col("score") >= threshold)
-        best = met.groupBy(id_col).agg(F.max(F.struct("score", "known_name")).alias("m"))
-        out = best if out is None else out.unionByName(best)
-    return out.groupBy(id_col).agg(F.max("m").alias("m")).select(id_col, F.col("m.known_name").alias(name), F.round("m.score", 3).alias("score"))
+        part = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("_name", "_v"), F.lit(blocks)) == b)
+        found = asked.mapInArrow(_nearest(part.toArrow(), threshold, id_col), schema)
+        out = found if out is None else out.unionByName(found)
+    best = out.groupBy(id_col).agg(F.max(F.struct("_score", "_name")).alias("m"))
+    return best.select(id_col, F.col("m._name").alias(name), F.round("m._score", 3).alias("score"))
+
+
+def _nearest(block: pa.Table, threshold: float, id_col: str):
+    """The best entity of one bounded ``block`` for each row; products are compared to 12 places, so that equal vectors are equals."""
+    names = block.column("_name").to_pylist()
+    lengths = np.array([len(v) for v in block.column("_v")])
+    sides = {}
+    for n in set(lengths.tolist()):
+        at = np.flatnonzero(lengths == n)
+        at = at[np.argsort(np.array([names[k] for k in at]), kind="stable")]
+        sides[n] = [names[k] for k in at], np.array([block.column("_v")[int(k)].as_py() for k in at]).T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.array([len(v) for v in batch.column(1)])
+            rows, said, scores = [], [], []
+            for n, (own, matrix) in sides.items():
+                at = np.flatnonzero(sizes == n)
+                if not len(at):
+                    continue
+                product = np.round(np.array(batch.column(1).take(pa.array(at)).to_pylist()) @ matrix, 12)
+                best = product.shape[1] - 1 - np.argmax(product[:, ::-1], axis=1)  # of equals the last name
+                top = product[np.arange(len(at)), best]
+                good = top >= threshold
+                rows += at[good].tolist()
+                said += [own[k] for k in best[good]]
+                scores += top[good].tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(said, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "_name", "_score"])
+
+    return run
 
 
 def fill_blanks(rows: DataFrame, known: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -93,7 +93,7 @@ def _centred(s: Names) -> Names:
     """The box's share of the frame, its middle, and the direction it moves in (null: none)."""
     area = F.greatest(s["bx2"] - s["bx1"], F.lit(0.0)) * F.greatest(s["by2"] - s["by1"], F.lit(0.0))
     moves = s["norm"] > 0
-    return {"share": area / (s["w"] * s["h"]), "nx": (s["bx1"] + s["bx2"]) / 2 / s["w"], "ny": (s["by1"] + s["by2"]) / 2 / s["h"], "ux": F.when(moves, s["dx"] / s["norm"]), "uy": F.when(moves, s["dy"] / s["norm"])}
+    return {"share": F.try_divide(area, s["w"] * s["h"]), "nx": F.try_divide((s["bx1"] + s["bx2"]) / 2, s["w"]), "ny": F.try_divide((s["by1"] + s["by2"]) / 2, s["h"]), "ux": F.when(moves, s["dx"] / s["norm"]), "uy": F.when(moves, s["dy"] / s["norm"])}
 
 
 def _aligned(s: Names) -> Names:
@@ -104,7 +104,7 @@ def _aligned(s: Names) -> Names:
     near, far = s["ux"] * s["bx1"] + s["uy"] * s["by1"], s["ux"] * s["bx2"] + s["uy"] * s["by2"]
     corners = (F.lit(0.0), along, across, along + across)
     b = F.struct(s["bx1"].alias("x1"), s["by1"].alias("y1"), s["bx2"].alias("x2"), s["by2"].alias("y2"))
-    mass = lambda o: F.struct(size_of(within(o, s["w"], s["h"])).alias("a"), ((within(o, s["w"], s["h"])["x1"] + within(o, s["w"], s["h"])["x2"]) / s["w"] - 1).alias("m"))
+    mass = lambda o: F.struct(size_of(within(o, s["w"], s["h"])).alias("a"), (F.try_divide(within(o, s["w"], s["h"])["x1"] + within(o, s["w"], s["h"])["x2"], s["w"]) - 1).alias("m"))
     own = F.struct((s["share"] * s["w"] * s["h"] * (s["nx"] - 0.5) * 2).alias("m"), (s["share"] * s["w"] * s["h"]).alias("a"))
     alone = F.when(own["a"] > 0, own["m"] / own["a"])
     every = F.aggregate(F.transform(s["others"], mass), own, lambda t, x: F.struct((t["m"] + x["a"] * x["m"]).alias("m"), (t["a"] + x["a"]).alias("a")), lambda t: F.try_divide(t["m"], t["a"]))
@@ -154,20 +154,20 @@ _MEASURE = (_placed, _centred, _aligned, _seen)
 
 def _bound(given: Names, steps: tuple[Step, ...], wanted: tuple[str, ...]) -> Column:
     """``wanted`` of the steps' names as a struct. What a step makes is bound for the next: a name that is used twice would be written out twice in the plan, and what is made of it four times."""
-    value = F.struct(*[c.alias(k) for k, c in given.items()])
-    names = list(given)
-    for step in steps:
-        made: list[str] = []
-
-        def grown(v: Column, step: Step = step, names: list[str] = names, made: list[str] = made) -> Column:
+    def grown(step: Step, names: list[str], made: list[str]) -> Callable[[Column], Column]:
+        def grow(v: Column) -> Column:
             new = step({k: v[k] for k in names})
-            made += new
+            made[:] = new
             return F.struct(*[v[k].alias(k) for k in names if k not in new], *[c.alias(k) for k, c in new.items()])
 
-        value = F.get(F.transform(F.array(value), grown), F.lit(0))
+        return grow
+
+    value, names = F.struct(*[c.alias(k) for k, c in given.items()]), list(given)
+    for step in steps:
+        made: list[str] = []
+        value = F.get(F.transform(F.array(value), grown(step, names, made)), F.lit(0))
         names = [*[k for k in names if k not in made], *made]
-    last = F.transform(F.array(value), lambda v: F.struct(*[v[k].alias(k) for k in wanted]))
-    return F.get(last, F.lit(0))
+    return F.get(F.transform(F.array(value), lambda v: F.struct(*[v[k].alias(k) for k in wanted])), F.lit(0))
 
 
 def measured(w: Column, h: Column, box: Column, others: Column, dx: Column, dy: Column, signed: Column) -> Column:

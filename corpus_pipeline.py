@@ -61,7 +61,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic_out), ("line_dedup", lines_out), ("minhash", near_copies_out), ("decontaminate", benchmark_out), ("packing", packed)]
 
-#: The stages learn models and compare texts in ways that SQL does not express; tests hold them against brute force.
+#: The stages learn models and compare texts in ways that SQL does not express; tests hold each operator against brute force, and the stages against planted cases and odd rows.
 ORACLE_SQL: str | None = None
 
 

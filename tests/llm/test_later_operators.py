@@ -276,3 +276,11 @@ def test_batches_of_sliced_arrow_columns():
     column = pa.array(["ab", None, "cd e", "f"]).slice(1, 2)
     data, offsets = shared.utf8(column)
     assert data.tobytes() == b"cd e" and offsets.tolist() == [0, 0, 4]
+
+
+def test_texts_go_no_further_than_their_leaves(spark):
+    rows = [(k, "s", "en", k, f"Text {k} " * 50) for k in range(40)]
+    leaves = merkle.manifest(frame(spark, rows)).leaves
+    plan = leaves._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan  # they were hashed in the first pass, and are not read again
+    assert set(leaves.columns) == {"doc_id", "leaf", "subroot", "path"}

@@ -274,20 +274,48 @@ def test_evenly_edited_copies_are_aligned(spark):
     assert {(100 * k + e, k) for k, _ in items for e in (0, 2, 3, 5)} <= set(got)
 
 
-def test_pieces_of_hits_lose_no_alignment(monkeypatch):
-    import numpy as np
-
+def test_pieces_of_stretches_lose_no_alignment(spark, monkeypatch):
     rng = random.Random(22)
-    items = [{"item_id": k, "text": sentence(rng, 20)} for k in range(5)] + [{"item_id": 9, "text": "alone"}]
-    text = " ".join([sentence(rng, 50), items[0]["text"], sentence(rng, 300), items[3]["text"], "alone", sentence(rng, 40)])
-    block = decontaminate._Block(items, 0.5)
-    data = np.frombuffer(text.encode(), np.uint8)
-    words, _, _, first = decontaminate._words(data, np.array([0, len(data)]))
-    for at_once, piece in ((2_000_000, 1 << 16), (3, 7)):
-        monkeypatch.setattr(decontaminate, "AT_ONCE", at_once)
+    item = [rng.choice(WORDS) for _ in range(20)]
+    text = [rng.choice(WORDS) for _ in range(400)]
+    text[173:193] = item
+    _, _, span = decontaminate.demands(20, 0.5)
+    shift = (span - 1).bit_length()
+    cells = [(k, shift, span) for k in range(173 >> shift, (193 >> shift) + 1)]
+    for piece in (1 << 16, 7):
         monkeypatch.setattr(decontaminate, "PIECE", piece)
-        full = {x for _, x, low, high in decontaminate.candidates(block, words, first) if decontaminate.align(block.words[x], words[low:high])[0] == 2 * len(block.words[x])}
-        assert full == {0, 3, 5}
+        got = list(decontaminate.stretches(cells, len(text)))
+        assert all(0 <= a < b <= len(text) for a, b in got)
+        assert any(a <= 173 and 193 <= b for a, b in got)
+
+
+def test_seeds_are_the_rarest_places_and_enough(spark):
+    rng = random.Random(23)
+    common = [sentence(rng, 3) for _ in range(4)]
+    items = [(1, " ".join([*common, sentence(rng, 12)])), (2, sentence(rng, 2)), (3, "alone"), (4, sentence(rng, 2_000))]
+    docs = [(k, " ".join(rng.sample(common, 4)), "a") for k in range(50)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    stored = bench.selectExpr("item_id item", "item_id", "text").mapInArrow(decontaminate._itemiser(0.5), decontaminate.ITEMS)
+    got = collect(decontaminate.seeds(frame(spark, docs).select("text"), stored, (1, 2, 0)))
+    places = {i: {r["place"] for r in got if r["item"] == i} for i, _ in items}
+    for i, t in items:
+        size = len(t.split())
+        need, met, _ = decontaminate.demands(size, 0.5)
+        assert len(places[i]) == max(size - 1, 1) - need + met
+    assert {p for p in places[1] if p >= 11} == set(range(11, 23))  # what the documents hold is not taken before what they do not
+
+
+def test_rare_seeds_lose_no_copy_among_frequent_words(spark):
+    """Items of words that all documents repeat, one text that holds half of the benchmark, and a benchmark of equal items."""
+    rng = random.Random(24)
+    few = WORDS[:6]
+    items = [(k, " ".join(rng.choice(few) for _ in range(12))) for k in range(6)] + [(20, "ka lo mi tu re sa ne po di va bu xe"), (20, "ka lo mi tu re sa ne po di va bu xe")]
+    docs = [(k, " ".join(rng.choice(few) for _ in range(50)), "hot") for k in range(12)] + [(50, " ".join(t for _, t in items[3:]), "a")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = collect(decontaminate.contaminated(frame(spark, docs), bench))
+    want = {(i, b): s for i, t, _ in docs for b, x in items if (s := brute_align(x.split(), t.split())) >= 0.5}
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == pytest.approx(want)
+    assert sum((r["doc_id"], r["item_id"]) == (50, 20) for r in got) == 2
 
 
 def test_line_dedup(spark):

@@ -7,6 +7,8 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,39 +53,98 @@ def components(edges: DataFrame, store: Callable[[DataFrame], DataFrame] = cut)
 
 
 def _time_blocks(frames: DataFrame, seconds: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """(n, ids, hashes, times, bursts) of ``block`` frames each in order of time, and (i, j) of the blocks that lie at most ``seconds`` apart.
+    """``frames`` with ``n``, their block of ``block`` frames in order of time, and (i, n, hi): the blocks n that block i, which ends at ``hi``, meets (its own, and later ones within reach).
 
-    A busy minute is as many blocks as it needs, and a block meets those that its last frame reaches. One row a block is ordered in one task.
+    A busy minute is as many blocks as it needs. One row a block is ordered in one task.
     """
-    timed = frames.where("taken is not null and phash is not null").select("id", "taken", "phash", "burst")
-    placed = numbered(timed, [F.col("taken"), F.col("id")], "_place").withColumn("n", F.floor((F.col("_place") - 1) / block))
-    row = F.struct("taken", "id", "phash", F.col("burst").cast("long").alias("burst"))
-    them = F.sort_array(F.collect_list(row))
-    blocks = tabled(placed.groupBy("n").agg(F.min("taken").alias("lo"), F.max("taken").alias("hi"), them.alias("them")), "blocks").select("n", "lo", "hi", *[F.col(f"them.{c}").alias(c) for c in ("id", "taken", "phash", "burst")])
-    ends = blocks.select(F.col("lo").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("i")).union(blocks.select(F.col("hi") + seconds, F.lit(1), "n"))
+    timed = frames.where("taken is not null and phash is not null").select(F.col("id").cast("long").alias("id"), F.col("taken").cast("double").alias("taken"), "phash", F.col("burst").cast("long").alias("burst"))
+    placed = tabled(numbered(timed, [F.col("taken"), F.col("id")], "_place").withColumn("n", F.floor((F.col("_place") - 1) / block)).drop("_place"), "placed")
+    blocks = placed.groupBy("n").agg(F.min("taken").alias("lo"), F.max("taken").alias("hi"))
+    # a second more than they need, against rounding: frames are compared in full
+    ends = blocks.select(F.col("lo").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("i"), "hi").union(blocks.select(F.col("hi") + seconds + 1, F.lit(1), "n", "hi"))
     seen = F.sum(1 - F.col("side")).over(Window.orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
     reach = ends.withColumn("seen", seen).where("side = 1")
-    return blocks.drop("lo", "hi"), reach.select("i", F.explode(F.sequence(F.col("i"), F.col("seen") - 1)).alias("j"))
-
-
-def _compared(seconds: float, bits: int):
-    """Pairs of frames of two blocks (of one block: each pair once) near in time and hash, and of different bursts (null: of none)."""
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                b_id, b_t, b_h = np.asarray(row.id_b), np.asarray(row.taken_b, float), np.asarray(row.phash_b, np.int64).view(np.uint64)
-                b_burst = np.array([np.nan if v is None else v for v in row.burst_b], float)
-                out = []
-                for k, (a, t, h, burst) in enumerate(zip(row.id_a, row.taken_a, np.asarray(row.phash_a, np.int64).view(np.uint64), row.burst_a, strict=True)):
-                    low = k + 1 if row.i == row.j else 0
-                    high = int(np.searchsorted(b_t, t + seconds, "right"))
-                    if high <= low:
-                        continue
-                    far = np.bitwise_count(b_h[low:high] ^ h)
-                    near = np.flatnonzero((far <= bits) & (b_t[low:high] - t <= seconds) & ~(b_burst[low:high] == (np.nan if burst is None else burst)))
-                    out += [(min(int(a), int(b)), max(int(a), int(b)), int(f)) for b, f in zip(b_id[low:high][near], far[near], strict=True)]
-                yield pd.DataFrame(out, columns=["a", "b", "bits"])
+    return placed, tabled(reach.select("i", F.explode(F.sequence(F.col("i"), F.col("seen") - 1)).alias("n"), "hi"), "meet")
+
+
+def _frames_of(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """Arrays of a batch's frames; ``sizes``: how many vectors each has, ``v``: those of all, as rows of a matrix (shorter ones and missing components are 0)."""
+    whole = lambda c: pc.fill_null(batch.column(c), 0).to_numpy(zero_copy_only=False)
+    out = {c: whole(c) for c in ("i", "n", "id", "taken", "burst")} | {"phash": whole("phash").astype(np.int64).view(np.uint64), "none": batch.column("burst").is_null().to_numpy(zero_copy_only=False)}
+    if "v" not in batch.schema.names:
+        return out | {"sizes": np.zeros(batch.num_rows, np.int64), "v": np.zeros((0, 0))}
+    vectors = batch.column("v").flatten()
+    lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.fill_null(vectors.flatten(), 0.0).to_numpy(zero_copy_only=False)
+    v = np.zeros((len(lengths), int(lengths.max(initial=0))))
+    v[np.arange(v.shape[1]) < lengths[:, None]] = flat
+    return out | {"sizes": pc.fill_null(pc.list_value_length(batch.column("v")), 0).to_numpy(zero_copy_only=False).astype(np.int64), "v": v}
+
+
+def _joined(one: dict[str, np.ndarray], two: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    wide = max(one["v"].shape[1], two["v"].shape[1])
+    v = np.concatenate([np.pad(x["v"], ((0, 0), (0, wide - x["v"].shape[1]))) for x in (one, two)])
+    return {c: np.concatenate([one[c], two[c]]) for c in one if c != "v"} | {"v": v}
+
+
+def _part(frames: dict[str, np.ndarray], low: int, high: int) -> dict[str, np.ndarray]:
+    at = np.concatenate([[0], np.cumsum(frames["sizes"])])
+    return {c: x[low:high] for c, x in frames.items() if c != "v"} | {"v": frames["v"][at[low] : at[high]]}
+
+
+def _alike(one: dict[str, np.ndarray], two: dict[str, np.ndarray], same: float) -> np.ndarray:
+    """For each two frames that have vectors whether any two of these have a product of ``same`` at least (as in Spark, NaN is more than any number)."""
+    out = np.zeros((len(one["id"]), len(two["id"])), bool)
+    rows, columns = np.flatnonzero(one["sizes"]), np.flatnonzero(two["sizes"])
+    if not len(rows) or not len(columns):
+        return out
+    n = min(one["v"].shape[1], two["v"].shape[1])
+    a, b = one["v"][:, :n], two["v"][:, :n]
+    with np.errstate(invalid="ignore", over="ignore"):
+        product = a @ b.T
+        good = ~(product < same)
+        for k, m in zip(*np.nonzero(np.abs(product - same) < 1e-9), strict=True):  # component by component, as ``numeric.dot`` adds
+            good[k, m] = not sum((a[k] * b[m]).tolist(), 0.0) < same
+    first = lambda f: np.cumsum(f["sizes"][f["sizes"] > 0]) - f["sizes"][f["sizes"] > 0]
+    out[np.ix_(rows, columns)] = np.logical_or.reduceat(np.logical_or.reduceat(good, first(one), axis=0), first(two), axis=1)
+    return out
+
+
+def _compared(seconds: float, bits: int, sure: int, same: float, most: int = 1024):
+    """Pairs of frames near in time and hash, of different bursts (null: of none), that look alike or, where one has no vectors, whose hashes agree but for ``sure`` bits.
+
+    Rows come in order of i, n and time: the frames of a block, which are kept, then those that it meets, which are compared as they pass.
+    """
+
+    def pairs(own: dict[str, np.ndarray], them: dict[str, np.ndarray], inside: bool) -> pa.RecordBatch:
+        own = _part(own, int(np.searchsorted(own["taken"], them["taken"][0] - seconds - 1)), len(own["id"]))
+        far = np.bitwise_count(own["phash"][:, None] ^ them["phash"][None, :])
+        near = (far <= bits) & (them["taken"][None, :] - own["taken"][:, None] <= seconds) & ~((own["burst"][:, None] == them["burst"][None, :]) & ~own["none"][:, None] & ~them["none"][None, :])
+        if inside:  # the last of its own are these: each pair once
+            near &= np.arange(len(own["id"]))[:, None] < np.arange(len(own["id"]) - len(them["id"]), len(own["id"]))[None, :]
+        both = (own["sizes"] > 0)[:, None] & (them["sizes"] > 0)[None, :]
+        if (near & both).any():
+            near &= np.where(both, _alike(own, them, same), far <= sure)
+        else:
+            near &= far <= sure
+        k, m = np.nonzero(near)
+        a, b = own["id"][k], them["id"][m]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(far[k, m].astype(np.int32))], names=["a", "b", "bits"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for batch in batches:
+            read = _frames_of(batch)
+            ends = np.concatenate([[0], np.flatnonzero(np.diff(read["i"]) | np.diff(read["n"])) + 1, [batch.num_rows]]).tolist()
+            for low, high in zip(ends, ends[1:], strict=False):
+                for at in range(low, high, most):
+                    them = _part(read, at, min(high, at + most))
+                    i, inside = int(them["i"][0]), them["i"][0] == them["n"][0]
+                    if inside:
+                        own = them if own is None or own["i"][0] != i else _joined(own, them)
+                    found = pairs(own, them, inside)
+                    if found.num_rows:
+                        yield found
 
     return compare
 
@@ -92,19 +153,16 @@ def near_in_time(frames: DataFrame, looks: DataFrame | None = None, same: float
     """(a, b, bits) of ``frames`` (id, taken, phash, burst) of different bursts, at most ``seconds`` and ``bits`` apart, that show the same.
 
     ``looks`` (id, embedding) are the unit vectors of what a frame shows: where both have some, any two must have a product of ``same`` at least;
-    where one has none, hashes must agree but for SURE_BITS. Frames are joined block by block in order of time; only pairs near in time and hash
-    meet with their vectors. Frames without time or hash have no pairs here.
+    where one has none, hashes must agree but for SURE_BITS. Frames are joined block by block in order of time, with their vectors: a frame goes once
+    to each block that ends within reach before it, and what is near in hash alone is neither stored nor moved. Frames without time or hash have no pairs here.
     """
-    blocks, meet = _time_blocks(frames, seconds, block)
-    side = lambda n, s: blocks.select(F.col("n").alias(n), *[F.col(c).alias(f"{c}_{s}") for c in ("id", "taken", "phash", "burst")])
-    met = meet.join(side("i", "a"), "i").join(side("j", "b"), "j")
-    found = tabled(met.mapInPandas(_compared(seconds, bits), "a long, b long, bits int"), "near")
-    if looks is None:
-        return found.where(F.col("bits") <= SURE_BITS)
-    vectors = looks.where("embedding is not null").groupBy("id").agg(F.collect_list("embedding").alias("v"))  # of one frame
-    both = found.join(vectors.select(F.col("id").alias("a"), F.col("v").alias("va")), "a", "left").join(vectors.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b", "left")
-    alike = F.exists("va", lambda x: F.exists("vb", lambda y: dot(x, y) >= same))
-    return both.where(F.coalesce(alike, F.col("bits") <= SURE_BITS)).select("a", "b", "bits")
+    placed, meet = _time_blocks(frames, seconds, block)
+    if looks is not None:
+        vectors = looks.where("embedding is not null").groupBy(F.col("id").cast("long").alias("id")).agg(F.collect_list("embedding").alias("v"))  # of one frame
+        placed = placed.join(vectors, "id", "left")
+    met = placed.join(meet, "n").where((F.col("n") == F.col("i")) | (F.col("taken") - F.col("hi") <= seconds)).drop("hi")
+    ordered = met.repartition("i").sortWithinPartitions("i", "n", "taken", "id")
+    return ordered.mapInArrow(_compared(seconds, bits, SURE_BITS, same), "a long, b long, bits int")
 
 
 def near_frames(frames: DataFrame, confirm: Column | None = None, bits: int = DUPE_BITS, seconds: float = DUPE_SECONDS) -> DataFrame:

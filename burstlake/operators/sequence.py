@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from math import inf, log2
 
 import numpy as np
 import pandas as pd
@@ -110,12 +111,15 @@ def renumber(frames: DataFrame, key: str, order_by: list[str]) -> DataFrame:
 
 
 def _close(a: float, b: float) -> bool:
-    return np.isnan(a) or np.isnan(b) or abs(a - b) <= FOCAL_TOLERANCE * max(abs(a), abs(b))
+    return a != a or b != b or abs(a - b) <= FOCAL_TOLERANCE * max(abs(a), abs(b))
 
 
 def _stops(a: float, b: float, each: float, most: float) -> bool:
     """Two settings are within ``most`` stops, where doubling is ``each``; a setting that is missing or no number over 0 is no mismatch."""
-    return not (a > 0 and b > 0) or abs(each * np.log2(a / b)) <= most
+    if a == b or not (a > 0 and b > 0):
+        return a != inf or b != inf
+    ratio = a / b
+    return ratio > 0 and abs(each * log2(ratio)) <= most
 
 
 class SetScan:
@@ -140,14 +144,15 @@ class SetScan:
                 pdf = pd.concat([held, pdf], ignore_index=True) if len(pdf) else held
             nothing = np.full(len(pdf), np.nan)
             read = [pdf[c].to_numpy(float, na_value=np.nan) if c in pdf.columns else nothing for c in ("taken", "ev", "focus", "focal", "aperture", "shutter")]
-            at, owner, i = np.arange(len(pdf)), np.full(len(pdf), -1), 0
-            while i < len(pdf):
-                n, good = end_of(at[i:], *read)
-                if i + n == len(pdf) and not last:  # the run may go on
+            run_end = end_of(*read)
+            owner, i, n = np.full(len(pdf), -1), 0, len(pdf)
+            while i < n:
+                end, good = run_end(i)
+                if end == n and not last:  # the run may go on
                     break
                 if good:
-                    owner[i : i + n] = i
-                i += n if good else 1
+                    owner[i:end] = i
+                i = end if good else i + 1
             if i < len(pdf):
                 self.open[kind] = pdf.iloc[i:].to_dict("list")
             taken = owner >= 0
@@ -171,38 +176,71 @@ def sets(frames: DataFrame, camera: str = "camera", ranges: int | None = None) -
     return scanned(frames, [F.col(camera)], [F.col("taken").asc_nulls_last(), F.col("frame_id")], SetScan, schema, ranges)
 
 
-def _bracket_end(at: np.ndarray, t, ev, focus, focal, aperture, shutter) -> tuple[int, bool]:
-    """The length of the run from the first frame of ``at`` on, and whether it is a set; so the next two."""
-    run = [at[0]]
-    if np.isnan(ev[at[0]]):
-        return 0, False
-    for k in range(1, len(at)):
-        x, y = at[k - 1], at[k]
-        seen = ev[run]
-        if len(run) == BRACKET_FRAMES[1] or not (t[y] - t[x] <= BRACKET_GAP) or np.isnan(ev[y]) or not _close(focal[run[0]], focal[y]) or not _stops(aperture[run[0]], aperture[y], 2.0, APERTURE_TOLERANCE) or abs(ev[y] - ev[x]) < BRACKET_STEP or (abs(seen - ev[y]) < BRACKET_REPEAT).any():
-            break
-        run.append(y)
-    return len(run), len(run) >= BRACKET_FRAMES[0] and np.ptp(ev[run]) >= BRACKET_SPAN
-
-
-def _stack_end(at: np.ndarray, t, ev, focus, focal, aperture, shutter) -> tuple[int, bool]:
-    n, direction = 1, 0.0
-    for x, y in zip(at, at[1:], strict=False):
-        step = focus[y] - focus[x]
-        if not (t[y] - t[x] <= STACK_GAP) or not _close(focal[at[0]], focal[y]) or not _stops(aperture[at[0]], aperture[y], 2.0, APERTURE_TOLERANCE) or not _stops(shutter[at[0]], shutter[y], 1.0, SHUTTER_TOLERANCE) or not abs(step) > STACK_RATIO * max(abs(focus[x]), abs(focus[y])) or (direction and np.sign(step) != direction):
-            break
-        direction, n = np.sign(step), n + 1
-    return n, n >= STACK_FRAMES
-
-
-def _interval_end(at: np.ndarray, t, ev, focus, focal, aperture, shutter) -> tuple[int, bool]:
-    n = 1
-    for x, y in zip(at, at[1:], strict=False):
-        if not INTERVAL_GAP[0] <= t[y] - t[x] <= INTERVAL_GAP[1] or not _close(focal[at[0]], focal[y]) or not _stops(aperture[at[0]], aperture[y], 2.0, APERTURE_TOLERANCE):
-            break
-        n += 1
-    gaps = np.diff(t[at[:n]])
-    return n, n >= INTERVAL_FRAMES and gaps.std() < INTERVAL_SPREAD * gaps.mean()
+def _bracket_end(taken, ev, focus, focal, aperture, shutter):
+    """A function of a frame's place: where the run from it on ends (it is none itself: there), and whether it is a set; so the next two. Plain numbers are read frame by frame."""
+    t, ev, focal, aperture = (x.tolist() for x in (taken, ev, focal, aperture))
+    n = len(t)
+
+    def run_end(i: int) -> tuple[int, bool]:
+        if ev[i] != ev[i]:
+            return i, False
+        seen, most, y = [ev[i]], min(n, i + BRACKET_FRAMES[1]), i + 1
+        while y < most:
+            e = ev[y]
+            if not (t[y] - t[y - 1] <= BRACKET_GAP) or e != e or abs(e - seen[-1]) < BRACKET_STEP or any(abs(s - e) < BRACKET_REPEAT for s in seen) or not _close(focal[i], focal[y]) or not _stops(aperture[i], aperture[y], 2.0, APERTURE_TOLERANCE):
+                break
+            seen.append(e)
+            y += 1
+        return y, len(seen) >= BRACKET_FRAMES[0] and max(seen) - min(seen) >= BRACKET_SPAN
+
+    return run_end
+
+
+def _stack_end(taken, ev, focus, focal, aperture, shutter):
+    t, focus, focal, aperture, shutter = (x.tolist() for x in (taken, focus, focal, aperture, shutter))
+    n = len(t)
+
+    def run_end(i: int) -> tuple[int, bool]:
+        up, y = None, i + 1
+        while y < n:
+            a, b = focus[y - 1], focus[y]
+            if not (t[y] - t[y - 1] <= STACK_GAP) or not abs(b - a) > STACK_RATIO * max(abs(a), abs(b)) or (up is not None and (b > a) != up) or not _close(focal[i], focal[y]) or not _stops(aperture[i], aperture[y], 2.0, APERTURE_TOLERANCE) or not _stops(shutter[i], shutter[y], 1.0, SHUTTER_TOLERANCE):
+                break
+            up, y = b > a, y + 1
+        return y, y - i >= STACK_FRAMES
+
+    return run_end
+
+
+def _interval_end(taken, ev, focus, focal, aperture, shutter):
+    """Where settings stay as they are, a run ends where its pauses do, and the spread of its pauses follows from sums: a long uneven streak is not read anew from each frame."""
+    gaps = np.diff(taken)
+    n, cuts = len(taken), np.flatnonzero(~((gaps >= INTERVAL_GAP[0]) & (gaps <= INTERVAL_GAP[1]))) + 1
+    ends = np.append(cuts, n)[np.searchsorted(cuts, np.arange(n), "right")].tolist()  # where the pauses break, from each frame on
+    moved = lambda x: (x[1:] != x[:-1]) & ~(np.isnan(x[1:]) & np.isnan(x[:-1]))
+    settings = np.concatenate([[0], np.cumsum(moved(focal) | moved(aperture))]).tolist()
+    inside = np.where((gaps >= INTERVAL_GAP[0]) & (gaps <= INTERVAL_GAP[1]), gaps, 0.0)
+    sums, squares = (np.concatenate([[0.0], np.cumsum(x)]).tolist() for x in (inside, inside * inside))
+    focal, aperture = focal.tolist(), aperture.tolist()
+
+    def run_end(i: int) -> tuple[int, bool]:
+        end = ends[i]
+        if settings[end - 1] != settings[i] or abs(focal[i]) == inf or aperture[i] == inf:
+            y = i + 1
+            while y < end and _close(focal[i], focal[y]) and _stops(aperture[i], aperture[y], 2.0, APERTURE_TOLERANCE):
+                y += 1
+            end = y
+        if end - i < INTERVAL_FRAMES:
+            return end, False
+        k = end - 1 - i
+        mean = (sums[end - 1] - sums[i]) / k
+        variance = (squares[end - 1] - squares[i]) / k - mean * mean
+        bound = (INTERVAL_SPREAD * mean) ** 2
+        if abs(variance - bound) <= 1e-6 * bound + 1e-12 * squares[end - 1]:  # too near for sums
+            return end, bool(gaps[i : end - 1].std() < INTERVAL_SPREAD * gaps[i : end - 1].mean())
+        return end, variance < bound
+
+    return run_end
 
 
 def spread_sample(rows: DataFrame, keys: list[str], order_by: list[str], most: int = 8) -> DataFrame:

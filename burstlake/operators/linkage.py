@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,13 +89,13 @@ def _nearest(block: pa.Table, threshold: float, id_col: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array([len(v) for v in batch.column(1)])
+            sizes = pc.list_value_length(batch.column(1)).to_numpy()
             rows, said, scores = [], [], []
             for n, (own, matrix) in sides.items():
                 at = np.flatnonzero(sizes == n)
                 if not len(at):
                     continue
-                product = np.round(np.array(batch.column(1).take(pa.array(at)).to_pylist()) @ matrix, 12)
+                product = np.round(batch.column(1).take(pa.array(at)).flatten().to_numpy().reshape(-1, n) @ matrix, 12)
                 best = product.shape[1] - 1 - np.argmax(product[:, ::-1], axis=1)  # of equals the last name
                 top = product[np.arange(len(at)), best]
                 good = top >= threshold

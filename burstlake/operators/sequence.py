@@ -97,11 +97,20 @@ def merge_bursts(ends: DataFrame, camera: str, joins: Column | None = None, span
     the rows ``a``, the one before, and ``b``; ``same_subject`` if none is given), and it begins within ``span`` of the group's start. The last rule depends
     on where the group began: bursts (not frames) are scanned in order, by ranges, so that one camera may hold them all.
     """
-    order = [F.col("started"), F.col("burst")]
-    paired = with_previous(ends, [F.col(camera)], order, "a", ranges).withColumn("b", F.struct(*[F.col(c) for c in ends.columns]))
+    return merged_after(before_bursts(ends, camera, ranges), ends, camera, joins, span, gap, ranges)
+
+
+def before_bursts(ends: DataFrame, camera: str, ranges: int | None = None) -> DataFrame:
+    """``ends`` with ``a``, the burst before of the camera: what ``merged_after`` reads, whatever its rule."""
+    return with_previous(ends, [F.col(camera)], [F.col("started"), F.col("burst")], "a", ranges)
+
+
+def merged_after(paired: DataFrame, ends: DataFrame, camera: str, joins: Column | None = None, span: float = MERGE_SPAN, gap: float = MERGE_GAP, ranges: int | None = None) -> DataFrame:
+    """``merge_bursts`` of ``paired`` (``before_bursts`` of ``ends``), so that several rules share one sort of neighbours."""
+    paired = paired.withColumn("b", F.struct(*[F.col(c) for c in ends.columns]))
     may = F.coalesce((F.col("b.started") >= F.col("a.ended")) & (F.col("b.started") - F.col("a.ended") <= gap) & (same_subject() if joins is None else joins), F.lit(False))
     flagged = paired.withColumn("_may", may).drop("a", "b")
-    return scanned(flagged, [F.col(camera)], order, partial(_Spans, span), T.StructType([*ends.schema.fields, T.StructField("merged", ends.schema["burst"].dataType)]), ranges)
+    return scanned(flagged, [F.col(camera)], [F.col("started"), F.col("burst")], partial(_Spans, span), T.StructType([*ends.schema.fields, T.StructField("merged", ends.schema["burst"].dataType)]), ranges)
 
 
 def renumber(frames: DataFrame, key: str, order_by: list[str]) -> DataFrame:

@@ -85,30 +85,45 @@ auc = F.pandas_udf(_auc, T.DoubleType())
 _SPAN = T.StructType([T.StructField("key", T.StringType()), T.StructField("session", T.LongType()), T.StructField("started", T.DoubleType()), T.StructField("ended", T.DoubleType()), T.StructField("n", T.LongType())])
 
 
-@F.udtf(returnType=_SPAN, useArrow=True)
+@F.arrow_udtf(returnType=_SPAN)
 class BurstSpans:
-    """burst_spans(gap, TABLE(... key, taken) PARTITION BY key ORDER BY taken): the runs of a key's rows whose steps are ``gap`` at most; rows without taken are none."""
+    """burst_spans(gap, TABLE(... key, taken) PARTITION BY key ORDER BY taken): the runs of a key's rows whose steps are ``gap`` at most; rows without taken are none.
+
+    A key's rows come in batches; the run that is open at the end of one goes on in the next.
+    """
 
     def __init__(self) -> None:
         self.key, self.session, self.first, self.last, self.n = None, 0, None, None, 0
 
-    def eval(self, gap: float, row):
-        self.key, t = row["key"], row["taken"]
-        if t is None:
+    def eval(self, gap: pa.Array, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        taken = rows.column("taken")
+        taken = (taken.drop_null() if taken.null_count else taken).to_numpy(zero_copy_only=False)
+        self.key = rows.column("key")[-1].as_py() if rows.num_rows else self.key
+        if not len(taken):
             return
-        if self.n and t - self.last > gap:
-            yield self._span()
-            self.session, self.n = self.session + 1, 0
-        if not self.n:
-            self.first = t
-        self.last, self.n = t, self.n + 1
-
-    def _span(self) -> tuple:
-        return self.key, self.session, float(self.first), float(self.last), self.n
-
-    def terminate(self):
+        first, goes_on = taken[0], self.n and not taken[0] - self.last > gap[0].as_py()
+        begins = np.append(0, np.flatnonzero(np.diff(taken) > gap[0].as_py()) + 1)
+        firsts, lasts, sizes = taken[begins], taken[np.append(begins[1:], len(taken)) - 1], np.diff(begins, append=len(taken))
+        if goes_on:
+            sizes[0] += self.n
+            first = self.first
+        elif self.n:
+            yield self._spans([self.first], [self.last], [self.n])
+        firsts[0] = first
+        if len(begins) > 1:
+            yield self._spans(firsts[:-1], lasts[:-1], sizes[:-1])
+        self.first, self.last, self.n = firsts[-1], lasts[-1], int(sizes[-1])
+
+    def _spans(self, first, last, n) -> pa.RecordBatch:
+        """The next of the key's runs."""
+        ends = [pa.array(np.asarray(x, float)) for x in (first, last)]
+        numbers = pa.array(np.arange(self.session, self.session + len(n)))
+        self.session += len(n)
+        return pa.RecordBatch.from_arrays([pa.array([self.key] * len(n), pa.string()), numbers, *ends, pa.array(np.asarray(n, np.int64))], names=_SPAN.names)
+
+    def terminate(self) -> Iterator[pa.RecordBatch]:
         if self.n:
-            yield self._span()
+            yield self._spans([self.first], [self.last], [self.n])
 
 
 def needs_review_sql() -> str:

@@ -226,7 +226,11 @@ def described(rows: DataFrame, tags: str, fallback: Column, path: str = "SourceF
 def truthy(text: Column) -> Column:
     """A JSON text that holds something: not null, false, 0, nor an empty text, list or object."""
     v = F.try_parse_json(text)
-    kind = F.schema_of_variant(v)
+    return truthy_variant(v, F.schema_of_variant(v), text)
+
+
+def truthy_variant(v: Column, kind: Column, text: Column) -> Column:
+    """``truthy`` of a variant, its schema and its JSON."""
     number = F.try_variant_get(v, "$", "double")
     word = F.try_variant_get(v, "$", "string")
     return F.coalesce(
@@ -242,7 +246,11 @@ def truthy(text: Column) -> Column:
 def json_text(text: Column) -> Column:
     """A JSON value as plain text: a string as itself, True, False and None, else as it is written."""
     v = F.try_parse_json(text)
-    kind = F.schema_of_variant(v)
+    return variant_text(v, F.schema_of_variant(v), text)
+
+
+def variant_text(v: Column, kind: Column, text: Column) -> Column:
+    """``json_text`` of a variant, its schema and its JSON."""
     return F.when(v.isNull(), F.lit(None).cast("string")).when(F.is_variant_null(v) | (kind == "VOID"), "None").when(kind == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), "True").otherwise("False")).when(kind == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.trim(text))
 
 

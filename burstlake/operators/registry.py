@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CONFUSABLE, ascii_plate, blank_to_null
-from ..functions.vehicles import json_text, truthy
+from ..functions.vehicles import truthy_variant, variant_text
+from .lineage import tabled
 
 #: What the registry holds of a plate, in order.
 FIELDS = ("make", "model", "colour", "body_type", "team", "sponsors", "race_number")
@@ -43,8 +44,10 @@ def field_values(attributes: Column, field: str) -> Column:
     """What an attribute says: its value, or those of its list, as trimmed texts; what is null, false, 0 or empty says nothing."""
     one = F.try_variant_get(attributes, f"$.{field}", "variant")
     many = F.try_variant_get(attributes, f"$.{field}", "array<variant>")
-    texts = F.transform(F.coalesce(many, F.when(one.isNotNull(), F.array(one))), lambda v: F.to_json(v))
-    return F.transform(F.filter(texts, truthy), lambda t: F.trim(json_text(t)))
+    # each value with its schema, so that neither is made anew for each question about it
+    known = F.transform(F.coalesce(many, F.when(one.isNotNull(), F.array(one))), lambda v: F.struct(v.alias("v"), F.schema_of_variant(v).alias("kind")))
+    said = F.filter(known, lambda x: truthy_variant(x["v"], x["kind"], F.to_json(x["v"])))
+    return F.transform(said, lambda x: F.trim(variant_text(x["v"], x["kind"], F.to_json(x["v"]))))
 
 
 def string_of(attributes: Column, field: str) -> Column:
@@ -65,18 +68,32 @@ def agreed(rows: DataFrame, group: list[str], seq: str) -> DataFrame:
     make is the group's own verdict on its first row (group_make) or the majority; model is that verdict alone (group_model); sponsors are all that were named,
     commonest first; the others are majorities. A value in a list counts like one that stands alone.
     """
-    read = rows.select(*group, F.col(seq).alias("_seq"), ascii_plate(F.col("plate")).alias("plate"), attributes_of(F.col("attributes")).alias("_a"))
+    return _agreed(_heard(rows, group, seq, {}), group)
+
+
+def _heard(rows: DataFrame, group: list[str], seq: str, more: dict[str, Column]) -> DataFrame:
+    """Group, _seq, plate, _said (what each of FIELDS but model is said to be) and _own of ``rows``, _object (attributes are an object), and ``more`` (columns over _a, the attributes), stored: JSON is read once, in many tasks."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parsed = rows.withColumn("_seq", F.col(seq)).repartition(n, "_seq").withColumn("_v", F.try_parse_json("attributes"))
+    parsed = parsed.withColumn("_object", F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False)))
+    parsed = parsed.withColumn("_a", F.when(F.col("_object"), F.col("_v")).otherwise(F.parse_json(F.lit("{}"))))
+    said = F.array(*[F.struct(F.lit(f).alias("field"), field_values(F.col("_a"), f).alias("values")) for f in FIELDS if f != "model"])
+    own = F.struct(string_of(F.col("_a"), "group_make").alias("make"), string_of(F.col("_a"), "group_model").alias("model"))
+    return tabled(parsed.select(*group, "_seq", ascii_plate(F.col("plate")).alias("plate"), said.alias("_said"), own.alias("_own"), "_object", *[c.alias(k) for k, c in more.items()]), "heard")
+
+
+def _agreed(read: DataFrame, group: list[str]) -> DataFrame:
+    """``agreed`` of what was ``_heard``."""
     plates = _tally(read.where("plate <> ''"), group, "plate", F.col("_seq"))
     top = plates.where("place = 1").select(*group, "plate", F.col("n").alias("votes"))
     near = near_plates(top, plates.where("place > 1"), "plate", group).groupBy(*group).agg(F.sort_array(F.collect_set("near")).alias("aliases"))
     fields = [f for f in FIELDS if f != "model"]
-    texts = F.array(*[F.struct(F.lit(f).alias("field"), field_values(F.col("_a"), f).alias("values")) for f in fields])
-    said = read.select(*group, "_seq", F.explode(texts).alias("x")).select(*group, "_seq", "x.field", F.posexplode("x.values").alias("_at", "value"))
+    said = read.select(*group, "_seq", F.explode("_said").alias("x")).select(*group, "_seq", "x.field", F.posexplode("x.values").alias("_at", "value"))
     ranked = _tally(said, [*group, "field"], "value", F.struct("_seq", "_at"))
     winners = [F.max(F.when((F.col("place") == 1) & (F.col("field") == f), F.col("value"))).alias(f) for f in fields if f != "sponsors"]
     named = F.transform(F.sort_array(F.collect_list(F.when(F.col("field") == "sponsors", F.struct("place", "value")))), lambda x: x["value"])
     votes = ranked.groupBy(*group).agg(*winners, F.when(F.size(named) > 0, named).alias("sponsors"))
-    firsts = read.groupBy(*group).agg(F.min_by(F.struct(string_of(F.col("_a"), "group_make").alias("make"), string_of(F.col("_a"), "group_model").alias("model")), "_seq").alias("_own"), F.min("_seq").alias("first_seq"))
+    firsts = read.groupBy(*group).agg(F.min_by("_own", "_seq").alias("_own"), F.min("_seq").alias("first_seq"))
     out = _same(_same(_same(top, near, group), votes, group), firsts, group)
     own = {"make": F.coalesce(F.nullif(F.col("_own.make"), F.lit("")), F.col("make")), "model": F.col("_own.model"), "aliases": F.coalesce("aliases", F.array().cast("array<string>"))}
     return out.withColumns(own).select(*group, "plate", "votes", "aliases", *FIELDS, "first_seq")
@@ -93,14 +110,14 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def readings(detections: DataFrame) -> DataFrame:
     """All readings of ``detections`` (id, job_id, group_key, plate, attributes, number), with ``rank``, their order: vehicles by their first detection, then loose ones by id."""
-    rows = detections.where((F.coalesce("plate", F.lit("")) != "") & F.schema_of_variant(F.try_parse_json("attributes")).startswith("OBJECT"))
-    grouped = agreed(rows.where("group_key is not null"), ["job_id", "group_key"], "id")
-    cars = grouped.select("plate", "aliases", *[F.array_join(c, ", ").alias(c) if c == "sponsors" else F.col(c) for c in FIELDS], F.struct(F.lit(0).alias("loose"), F.col("first_seq").alias("id")).alias("rank"))
-    a = attributes_of(F.col("attributes"))
+    a = F.col("_a")
     names = F.filter(F.transform(F.try_variant_get(a, "$.sponsors", "array<variant>"), lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))), lambda x: x.isNotNull())
     alone = {f: string_of(a, f) for f in FIELDS} | {"sponsors": F.array_join(names, ", ")}
     alone["race_number"] = F.coalesce(blank_to_null(alone["race_number"]), F.col("number"))
-    loose = rows.where("group_key is null").select(ascii_plate(F.col("plate")).alias("plate"), F.array().cast("array<string>").alias("aliases"), *[v.alias(k) for k, v in alone.items()], F.struct(F.lit(1).alias("loose"), "id").alias("rank"))
+    rows = _heard(detections.where("coalesce(plate, '') <> ''"), ["job_id", "group_key"], "id", alone).where("_object")
+    grouped = _agreed(rows.where("group_key is not null").drop(*FIELDS), ["job_id", "group_key"])
+    cars = grouped.select("plate", "aliases", *[F.array_join(c, ", ").alias(c) if c == "sponsors" else F.col(c) for c in FIELDS], F.struct(F.lit(0).alias("loose"), F.col("first_seq").alias("id")).alias("rank"))
+    loose = rows.where("group_key is null").select("plate", F.array().cast("array<string>").alias("aliases"), *FIELDS, F.struct(F.lit(1).alias("loose"), F.col("_seq").alias("id")).alias("rank"))
     return cars.unionByName(loose).where("plate <> ''")
 
 

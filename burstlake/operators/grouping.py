@@ -102,14 +102,17 @@ class Grouping:
             opens.append(frame == self.moment)
             groups.append(self.group)
             moments.append(self.moment)
-        return rows.assign(begins=begins, opens=opens, grp=groups, moment=moments)
+        found = {"begins": np.array(begins, bool), "opens": np.array(opens, bool), "grp": groups, "moment": moments}
+        if self.sets is not None:
+            return rows.assign(**found)
+        none = {"set_id": pd.array([None] * len(rows), "Int64"), "set_kind": None}
+        return pd.DataFrame({"frame_id": rows["frame_id"].array, "taken": rows["taken"].array, **found, **none})
 
     def step(self, rows: pd.DataFrame, last: bool) -> Iterator[pd.DataFrame]:
-        rows = self._grouped(rows)
         if self.sets is not None:
-            yield from self.sets.step(rows, last)
+            yield from self.sets.step(self._grouped(rows), last)
         elif len(rows):
-            yield rows.assign(set_id=pd.array([None] * len(rows), "Int64"), set_kind=None)
+            yield self._grouped(rows)
 
     def held(self) -> object:
         plain = lambda x: x.tolist() if isinstance(x, np.ndarray) else [plain(y) for y in x] if isinstance(x, tuple | list) else x

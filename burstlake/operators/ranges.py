@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 
 from .lineage import cut, tabled
 
+#: Rows that a scan of many small keys gives at once.
+OUT_ROWS = 4096
+
 CONTROL = "_part int, _first boolean, _upto long, _state binary, _digest string"
 
 
@@ -45,11 +48,18 @@ def _runner(make: Callable[[], Scan], names: list[str], opens: dict[int, str], e
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scan, now, first, before, empty = None, None, False, None, None
+        kept: list[tuple[pd.DataFrame, int, bool]] = []  # most keys have few rows: theirs go out together
+
+        def keep(frames: Iterator[pd.DataFrame]) -> None:
+            kept.extend((pdf if list(pdf.columns) == names else pdf[names], now[0], first) for pdf in frames if len(pdf))
 
-        def out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in frames:
-                if len(pdf):
-                    yield pdf[names].assign(_part=np.int32(now[0]), _first=first, _upto=pd.array([None] * len(pdf), "Int64"), _state=None, _digest=None)
+        def out(least: int = 1) -> Iterator[pd.DataFrame]:
+            sizes = [len(pdf) for pdf, _, _ in kept]
+            if sum(sizes) >= least:
+                told_of = {"_part": np.repeat(np.array([p for _, p, _ in kept], np.int32), sizes), "_first": np.repeat([f for _, _, f in kept], sizes)}
+                whole = pd.concat([pdf for pdf, _, _ in kept], ignore_index=True) if len(kept) > 1 else kept[0][0]
+                kept.clear()
+                yield whole.assign(**told_of, _upto=pd.array([None] * len(whole), "Int64"), _state=None, _digest=None)
 
         def told(upto: int | None, state: bytes | None, digest: str | None) -> pd.DataFrame:
             row = {c: [None] for c in names} | {"_part": [np.int32(now[0])], "_first": [False], "_upto": pd.array([upto], "Int64"), "_state": [state], "_digest": [digest]}
@@ -61,37 +71,44 @@ def _runner(make: Callable[[], Scan], names: list[str], opens: dict[int, str], e
                 if (digest := _digest(scan)) is not None:
                     yield told(None, cloudpickle.dumps(scan), digest)
             else:
-                yield from out(scan.step(empty, True))
+                keep(scan.step(empty, True))
 
         for pdf in batches:
-            new = (pdf["_part"].ne(pdf["_part"].shift()) | pdf["_key"].ne(pdf["_key"].shift())).cumsum()
-            for _, block in pdf.groupby(new, sort=False):
-                part, key = int(block["_part"].iat[0]), block["_key"].iat[0]
+            parts, keys, given = pdf["_part"].to_numpy(), pdf["_key"].to_numpy(), pdf["_state"].notna().to_numpy()
+            cuts = [0, *(np.flatnonzero((parts[1:] != parts[:-1]) | (keys[1:] != keys[:-1])) + 1).tolist(), len(pdf)] if len(pdf) else [0]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                part, key = int(parts[low]), keys[low]
                 if (part, key) != now:
                     if scan is not None:
                         yield from end(opens.get(now[0]) == now[1])
                     scan, now, before = make(), (part, key), None
                     first = entered.get(part) == key
-                if block["_state"].iat[0] is not None:
-                    scan = cloudpickle.loads(block["_state"].iat[0])
-                    block = block.iloc[1:]
-                    if not len(block):
-                        empty = block
+                if given[low]:
+                    scan = cloudpickle.loads(pdf["_state"].iat[low])
+                    low += 1
+                    if low == high:
+                        empty = pdf.iloc[:0]
                         continue
-                empty = block.iloc[:0]
-                before, block_before, j = block.iloc[-1:], before, 0
+                block, empty = pdf.iloc[low:high], pdf.iloc[:0]
                 if first and not again:  # up to the first place where a scan begins afresh, what is found may change; after it no place matters
-                    starts = np.flatnonzero(scan.restarts(block, block_before))
+                    starts = np.flatnonzero(scan.restarts(block, before))
+                    before = block.iloc[-1:]
                     if len(starts):
                         j = int(starts[0])
                         if j:
-                            yield from out(scan.step(block.iloc[:j], False))
-                        yield from out(scan.step(empty, True))
+                            keep(scan.step(block.iloc[:j], False))
+                        keep(scan.step(empty, True))
                         yield told(int(block["_at"].iat[j]), None, None)
-                        scan, first = make(), False
-                yield from out(scan.step(block.iloc[j:], False))
+                        scan, first, block = make(), False, block.iloc[j:]
+                # a key that another follows is at its end
+                whole = high < len(pdf) and opens.get(part) != key
+                keep(scan.step(block, whole))
+                if whole:
+                    scan = None
+                yield from out(OUT_ROWS)
         if scan is not None:
             yield from end(opens.get(now[0]) == now[1])
+        yield from out()
 
     return run
 

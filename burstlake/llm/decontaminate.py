@@ -266,8 +266,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
     enough = cells.withColumn("both", both).where(F.size("both") >= F.col("met"))
     candidates = S.stored(enough.groupBy("doc").agg(F.collect_list(F.struct("item", "cell", "shift", "span")).alias("cells")), "candidates")
     bits = _bits(candidates.count())
-    fetched = texts.mapInArrow(_fetcher(S.bit_set(candidates, F.col("doc"), bits), bits), "doc long, doc_id long, text string")
-    cut = fetched.join(candidates, "doc").select("doc", "doc_id", "text", "cells").mapInArrow(_cutter, STRETCH)
+    # each step is stored: in one task three Python functions have three workers, and an executor keeps the idle ones of all its tasks
+    fetched = S.stored(texts.mapInArrow(_fetcher(S.bit_set(candidates, F.col("doc"), bits), bits), "doc long, doc_id long, text string"), "fetched")
+    cut = S.stored(fetched.join(candidates, "doc").select("doc", "doc_id", "text", "cells").mapInArrow(_cutter, STRETCH), "stretches")
     found = cut.join(items.select("item", "item_id", "need", F.col("words").alias("item_words")), "item").mapInArrow(_aligner(least), ALIGNED)
     # repeated rows have the same stretches: each is counted, and the best one is reported for each of them
     pair = ["doc", "doc_id", "item", "item_id"]

@@ -146,15 +146,17 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(picked), "doc_id")
     texts = texts.groupBy("y", F.xxhash64("text").alias("hash"), F.octet_length("text").alias("size")).agg(F.min(F.struct("doc_id", "text")).alias("first"))
     texts = S.stored(texts.select("y", "size", F.col("first.doc_id").alias("doc_id"), F.col("first.text").alias("text")), "labelled", TOXIC_ROWS + ORDINARY_ROWS)
-    fits: list[int] = []
+    fits: list[tuple[int, int, int]] = []
     for y, most in ((1, TOXIC_BYTES), (0, ORDINARY_BYTES)):
         for r in texts.where(F.col("y") == y).select("doc_id", "size").orderBy(F.xxhash64("doc_id"), "doc_id", "size").limit(TOXIC_ROWS if y else ORDINARY_ROWS).collect():
             if r["size"] <= most:
                 most -= r["size"]
                 fits.append((r["doc_id"], r["size"], y))
-    wanted = docs.sparkSession.createDataFrame(fits, "doc_id long, size int, y int") if fits else None
-    if wanted is None:
+    if not fits:
         return Model()
+    # as an Arrow table: from a list, Spark starts Python on the executors, in workers of their own
+    kinds = {"doc_id": pa.int64(), "size": pa.int32(), "y": pa.int32()}
+    wanted = docs.sparkSession.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(zip(*fits, strict=True), kinds.values(), strict=True)], names=list(kinds)))
     rows = texts.join(F.broadcast(wanted), ["doc_id", "size", "y"], "left_semi").select("doc_id", "text", "y").collect()
     seen: set[str] = set()
     distinct = [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"])) if not (r["text"] in seen or seen.add(r["text"]))]
